@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TINY = 1e-10
 
@@ -110,13 +111,13 @@ def norm_ppf(p) -> Column:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def norm_cdf(x: pd.Series) -> pd.Series:
     """Standard normal distribution function (Spark has no erf)."""
     return x.map(lambda v: 0.5 * (1.0 + math.erf(v / math.sqrt(2.0))), na_action="ignore").astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p-value of a correlation `r` over `n` rows (t statistic, normal tail)."""
 
