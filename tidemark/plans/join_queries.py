@@ -6,7 +6,7 @@ from tidemark.operators import joins as J
 from tidemark.plans.flow_queries import rounded
 from tidemark.plans.registry import query
 from tidemark.plans.source_queries import _ENTS, article_json
-from tidemark.plans.views import Tables, sql
+from tidemark.plans.views import KEYWORDS, Tables, sql
 from tidemark.session import scratch_dir
 from tidemark.sources.news import read_articles
 
@@ -140,8 +140,11 @@ def _(t: Tables):
     return J.scenario_join(t.positions(), shocks(t)).select("scenario", "symbol", "day_no", "price_open", "shock_pct")
 
 
-KW_SQL = r"""SELECT DISTINCT a.article_id, k.symbol FROM articles a JOIN keywords k
-ON regexp_matches(lower(a.text), '(^|[^\p{L}\p{N}_])' || k.keyword || '($|[^\p{L}\p{N}_])')"""
+# One constant pattern per keyword, so the checking engine compiles each only once.
+KW_SQL = " UNION ".join(
+    rf"SELECT DISTINCT article_id, '{s}' AS symbol FROM articles WHERE regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_]){k}($|[^\p{{L}}\p{{N}}_])')"
+    for k, s in KEYWORDS
+)
 
 
 @query("match_keywords", sql(KW_SQL))

@@ -95,8 +95,8 @@ class Tables:
             F.when(long, "buy").otherwise("sell").alias("type"),
             F.lit(0.1).alias("volume"),
             F.col("o_totalprice").alias("entry_price"),
-            F.round(F.col("o_totalprice") * F.when(long, 0.98).otherwise(1.02), 2).alias("sl"),
-            F.round(F.col("o_totalprice") * F.when(long, 1.04).otherwise(0.96), 2).alias("tp"),
+            (F.col("o_totalprice") * F.when(long, 0.98).otherwise(1.02)).alias("sl"),
+            (F.col("o_totalprice") * F.when(long, 1.04).otherwise(0.96)).alias("tp"),
             F.col("o_orderdate").alias("entry_time"),
             null("double").alias("exit_price"),
             null("timestamp_ntz").alias("exit_time"),
@@ -215,8 +215,8 @@ VIEWS = {
   regime, exit_reason) AS rn FROM trades""",
     "journal": """SELECT o_orderkey AS ticket, substr(o_orderpriority, 1, 1) AS symbol,
   CASE WHEN o_custkey % 2 = 0 THEN 'buy' ELSE 'sell' END AS type, CAST(0.1 AS DOUBLE) AS volume, o_totalprice AS entry_price,
-  round(o_totalprice * CASE WHEN o_custkey % 2 = 0 THEN 0.98::DOUBLE ELSE 1.02::DOUBLE END, 2) AS sl,
-  round(o_totalprice * CASE WHEN o_custkey % 2 = 0 THEN 1.04::DOUBLE ELSE 0.96::DOUBLE END, 2) AS tp,
+  o_totalprice * CASE WHEN o_custkey % 2 = 0 THEN 0.98::DOUBLE ELSE 1.02::DOUBLE END AS sl,
+  o_totalprice * CASE WHEN o_custkey % 2 = 0 THEN 1.04::DOUBLE ELSE 0.96::DOUBLE END AS tp,
   o_orderdate AS entry_time, NULL::DOUBLE AS exit_price, NULL::TIMESTAMP AS exit_time, NULL::DECIMAL(18,4) AS pnl, NULL::INTEGER AS line,
   'OPEN' AS event FROM orders
   UNION ALL SELECT ticket, NULL, NULL, NULL, NULL, NULL, NULL, NULL, price, time, pnl, line,
