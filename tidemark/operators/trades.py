@@ -250,7 +250,7 @@ def execution_quality(fills: DataFrame) -> DataFrame:
 def open_risk(positions: DataFrame, meta: DataFrame, balance: float, cap_pct: float = 5.0) -> DataFrame:
     """Open risk over all positions as percent of the balance, against the cap."""
     risk = F.when(F.col("tick_size") > 0, F.abs(F.col("price_open") - F.col("sl")) / F.col("tick_size") * F.col("tick_value") * F.col("volume")).otherwise(0.0)
-    total = positions.where(F.coalesce("sl", F.lit(0.0)) != 0).join(F.broadcast(meta), "symbol").agg(F.coalesce(F.sum(risk), F.lit(0.0)).alias("total_risk"))
+    total = positions.where(F.coalesce("sl", F.lit(0.0)) != 0).join(meta, "symbol").agg(F.coalesce(F.sum(risk), F.lit(0.0)).alias("total_risk"))
     pct = F.col("total_risk") / balance * 100
     return total.select("total_risk", pct.alias("open_risk_pct"), (pct > cap_pct).alias("block_entries"))
 
@@ -272,7 +272,7 @@ def daily_loss_gate(deal_days: DataFrame, journal_days: DataFrame, balance: floa
 
 def scenario_pnl(positions: DataFrame, shocks: DataFrame, meta: DataFrame, balance: float, breaker_pct: float = 15.0) -> DataFrame:
     """P&L per scenario with breaker flag, plus which scenario is the worst."""
-    p = positions.join(F.broadcast(meta), "symbol").join(shocks, "symbol")
+    p = positions.join(meta, "symbol").join(shocks, "symbol")
     shocked = F.col("price_open") * (1 + F.col("shock_pct") / 100)
     pnl = pnl_currency(F.col("type"), F.col("price_open"), shocked, F.col("volume"), F.col("point"), F.col("tick_value"))
     out = p.groupBy("scenario").agg(F.round(F.sum(pnl), 2).alias("pnl"))
@@ -311,7 +311,7 @@ def external_trades(deals: DataFrame, known: DataFrame, magic: int) -> DataFrame
 
 def position_pnl(positions: DataFrame, quotes: DataFrame, meta: DataFrame) -> DataFrame:
     """Floating result at the current quote; zero where the symbol has no usable point or tick value."""
-    p = positions.join(quotes, "symbol").join(F.broadcast(meta), "symbol")
+    p = positions.join(quotes, "symbol").join(meta, "symbol")
     pnl = pnl_currency(F.col("type"), F.col("price_open"), F.col("price_current"), F.col("volume"), F.col("point"), F.col("tick_value"))
     return p.withColumn("floating_pnl", F.when((F.col("point") == 0) | (F.col("tick_value") == 0), 0.0).otherwise(pnl))
 

@@ -265,14 +265,11 @@ def sql(body: str, **ctes: str) -> str:
     return head + body
 
 
-def scan(src: str, init: dict[str, str], step: dict[str, str]) -> str:
-    """Recursive CTE text walking `src` row by row per symbol; `p` is the previous state, `b` the current row."""
-    name = f"scan_{src}"
+def rec_cte(name: str, src: str, init: dict[str, str], step: dict[str, str]) -> dict[str, str]:
+    """Recursive CTE walking `src` row by row per symbol; `p` is the previous state, `b` the current row."""
     first = ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in init.items())
     later = ", ".join(f"CAST({e} AS DOUBLE)" for e in step.values())
-    return f"""--rec SELECT b.symbol, b.rn, {first} FROM {src} b WHERE b.rn = 1
-  UNION ALL SELECT b.symbol, b.rn, {later} FROM @self p JOIN {src} b ON b.symbol = p.symbol AND b.rn = p.rn + 1""".replace("@name", name)
-
-
-def rec_cte(self_name: str, src: str, init: dict[str, str], step: dict[str, str]) -> dict[str, str]:
-    return {self_name: scan(src, init, step).replace("@self", self_name)}
+    return {
+        name: f"""--rec SELECT b.symbol, b.rn, {first} FROM {src} b WHERE b.rn = 1
+  UNION ALL SELECT b.symbol, b.rn, {later} FROM {name} p JOIN {src} b ON b.symbol = p.symbol AND b.rn = p.rn + 1"""
+    }
