@@ -71,7 +71,7 @@ if __name__ == "__main__":
     queries, oracle = entry.queries(), entry.oracle_sql()
     failed = 0
     for name, fn in queries.items():
-        if args and not any(name.startswith(a) for a in args):
+        if args and not any(name == a or (a not in queries and name.startswith(a)) for a in args):
             continue
         t = time.time()
         try:

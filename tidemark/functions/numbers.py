@@ -130,3 +130,14 @@ def two_sided_p(r: pd.Series, n: pd.Series) -> pd.Series:
         return math.erfc(abs(t) / math.sqrt(2.0))
 
     return pd.Series([one(a, b) for a, b in zip(r, n)], dtype=float)
+
+
+def correlation(x: str, y: str, over=None) -> Column:
+    """Pearson correlation, null where a side is constant (the built-in raises on that in ANSI mode).
+
+    Only rows where both are known count; `over` makes it a window function.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    win = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    return F.try_divide(win(F.covar_pop(a, b)), win(F.stddev_pop(a)) * win(F.stddev_pop(b)))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import TINY, norm_ppf, two_sided_p
+from tidemark.functions.numbers import TINY, correlation, norm_ppf, two_sided_p
 from tidemark.functions.times import month_of
 from tidemark.operators.chunks import index_rows, rolling
 from tidemark.operators.joins import symbol_pairs
@@ -23,7 +23,7 @@ def corr_matrix(bars: DataFrame, hours: int, min_rows: int = 5) -> DataFrame:
     recent = rets.where(F.col("ret").isNotNull()).crossJoin(F.broadcast(edge)).where(F.col("time") > since)
     full = recent.groupBy("time", "__symbols").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") == F.col("__symbols"))
     pairs = symbol_pairs(recent.join(full.select("time"), "time"))
-    out = pairs.groupBy("s1", "s2").agg(F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
+    out = pairs.groupBy("s1", "s2").agg(correlation("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))
     return out.where(F.col("n") >= min_rows)
 
 
@@ -145,7 +145,7 @@ def rank_ic(df: DataFrame, components: Sequence[str], fwd: str = "fwd_24", min_r
     long = _long(df, components, fwd, [])
     ranked = with_average_rank(with_average_rank(long, ["component"], "value", "rx"), ["component"], fwd, "ry")
     g = ranked.groupBy("component").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.corr("rx", "ry").alias("__ic")
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), correlation("rx", "ry").alias("__ic")
     ).where(F.col("n") >= min_rows)
     ic = F.coalesce(F.when(~F.isnan("__ic"), F.col("__ic")), F.lit(0.0))
     return g.withColumn("ic", ic).withColumn("p_value", two_sided_p("ic", F.col("n").cast("double"))).drop("__ic")

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import TINY, neutral, safe_div
+from tidemark.functions.numbers import TINY, correlation, safe_div
 from tidemark.operators.chunks import rolling, running
 
 
@@ -86,7 +86,7 @@ def rolling_autocorr(bars: DataFrame, n: int = 50, lag: int = 5, rows: int | Non
         df = add_returns(df, w, [1]) if "ret_1" not in df.columns else df
         df = df.withColumn("__lagged", F.lag("ret_1", lag).over(w))
         pairs = last_rows(w, n - lag)
-        value = F.corr("ret_1", "__lagged").over(pairs)
+        value = correlation("ret_1", "__lagged", pairs)
         flat = F.stddev_pop("ret_1").over(last_rows(w, n)) == 0
         out = F.when(flat, 0.0).otherwise(F.when(~F.isnan(value), value))
         return df.withColumn("autocorr_5", when_full(out, n + 1)).drop("__lagged")
@@ -272,7 +272,7 @@ def cross_asset_features(bars: DataFrame, ref_symbol: str, n: int = 20, at_least
         f = last_rows(w, n)
         both = F.col("__main").isNotNull() & F.col("ref_ret").isNotNull()
         df = df.withColumn("__x", F.when(both, F.col("__main"))).withColumn("__y", F.when(both, F.col("ref_ret")))
-        c = F.corr("__x", "__y").over(f)
+        c = correlation("__x", "__y", f)
         ok = (F.col("rn") > n) & (F.count("__x").over(f) >= at_least)
         return df.withColumn("corr_20", F.when(ok & ~F.isnan(c), c).otherwise(0.0)).drop("__main", "__x", "__y")
 
