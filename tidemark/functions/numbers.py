@@ -17,8 +17,9 @@ def as_col(c: Column | str | float) -> Column:
 
 
 def safe_div(num, den, floor: float = TINY) -> Column:
-    """num / max(den, floor)."""
-    return as_col(num) / F.greatest(as_col(den), F.lit(floor))
+    """num / max(den, floor); null where `den` is unknown."""
+    den = as_col(den)
+    return F.when(den.isNotNull(), as_col(num) / F.greatest(den, F.lit(floor)))
 
 
 def clip(x, lo=None, hi=None) -> Column:

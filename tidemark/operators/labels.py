@@ -15,3 +15,111 @@ def label_params(resolved: DataFrame, sl_key: str = "sl", rr_key: str = "rr") ->
     """Barrier multiples per symbol from resolved parameters: sl and sl * rr."""
     pick = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
     return resolved.groupBy("symbol").agg(pick(sl_key).alias("sl_atr"), (pick(sl_key) * pick(rr_key)).alias("tp_atr"))
+
+
+def _touches(hold: int):
+    """Array of the next `hold` bars and the first one that reaches a barrier."""
+
+    def build(d, w):
+        ahead = F.collect_list(F.struct("high", "low")).over(w.rowsBetween(1, hold))
+        return d.withColumn("__next", ahead).withColumn("__exit", F.lead("close", hold).over(w))
+
+    return build
+
+
+def _first_hit(up: Column, down: Column) -> Column:
+    hits = F.filter("__next", lambda b: (b["high"] >= up) | (b["low"] <= down))
+    first = F.try_element_at(hits, F.lit(1))
+    return F.when(first["high"] >= up, 1).when(first["low"] <= down, -1)
+
+
+def triple_barrier(df: DataFrame, tp: float = 2.0, sl: float = 1.0, hold: int = 20, atr: str = "atr_14", rows: int | None = None) -> DataFrame:
+    """+1 / -1 for the first ATR barrier reached within `hold` bars (both in one bar: +1), null when none is.
+
+    The last `hold` bars of a symbol and bars without a positive ATR have no label.
+    """
+    out = rolling(df, _touches(hold), ahead=hold, rows=rows)
+    usable = (F.size("__next") == hold) & (F.col(atr) > 0)
+    hit = _first_hit(F.col("close") + F.col(atr) * tp, F.col("close") - F.col(atr) * sl)
+    return out.withColumn("label", F.when(usable, hit)).drop("__next", "__exit")
+
+
+def r_multiple(df: DataFrame, tp: float = 2.0, sl: float = 1.0, hold: int = 20, atr: str = "atr_14", rows: int | None = None) -> DataFrame:
+    """Realised multiple of the risk: tp/sl up, -1 down, else the move after `hold` bars over the risk."""
+    out = rolling(df, _touches(hold), ahead=hold, rows=rows)
+    usable = (F.size("__next") == hold) & (F.col(atr) > 0)
+    hit = _first_hit(F.col("close") + F.col(atr) * tp, F.col("close") - F.col(atr) * sl)
+    rr = tp / sl if sl > 0 else 2.0
+    timeout = (F.col("__exit") - F.col("close")) / F.greatest(F.col(atr) * sl, F.lit(TINY))
+    value = F.when(hit == 1, rr).when(hit == -1, -1.0).otherwise(timeout)
+    return out.withColumn("r_multiple", F.when(usable, value)).drop("__next", "__exit")
+
+
+def first_touch(signals: DataFrame, bars: DataFrame, keys: Sequence[str], span: int = 256) -> DataFrame:
+    """First bar in (rn, until_rn] at which a signal's sl or tp is reached; the stop wins inside one bar.
+
+    Signals are spread over the row spans their life touches, so the range join is an equality plus a filter, and only
+    bars that touch a level leave the join. Adds touch_rn and touch ("SL" / "TP"), null when untouched.
+    """
+    block = lambda c: F.floor(c / span).cast("long")
+    spread = signals.withColumn("__block", F.explode(F.sequence(block(F.col("rn") + 1), block(F.greatest(F.col("until_rn"), F.col("rn") + 1)))))
+    b = bars.select("symbol", block(F.col("rn")).alias("__block"), F.col("rn").alias("bar_rn"), F.col("high").alias("__high"), F.col("low").alias("__low"))
+    long = F.col("signal") == "buy"
+    hit_sl = F.when(long, F.col("__low") <= F.col("sl")).otherwise(F.col("__high") >= F.col("sl"))
+    hit_tp = F.when(long, F.col("__high") >= F.col("tp")).otherwise(F.col("__low") <= F.col("tp"))
+    met = spread.join(b, ["symbol", "__block"]).where((F.col("bar_rn") > F.col("rn")) & (F.col("bar_rn") <= F.col("until_rn")) & (hit_sl | hit_tp))
+    first = met.groupBy("symbol", *keys, "rn").agg(F.min("bar_rn").alias("touch_rn"), F.min_by(hit_sl, "bar_rn").alias("__sl"))
+    first = first.withColumn("touch", F.when(F.col("__sl"), "SL").otherwise("TP")).drop("__sl")
+    return signals.join(first, ["symbol", *keys, "rn"], "left")
+
+
+def signal_outcome(signals: DataFrame, bars: DataFrame, sl_mult: float, rr: float, point: float = 0.01, horizon: int = 400) -> DataFrame:
+    """+rr / -1 / 0 of every signal from its stop and target within the next horizon - 1 bars."""
+    sl_points = F.greatest(F.floor(F.col("atr") * sl_mult / point), F.lit(1))
+    tp_points = F.floor(sl_points * rr)
+    side = F.when(F.col("signal") == "buy", 1.0).otherwise(-1.0)
+    s = signals.withColumn("sl", F.col("close") - side * sl_points * point).withColumn("tp", F.col("close") + side * tp_points * point)
+    s = first_touch(s.withColumn("until_rn", F.col("rn") + horizon - 1), bars, [])
+    return s.withColumn("r", F.when(F.col("touch") == "SL", -1.0).when(F.col("touch") == "TP", float(rr)).otherwise(0.0))
+
+
+def non_overlapping_trades(signals: DataFrame, bars: DataFrame, keys: Sequence[str] = ("param_id",), point: float = 0.01, tick_value: float = 0.01) -> DataFrame:
+    """One position at a time per (symbol, keys): entry at the signal's close, exit at the first stop or target, at the
+    close of an opposite signal, or at the last bar.
+
+    All outcomes are joins and windows; only the choice which signals find the book empty is sequential, and runs over
+    the signals alone (at most one per bar of a symbol). A stop or target exit blocks entries on its own bar, an
+    opposite signal does not.
+    """
+    keys = list(keys)
+    backwards = Window.partitionBy("symbol", *keys).orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, -1)
+    other = lambda side: F.last(F.when(F.col("signal") == side, F.col("rn")), ignorenulls=True).over(backwards)
+    last = bars.groupBy("symbol").agg(F.max("rn").alias("last_rn"))
+    s = signals.withColumn("opp_rn", F.when(F.col("signal") == "buy", other("sell")).otherwise(other("buy"))).join(last, "symbol")
+    s = s.withColumn("until_rn", F.coalesce("opp_rn", "last_rn"))
+    t = first_touch(s, bars, keys).withColumn("exit_rn", F.coalesce("touch_rn", "until_rn"))
+    reason = F.coalesce("touch", F.when(F.col("opp_rn").isNotNull(), "REVERSE").otherwise("END"))
+    t = t.withColumn("exit_reason", reason).withColumn("free_rn", F.when(F.col("touch_rn").isNotNull(), F.col("exit_rn") + 1).otherwise(F.col("exit_rn")))
+
+    cols = ["symbol", *keys, "rn", "free_rn"]
+
+    def choose(pdf):
+        pdf = pdf.sort_values("rn")
+        free, keep = 0, []
+        for rn, until in zip(pdf["rn"], pdf["free_rn"]):
+            taken = rn >= free
+            keep.append(taken)
+            free = until if taken else free
+        return pdf[keep]
+
+    narrow = t.select(*cols)
+    chosen = narrow.groupBy("symbol", *keys).applyInPandas(choose, narrow.schema).select("symbol", *keys, "rn")
+    exits = bars.select("symbol", F.col("rn").alias("exit_rn"), F.col("close").alias("__exit_close"), F.col("time").alias("exit_time"))
+    picked = t.join(chosen, ["symbol", *keys, "rn"]).join(exits, ["symbol", "exit_rn"], "left")
+    price = F.when(F.col("touch") == "SL", F.col("sl")).when(F.col("touch") == "TP", F.col("tp")).otherwise(F.col("__exit_close"))
+    side = F.when(F.col("signal") == "buy", 1.0).otherwise(-1.0)
+    out = picked.withColumn("exit", price)
+    return out.select(
+        "symbol", *keys, F.col("signal").alias("type"), F.col("rn").alias("entry_rn"), "exit_rn", "exit_time", F.col("close").alias("entry"), "exit", "sl", "tp",
+        "exit_reason", ((F.col("exit") - F.col("close")) * side / point * tick_value).alias("pnl"),
+    )

@@ -17,14 +17,13 @@ STEPS = f"""SELECT *, close - lag(close) OVER ({W}) AS step,
   high - lag(high) OVER ({W}) AS upm, lag(low) OVER ({W}) - low AS dnm FROM bars"""
 MOVES = """SELECT *, CASE WHEN upm > dnm AND upm > 0 THEN upm ELSE 0 END AS dmp, CASE WHEN dnm > upm AND dnm > 0 THEN dnm ELSE 0 END AS dmm,
   CASE WHEN rn = 1 THEN 0 ELSE tr END AS tr0, greatest(step, 0) AS gain, greatest(-step, 0) AS loss FROM steps"""
-BASE = {"steps": STEPS, "moves": MOVES}
 
 
 class Scan:
     """Collects the window columns and the state columns of one walk over the bars."""
 
-    def __init__(self, src: str = "moves"):
-        self.src, self.cols, self.init, self.step = src, {}, {}, {}
+    def __init__(self, view: str = "bars"):
+        self.view, self.cols, self.init, self.step = view, {}, {}, {}
 
     def ewm(self, name, x, alpha):
         self.init[name] = f"b.{x}"
@@ -103,6 +102,14 @@ class Scan:
         }
         return self
 
-    def ctes(self, name="r", base="wide") -> dict[str, str]:
+    def ctes(self, name="r") -> dict[str, str]:
+        """`name` holds the states, `name_ind` the bars with them."""
         cols = "".join(f", {e} AS {n}" for n, e in self.cols.items())
-        return {**BASE, base: f"SELECT *{cols} FROM {self.src}", **rec_cte(name, base, self.init, self.step)}
+        state = ", ".join(self.init)
+        return {
+            f"{name}_steps": STEPS.replace("FROM bars", f"FROM {self.view}"),
+            f"{name}_moves": MOVES.replace("FROM steps", f"FROM {name}_steps"),
+            f"{name}_wide": f"SELECT *{cols} FROM {name}_moves",
+            **rec_cte(name, f"{name}_wide", self.init, self.step),
+            f"{name}_ind": f"SELECT v.*, {state} FROM {self.view} v JOIN {name} USING (symbol, rn)",
+        }
