@@ -48,17 +48,16 @@ def index_rows(
     bs = [f"__bucket{i}" for i in range(len(buckets))]
     keyed = df.select("*", *[b.alias(n) for b, n in zip(buckets, bs)])
     local = keyed.withColumn("__local", F.row_number().over(Window.partitionBy(*by, *bs).orderBy(*order)))
+    # Every level is derived from the same counts, so the source is read once for the rows and once for the counts.
     counts = keyed.groupBy(*by, *bs).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts
-    total = F.lit(0).cast("long")
-    for level in range(len(bs)):
+    earlier = lambda level: Window.partitionBy(*by, *bs[:level]).orderBy(bs[level]).rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda level: F.coalesce(F.sum("__n").over(earlier(level)), F.lit(0))
+    last = len(bs) - 1
+    offsets = counts.select(*by, *bs, before(last).alias("__off"))
+    for level in range(last):
         keys = by + bs[: level + 1]
-        per = counts if level == len(bs) - 1 else counts.groupBy(*keys).agg(F.sum("__n").alias("__n"))
-        before = Window.partitionBy(*by, *bs[:level]).orderBy(bs[level]).rowsBetween(Window.unboundedPreceding, -1)
-        off = per.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(f"__off{level}"))
-        offsets = offsets.join(off, keys)
-        total = total + F.col(f"__off{level}")
-    offsets = offsets.select(*by, *bs, total.alias("__off"))
+        coarse = counts.groupBy(*keys).agg(F.sum("__n").alias("__n")).select(*keys, before(level).alias("__more"))
+        offsets = offsets.join(coarse, keys).select(*by, *bs, (F.col("__off") + F.col("__more")).alias("__off"))
     return local.join(offsets, by + bs).withColumn(name, F.col("__local") + F.col("__off")).drop("__local", "__off", *bs)
 
 
