@@ -16,6 +16,11 @@ def epoch_seconds(col: Column | str) -> Column:
     return F.unix_seconds(col.cast("timestamp"))
 
 
+def second_of_day(col: Column | str) -> Column:
+    col = F.col(col) if isinstance(col, str) else col
+    return F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
+
+
 def month_of(col: Column | str) -> Column:
     col = F.col(col) if isinstance(col, str) else col
     return F.year(col) * 12 + F.month(col)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.times import floor_time, month_of
+from tidemark.functions.times import floor_time, second_of_day
 from tidemark.operators.chunks import index_rows, running
 from tidemark.session import settle
 
@@ -45,7 +45,7 @@ def asof_join(
     )
     both = r.unionByName(lsel)
     order = ["__t", "__side", *[f"__l_{c}" for c in lcols]]
-    numbered = settle(index_rows(both, [by], [F.to_date("__t"), F.hour("__t") * 3600 + F.minute("__t") * 60 + F.second("__t")], order))
+    numbered = settle(index_rows(both, [by], [F.to_date("__t"), second_of_day("__t")], order))
     filled = running(numbered, {"__match": ("last", F.col("__hit"))}, by=(by,), rows=rows)
     return filled.where(F.col("__side") == 1).select(
         *[F.col(f"__l_{c}").alias(c) for c in lcols], *[F.col(f"__match.{c}").alias(c) for c in cols]

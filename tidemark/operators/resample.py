@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import TINY
-from tidemark.functions.times import floor_time
+from tidemark.functions.times import floor_time, second_of_day
+from tidemark.operators.chunks import index_rows, rolling
+from tidemark.session import settle
 
 
 def arrival_key(time: str = "time", tiebreak: str = "event_id") -> Column:
@@ -42,11 +44,15 @@ def resample(bars: DataFrame, width: str, with_volume: bool = True) -> DataFrame
     return keyed.groupBy("symbol", "bucket").agg(*aggs).withColumnRenamed("bucket", "time")
 
 
-def tick_orderflow(ticks: DataFrame, width: str = "1 hour", min_ticks: int = 5) -> DataFrame:
-    """Tick-direction order flow per bar; the first tick of a bar has no direction."""
-    keyed = ticks.withColumn("bucket", floor_time("time", width))
-    w = Window.partitionBy("symbol", "bucket").orderBy("time", "event_id")
-    d = keyed.withColumn("__d", F.signum(F.col("last") - F.lag("last").over(w)))
+def tick_orderflow(ticks: DataFrame, width: str = "1 hour", min_ticks: int = 5, rows: int | None = None) -> DataFrame:
+    """Tick-direction order flow per bar; the first tick of a bar has no direction.
+
+    The previous tick comes from row chunks, not from a window per bar: one bar may hold any number of ticks.
+    """
+    numbered = settle(index_rows(ticks, ["symbol"], [F.to_date("time"), second_of_day("time")], ["time", "event_id"]))
+    keyed = numbered.withColumn("bucket", floor_time("time", width))
+    same = lambda w: F.when(F.lag("bucket").over(w) == F.col("bucket"), F.lag("last").over(w))
+    d = rolling(keyed, lambda df, w: df.withColumn("__d", F.signum(F.col("last") - same(w))), back=1, rows=rows)
     buy = F.sum(F.when(F.col("__d") > 0, F.col("volume")).otherwise(0))
     sell = F.sum(F.when(F.col("__d") < 0, F.col("volume")).otherwise(0))
     n = F.count(F.lit(1))

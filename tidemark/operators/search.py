@@ -279,9 +279,11 @@ def tune_exits(held: DataFrame, grid: DataFrame, keys=("symbol", "day_no"), top:
     move = lambda p: (p - F.col("price_open")) * side
     g = g.withColumn("pnl", F.when(scaled, 0.5 * move(F.col("lvl")) + 0.5 * move(F.col("exit"))).otherwise(move(F.col("exit"))))
     g = g.withColumns({"scaled": F.when(scaled, 1).otherwise(0), "trailed": F.when(F.col("s_at").isNotNull(), 1).otherwise(0)})
-    eq = Window.partitionBy("symbol", "param_id").orderBy("exit_time", *[k for k in keys if k != "symbol"]).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("__eq", F.sum("pnl").over(eq))
-    g = g.withColumn("__dd", F.greatest(F.max("__eq").over(eq), F.lit(0.0)) - F.col("__eq"))
+    pair = ["symbol", "param_id"]
+    g = settle(index_rows(g, pair, [F.to_date("exit_time")], ["exit_time", *[k for k in keys if k != "symbol"]]))
+    g = running(g, {"__eq": ("sum", F.col("pnl"))}, pair)
+    g = running(g, {"__pk": ("max", F.col("__eq"))}, pair)
+    g = g.withColumn("__dd", F.greatest(F.col("__pk"), F.lit(0.0)) - F.col("__eq"))
     m = g.groupBy("symbol", "param_id", "target", "ch_mult").agg(
         F.count(F.lit(1)).alias("trades"), F.sum("pnl").alias("ret"), F.max("__dd").alias("max_dd"), (F.count_if(F.col("pnl") > 0) / F.count(F.lit(1)) * 100).alias("win_rate"),
         F.sum("scaled").alias("scale_out"), F.sum("trailed").alias("chandelier"),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import norm_ppf
+from tidemark.functions import numbers as M
 from tidemark.operators import montecarlo as MC
 from tidemark.operators import overfit as O
 from tidemark.operators import search as S
@@ -194,7 +194,29 @@ def _with_oos(t: Tables):
     return settle(index_rows(c, ["symbol"], [F.col("ema_fast")], ["ema_fast", "ema_slow", "sl", "rr"], "param_id"))
 
 
-@query("expected_max_sharpe")
+def ppf_sql(p: str) -> str:
+    """The rational normal quantile as SQL (central part and upper tail, where the trial counts lie)."""
+
+    def horner(cs, x):
+        out = f"({cs[0]!r}::DOUBLE)"
+        for c in cs[1:]:
+            out = f"({out} * {x} + {c!r}::DOUBLE)"
+        return out
+
+    q, r = f"({p} - 0.5)", f"(({p} - 0.5) * ({p} - 0.5))"
+    t = f"sqrt(-2 * ln(1 - {p}))"
+    mid = f"({horner(M.ACKLAM_A, r)} * {q} / ({horner(M.ACKLAM_B, r)} * {r} + 1))"
+    return f"(CASE WHEN {p} > 0.97575 THEN -({horner(M.ACKLAM_C, t)} / ({horner(M.ACKLAM_D, t)} * {t} + 1)) ELSE {mid} END)"
+
+
+@query(
+    "expected_max_sharpe",
+    sql(
+        f"SELECT symbol, n_trials, effective_trials, round((1 - 0.5772156649015329::DOUBLE) * {ppf_sql('pa')} + 0.5772156649015329::DOUBLE * {ppf_sql('pb')}, 6) AS expected_max_sr FROM (SELECT *, 1 - 1 / greatest(effective_trials, 2.0::DOUBLE) AS pa, 1 - 1 / (greatest(effective_trials, 2.0::DOUBLE) * exp(1)) AS pb FROM et)",
+        **CA,
+        et="SELECT symbol, count(*) AS n_trials, CAST(least(greatest(count(DISTINCT round(ema_fast / ema_slow, 2)) * count(DISTINCT sl) * count(DISTINCT rr) * count(DISTINCT adx) * count(DISTINCT score), 1), count(*)) AS DOUBLE) AS effective_trials FROM ca GROUP BY 1",
+    ),
+)
 def _(t: Tables):
     e = O.effective_trials(candidates(t))
     return rounded(e.withColumn("expected_max_sr", O.expected_max_sharpe(F.col("effective_trials"), F.lit(1.0))))

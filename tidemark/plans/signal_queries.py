@@ -16,7 +16,7 @@ from tidemark.plans.flow_queries import rounded
 from tidemark.plans.registry import query
 from tidemark.plans.sqltext import Scan
 from tidemark.plans.trade_queries import QUOTES_SQL, quotes
-from tidemark.plans.views import Tables, sql
+from tidemark.plans.views import Tables, rec_cte, sql
 from tidemark.plans.window_queries import VOLUME_FILTER, frame
 from tidemark.session import settle
 
@@ -329,12 +329,46 @@ def _(t: Tables):
     return L.signal_outcome(sig, bars, 1.5, 2.0).select("symbol", "rn", "signal", "touch_rn", "r")
 
 
-@query("non_overlapping_trades")
+# The loop itself as a recursive walk: one position, checked bar by bar.
+_SG = f"CASE WHEN ({CROSS}) = 'buy' THEN 1 WHEN ({CROSS}) = 'sell' THEN -1 ELSE 0 END"
+_HIT = """(CASE WHEN p.side = 0 THEN 0 WHEN (p.side = 1 AND b.low <= p.sl) OR (p.side = -1 AND b.high >= p.sl) THEN 1
+  WHEN (p.side = 1 AND b.high >= p.tp) OR (p.side = -1 AND b.low <= p.tp) THEN 2 WHEN b.sg <> 0 AND b.sg <> p.side THEN 3 ELSE 0 END)"""
+_ENTER = f"({_HIT} = 3 OR p.side = 0) AND b.sg <> 0"
+WALK = {
+    **IND,
+    "wk": f"SELECT symbol, rn, high, low, close, atr, CASE WHEN atr > 0 THEN {_SG} ELSE 0 END AS sg FROM ind",
+    **rec_cte(
+        "walk", "wk",
+        {"side": "0", "erow": "0", "e": "0", "sl": "0", "tp": "0", "xrow": "0", "code": "0", "xprice": "0", "xentry": "0", "xside": "0"},
+        {
+            "side": f"CASE WHEN {_HIT} IN (1, 2) THEN 0 WHEN {_ENTER} THEN b.sg ELSE p.side END",
+            "erow": f"CASE WHEN {_ENTER} THEN b.rn ELSE p.erow END",
+            "e": f"CASE WHEN {_ENTER} THEN b.close ELSE p.e END",
+            "sl": f"CASE WHEN {_ENTER} THEN b.close - b.sg * b.atr * 1.5::DOUBLE ELSE p.sl END",
+            "tp": f"CASE WHEN {_ENTER} THEN b.close + b.sg * b.atr * 3.0::DOUBLE ELSE p.tp END",
+            "xrow": "p.erow", "code": _HIT, "xprice": f"CASE {_HIT} WHEN 1 THEN p.sl WHEN 2 THEN p.tp ELSE b.close END", "xentry": "p.e", "xside": "p.side",
+        },
+    ),
+    "lastbar": "SELECT symbol, max(rn) AS n FROM bars GROUP BY 1",
+    "xs": """SELECT symbol, xside AS side, xrow AS entry_rn, rn AS exit_rn, xentry AS entry, xprice AS exit, code FROM walk WHERE code > 0
+  UNION ALL SELECT w.symbol, side, erow, w.rn, e, b.close, 4 FROM walk w JOIN lastbar l ON l.symbol = w.symbol AND l.n = w.rn JOIN bars b ON b.symbol = w.symbol AND b.rn = w.rn WHERE side <> 0 AND erow < w.rn""",
+}
+
+
+@query(
+    "non_overlapping_trades",
+    sql(
+        """SELECT symbol, CASE WHEN side = 1 THEN 'buy' ELSE 'sell' END AS type, CAST(entry_rn AS BIGINT) AS entry_rn, CAST(exit_rn AS BIGINT) AS exit_rn, entry, round(exit, 6) AS exit,
+['SL', 'TP', 'REVERSE', 'END'][CAST(code AS INTEGER)] AS exit_reason, round((exit - entry) * side, 6) AS pnl FROM xs""",
+        **WALK,
+    ),
+)
 def _(t: Tables):
     bars, sig = cross_signals(t)
     side = F.when(F.col("signal") == "buy", 1.0).otherwise(-1.0)
     s = sig.withColumns({"param_id": F.lit(1), "sl": F.col("close") - side * F.col("atr") * 1.5, "tp": F.col("close") + side * F.col("atr") * 3.0})
-    return rounded(L.non_overlapping_trades(s.select("symbol", "param_id", "rn", "signal", "close", "sl", "tp"), bars))
+    out = L.non_overlapping_trades(s.select("symbol", "param_id", "rn", "signal", "close", "sl", "tp"), bars)
+    return rounded(out.select("symbol", "type", "entry_rn", "exit_rn", "entry", "exit", "exit_reason", "pnl"))
 
 
 # --- sizing and exits ---------------------------------------------------------------------------------------------
