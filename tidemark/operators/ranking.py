@@ -22,7 +22,7 @@ def top_k_per(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k
     part = df.withColumn("__salt", salt)
     inner = Window.partitionBy(*by, "__salt").orderBy(*order)
     few = part.withColumn("__k", F.row_number().over(inner)).where(F.col("__k") <= k).drop("__salt", "__k")
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
 def last_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -21,7 +21,7 @@ def daily_open_positions(bars: DataFrame) -> DataFrame:
     days = Window.partitionBy("symbol").orderBy("time")  # one row per calendar day
     return first.select(
         "symbol",
-        F.row_number().over(days).alias("day_no"),
+        F.row_number().over(days).cast("long").alias("day_no"),
         "time",
         F.when(up, "buy").otherwise("sell").alias("type"),
         F.lit(1.0).alias("volume"),

@@ -72,7 +72,7 @@ def window_results(t: Tables):
     tr = t.trades()
     d = lambda c: c.cast("double")
     win, loss = d(F.sum(F.when(F.col("pnl") > 0, F.col("pnl")))), d(F.abs(F.sum(F.when(F.col("pnl") < 0, F.col("pnl")))))
-    r = tr.groupBy("symbol", F.col("regime").alias("param_id"), F.year("time").alias("window_id"), "exit_reason").agg(
+    r = tr.groupBy("symbol", F.col("regime").alias("param_id"), F.year("time").cast("long").alias("window_id"), "exit_reason").agg(
         win.alias("w"), loss.alias("l"), d(F.sum("pnl")).alias("ret"), d(F.max("pnl")).alias("dd"), (F.count_if(F.col("pnl") > 0) / F.count(F.lit(1))).alias("wr"), F.count(F.lit(1)).alias("n")
     )
     r = r.withColumn("pf", F.try_divide("w", "l"))

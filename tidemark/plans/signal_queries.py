@@ -103,7 +103,7 @@ def _(t: Tables):
 DEC = "CASE WHEN htf_ma IS NULL THEN 'soft' WHEN htf_close {o} htf_ma AND coalesce(htf_slope, 0) {o} 0 THEN 'allow' WHEN NOT htf_close {o} htf_ma AND NOT coalesce(htf_slope, 0) {o} 0 THEN 'block' ELSE 'soft' END"
 
 
-@query("htf_trend", sql(f"SELECT symbol, rn, {DEC.format(o='>=')} AS htf_buy, {DEC.format(o='<=')} AS htf_sell, CASE {DEC.format(o='>=')} WHEN 'allow' THEN 1.0 WHEN 'block' THEN 0.0 ELSE 0.5 END AS htf_buy_mult FROM hx", **HTF))
+@query("htf_trend", sql(f"SELECT symbol, rn, {DEC.format(o='>=')} AS htf_buy, {DEC.format(o='<=')} AS htf_sell, CAST(CASE {DEC.format(o='>=')} WHEN 'allow' THEN 1.0 WHEN 'block' THEN 0.0 ELSE 0.5 END AS DOUBLE) AS htf_buy_mult FROM hx", **HTF))
 def _(t: Tables):
     return S.htf_trend(with_htf(t, base(t))).select("symbol", "rn", "htf_buy", "htf_sell", "htf_buy_mult")
 
@@ -120,7 +120,7 @@ M15 = {
 }
 
 
-@query("mtf_signal", sql("SELECT symbol, rn, sg AS mtf_signal, CASE WHEN sg IS NOT NULL THEN CASE WHEN mx15 = h1x THEN 'crossover' ELSE 'pullback' END END AS mtf_type, CASE WHEN sg IS NULL THEN 0.0 WHEN mx15 = h1x THEN 1.0 ELSE 0.67 END AS mtf_confidence FROM mq", **M15))
+@query("mtf_signal", sql("SELECT symbol, rn, sg AS mtf_signal, CASE WHEN sg IS NOT NULL THEN CASE WHEN mx15 = h1x THEN 'crossover' ELSE 'pullback' END END AS mtf_type, CAST(CASE WHEN sg IS NULL THEN 0.0 WHEN mx15 = h1x THEN 1.0 ELSE 0.67 END AS DOUBLE) AS mtf_confidence FROM mq", **M15))
 def _(t: Tables):
     from tidemark.functions.times import month_of
     from tidemark.operators.chunks import index_rows
@@ -201,7 +201,7 @@ def _(t: Tables):
 
 @query(
     "confidence_bucket",
-    sql("SELECT symbol, rn, score >= 0.6 AS score_ok, round(CASE WHEN score >= 0.6 THEN CASE WHEN nw >= 0.7 THEN least(1.5, b * 1.1) WHEN nw <= 0.3 THEN b * 0.5 ELSE b END ELSE 0 END, 6) AS confidence_mult FROM (SELECT *, CASE WHEN score >= 0.85 THEN 1.0 WHEN score >= 0.6 THEN 0.85 ELSE 0.5 END AS b FROM esc)", **ESC),
+    sql("SELECT symbol, rn, score >= 0.6 AS score_ok, round(CASE WHEN score >= 0.6 THEN CASE WHEN nw >= 0.7 THEN least(1.5, b * 1.1) WHEN nw <= 0.3 THEN b * 0.5 ELSE b END ELSE 0 END, 6)::DOUBLE AS confidence_mult FROM (SELECT *, CASE WHEN score >= 0.85 THEN 1.0 WHEN score >= 0.6 THEN 0.85 ELSE 0.5 END AS b FROM esc)", **ESC),
 )
 def _(t: Tables):
     s = scored_entries(t).withColumn("news", F.when(F.col("signal") == "sell", 1 - F.col("news")).otherwise(F.col("news")))
@@ -266,9 +266,9 @@ def _(t: Tables):
 @query(
     "component_scores",
     sql(
-        f"""SELECT symbol, rn, CASE WHEN fast IS NULL OR slow IS NULL THEN 0.5 WHEN coalesce(pf <= ps AND fast > slow, false) THEN 1.0 WHEN fast > slow THEN 0.7 ELSE 0.3 END AS exec,
+        f"""SELECT symbol, rn, CASE WHEN fast IS NULL OR slow IS NULL THEN 0.5 WHEN coalesce(pf <= ps AND fast > slow, false) THEN 1.0 WHEN fast > slow THEN 0.7 ELSE 0.3 END::DOUBLE AS exec,
 round(least(1, tick_volume / avg(tick_volume) {frame(20)} / 1.2), 6) AS volume, round(least(1, coalesce(atr / avg(atr) {frame(20)}, 1) / 0.5), 6) AS volatility,
-round(greatest(0, least(1, 1 - spread / coalesce(atr, 0.001) / 0.3)), 6) AS spread_sc, 0.5 AS news, 0.5 AS ml, 1.0 AS tail_risk FROM ind""",
+round(greatest(0, least(1, 1 - spread / coalesce(atr, 0.001) / 0.3)), 6) AS spread_sc, 0.5::DOUBLE AS news, 0.5::DOUBLE AS ml, 1.0::DOUBLE AS tail_risk FROM ind""",
         **IND,
     ),
 )
@@ -323,7 +323,7 @@ def cross_signals(t: Tables):
     return b, settle(S.crossover(b).where(F.col("signal").isNotNull() & (F.col("atr") > 0)))
 
 
-@query("signal_outcome", sql("SELECT v.symbol, v.rn, v.signal, f.touch_rn, CASE WHEN f.rn IS NULL THEN 0.0 WHEN is_sl THEN -1.0 ELSE 2.0 END AS r FROM sv v LEFT JOIN ft f USING (symbol, rn)", **OUTCOME))
+@query("signal_outcome", sql("SELECT v.symbol, v.rn, v.signal, f.touch_rn, CAST(CASE WHEN f.rn IS NULL THEN 0.0 WHEN is_sl THEN -1.0 ELSE 2.0 END AS DOUBLE) AS r FROM sv v LEFT JOIN ft f USING (symbol, rn)", **OUTCOME))
 def _(t: Tables):
     bars, sig = cross_signals(t)
     return L.signal_outcome(sig, bars, 1.5, 2.0).select("symbol", "rn", "signal", "touch_rn", "r")

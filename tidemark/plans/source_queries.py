@@ -106,7 +106,7 @@ def _(t: Tables):
 def _(t: Tables):
     path = scratch_dir(t.spark, "report")
     P.write_report(simple_candidates(t), path, "ret", 3)
-    back = t.spark.read.schema("symbol string, n_all bigint, top array<struct<rank: int, regime: string, exit_reason: string, ret: double>>").json(path)
+    back = t.spark.read.schema("symbol string, n_all bigint, top array<struct<rank: bigint, regime: string, exit_reason: string, ret: double>>").json(path)
     return back.select("symbol", "n_all", F.explode("top").alias("b")).select("symbol", "n_all", "b.*")
 
 

@@ -214,7 +214,7 @@ def _(t: Tables):
     s = N.sequences(t.bars(), ["close", "tick_volume"])
     total = F.aggregate("sequence", F.lit(0.0), lambda acc, x: acc + x["close"])
     known = F.col("sequence").isNotNull()
-    return rounded(s.select("symbol", "rn", F.when(known, F.size("sequence")).alias("seq_len"), total.alias("seq_close_sum"), F.when(known, F.col("sequence")[0]["close"]).alias("seq_first")))
+    return rounded(s.select("symbol", "rn", F.when(known, F.size("sequence").cast("long")).alias("seq_len"), total.alias("seq_close_sum"), F.when(known, F.col("sequence")[0]["close"]).alias("seq_first")))
 
 
 @query(
