@@ -72,12 +72,17 @@ def rolling(
     ahead: int = 0,
     by: Sequence[str] = ("symbol",),
     rows: int | None = None,
+    keep_chunk: bool = False,
 ) -> DataFrame:
-    """Apply `build(df, window)` where no frame reaches further than `back` rows behind or `ahead` rows in front."""
+    """Apply `build(df, window)` where no frame reaches further than `back` rows behind or `ahead` rows in front.
+
+    ``keep_chunk`` leaves the chunk column in place, so that a scan can follow on the same partitioning.
+    """
     spread = F.explode(F.sequence(F.greatest(chunk_of(rows, -ahead), F.lit(0)), chunk_of(rows, back)))
     copies = df.withColumn("__own", chunk_of(rows)).withColumn("chunk", spread)
     out = build(copies, Window.partitionBy(*by, "chunk").orderBy("rn"))
-    return out.where(F.col("chunk") == F.col("__own")).drop("__own", "chunk")
+    out = out.where(F.col("chunk") == F.col("__own")).drop("__own")
+    return out if keep_chunk else out.drop("chunk")
 
 
 _COMBINE = {
@@ -145,7 +150,7 @@ def affine_scan(
     """Add ``y[t] = a[t] * y[t-1] + b[t]`` for every ``name: (a, b)``.
 
     A row with ``a = 0`` (re)starts the recursion at ``b``; ``b = null`` there keeps the output null until a later
-    seed row.
+    seed row. A `chunk` column left by ``rolling(keep_chunk=True)`` is used as it is, which saves a shuffle.
     """
     by = list(by)
     names = list(scans)
@@ -155,7 +160,8 @@ def affine_scan(
         known = a.isNotNull() & b.isNotNull()
         terms.append(F.when(known, a.cast("double")).otherwise(zero).alias(f"__a_{n}"))
         terms.append(F.when(known, b.cast("double")).otherwise(nothing).alias(f"__b_{n}"))
-    base = df.select("*", chunk_of(rows).alias("chunk"), *terms)
+    chunked = df if "chunk" in df.columns else df.withColumn("chunk", chunk_of(rows))
+    base = chunked.select("*", *terms, F.lit(False).alias("__last"))
     a_cols, b_cols = [f"__a_{n}" for n in names], [f"__b_{n}" for n in names]
 
     def local(table: pa.Table) -> pa.Table:
@@ -166,10 +172,12 @@ def affine_scan(
             for j, c in enumerate(cols):
                 at = table.schema.get_field_index(c)
                 table = table.set_column(at, pa.field(c, pa.float64()), pa.array(m[:, j]))
-        return table
+        last = np.zeros(len(a), dtype=bool)
+        last[-1:] = True
+        return table.set_column(table.schema.get_field_index("__last"), "__last", pa.array(last))
 
     maps = base.groupBy(*by, "chunk").applyInArrow(local, base.schema)
-    ends = maps.groupBy(*by, "chunk").agg(F.max_by(F.struct(*a_cols, *b_cols), "rn").alias("m")).select(*by, "chunk", "m.*")
+    ends = maps.where("__last").select(*by, "chunk", *a_cols, *b_cols)
 
     def fold(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
@@ -193,5 +201,5 @@ def affine_scan(
             F.col(f"__a_{n}") * F.col(f"__c_{n}") + F.col(f"__b_{n}")
         )
         results.append(F.when(~F.isnan(y), y).alias(n))
-    keep = [c for c in df.columns if c not in names]
+    keep = [c for c in df.columns if c not in names and c != "chunk"]
     return maps.join(carry, by + ["chunk"]).select(*keep, *results)

@@ -29,9 +29,9 @@ def scan_parts(df: DataFrame, parts: Sequence[Part], by: Sequence[str] = ("symbo
             d = d.withColumn(f"__pa_{name}", a).withColumn(f"__pb_{name}", b)
         return d
 
-    staged = rolling(df, build, back=max(p[1] for p in parts), ahead=max(p[2] for p in parts), by=by, rows=rows)
+    staged = rolling(df, build, back=max(p[1] for p in parts), ahead=max(p[2] for p in parts), by=by, rows=rows, keep_chunk=True)
     names = [p[0] for p in parts]
-    keep = [*df.columns, *[f"__pa_{n}" for n in names], *[f"__pb_{n}" for n in names]]
+    keep = [*df.columns, "chunk", *[f"__pa_{n}" for n in names], *[f"__pb_{n}" for n in names]]
     scanned = affine_scan(staged.select(*keep), {n: (F.col(f"__pa_{n}"), F.col(f"__pb_{n}")) for n in names}, by, rows)
     return scanned.select(*[c for c in df.columns if c not in names], *names)
 
