@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.local import session
 from tidemark.plans.views import Tables
@@ -36,5 +37,5 @@ def hot(spark):
             "high": close + spread, "low": close - spread, "close": close, "tick_volume": rng.integers(1, 50, n), "spread": 2.0,
         }))
     pdf = pd.concat(frames)
-    df = spark.createDataFrame(pdf).withColumn("time", __import__("pyspark.sql.functions", fromlist=["col"]).col("time").cast("timestamp_ntz"))
+    df = spark.createDataFrame(pdf).withColumn("time", F.col("time").cast("timestamp_ntz"))
     return pdf, settle(df)

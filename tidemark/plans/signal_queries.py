@@ -34,8 +34,8 @@ def with_adx(t: Tables):
 
 
 IND = Scan().kama("fast", 8).kama("slow", 24).atr_series("atr", 14).rsi("q", 14).adx_seeded(14).ctes("r")
-IND["ind"] = f"""SELECT * REPLACE (round(fast, 9) AS fast), coalesce(CASE WHEN q_l = 0 THEN 100 ELSE 100 - 100 / (1 + q_g / q_l) END, 50) AS rsi, sadx AS adx,
-  lag(fast) OVER w AS pf, lag(slow) OVER w AS ps, lag(close) OVER w AS pc FROM r_ind {W}""".replace("* REPLACE (round(fast, 9) AS fast)", "*")
+IND["ind"] = f"""SELECT *, coalesce(CASE WHEN q_l = 0 THEN 100 ELSE 100 - 100 / (1 + q_g / q_l) END, 50) AS rsi, sadx AS adx,
+  lag(fast) OVER w AS pf, lag(slow) OVER w AS ps, lag(close) OVER w AS pc FROM r_ind {W}"""
 CROSS = "CASE WHEN pf <= ps AND fast > slow THEN 'buy' WHEN pf >= ps AND fast < slow THEN 'sell' END"
 
 
