@@ -1,8 +1,10 @@
-"""Session settings and lineage cuts shared by every job."""
+"""Session settings, the shared folder, and lineage cuts used by every job."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,30 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin UTC and make sure a checkpoint folder exists.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``; Spark picks that up by itself. Only where the
-    setting is missing (local runs, tests) a fresh temporary folder is used.
+    A cluster names its shared folder in ``spark.checkpoint.dir``. Only a single-process master (``local``,
+    ``local[n]``) may go without: it gets a fresh temporary folder. Anywhere else a missing setting is an error,
+    because executors would not see each other's files.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     ctx = spark.sparkContext
     if not ctx.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tidemark-", dir="/tmp")
+        named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named:
+            if not re.fullmatch(r"local(\[.*\])?", ctx.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="tidemark-", dir="/tmp")
         ctx.setCheckpointDir(named)
     return spark
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the reliable checkpoint folder and go on from the written copy.
+    """Write `df` as Parquet below the shared folder and go on from the written copy.
 
     Used where a result feeds two branches of a later plan: it keeps the work linear in the number of stages and
-    lets a lost executor restart from files instead of from the raw scan.
+    lets a lost executor restart from files instead of from the raw scan. Later steps read only the columns they
+    need. The folder belongs to the application and goes with its checkpoint folder.
     """
-    prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_dir(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder (sinks and stream checkpoints of one run)."""
-    import uuid
-
+    """A new folder below the checkpoint folder (sinks, intermediate tables and stream checkpoints of one run)."""
     prepare(spark)
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
