@@ -57,13 +57,13 @@ def tile(item: np.ndarray, text: np.ndarray, free: np.ndarray, least: int = SEED
         if longest >= 2 * length:
             length = longest
             continue
-        # Longest first; of equal ones the first in the item, then in the text.
-        for n, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
+        # Only the longest are marked (of equal ones the first in the item, then in the text): a match that they cut is
+        # found again at its new length and takes its turn.
+        for n, i, j in sorted(m for m in found if m[0] == longest):
             if item_free[i : i + n].all() and text_free[j : j + n].all():
                 tiles.append((i, j, n))
                 item_free[i : i + n] = text_free[j : j + n] = False
-            # A match that a longer tile has cut is found again, at its new length, before the length falls.
-        if found and _matches(item, text, item_free, text_free, length):
+        if found:
             continue
         if length == least:
             return sorted(tiles)
