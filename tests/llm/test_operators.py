@@ -282,9 +282,7 @@ def _groups(items, linked):
     return [find(i) for i in range(len(items))]
 
 
-@pytest.mark.parametrize("small", [2, 16])
-def test_near_duplicate_groups(docs, empty, rows, small, monkeypatch):
-    monkeypatch.setattr(bag_minhash, "SMALL", small)
+def test_near_duplicate_groups(docs, empty, rows):
     out = bag_minhash.groups(docs).collect()
     assert len(out) == len(rows)
     items = sorted({(i, t or "") for i, t, *_ in rows if i is not None})

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -23,8 +23,11 @@ from tidemark.session import settle
 SHINGLE, SIMILAR = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 1.2e-5, one of 0.85 with 4e-8.
 BANDS, ROWS = 48, 7
-#: Buckets up to this many documents are compared in pairs; of larger ones, some documents at a time with all others.
-SMALL = 16
+#: Two bits of each component go along with a candidate, in so many 64-bit words.
+WORDS = -(-BANDS * ROWS // 32)
+#: Candidates whose bits agree in fewer components than a similar pair would, by this many standard deviations, are not
+#: verified: a pair at the threshold is lost with a probability of 3e-6.
+SIGMAS = 4.5
 
 
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,22 +116,37 @@ def signatures(h: np.ndarray, row: np.ndarray, weight: np.ndarray, texts: int, s
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (shingles), same (128-bit hash of the text), bands (array of band hashes, empty without words)."""
+    """doc_id, n (shingles), same (128-bit hash of the text), bands (array of band hashes, empty without words) and bits
+    (two bits of each component)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
             g, row = shingles(b["text"].to_pylist())
-            sig = signatures(*weights(g, row), b.num_rows).reshape(b.num_rows, BANDS, ROWS)
+            flat = signatures(*weights(g, row), b.num_rows)
+            sig = flat.reshape(b.num_rows, BANDS, ROWS)
+            two = np.zeros((b.num_rows, 32 * WORDS), np.uint64)
+            two[:, : flat.shape[1]] = flat >> np.uint64(62)
+            bits = (two.reshape(b.num_rows, WORDS, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(2, dtype=np.uint64)
             band = mix(np.full(sig.shape[:2], 1, np.uint64) * np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(32))
             for k in range(ROWS):
                 band = mix(band * BASE + sig[:, :, k])
             n = np.bincount(row, minlength=b.num_rows)
             bands = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32), band[n > 0].view(np.int64).ravel())
-            yield pa.record_batch({"doc_id": b["doc_id"], "n": pa.array(n, pa.int64()), "same": b["same"], "bands": bands})
+            yield pa.record_batch({"doc_id": b["doc_id"], "n": pa.array(n, pa.int64()), "same": b["same"], "bands": bands, "bits": pa.FixedSizeListArray.from_arrays(bits.view(np.int64).ravel(), WORDS).cast(pa.list_(pa.int64()))})
 
     same = F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), 1, 32))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("same", same)
-    return rows.mapInArrow(run, "doc_id long, n long, same binary, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, same binary, bands array<long>, bits array<long>")
+
+
+def _may_be_similar(x: str, y: str, similar: float) -> Column:
+    """Shingle counts and signature bits allow the similarity. A component that differs has equal bits in one of four cases."""
+    count = F.least(f"{x}.n", f"{y}.n") >= F.lit(similar) * F.greatest(f"{x}.n", f"{y}.n")
+    turned = [F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}")) for i in range(WORDS)]
+    low = F.lit(0x5555555555555555)
+    differ = sum((F.bit_count(t.bitwiseOR(F.shiftrightunsigned(t, 1)).bitwiseAND(low)) for t in turned), F.lit(0))
+    size, share = BANDS * ROWS, 0.75 * (1 - similar)
+    return count & (differ <= F.lit(size * share + SIGMAS * (size * share * (1 - share)) ** 0.5))
 
 
 def _bags(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -178,43 +196,37 @@ def groups(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", te
     if the texts are equal, and a null id is grouped by its text alone. Other columns are not read.
 
     Equal texts are settled first and one of each goes on. In every bucket of a band the first document is compared
-    with all others (a star, not pairs), links give components, and only documents of different components stay:
-    in small buckets each with each, in large ones against a share of them per round, until none is left uncompared.
+    with all others (a star, not pairs) and the links give components. Then documents of one bucket but of different
+    components are compared; the join that brings them together drops those whose counts and signature bits rule the
+    similarity out, and the rest is verified on the multisets.
     """
     drawn = settle(sketch(docs, id_col, text_col))
-    equal = drawn.groupBy("same").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
-    equal = settle(equal)
+    equal = settle(drawn.groupBy("same").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")))
     heads = equal.where("head is not null").select(F.col("head").alias("doc_id"), "same")
     firsts = drawn.where(F.size("bands") > 0).join(heads, ["doc_id", "same"], "left_semi")
-    keyed = firsts.select("doc_id", "n", F.explode("bands").alias("key")).select("key", F.col("doc_id").alias("id"), "n")
+    keyed = firsts.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     # Only keys with two documents matter; the rows of a key meet in a join that can be split.
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("center")).where("rows > 1")
-    members = settle(keyed.join(shared, "key").select("key", "id", "n", "rows", "center"))
-    involved = members.select("id").distinct()
-    bags = settle(_bags(docs.join(involved.withColumnRenamed("id", id_col), id_col, "left_semi"), id_col, text_col).dropDuplicates(["id"]))
-
-    size_of = lambda x, y: F.least(x, y) >= similar * F.greatest(x, y)  # noqa: E731  shingle counts bound the similarity
-    sizes = members.select(F.col("id").alias("center"), F.col("n").alias("center_n")).distinct()
-    star = members.where("id <> center").select("id", "n", "center").distinct().join(sizes, "center").where(size_of(F.col("n"), F.col("center_n")))
-    seen = settle(star.select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct())
-    links = settle(_verify(seen, bags, similar))
-    left, round_ = members.where("id <> center").select("key", "id", "n"), 0
-    while True:
-        comp = settle(components(links))
-        named = left.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = named.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        left = settle(named.join(open_.select("key", "rows"), "key"))
-        if left.isEmpty():
-            break
-        round_ += 1
-        pick = (F.col("rows") <= SMALL) | (F.pmod(F.xxhash64("key", "id", F.lit(round_)), F.col("rows")) < SMALL)
-        some = left.where(pick).select("key", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-        pairs = some.join(left, "key").where((F.col("pc") != F.col("comp")) & size_of(F.col("n"), F.col("pn")))
-        fresh = pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-        fresh = settle(fresh)
-        links = settle(links.unionByName(_verify(fresh, bags, similar)))
-        seen = seen.unionByName(fresh)
-        left = left.where(~pick).select("key", "id", "n")
+    members = settle(keyed.join(shared, "key").select("key", "id", "center"))
+    facts = drawn.select(F.col("doc_id").alias("id"), "n", *[F.col("bits")[i].alias(f"b{i}") for i in range(WORDS)])
+    facts = settle(facts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    bags = settle(_bags(docs.join(facts.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text_col).dropDuplicates(["id"]))
+
+    star = members.where("id <> center").select("id", "center").distinct()
+    x, y = facts.alias("x"), facts.alias("y")
+    near = star.join(x, F.col("center") == F.col("x.id")).join(y, star["id"] == F.col("y.id")).where(_may_be_similar("x", "y", similar))
+    links = settle(_verify(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), bags, similar))
+    comp = settle(components(links))
+    # Buckets that hold one component are done; the others keep all documents but the center, which has met them all.
+    named = members.where("id <> center").select("key", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    left = named.join(mixed, "key").join(facts, "id")
+    x, y = left.alias("x"), left.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _may_be_similar("x", "y", similar))
+    fresh = settle(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    more = settle(_verify(fresh, bags, similar))
+    if not more.isEmpty():
+        comp = settle(components(links.unionByName(more)))
 
     named = equal.join(comp.select(F.col("id").alias("head"), "comp"), "head", "left").select("same", "copies", F.coalesce("comp", "head").alias("group_id"))
     return drawn.select("doc_id", "same").join(named, "same").select("doc_id", "group_id", "copies")
