@@ -21,18 +21,18 @@ SIMILAR = 0.8
 RARITY_SLOTS = 1 << 17
 #: Sets that share a word in larger groups than this are first compared with the earliest of the group.
 GROUP = 256
-#: Flags by hash that spare most documents the shuffle when the words of candidate lines are fetched.
-FLAG_SLOTS = 1 << 16
+#: Flags by hash that spare most lines the shuffle when the words of candidate lines are fetched.
+FLAG_SLOTS = 1 << 18
 
 
 def _words(line: Column) -> Column:
     """Hashes of the words of a line: runs between white space, in lower case."""
-    return F.transform(F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.transform(F.array_remove(F.split(F.lower(line), r"\s+"), ""), lambda w: F.xxhash64(w))
 
 
-def _byte(table: bytes, slot: Column) -> Column:
-    """Entry of a table of numbers below 128."""
-    return F.ascii(F.substr(F.lit(table), (slot + 1).cast("int"), F.lit(1)).cast("string"))
+def _entry(table: bytes, slot: Column) -> Column:
+    """Entry of a table of small numbers, written as text that the optimizer turns into one constant array."""
+    return F.get(F.split(F.lit(" ".join(map(str, table))), " ").cast("array<int>"), slot.cast("int"))
 
 
 def rarity(docs: DataFrame) -> bytes:
@@ -47,7 +47,7 @@ def rarity(docs: DataFrame) -> bytes:
 
 def _sets(lines: DataFrame, table: bytes, similar: float) -> DataFrame:
     """Add n, same (hash of the set), bits, prefix to rows with a `line`; lines without a word are left out."""
-    ranked = F.transform(F.array_distinct(_words(F.col("line"))), lambda h: F.shiftleft(_byte(table, F.pmod(h, F.lit(RARITY_SLOTS))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    ranked = F.transform(F.array_distinct(_words(F.col("line"))), lambda h: F.shiftleft(_entry(table, F.pmod(h, F.lit(RARITY_SLOTS))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
     out = lines.withColumn("set", F.array_sort(ranked)).drop("line").where(F.size("set") > 0)
     bits = F.aggregate("set", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
     keep = (F.size("set") - F.ceil(F.size("set") * F.lit(similar) - 1e-9) + 1).cast("int")
@@ -82,11 +82,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
     """The pairs whose sets of words are similar enough."""
     pairs = settle(pairs.distinct())
     ends = pairs.select(F.col("x_doc").alias("doc"), F.col("x_no").alias("no")).unionByName(pairs.select(F.col("y_doc").alias("doc"), F.col("y_no").alias("no"))).distinct()
-    slot = F.pmod(F.xxhash64("doc"), F.lit(FLAG_SLOTS))
+    slot = F.pmod(F.xxhash64("doc", "no"), F.lit(FLAG_SLOTS))
     flags = bytearray(FLAG_SLOTS)
     for (s,) in ends.select(slot.alias("s")).distinct().collect():  # at most FLAG_SLOTS rows
         flags[s] = 1
-    lines = _lines(docs.where(_byte(bytes(flags), slot) == 1))
+    lines = _lines(docs).where(_entry(bytes(flags), slot) == 1)
     sets = settle(lines.join(ends, ["doc", "no"], "left_semi").select("doc", "no", F.array_distinct(_words(F.col("line"))).alias("set")))
     x = sets.select(F.col("doc").alias("x_doc"), F.col("no").alias("x_no"), F.col("set").alias("x_set"))
     y = sets.select(F.col("doc").alias("y_doc"), F.col("no").alias("y_no"), F.col("set").alias("y_set"))
@@ -107,8 +107,14 @@ def repeated_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc
     first = F.min(F.struct("doc", "no")).alias("first")
     # n, bits and prefix are the same in all lines of a class.
     classes = lines.groupBy("same").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    # Before the shuffle, word and place are one number, line number and size another: rows of five words, not seven.
+    low_bits = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
+    pair = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long"))
     rows_of = classes.select(F.posexplode("prefix").alias("at", "word"), F.col("first.doc").alias("doc"), F.col("first.no").alias("no"), "n", "bits")
-    met = rows_of.repartition("word")
+    packed = rows_of.select(pair("word", "at").alias("word_at"), "doc", pair("no", "n").alias("no_n"), "bits")
+    met = packed.repartition(F.shiftright("word_at", 32)).select(
+        F.shiftright("word_at", 32).alias("word"), low_bits("word_at").alias("at"), "doc", F.shiftright("no_n", 32).cast("int").alias("no"), low_bits("no_n").alias("n"), "bits"
+    )
     group = Window.partitionBy("word")
     met = met.withColumn("rows", F.count(F.lit(1)).over(group)).withColumn("head", F.min(F.struct("doc", "no", "n", "bits", "at")).over(group)).where("rows > 1")
     near = met.where(F.col("rows") <= GROUP).drop("head")
