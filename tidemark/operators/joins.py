@@ -11,14 +11,6 @@ from tidemark.functions.times import floor_time, second_of_day
 from tidemark.operators.chunks import index_rows, running
 from tidemark.session import settle
 
-BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting that at most `limit` rows exist; otherwise a shuffle join is planned."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -176,7 +168,6 @@ def match_keywords(docs: DataFrame, keywords: DataFrame, text: str = "text") ->
     only test the articles that contain their first word.
     """
     kw = keywords.select(F.lower("keyword").alias("keyword"), "symbol").withColumn("head", F.regexp_extract("keyword", WORD + "+", 0))
-    kw = broadcast_if_small(kw, 100_000)
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD + "+"), F.lit(0)))
     heads = docs.select("article_id", F.explode(tokens).alias("head")).join(kw, "head")
     whole = heads.where(F.col("keyword") == F.col("head")).select("article_id", "symbol")
@@ -188,7 +179,8 @@ def match_keywords(docs: DataFrame, keywords: DataFrame, text: str = "text") ->
 
 def match_entities(articles: DataFrame, mapping: DataFrame) -> DataFrame:
     """(article, symbol, mean score) by entity code equal to or ending in the mapped code; articles without such a hit
-    fall back to the code inside the headline, scored with the article's overall score.
+    fall back to the code, or the name of the source, inside the headline, scored with the article's overall score. A
+    source that is named there stands for every mapped symbol; an empty source stands for none.
 
     Ends-with becomes an equality on the entity's suffixes, contains an equality on the code's first two characters
     followed by a filter.
@@ -204,25 +196,32 @@ def match_entities(articles: DataFrame, mapping: DataFrame) -> DataFrame:
     )
     headline = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
     scored = articles.where(F.col("score").isNotNull()).select("article_id", headline.alias("headline"), "score")
-    at = F.sequence(F.lit(1), F.length("headline"))
-    single = F.transform(at, lambda i: F.substr(F.col("headline"), i, F.lit(1)))
-    double = F.transform(at, lambda i: F.substr(F.col("headline"), i, F.lit(2)))
-    grams = F.array_distinct(F.concat(single, double))
+    chars = F.col("chars")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.concat(F.get(chars, i - 1), F.coalesce(F.get(chars, i), F.lit(""))))
+    split = scored.where(F.length("headline") > 0).withColumn("chars", F.split("headline", ""))
+    grams = F.array_distinct(F.concat(chars, pairs))
     lower = code.select("symbol", F.lower("code").alias("lcode"), F.lower(F.substring("code", 1, 2)).alias("gram"))
-    named = scored.where(F.length("headline") > 0).withColumn("gram", F.explode(grams)).join(broadcast_if_small(lower, 100_000), "gram")
+    named = split.withColumn("gram", F.explode(grams)).drop("chars").join(lower, "gram")
     named = named.where(F.contains(F.col("headline"), F.col("lcode"))).select("article_id", "symbol", "score").distinct()
+    if "source" in articles.columns:
+        whole = articles.where(F.col("score").isNotNull() & (F.length("source") > 0)).where(F.contains(headline, F.lower("source"))).select("article_id", "score")
+        codes = code.agg(F.collect_set("symbol").alias("symbols"))  # one row, as long as the mapping
+        by_source = whole.crossJoin(F.broadcast(codes)).select("article_id", F.explode("symbols").alias("symbol"), "score")
+        named = named.unionByName(by_source).distinct()
     fallback = named.join(direct.select("article_id", "symbol"), ["article_id", "symbol"], "left_anti")
     return direct.unionByName(fallback)
 
 
-def bars_since_entry(positions: DataFrame, bars: DataFrame, max_hold_hours: int = 72) -> DataFrame:
-    """Bars of each position from its entry bar until `max_hold_hours` later.
+def bars_since_entry(positions: DataFrame, bars: DataFrame) -> DataFrame:
+    """Bars of each position from the last one before its entry to the end of the series.
 
     Positions are spread over the days they touch, so the range join is an equality on (symbol, day) plus a filter.
     """
-    until = F.col("time") + F.expr(f"INTERVAL {max_hold_hours} HOURS")
-    days = F.explode(F.sequence(F.to_date("time"), F.to_date(until)))
-    p = positions.withColumn("day", days).withColumnRenamed("time", "entry_time")
+    ends = bars.groupBy("symbol").agg(F.max("time").alias("__end"))
+    before = bars.select("symbol", F.col("time").alias("__start"))
+    # Strictly before: the newest bar up to the instant ahead of the entry.
+    p = asof_join(positions.withColumn("__ahead", F.col("time") - F.expr("INTERVAL 1 MICROSECOND")), before, ["__start"], on="__ahead", right_on="__start")
+    p = p.drop("__ahead").withColumn("__start", F.coalesce("__start", "time")).join(ends, "symbol").where(F.col("__end") >= F.col("__start"))
+    p = p.withColumn("day", F.explode(F.sequence(F.to_date("__start"), F.to_date("__end")))).withColumnRenamed("time", "entry_time")
     b = bars.select("symbol", F.to_date("time").alias("day"), F.col("time").alias("bar_time"), "high", "low", "close")
-    end = F.col("entry_time") + F.expr(f"INTERVAL {max_hold_hours} HOURS")
-    return p.join(b, ["symbol", "day"]).where((F.col("bar_time") >= F.col("entry_time")) & (F.col("bar_time") <= end)).drop("day")
+    return p.join(b, ["symbol", "day"]).where(F.col("bar_time") >= F.col("__start")).drop("day", "__start", "__end")

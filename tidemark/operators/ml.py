@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.chunks import index_rows
 from tidemark.operators.ranking import top_k_per
 from tidemark.operators.stats import binary_metrics
+from tidemark.session import settle
 
 SMALL = {"trees": 10, "depth": 3, "rate": 0.1, "seed": 42}
 
@@ -42,15 +43,20 @@ def purged_splits(df: DataFrame, n: int = 5, gap: int = 12, by: Sequence[str] =
 
 
 def with_calibration_tail(fold: DataFrame, pos: str = "rn") -> DataFrame:
-    """Move the newest tenth (50 to 200 rows) of a fold's training rows to the role "calib"."""
-    train = F.col("role") == "train"
-    edge = fold.agg(F.count_if(train).alias("__k"))
+    """Move the newest tenth (50 to 200 rows) of a fold's training rows to the role "calib".
+
+    Where the training part is not larger than that, the older half of a test part of at least 100 rows is taken; where
+    that is too small as well, nothing is.
+    """
+    train, test = F.col("role") == "train", F.col("role") == "test"
+    edge = fold.agg(F.count_if(train).alias("__k"), F.count_if(test).alias("__m"), F.min(F.when(test, F.col(pos))).alias("__from"))
     d = fold.crossJoin(F.broadcast(edge))
     n_cal = F.least(F.greatest(F.floor(F.col("__k") / 10), F.lit(50)), F.lit(200))
     tail = top_k_per(fold.where(train).withColumn("__g", F.lit(1)), ["__g"], [F.desc(pos)], 200).select(pos, "rank")
     d = d.join(tail, pos, "left")
     take = train & F.col("rank").isNotNull() & (F.col("rank") <= n_cal) & (n_cal < F.col("__k"))
-    return d.withColumn("role", F.when(take, "calib").otherwise(F.col("role"))).drop("__k", "rank")
+    borrow = test & (n_cal >= F.col("__k")) & (F.col("__m") >= 100) & (F.col(pos) < F.col("__from") + F.floor(F.col("__m") / 2))
+    return d.withColumn("role", F.when(take | borrow, "calib").otherwise(F.col("role"))).drop("__k", "__m", "__from", "rank")
 
 
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -159,7 +165,7 @@ def train_meta(pred: DataFrame, features: Sequence[str], pos: str = "pos", p: Ma
     """Second model for "was the primary right", chronological 80 / 20; returns it with its test predictions."""
     d = pred.withColumn("meta", F.when((F.col("prob") >= 0.5) == (F.col("label") == 1), 1).otherwise(0)).withColumn("__primary", F.col("label")).drop("label")
     d = d.withColumnRenamed("meta", "label")
-    r = d.agg(F.min("label").alias("a"), F.max("label").alias("b"), F.percentile_approx(pos, 0.8, 10_000).alias("cut")).first()
+    r = d.agg(F.min("label").alias("a"), F.max("label").alias("b"), F.floor(F.max(pos) * 0.8).alias("cut")).first()  # positions are 1..n
     if r["a"] == r["b"]:
         return None, d.limit(0).withColumn("meta_prob", F.lit(None).cast("double"))
     model = train_ensemble(d.where(F.col(pos) <= r["cut"]), features, p=p)
@@ -269,13 +275,18 @@ def tune(df: DataFrame, features: Sequence[str], grid: Sequence[Mapping], folds:
     return out.groupBy("grid_id").agg(F.avg("log_loss").alias("log_loss"), F.count(F.lit(1)).alias("folds")).orderBy("log_loss", "grid_id")
 
 
-def retrain(df: DataFrame, drifted: DataFrame, features: Sequence[str], recent: int = 500, p: Mapping = SMALL) -> DataFrame:
-    """Refit on the newest rows of the symbols a drift check flagged; returns one line per refitted symbol."""
+def retrain(df: DataFrame, drifted: DataFrame, features: Sequence[str], recent: int = 500, holdout: float = 0.2, p: Mapping = SMALL) -> DataFrame:
+    """Refit on the newest `recent` rows of the symbols a drift check flagged; one line per refitted symbol.
+
+    The accuracy is that on the newest `holdout` share of these rows, which the model has not seen.
+    """
     names = [r["symbol"] for r in drifted.where("drift").select("symbol").distinct().orderBy("symbol").collect()]  # symbols to refit
     out = df.sparkSession.createDataFrame([], "symbol string, n_rows long, accuracy double")
     for s in names:
-        rows = top_k_per(df.where(F.col("symbol") == s), ["symbol"], [F.desc("rn")], recent).drop("rank").cache()
-        model = train_ensemble(rows, features, p=p)
-        fit = model.probabilities(rows).agg(F.lit(s).alias("symbol"), F.count(F.lit(1)).alias("n_rows"), F.avg(F.when((F.col("prob") >= 0.5) == (F.col("label") == 1), 1.0).otherwise(0.0)).alias("accuracy"))
+        rows = top_k_per(df.where(F.col("symbol") == s), ["symbol"], [F.desc("rn")], recent)
+        rows = settle(rows)
+        held = int(rows.count() * holdout)
+        model = train_ensemble(rows.where(F.col("rank") > held), features, p=p)
+        fit = model.probabilities(rows.where(F.col("rank") <= held)).agg(F.lit(s).alias("symbol"), F.count(F.lit(1)).alias("n_rows"), F.avg(F.when((F.col("prob") >= 0.5) == (F.col("label") == 1), 1.0).otherwise(0.0)).alias("accuracy"))
         out = out.unionByName(fit)
     return out

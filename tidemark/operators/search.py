@@ -11,7 +11,7 @@ from tidemark.functions.numbers import TINY, correlation, mix
 from tidemark.operators import indicators as I
 from tidemark.operators.chunks import index_rows, rolling, running
 from tidemark.operators.labels import non_overlapping_trades
-from tidemark.operators.orderstats import quantiles, with_average_rank
+from tidemark.operators.orderstats import average_rank, quantiles, rank_table, with_average_rank
 from tidemark.operators.ranking import top_k_per
 from tidemark.operators.signals import cross_expr
 from tidemark.operators.trades import profit_factor
@@ -314,40 +314,43 @@ def weight_sets(spark, components: Sequence[str], n: int, baseline: Mapping[str,
     return draws.unionByName(fixed)
 
 
-def weight_search(scored: DataFrame, weights: DataFrame, components: Sequence[str], fwd: str = "fwd_24", sample: int = 10_000, seed: int = 42) -> DataFrame:
-    """IC, quartile win rates and quartile spread of every weight set over a reproducible sample of scored rows.
+def weight_search(scored: DataFrame, weights: DataFrame, components: Sequence[str], fwd: str = "fwd_24", batch: int = 64) -> DataFrame:
+    """IC, quartile win rates and quartile spread of every weight set over all scored rows.
 
-    The sample bounds the rows per weight set, so each set's ranks are one group of at most `sample` rows.
+    Sets go through the rows `batch` at a time, so sets x rows is never held at once; ranks of one set are cut into
+    value ranges, so no task sorts a whole set.
     """
     known = scored.where(F.col(fwd).isNotNull())
-    rows = known.orderBy(F.xxhash64("symbol", "time", F.lit(seed)), "symbol", "time").limit(sample)
-    ranked = settle(with_average_rank(rows.select("symbol", "time", *components, fwd), [], fwd, "__ry"))
+    ranked = settle(with_average_rank(known.select("symbol", "time", *components, fwd), [], fwd, "__ry"))
     w = weights.select("weight_id", "label", *[F.col(c).alias(f"w_{c}") for c in components])
     packed = w.select("weight_id", F.array(*[f"w_{c}" for c in components]).alias("w"))
-    comp = ranked.crossJoin(F.broadcast(packed)).select(  # the weight table has a fixed number of rows
+    rounds = max(1, -(-packed.count() // batch))
+    out = None
+    for i in range(rounds):
+        part = settle(_weighted(ranked, packed.where(F.pmod("weight_id", F.lit(rounds)) == i), components, fwd))
+        out = part if out is None else out.unionByName(part)
+    return combined_score(out.join(weights, "weight_id"))
+
+
+def _weighted(ranked: DataFrame, packed: DataFrame, components: Sequence[str], fwd: str) -> DataFrame:
+    """Statistics of one batch of weight sets."""
+    comp = ranked.crossJoin(F.broadcast(packed)).select(  # a batch has a bounded number of sets
         "weight_id", "symbol", "time", fwd, "__ry", F.round(sum((F.col(c) * F.col("w")[i] for i, c in enumerate(components)), F.lit(0.0)), 12).alias("composite")
     )
-    order = Window.partitionBy("weight_id").orderBy("composite")
-    ties = Window.partitionBy("weight_id", "composite")
-    whole = Window.partitionBy("weight_id")
-    r = comp.withColumns({
-        "__rx": F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0,
-        "__first": F.row_number().over(Window.partitionBy("weight_id").orderBy("composite", "time", "symbol")),
-        "__n": F.count(F.lit(1)).over(whole),
-    })
-    at = lambda p: 1 + (F.col("__n") - 1) * p
-    edge = lambda p: F.max(F.when(F.col("__first") == F.floor(at(p)), F.col("composite"))).over(whole) * (1 - (at(p) - F.floor(at(p)))) + F.max(
-        F.when(F.col("__first") == F.ceil(at(p)), F.col("composite"))
-    ).over(whole) * (at(p) - F.floor(at(p)))
-    r = r.withColumns({"__hi": edge(0.75), "__lo": edge(0.25)})
+    comp = settle(comp)
+    ranks = rank_table(comp, ["weight_id"], "composite")
+    edges = quantiles(comp, ["weight_id"], "composite", {"__hi": 0.75, "__lo": 0.25})
+    ties = Window.partitionBy("weight_id", "composite").orderBy("time", "symbol")
+    r = comp.join(ranks, ["weight_id", "composite"]).join(edges, "weight_id")
+    r = r.withColumns({"__rx": average_rank(), "__first": F.col("below") + F.row_number().over(ties)})
+    at = lambda p: 1 + (F.col("total") - 1) * p
     win = F.when(F.col(fwd) > 0, 1.0).otherwise(0.0)
-    g = r.groupBy("weight_id").agg(
+    return r.groupBy("weight_id").agg(
         F.round(F.coalesce(correlation("__rx", "__ry"), F.lit(0.0)), 4).alias("IC"),
         F.round(F.avg(F.when(F.col("composite") >= F.col("__hi"), win)), 4).alias("top_win_rate"),
         F.round(F.avg(F.when(F.col("composite") <= F.col("__lo"), win)), 4).alias("bot_win_rate"),
         F.round(F.avg(F.when(F.col("__first") > at(0.75), F.col(fwd))) - F.avg(F.when(F.col("__first") <= at(0.25), F.col(fwd))), 6).alias("spread_q4_q1"),
     )
-    return combined_score(g.join(weights, "weight_id"))
 
 
 def combined_score(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:

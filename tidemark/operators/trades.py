@@ -198,11 +198,12 @@ CLOSING = ("CLOSE", "SCALE_OUT", "CHANDELIER", "MR_NAKED_CLOSE", "MANUAL_CLOSE")
 
 
 def ticket_r(journal: DataFrame, meta: DataFrame) -> DataFrame:
-    """Outcome of every closed ticket: total pnl of its rows over its initial risk; raw pnl where the risk is unknown."""
+    """Outcome of every closed ticket: total pnl of its rows (0 where none has one) over the risk of
+    its last opening row; raw pnl where the risk is unknown."""
     is_open = F.col("event") == "OPEN"
-    first_open = F.min(F.when(is_open, F.struct("entry_time", "symbol", "volume", "entry_price", "sl")))
+    last_open = F.max(F.when(is_open, F.struct("entry_time", "symbol", "volume", "entry_price", "sl")))
     t = journal.groupBy("ticket").agg(
-        first_open.alias("o"), F.sum("pnl").alias("pnl"), F.bool_or(F.col("event").isin(*CLOSING)).alias("closed")
+        last_open.alias("o"), F.coalesce(F.sum("pnl"), F.lit(0)).alias("pnl"), F.bool_or(F.col("event").isin(*CLOSING)).alias("closed")
     ).where("closed")
     t = t.select("ticket", "pnl", F.col("o.symbol").alias("symbol"), F.col("o.entry_time").alias("entry_time"), "o")
     m = meta.select("symbol", "tick_size", "tick_value")

@@ -159,7 +159,7 @@ CODES = [("EN_IDX", "EN"), ("FR_IDX", "FR"), ("EST_IDX", "EST")]
     "match_entities",
     sql(
         """SELECT article_id, symbol, round(score, 6) AS score FROM (
-SELECT * FROM direct UNION ALL SELECT DISTINCT 'a' || a.article_id, c.symbol, a.score FROM articles a JOIN codes c ON contains(lower(substr(a.text, 1, 80) || ' '), lower(c.code))
+SELECT * FROM direct UNION ALL SELECT DISTINCT 'a' || a.article_id, c.symbol, a.score FROM articles a JOIN codes c ON (contains(lower(a.text || ' '), lower(c.code)) OR (a.source <> '' AND contains(lower(a.text || ' '), lower(a.source))))
 WHERE a.score IS NOT NULL AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.article_id = 'a' || a.article_id AND d.symbol = c.symbol))""",
         ents=_ENTS,
         codes="SELECT * FROM (VALUES " + ", ".join(f"('{a}','{b}')" for a, b in CODES) + ") t(symbol, code)",
@@ -179,7 +179,7 @@ def _(t: Tables):
 
 @query(
     "bars_since_entry",
-    sql("SELECT p.symbol, p.day_no, b.time AS bar_time, b.high, b.low, b.close FROM positions p JOIN bars b ON b.symbol = p.symbol AND b.time >= p.time AND b.time <= p.time + INTERVAL 72 HOURS"),
+    sql("SELECT p.symbol, p.day_no, b.time AS bar_time, b.high, b.low, b.close FROM positions p JOIN bars b ON b.symbol = p.symbol AND b.time >= coalesce((SELECT max(x.time) FROM bars x WHERE x.symbol = p.symbol AND x.time < p.time), p.time)"),
 )
 def _(t: Tables):
     return J.bars_since_entry(t.positions(), t.bars_h1()).select("symbol", "day_no", "bar_time", "high", "low", "close")

@@ -26,6 +26,13 @@ def training_rows(t: Tables):
     return settle(b.select("symbol", "time", "rn", *FEATURES, F.when(F.col("label") == 1, 1).otherwise(0).alias("label"), "r_multiple"))
 
 
+def between(rows, start: float, end: float, gap: int = 0, pos: str = "rn"):
+    """Rows of each symbol whose position lies between two shares of its last one, without the first `gap` rows."""
+    size = rows.groupBy("symbol").agg(F.max(pos).alias("__n"))
+    n = F.col("__n")
+    return rows.join(size, "symbol").where((F.col(pos) > F.floor(n * start) + gap) & (F.col(pos) <= F.floor(n * end))).drop("__n")
+
+
 @query(
     "purged_splits",
     sql(
@@ -102,7 +109,7 @@ def _(t: Tables):
 @query("train_ensemble")
 def _(t: Tables):
     rows = training_rows(t)
-    return rounded(M.train_ensemble(rows.where(F.col("rn") <= 500), FEATURES, p=TINY).probabilities(rows.where(F.col("rn") > 520)).select("symbol", "rn", "label", "prob"))
+    return rounded(M.train_ensemble(between(rows, 0, 0.75), FEATURES, p=TINY).probabilities(between(rows, 0.75, 1, 20)).select("symbol", "rn", "label", "prob"))
 
 
 @query("train_fold_calibrated")
@@ -115,7 +122,7 @@ def _(t: Tables):
 @query("train_regressor")
 def _(t: Tables):
     rows = training_rows(t)
-    pred = M.train_regressor(rows.where(F.col("rn") <= 500), rows.where(F.col("rn") > 520), FEATURES, p=TINY)
+    pred = M.train_regressor(between(rows, 0, 0.75), between(rows, 0.75, 1, 20), FEATURES, p=TINY)
     return rounded(pred.groupBy("symbol").agg(F.avg(F.abs(F.col("expected_r") - F.col("r_multiple"))).alias("mae"), F.count(F.lit(1)).alias("n")))
 
 
@@ -123,15 +130,15 @@ def _(t: Tables):
 def _(t: Tables):
     """Isotonic calibration on a holdout: mean calibrated probability and hit rate per tenth."""
     rows = training_rows(t)
-    m = M.train_ensemble(rows.where(F.col("rn") <= 400), FEATURES, p=TINY)
-    c = M.calibrate(m, rows.where((F.col("rn") > 400) & (F.col("rn") <= 550))).probabilities(rows.where(F.col("rn") > 570))
+    m = M.train_ensemble(between(rows, 0, 0.6), FEATURES, p=TINY)
+    c = M.calibrate(m, between(rows, 0.6, 0.82)).probabilities(between(rows, 0.82, 1, 20))
     return rounded(c.groupBy(F.floor(F.col("prob") * 10).alias("tenth")).agg(F.avg("prob").alias("prob"), F.avg("label").alias("hit_rate"), F.count(F.lit(1)).alias("n")))
 
 
 @query("meta_labeler")
 def _(t: Tables):
     rows = settle(M.number_rows(training_rows(t).withColumnRenamed("rn", "bar")))
-    m = M.train_ensemble(rows.where(F.col("bar") <= 300), FEATURES, p=TINY)
+    m = M.train_ensemble(between(rows, 0, 0.45, pos="bar"), FEATURES, p=TINY)
     return rounded(M.train_meta(m.probabilities(rows), FEATURES, p=TINY)[1].select("symbol", "pos", "label", "meta_prob"))
 
 
@@ -143,7 +150,7 @@ def _(t: Tables):
 
 @query("symbol_training_runs")
 def _(t: Tables):
-    return rounded(M.train_symbols(training_rows(t), FEATURES, ["click", "view"], folds=2, p=TINY))
+    return rounded(M.train_symbols(training_rows(t), FEATURES, sorted(r["event_type"] for r in t.read("events").select("event_type").distinct().collect()), folds=2, p=TINY))
 
 
 @query("hyper_parameter_search")

@@ -421,7 +421,7 @@ def _(t: Tables):
     sql(
         """SELECT symbol, day_no, bar_time, round(stop, 6) AS stop, CASE WHEN type = 'buy' THEN low <= stop ELSE high >= stop END AS breached FROM (SELECT *, CASE WHEN type = 'buy' THEN greatest(max(raw) OVER pw, sl) ELSE least(min(raw) OVER pw, sl) END AS stop FROM (
 SELECT *, CASE WHEN type = 'buy' THEN max(high) OVER pw - atr * m ELSE min(low) OVER pw + atr * m END AS raw FROM (SELECT p.*, b.time AS bar_time, b.high, b.low, b.atr, CASE WHEN (b.close - price_open) * CASE WHEN type = 'buy' THEN 1 ELSE -1 END / greatest(abs(price_open - sl), 1e-10) >= 3 THEN 1.5 ELSE 3.5 END AS m
-FROM positions p JOIN ind b ON b.symbol = p.symbol AND b.time >= p.time AND b.time <= p.time + INTERVAL 72 HOURS WHERE b.atr IS NOT NULL) WINDOW pw AS (PARTITION BY symbol, day_no ORDER BY bar_time ROWS UNBOUNDED PRECEDING)) WINDOW pw AS (PARTITION BY symbol, day_no ORDER BY bar_time ROWS UNBOUNDED PRECEDING))""",
+FROM positions p JOIN ind b ON b.symbol = p.symbol AND b.time >= coalesce((SELECT max(x.time) FROM ind x WHERE x.symbol = p.symbol AND x.time < p.time AND x.atr IS NOT NULL), p.time) WHERE b.atr IS NOT NULL) WINDOW pw AS (PARTITION BY symbol, day_no ORDER BY bar_time ROWS UNBOUNDED PRECEDING)) WINDOW pw AS (PARTITION BY symbol, day_no ORDER BY bar_time ROWS UNBOUNDED PRECEDING))""",
         **IND,
     ),
 )

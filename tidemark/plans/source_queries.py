@@ -118,7 +118,7 @@ def article_json(t: Tables, path: str) -> None:
         F.struct(F.concat(F.lit("X:"), F.upper("lang")).alias("symbol"), (s * 0.5).alias("sentiment_score")),
     )
     t.articles().select(
-        F.concat(F.lit("a"), F.col("article_id")).alias("uuid"), F.substring("text", 1, 80).alias("title"), F.lit("").alias("description"), "source",
+        F.concat(F.lit("a"), F.col("article_id")).alias("uuid"), F.col("text").alias("title"), F.lit("").alias("description"), "source",
         F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"), s.alias("overall_sentiment_score"),
         F.when(F.col("source") != "src1", ents).otherwise(F.array_compact(F.array(ents[0], F.lit(None)))).alias("entities"),
     ).write.json(path)

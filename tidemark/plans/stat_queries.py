@@ -63,6 +63,12 @@ def featured(t: Tables):
     return settle(returns(t.bars(), (1,)))
 
 
+def baseline(live, share: float = 0.45):
+    """The oldest share of each symbol's rows: what later rows are compared with."""
+    size = live.groupBy("symbol").agg(F.max("rn").alias("__n"))
+    return live.join(size, "symbol").where(F.col("rn") <= F.floor(F.col("__n") * share)).drop("__n")
+
+
 @query("feature_stats", sql("SELECT symbol, feature, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(*) AS n FROM fl GROUP BY 1, 2 HAVING count(*) > 10", fb=FEAT_BASE["fb"], fl=FEAT_LONG))
 def _(t: Tables):
     return rounded(S.feature_stats(featured(t), FEATS))
@@ -92,7 +98,7 @@ _Z = [-1.2815515655446, -0.8416212335729, -0.5244005127080, -0.2533471031357, 0.
 DRIFT = {
     "fb": FEAT_BASE["fb"],
     "fl": FEAT_LONG,
-    "st": "SELECT symbol, feature, avg(value) AS mean, stddev_samp(value) AS std FROM fl WHERE rn <= 300 GROUP BY 1, 2",
+    "st": "SELECT symbol, feature, avg(value) AS mean, stddev_samp(value) AS std FROM fl WHERE rn <= floor(nn * 0.45) GROUP BY 1, 2",
 }
 
 
@@ -110,7 +116,7 @@ ON c.symbol = g.symbol AND c.feature = g.feature AND c.b = g.k) GROUP BY 1, 2)""
 )
 def _(t: Tables):
     live = featured(t)
-    return rounded(S.psi_drift(live, S.feature_stats(live.where(F.col("rn") <= 300), FEATS), FEATS))
+    return rounded(S.psi_drift(live, S.feature_stats(baseline(live), FEATS), FEATS))
 
 
 @query(
@@ -122,7 +128,7 @@ def _(t: Tables):
 )
 def _(t: Tables):
     live = featured(t)
-    return rounded(S.z_drift(live, S.feature_stats(live.where(F.col("rn") <= 300), FEATS), FEATS, 0.5))
+    return rounded(S.z_drift(live, S.feature_stats(baseline(live), FEATS), FEATS, 0.5))
 
 
 @query(

@@ -201,8 +201,14 @@ def drain(stream: DataFrame, name: str, handler: Callable[[DataFrame, int], None
 
 
 def replay(df: DataFrame, name: str, cut: Column, parts: int) -> DataFrame:
-    """`df` written as `parts` files in the order of `cut` (0 .. parts - 1) and read back as a stream, one per batch."""
+    """`df` written as `parts` files in the order of `cut` (0 .. parts - 1) and read back as a stream, one per batch.
+
+    A row whose `cut` is null or not one of the parts is an error. For tests and replays of small tables only: a batch
+    is one file.
+    """
     spark = df.sparkSession
+    if not df.where(cut.isNull() | (cut < 0) | (cut >= parts)).isEmpty():
+        raise ValueError("rows outside the parts of the replay")
     path = scratch_dir(spark, name)
     for i in range(parts):
         df.where(cut == i).repartition(1).write.mode("append").parquet(path)
