@@ -25,9 +25,17 @@ GROUP = 256
 FLAG_SLOTS = 1 << 18
 
 
+def _split(text: Column) -> Column:
+    """The runs between white space, in lower case, and empty strings. A plain blank is split at without a pattern."""
+    text = F.lower(text)
+    for space in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.split(text, " ")
+
+
 def _words(line: Column) -> Column:
-    """Hashes of the words of a line: runs between white space, in lower case."""
-    return F.transform(F.array_remove(F.split(F.lower(line), r"\s+"), ""), lambda w: F.xxhash64(w))
+    """Hashes of the words of a line."""
+    return F.transform(F.array_remove(_split(line), ""), lambda w: F.xxhash64(w))
 
 
 def _entry(table: bytes, slot: Column) -> Column:
@@ -37,7 +45,7 @@ def _entry(table: bytes, slot: Column) -> Column:
 
 def rarity(docs: DataFrame) -> bytes:
     """How common words are, by slot of their hash: eight steps per power of two, 0 to 127. Counts all documents."""
-    word = F.explode(F.split(F.lower("text"), r"\s+"))
+    word = F.explode(_split(F.col("text")))
     counts = docs.select(word.alias("w")).where("w <> ''").groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_SLOTS)).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     table = bytearray(RARITY_SLOTS)
     for slot, step in counts.select("slot", F.least(F.floor(F.log2("n") * 4).cast("int"), F.lit(127)).alias("step")).collect():  # at most RARITY_SLOTS rows
@@ -48,7 +56,8 @@ def rarity(docs: DataFrame) -> bytes:
 def _sets(lines: DataFrame, table: bytes, similar: float) -> DataFrame:
     """Add n, same (hash of the set), bits, prefix to rows with a `line`; lines without a word are left out."""
     ranked = F.transform(F.array_distinct(_words(F.col("line"))), lambda h: F.shiftleft(_entry(table, F.pmod(h, F.lit(RARITY_SLOTS))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
-    out = lines.withColumn("set", F.array_sort(ranked)).drop("line").where(F.size("set") > 0)
+    # Whether there is a word is asked of the line: a filter on the set would build it twice.
+    out = lines.where(F.col("line").rlike(r"\S")).withColumn("set", F.sort_array(ranked)).drop("line")
     bits = F.aggregate("set", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
     keep = (F.size("set") - F.ceil(F.size("set") * F.lit(similar) - 1e-9) + 1).cast("int")
     return out.select(*[c for c in out.columns if c != "set"], F.size("set").alias("n"), F.xxhash64("set").alias("same"), bits.alias("bits"), F.transform(F.slice("set", F.lit(1), keep), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")).alias("prefix"))
