@@ -1,19 +1,21 @@
 """Structured Streaming jobs. Each takes a streaming DataFrame and returns one; sinks are chosen by the caller.
 
-Event times are ``timestamp`` (watermarks reject ``timestamp_ntz``). Keyed state is small and fixed in size; rows of
-a key arrive as Arrow chunks, so a hot key is streamed through, never held.
+Event times are ``timestamp`` (watermarks reject ``timestamp_ntz``). The gate and the tail risk work on whole micro-batches
+with the chunk operators and carry one small row per key from batch to batch (``drain_keyed``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.session import scratch_dir
+from tidemark.operators.chunks import running
+from tidemark.session import scratch_dir, settle
 
 
 def event_time(df: DataFrame, col: str = "time") -> DataFrame:
@@ -44,13 +46,30 @@ def stream_news(articles: DataFrame, delay: str = "30 minutes") -> DataFrame:
     return news_window(once)
 
 
+class KeyedStep(NamedTuple):
+    """What a keyed job does with a micro-batch: its rows, with the carried values of their key as ``was_<name>`` (null
+    for a new key), give output rows with the new values as ``now_<name>``."""
+
+    carried: str
+    step: Callable[[DataFrame], DataFrame]
+
+
 def _stateful(df: DataFrame, key: str, out_schema: str, state_schema: str, start: tuple, step: Callable[[pd.DataFrame, list], tuple[pd.DataFrame, list]]) -> DataFrame:
-    """Run `step(rows in time order, state) -> (output, state)` per key; the state is one row of plain values."""
+    """Run `step(rows in time order, state) -> (output, state)` per key; the state is one row of plain values.
+
+    Rows of a key come in Arrow batches in the order of the shuffle. Out of order over several of them, they are refused:
+    the state could not be right.
+    """
 
     def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get) if state.exists else list(start)
+        newest = None
         for pdf in batches:
-            out, held = step(pdf.sort_values("time"), held)
+            pdf = pdf.sort_values("time")
+            if newest is not None and pdf["time"].iloc[0] < newest:
+                raise ValueError(f"{k}: the rows of a micro-batch exceed one Arrow batch and are out of order; use smaller micro-batches")
+            newest = pdf["time"].iloc[-1]
+            out, held = step(pdf, held)
             if len(out):
                 yield out
         state.update(tuple(held))
@@ -58,45 +77,38 @@ def _stateful(df: DataFrame, key: str, out_schema: str, state_schema: str, start
     return df.groupBy(key).applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_gate(scores: DataFrame, threshold: float = 50.0, buffer: float = 5.0) -> DataFrame:
-    """Hysteresis gate per symbol (time, rn, score); a null score reads closed and keeps the state."""
+def stream_gate(threshold: float = 50.0, buffer: float = 5.0) -> KeyedStep:
+    """Hysteresis gate per symbol (rn, score); a null or NaN score reads closed and keeps the state."""
     hi, lo = threshold + buffer / 2, threshold - buffer / 2
 
-    def step(pdf, held):
-        is_open, flags = held[0], []
-        for s in pdf["score"]:
-            if s == s and s is not None:
-                is_open = bool(s >= lo) if is_open else bool(s > hi)
-                flags.append(is_open)
-            else:
-                flags.append(False)
-        return pd.DataFrame({"symbol": pdf["symbol"], "rn": pdf["rn"], "gate_open": flags}), [is_open]
+    def step(rows: DataFrame) -> DataFrame:
+        score = F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double"))
+        turn = F.when(score > hi, True).when(score < lo, False)
+        out = running(rows, {"turned": ("last", turn)})
+        is_open = F.coalesce("turned", "was_open", F.lit(False))
+        return out.select("symbol", "rn", (is_open & score.isNotNull()).alias("gate_open"), is_open.alias("now_open"))
 
-    return _stateful(scores, "symbol", "symbol string, rn long, gate_open boolean", "open boolean", (False,), step)
+    return KeyedStep("open boolean", step)
 
 
-def stream_risk(equity: DataFrame, max_dd: float = 8.0, breaker: float = 15.0, cooldown_hours: float = 4.0) -> DataFrame:
+def stream_risk(max_dd: float = 8.0, breaker: float = 15.0, cooldown_hours: float = 4.0) -> KeyedStep:
     """Trading permission per symbol (time, rn, equity, tail_event): a tail event or the drawdown limit blocks for the
     cooldown, the breaker blocks for good."""
     pause = int(cooldown_hours * 3600)
 
-    def step(pdf, held):
-        peak, until, latched = held
-        rows = []
-        for at, eq, tail in zip(pdf["time"], pdf["equity"], pdf["tail_event"]):
-            now = int(at.timestamp())
-            peak = max(peak, eq)
-            dd = (peak - eq) / max(peak, 1.0) * 100
-            latched = latched or dd >= breaker
-            if tail or dd >= max_dd:
-                until = now + pause
-            rows.append((dd, latched, not latched and now >= until))
-        out = pd.DataFrame(rows, columns=["dd_pct", "breaker", "allowed"])
-        out.insert(0, "symbol", pdf["symbol"].values)
-        out.insert(1, "rn", pdf["rn"].values)
-        return out, [float(peak), int(until), bool(latched)]
-
-    return _stateful(equity, "symbol", "symbol string, rn long, dd_pct double, breaker boolean, allowed boolean", "peak double, until long, latched boolean", (0.0, 0, False), step)
+    def step(rows: DataFrame) -> DataFrame:
+        peaks = running(rows, {"high": ("max", F.col("equity").cast("double"))})
+        peak = F.greatest("high", F.coalesce("was_peak", F.lit(0.0)))
+        now = F.unix_timestamp("time")
+        seen = settle(peaks.withColumn("now_peak", peak).withColumn("dd_pct", (peak - F.col("equity")) / F.greatest(peak, F.lit(1.0)) * 100))
+        hit = F.col("tail_event") | (F.col("dd_pct") >= max_dd)
+        out = running(seen, {"worst": ("max", F.col("dd_pct")), "blocked": ("max", F.when(hit, now + pause))})
+        latched = F.coalesce("was_latched", F.lit(False)) | (F.col("worst") >= breaker)
+        until = F.coalesce(F.greatest("blocked", "was_until"), F.lit(0))
+        state = [F.col("now_peak"), until.alias("now_until"), latched.alias("now_latched")]
+        return out.select("symbol", "rn", "dd_pct", latched.alias("breaker"), (~latched & (now >= until)).alias("allowed"), *state)
+
+    return KeyedStep("peak double, until long, latched boolean", step)
 
 
 def stream_trailing(prices: DataFrame, positions: DataFrame, distance: float = 2.0) -> DataFrame:
@@ -200,6 +212,31 @@ def drain(stream: DataFrame, name: str, handler: Callable[[DataFrame, int], None
     return None if handler is not None else spark.read.schema(stream.schema if mode == "append" else stream.schema.add("batch", "long")).parquet(f"{root}/rows")
 
 
+def drain_keyed(stream: DataFrame, name: str, job: KeyedStep) -> DataFrame:
+    """Run a keyed job over everything available; returns its output rows.
+
+    Rows have `symbol` and `rn`, their position in the symbol. The carry after a batch is a table of one row per symbol in
+    a folder of its own, as is the batch's output, so a repeated batch overwrites both. A row that arrives after later
+    ones of its symbol is judged with the state carried so far and changes no earlier output.
+    """
+    root = scratch_dir(stream.sparkSession, name)
+    names = [part.split()[0] for part in job.carried.split(",")]
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        schema = f"symbol string, {job.carried}"
+        held = spark.read.schema(schema).parquet(f"{root}/carry/{batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
+        was = held.select("symbol", *[F.col(c).alias(f"was_{c}") for c in names])
+        out = settle(job.step(batch.join(was, "symbol", "left")))
+        # One struct per symbol, so that a null in a carried value is carried as well.
+        last = out.groupBy("symbol").agg(F.max_by(F.struct(*[F.col(f"now_{c}").alias(c) for c in names]), "rn").alias("s")).select("symbol", "s.*")
+        last.unionByName(held.join(last, "symbol", "left_anti")).write.mode("overwrite").parquet(f"{root}/carry/{batch_id}")
+        out.drop(*[f"now_{c}" for c in names]).write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
+
+    drain(stream, name, handle)
+    return stream.sparkSession.read.parquet(f"{root}/rows").drop("batch")
+
+
 def replay(df: DataFrame, name: str, cut: Column, parts: int) -> DataFrame:
     """`df` written as `parts` files in the order of `cut` (0 .. parts - 1) and read back as a stream, one per batch.
 
