@@ -170,26 +170,35 @@ def latched_days(updates: DataFrame, balance: float, limit_pct: float) -> DataFr
 
 
 def reconcile_batch(target: str, known: DataFrame, magic: int) -> Callable[[DataFrame, int], None]:
-    """foreachBatch handler: append foreign positions not yet in `target`; replaying a batch adds nothing.
+    """foreachBatch handler: foreign positions from deals that may be spread over batches and repeat (see ``reconciled``).
 
-    Every batch overwrites its own folder, and ids present in other batches are left out.
+    Deals are kept as they come. Every position that a batch touches is computed anew from all its deals; equal rows are
+    one deal. A batch overwrites its own folders only, so repeating it changes nothing.
     """
     from tidemark.operators.trades import external_trades
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = external_trades(batch, known, magic)
-        try:
-            done = spark.read.parquet(target).where(F.col("batch") != batch_id).select("ticket")
-            rows = rows.join(done, "ticket", "left_anti")
-        except Exception as e:  # the first batch finds no target yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{target}/deals/batch={batch_id}")
+        log = spark.read.parquet(f"{target}/deals").where(F.col("batch") <= batch_id)
+        touched = log.where(F.col("batch") == batch_id).select("position_id").distinct()
+        deals = log.drop("batch").join(touched, "position_id", "left_semi").distinct()
+        rows = external_trades(deals, known, magic).withColumn("foreign", F.lit(True))
+        # A position whose new deals show it to be an own one keeps a row that withdraws the earlier ones.
+        all_touched = touched.where("position_id is not null").withColumnRenamed("position_id", "ticket")
+        all_touched.join(rows, "ticket", "left").write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
 
     return handle
 
 
+def reconciled(spark: SparkSession, target: str) -> DataFrame:
+    """The foreign positions as of the newest batch of ``reconcile_batch``: one row each."""
+    rows = spark.read.parquet(f"{target}/rows")
+    names = [c for c in rows.columns if c not in ("ticket", "batch")]
+    newest = rows.groupBy("ticket").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("ticket", "r.*")
+    return newest.where("foreign").drop("foreign")
+
+
 # --- running a job to completion over what a source holds -----------------------------------------------------------
 
 
