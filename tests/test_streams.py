@@ -62,8 +62,40 @@ def test_tail_risk(spark, small_batches):
     assert got == want
 
 
-def test_rows_out_of_order_are_refused(spark, small_batches):
-    rows = [("S", i + 1, START + dt.timedelta(hours=i), 0.5) for i in range(400)]
-    stream = stream_of(spark, rows, "symbol string, rn long, time timestamp, conf double", (400,))
-    with pytest.raises(Exception, match="out of order"):
-        J.drain(J.stream_drift(stream), "drift").collect()
+def test_drift(spark, small_batches):
+    rng = np.random.default_rng(7)
+    conf = [None if x < 0.05 else float(x) for x in rng.uniform(0, 1, 400) * np.linspace(1, 0.6, 400)]
+    rows = [("S", i + 1, c) for i, c in enumerate(conf)]
+    stream = stream_of(spark, rows, "symbol string, rn long, conf double", (30, 155, 400))
+    got = {r.rn: (round(r.baseline, 9), round(r.recent, 9), r.drift) for r in J.drain_keyed(stream, "drift", J.stream_drift()).collect()}
+    mean = lambda part: float(np.mean([c for c in part if c is not None]))
+    base, want = mean(conf[:50]), {}
+    for n in range(60, 401, 20):
+        recent = mean(conf[n - 50 : n])
+        want[n] = (round(base, 9), round(recent, 9), base > 0.3 and recent < base * 0.85)
+    assert got == want and len({w[2] for w in want.values()}) == 2
+
+
+def test_trailing_stop(spark, small_batches):
+    rng = np.random.default_rng(11)
+    close = 100 + rng.normal(0, 1, 300).cumsum()
+    rows = [("S", START + dt.timedelta(hours=i), i + 1, c + 0.5, c - 0.5) for i, c in enumerate(close.tolist())]
+    opened = [(day, rows[at], side) for day, (at, side) in enumerate([(0, "buy"), (10, "sell"), (90, "buy"), (95, "sell"), (298, "buy")])]
+    held = [("S", day, side, r[4] - 8 if side == "buy" else r[3] + 8, None if day == 3 else 2.0, r[1]) for day, r, side in opened]
+    positions = spark.createDataFrame(held, "symbol string, day_no long, type string, sl double, atr_entry double, time timestamp")
+    stream = stream_of(spark, rows, "symbol string, time timestamp, rn long, high double, low double", (100, 200, 300))
+    out = J.drain_keyed(J.held_bars(stream, positions), "trailing", J.stream_trailing())
+    got = {r.ticket: (r.breached_at, round(r.stop, 9)) for r in out.collect()}
+    want = {}
+    for _, day, side, sl, atr, since in held:
+        sign = 1 if side == "buy" else -1
+        best, stop = float("-inf"), sign * sl
+        for _, at, _, high, low in rows:
+            if at < since:
+                continue
+            best = max(best, high if sign > 0 else -low)
+            stop = stop if atr is None else max(stop, best - 2 * atr)
+            if (low if sign > 0 else -high) <= stop:
+                want[f"S#{day}"] = (at, round(sign * stop, 9))
+                break
+    assert got == want and 2 < len(want) < len(held) + 1

@@ -1,20 +1,19 @@
 """Structured Streaming jobs. Each takes a streaming DataFrame and returns one; sinks are chosen by the caller.
 
-Event times are ``timestamp`` (watermarks reject ``timestamp_ntz``). The gate and the tail risk work on whole micro-batches
-with the chunk operators and carry one small row per key from batch to batch (``drain_keyed``).
+Event times are ``timestamp`` (watermarks reject ``timestamp_ntz``). The gate, the tail risk, the trailing stop and the
+confidence drift work on whole micro-batches with the chunk operators and carry one small row per key from batch to
+batch (``drain_keyed``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.chunks import running
+from tidemark.operators.chunks import rolling, running
 from tidemark.session import scratch_dir, settle
 
 
@@ -47,44 +46,28 @@ def stream_news(articles: DataFrame, delay: str = "30 minutes") -> DataFrame:
 
 
 class KeyedStep(NamedTuple):
-    """What a keyed job does with a micro-batch: its rows, with the carried values of their key as ``was_<name>`` (null
-    for a new key), give output rows with the new values as ``now_<name>``."""
+    """What a keyed job does with a micro-batch.
 
-    carried: str
-    step: Callable[[DataFrame], DataFrame]
-
-
-def _stateful(df: DataFrame, key: str, out_schema: str, state_schema: str, start: tuple, step: Callable[[pd.DataFrame, list], tuple[pd.DataFrame, list]]) -> DataFrame:
-    """Run `step(rows in time order, state) -> (output, state)` per key; the state is one row of plain values.
-
-    Rows of a key come in Arrow batches in the order of the shuffle. Out of order over several of them, they are refused:
-    the state could not be right.
+    `step(rows, was)` takes the rows of the batch and the carried values (`key` and ``was_<name>``, no row for a new key)
+    and gives output rows with `rn` and the new values as ``now_<name>``; those of the last `rn` are carried. A boolean
+    `emit` marks the rows that leave the job (without it all do). With `ends`, a key is finished by its first such row:
+    it is carried no longer and its later rows are left out.
     """
 
-    def run(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else list(start)
-        newest = None
-        for pdf in batches:
-            pdf = pdf.sort_values("time")
-            if newest is not None and pdf["time"].iloc[0] < newest:
-                raise ValueError(f"{k}: the rows of a micro-batch exceed one Arrow batch and are out of order; use smaller micro-batches")
-            newest = pdf["time"].iloc[-1]
-            out, held = step(pdf, held)
-            if len(out):
-                yield out
-        state.update(tuple(held))
-
-    return df.groupBy(key).applyInPandasWithState(run, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
+    carried: str
+    step: Callable[[DataFrame, DataFrame], DataFrame]
+    key: str = "symbol"
+    ends: bool = False
 
 
 def stream_gate(threshold: float = 50.0, buffer: float = 5.0) -> KeyedStep:
     """Hysteresis gate per symbol (rn, score); a null or NaN score reads closed and keeps the state."""
     hi, lo = threshold + buffer / 2, threshold - buffer / 2
 
-    def step(rows: DataFrame) -> DataFrame:
+    def step(rows: DataFrame, was: DataFrame) -> DataFrame:
         score = F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double"))
         turn = F.when(score > hi, True).when(score < lo, False)
-        out = running(rows, {"turned": ("last", turn)})
+        out = running(rows.join(was, "symbol", "left"), {"turned": ("last", turn)})
         is_open = F.coalesce("turned", "was_open", F.lit(False))
         return out.select("symbol", "rn", (is_open & score.isNotNull()).alias("gate_open"), is_open.alias("now_open"))
 
@@ -96,8 +79,8 @@ def stream_risk(max_dd: float = 8.0, breaker: float = 15.0, cooldown_hours: floa
     cooldown, the breaker blocks for good."""
     pause = int(cooldown_hours * 3600)
 
-    def step(rows: DataFrame) -> DataFrame:
-        peaks = running(rows, {"high": ("max", F.col("equity").cast("double"))})
+    def step(rows: DataFrame, was: DataFrame) -> DataFrame:
+        peaks = running(rows.join(was, "symbol", "left"), {"high": ("max", F.col("equity").cast("double"))})
         peak = F.greatest("high", F.coalesce("was_peak", F.lit(0.0)))
         now = F.unix_timestamp("time")
         seen = settle(peaks.withColumn("now_peak", peak).withColumn("dd_pct", (peak - F.col("equity")) / F.greatest(peak, F.lit(1.0)) * 100))
@@ -111,49 +94,57 @@ def stream_risk(max_dd: float = 8.0, breaker: float = 15.0, cooldown_hours: floa
     return KeyedStep("peak double, until long, latched boolean", step)
 
 
-def stream_trailing(prices: DataFrame, positions: DataFrame, distance: float = 2.0) -> DataFrame:
-    """Trailing stop of every position over the bars after its entry: ratcheted stop and the first breach alert."""
+def held_bars(prices: DataFrame, positions: DataFrame) -> DataFrame:
+    """Bars (symbol, time, rn, high, low) of a stream from the entry of each position on, one row per ticket and bar."""
     p = positions.select("symbol", F.concat_ws("#", "symbol", "day_no").alias("ticket"), "type", "sl", "atr_entry", F.col("time").cast("timestamp").alias("opened"))
-    live = event_time(prices).join(p, "symbol").where(F.col("time") >= F.col("opened"))
-
-    def step(pdf, held):
-        best, stop, done = held
-        rows = []
-        for at, side, hi, lo, sl, atr in zip(pdf["time"], pdf["type"], pdf["high"], pdf["low"], pdf["sl"], pdf["atr_entry"]):
-            if done:
-                break
-            sign = 1.0 if side == "buy" else -1.0
-            edge = hi if side == "buy" else lo
-            best = edge if best != best else (max(best, edge) if side == "buy" else min(best, edge))
-            level = best - sign * distance * atr
-            stop = sl if stop != stop else stop
-            stop = max(stop, level) if side == "buy" else min(stop, level)
-            if (lo <= stop) if side == "buy" else (hi >= stop):
-                done = True
-                rows.append((pdf["ticket"].iloc[0], at, float(stop)))
-        out = pd.DataFrame(rows, columns=["ticket", "breached_at", "stop"])
-        return out, [float(best), float(stop), bool(done)]
-
-    nan = float("nan")
-    return _stateful(live, "ticket", "ticket string, breached_at timestamp, stop double", "best double, stop double, done boolean", (nan, nan, False), step)
-
-
-def stream_drift(conf: DataFrame, head: int = 50, every: int = 20, drop: float = 0.15, floor: float = 0.3) -> DataFrame:
-    """Confidence drift check every `every` rows: frozen mean of the first `head` against the newest `head`."""
-
-    def step(pdf, held):
-        n, total, window = held[0], held[1], list(held[2])
-        rows = []
-        for sym, rn, c in zip(pdf["symbol"], pdf["rn"], pdf["conf"]):
-            n += 1
-            total += c if n <= head else 0.0
-            window = (window + [float(c)])[-head:]
-            if n >= head and n % every == 0:
-                base, recent = total / head, sum(window) / len(window)
-                rows.append((sym, rn, base, recent, bool(base > floor and recent < base * (1 - drop))))
-        return pd.DataFrame(rows, columns=["symbol", "rn", "baseline", "recent", "drift"]), [int(n), float(total), window]
-
-    return _stateful(conf, "symbol", "symbol string, rn long, baseline double, recent double, drift boolean", "n long, total double, newest array<double>", (0, 0.0, []), step)
+    return event_time(prices).join(p, "symbol").where(F.col("time") >= F.col("opened")).drop("symbol", "opened")
+
+
+def stream_trailing(distance: float = 2.0) -> KeyedStep:
+    """Trailing stop per ticket (rows of ``held_bars``): the first bar that breaches it, with the stop.
+
+    The stop is the best price so far less `distance` ATRs, never looser than `sl`; without an ATR it is `sl`.
+    """
+
+    def step(rows: DataFrame, was: DataFrame) -> DataFrame:
+        long = F.col("type") == "buy"
+        # Prices of sales change their sign, so that the best one is the greatest for both sides.
+        sign = F.when(long, 1.0).otherwise(-1.0)
+        out = running(rows.join(was, "ticket", "left"), {"seen": ("max", F.when(long, F.col("high")).otherwise(-F.col("low")).cast("double"))}, by=["ticket"])
+        best = F.greatest("seen", "was_best")
+        stop = sign * F.greatest(sign * F.col("sl"), best - distance * F.col("atr_entry"))
+        breach = F.coalesce(F.when(long, F.col("low") <= stop).otherwise(F.col("high") >= stop), F.lit(False))
+        return out.select("ticket", "rn", F.col("time").alias("breached_at"), stop.alias("stop"), breach.alias("emit"), best.alias("now_best"))
+
+    return KeyedStep("best double", step, "ticket", ends=True)
+
+
+def stream_drift(head: int = 50, every: int = 20, drop: float = 0.15, floor: float = 0.3) -> KeyedStep:
+    """Confidence drift per symbol (rn, conf), checked every `every` rows: mean of the first `head` against the newest
+    `head`. A null confidence is left out of the means."""
+
+    def step(rows: DataFrame, was: DataFrame) -> DataFrame:
+        kept = was.select("symbol", F.explode(F.arrays_zip("was_rns", "was_newest")).alias("o")).select("symbol", F.col("o.was_rns").alias("rn"), F.col("o.was_newest").alias("conf"), F.lit(False).alias("fresh"))
+        both = rows.select("symbol", "rn", F.col("conf").cast("double").alias("conf"), F.lit(True).alias("fresh")).unionByName(kept)
+        early = F.when(F.col("fresh") & (F.col("rn") <= head), F.col("conf"))
+        per = both.groupBy("symbol").agg(F.max("rn").alias("last"), F.sum(early).alias("total"), F.count(early).alias("known"))
+        add = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+        per = per.join(was.drop("was_rns", "was_newest"), "symbol", "left").select("symbol", "last", add("total", "was_total").alias("now_total"), add("known", "was_known").alias("now_known"))
+
+        def build(df: DataFrame, w) -> DataFrame:
+            frame = w.rangeBetween(1 - head, 0)
+            # Only the last rows of a symbol are carried, so lists stay empty elsewhere.
+            carry = (F.col("rn") > F.col("last") - head) & F.col("conf").isNotNull()
+            lists = [F.collect_list(F.when(carry, F.col(c))).over(frame).alias(f"now_{n}") for c, n in (("rn", "rns"), ("conf", "newest"))]
+            return df.select("*", F.avg("conf").over(frame).alias("recent"), *lists)
+
+        out = rolling(both.join(per, "symbol"), build, back=head - 1)
+        base = F.try_divide("now_total", "now_known")
+        drift = (base > floor) & (F.col("recent") < base * (1 - drop))
+        check = F.col("fresh") & (F.col("rn") >= head) & (F.col("rn") % every == 0)
+        return out.select("symbol", "rn", base.alias("baseline"), "recent", drift.alias("drift"), check.alias("emit"), "now_total", "now_known", "now_rns", "now_newest")
+
+    return KeyedStep("total double, known long, rns array<long>, newest array<double>", step)
 
 
 def stream_daily_loss(fills: DataFrame) -> DataFrame:
@@ -224,23 +215,31 @@ def drain(stream: DataFrame, name: str, handler: Callable[[DataFrame, int], None
 def drain_keyed(stream: DataFrame, name: str, job: KeyedStep) -> DataFrame:
     """Run a keyed job over everything available; returns its output rows.
 
-    Rows have `symbol` and `rn`, their position in the symbol. The carry after a batch is a table of one row per symbol in
-    a folder of its own, as is the batch's output, so a repeated batch overwrites both. A row that arrives after later
-    ones of its symbol is judged with the state carried so far and changes no earlier output.
+    Rows have the job's key and `rn`, their position in the symbol. The carry after a batch is a table of one row per key
+    in a folder of its own, as is the batch's output, so a repeated batch overwrites both. A row that arrives after later
+    ones of its key is judged with the state carried so far and changes no earlier output.
     """
-    root = scratch_dir(stream.sparkSession, name)
+    root, key = scratch_dir(stream.sparkSession, name), job.key
     names = [part.split()[0] for part in job.carried.split(",")]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        schema = f"symbol string, {job.carried}"
+        schema = f"{key} string, {job.carried}"
         held = spark.read.schema(schema).parquet(f"{root}/carry/{batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
-        was = held.select("symbol", *[F.col(c).alias(f"was_{c}") for c in names])
-        out = settle(job.step(batch.join(was, "symbol", "left")))
-        # One struct per symbol, so that a null in a carried value is carried as well.
-        last = out.groupBy("symbol").agg(F.max_by(F.struct(*[F.col(f"now_{c}").alias(c) for c in names]), "rn").alias("s")).select("symbol", "s.*")
-        last.unionByName(held.join(last, "symbol", "left_anti")).write.mode("overwrite").parquet(f"{root}/carry/{batch_id}")
-        out.drop(*[f"now_{c}" for c in names]).write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
+        if job.ends and batch_id:
+            over = spark.read.parquet(f"{root}/rows").where(F.col("batch") < batch_id).select(key)
+            batch = batch.join(over, key, "left_anti")
+        out = settle(job.step(batch, held.select(key, *[F.col(c).alias(f"was_{c}") for c in names])))
+        # One struct per key, so that a null in a carried value is carried as well.
+        last = out.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"now_{c}").alias(c) for c in names]), "rn").alias("s")).select(key, "s.*")
+        rows = (out.where("emit").drop("emit") if "emit" in out.columns else out).drop(*[f"now_{c}" for c in names])
+        carry = last.unionByName(held.join(last, key, "left_anti"))
+        if job.ends:
+            firsts = rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), "rn").alias("s"))
+            rows = firsts.select(key, "s.*")
+            carry = carry.join(rows, key, "left_anti").select(key, *names)
+        carry.write.mode("overwrite").parquet(f"{root}/carry/{batch_id}")
+        rows.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
 
     drain(stream, name, handle)
     return stream.sparkSession.read.parquet(f"{root}/rows").drop("batch")
