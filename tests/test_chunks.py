@@ -183,7 +183,8 @@ def non_overlap_loop(bars, signals):
     return out
 
 
-def test_non_overlapping_trades_equal_the_loop(hot, spark):
+@pytest.mark.parametrize("chunk", [None, 7])
+def test_non_overlapping_trades_equal_the_loop(hot, spark, chunk):
     pdf, df = hot
     rng = np.random.default_rng(5)
     rows = []
@@ -194,13 +195,37 @@ def test_non_overlapping_trades_equal_the_loop(hot, spark):
             sign = 1 if side == "buy" else -1
             rows.append({"symbol": s, "param_id": 1, "rn": int(rn), "signal": side, "close": float(c), "sl": float(c - sign * 1.5), "tp": float(c + sign * 2.5)})
     sig = spark.createDataFrame(pd.DataFrame(rows))
-    got = L.non_overlapping_trades(sig, df).toPandas()
+    got = L.non_overlapping_trades(sig, df, rows=chunk).toPandas()
     for s, g in pdf.groupby("symbol"):
         want = non_overlap_loop(g.sort_values("rn").to_dict("records"), [r for r in rows if r["symbol"] == s])
         mine = sorted(zip(got[got.symbol == s]["entry_rn"], got[got.symbol == s]["exit_rn"], got[got.symbol == s]["exit_reason"]))
         assert mine == sorted(want)
 
 
+@pytest.mark.parametrize("spans", [(35, 7), (4,)])
+def test_first_touch_over_many_spans(hot, spark, spans):
+    pdf, df = hot
+    rng = np.random.default_rng(9)
+    rows = []
+    for s, g in pdf.groupby("symbol"):
+        for i, r in enumerate(g.sort_values("rn").to_dict("records")):
+            sign, far = (1 if rng.random() < 0.5 else -1), float(rng.choice([0.5, 2.0, 6.0, 50.0]))
+            until = r["rn"] + int(rng.integers(-1, 90)) if i % 3 else len(g)
+            rows.append((s, r["rn"], "buy" if sign > 0 else "sell", r["close"] - sign * far, r["close"] + sign * far, min(until, len(g))))
+    sig = spark.createDataFrame(rows, "symbol string, rn long, signal string, sl double, tp double, until_rn long")
+    got = {(r.symbol, r.rn): (r.touch_rn, r.touch) for r in L.first_touch(sig, df, [], spans).collect()}
+    for s, g in pdf.groupby("symbol"):
+        hi, lo = (dict(zip(g["rn"], g[c])) for c in ("high", "low"))
+        for _, rn, side, sl, tp, until in (r for r in rows if r[0] == s):
+            want = (None, None)
+            for k in range(rn + 1, until + 1):
+                stop, target = (lo[k] <= sl, hi[k] >= tp) if side == "buy" else (hi[k] >= sl, lo[k] <= tp)
+                if stop or target:
+                    want = (k, "SL" if stop else "TP")
+                    break
+            assert got[s, rn] == want
+
+
 def test_signal_outcome_equals_the_loop(hot):
     pdf, df = hot
     sig = df.where(F.col("rn") % 9 == 0).withColumn("signal", F.when(F.col("tick_volume") > 25, "buy").otherwise("sell")).withColumn("atr", F.lit(1.2))

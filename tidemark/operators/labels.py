@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.numbers import TINY
-from tidemark.operators.chunks import chunk_of, rolling
+from tidemark.operators.chunks import CHUNK_ROWS, chunk_of, rolling, running
+from tidemark.session import settle
+
+#: Positions counted from behind are this minus the row number.
+BEHIND = 1 << 40
 
 
 def label_params(resolved: DataFrame, sl_key: str = "sl", rr_key: str = "rr") -> DataFrame:
@@ -55,22 +62,39 @@ def r_multiple(df: DataFrame, tp: float = 2.0, sl: float = 1.0, hold: int = 20,
     return out.withColumn("r_multiple", F.when(usable, value)).drop("__next", "__exit")
 
 
-def first_touch(signals: DataFrame, bars: DataFrame, keys: Sequence[str], span: int = 256) -> DataFrame:
+def first_touch(signals: DataFrame, bars: DataFrame, keys: Sequence[str], spans: Sequence[int] = (65_536, 256)) -> DataFrame:
     """First bar in (rn, until_rn] at which a signal's sl or tp is reached; the stop wins inside one bar.
 
-    Signals are spread over the row spans their life touches, so the range join is an equality plus a filter, and only
-    bars that touch a level leave the join. Adds touch_rn and touch ("SL" / "TP"), null when untouched.
+    Bars are summed up by spans of rows, coarse to fine. At each level a signal meets the highest high and lowest low of
+    the spans left to it, and keeps two: the one it begins in and the first later one that reaches a level. Only the
+    bars of two finest spans are then looked at, however long the signal lives. Each range join is an equality on the
+    span. Adds touch_rn and touch ("SL" / "TP"), null when untouched.
     """
-    block = lambda c: F.floor(c / span).cast("long")
-    spread = signals.withColumn("__block", F.explode(F.sequence(block(F.col("rn") + 1), block(F.greatest(F.col("until_rn"), F.col("rn") + 1)))))
-    b = bars.select("symbol", block(F.col("rn")).alias("__block"), F.col("rn").alias("bar_rn"), F.col("high").alias("__high"), F.col("low").alias("__low"))
+    ids = ["symbol", *keys, "rn"]
     long = F.col("signal") == "buy"
     hit_sl = F.when(long, F.col("__low") <= F.col("sl")).otherwise(F.col("__high") >= F.col("sl"))
     hit_tp = F.when(long, F.col("__high") >= F.col("tp")).otherwise(F.col("__low") <= F.col("tp"))
-    met = spread.join(b, ["symbol", "__block"]).where((F.col("bar_rn") > F.col("rn")) & (F.col("bar_rn") <= F.col("until_rn")) & (hit_sl | hit_tp))
-    first = met.groupBy("symbol", *keys, "rn").agg(F.min("bar_rn").alias("touch_rn"), F.min_by(hit_sl, "bar_rn").alias("__sl"))
+    # Rows (__from, __to] that may hold the first touch.
+    left = signals.select(*ids, "signal", "sl", "tp", F.col("rn").alias("__from"), F.col("until_rn").alias("__to")).where("__from < __to")
+    for span in spans:
+        block = lambda c: F.floor((c - 1) / span).cast("long")  # noqa: B023, E731
+        sums = bars.groupBy("symbol", block(F.col("rn")).alias("__block")).agg(F.max("high").alias("__high"), F.min("low").alias("__low"))
+        own = block(F.col("rn") + 1)
+        spread = left.withColumn("__block", F.explode(F.sequence(block(F.col("__from") + 1), block(F.col("__to")))))
+        met = spread.join(sums, ["symbol", "__block"]).where((F.col("__block") == own) | hit_sl | hit_tp)
+        kept = met.groupBy(*ids).agg(
+            *[F.first(c).alias(c) for c in ("signal", "sl", "tp")], F.max(F.when(F.col("__block") == own, F.col("__to"))).alias("__own_to"),
+            F.min(F.when(F.col("__block") > own, F.struct("__block", "__to"))).alias("__later"),
+        )
+        begin, later = F.least("__own_to", (own + 1) * span), F.col("__later.__block") * span
+        parts = F.array(F.struct(F.col("rn").alias("a"), begin.alias("b")), F.struct(later.alias("a"), F.least("__later.__to", later + span).alias("b")))
+        left = kept.select(*ids, "signal", "sl", "tp", F.explode(parts).alias("p")).select(*ids, "signal", "sl", "tp", F.col("p.a").alias("__from"), F.col("p.b").alias("__to")).where("__from < __to")
+    b = bars.select("symbol", block(F.col("rn")).alias("__block"), F.col("rn").alias("bar_rn"), F.col("high").alias("__high"), F.col("low").alias("__low"))
+    ends = left.withColumn("__block", block(F.col("__to")))
+    met = ends.join(b, ["symbol", "__block"]).where((F.col("bar_rn") > F.col("__from")) & (F.col("bar_rn") <= F.col("__to")) & (hit_sl | hit_tp))
+    first = met.groupBy(*ids).agg(F.min("bar_rn").alias("touch_rn"), F.min_by(hit_sl, "bar_rn").alias("__sl"))
     first = first.withColumn("touch", F.when(F.col("__sl"), "SL").otherwise("TP")).drop("__sl")
-    return signals.join(first, ["symbol", *keys, "rn"], "left")
+    return signals.join(first, ids, "left")
 
 
 def signal_outcome(signals: DataFrame, bars: DataFrame, sl_mult: float, rr: float, point: float = 0.01, horizon: int = 400) -> DataFrame:
@@ -83,37 +107,79 @@ def signal_outcome(signals: DataFrame, bars: DataFrame, sl_mult: float, rr: floa
     return s.withColumn("r", F.when(F.col("touch") == "SL", -1.0).when(F.col("touch") == "TP", float(rr)).otherwise(0.0))
 
 
-def non_overlapping_trades(signals: DataFrame, bars: DataFrame, keys: Sequence[str] = ("param_id",), point: float = 0.01, tick_value: float = 0.01) -> DataFrame:
+def _hops(rn: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """Number of the next signal taken after each one, by row number in order; the number of signals if there is none."""
+    return np.maximum(np.searchsorted(rn, free), np.arange(1, len(rn) + 1))
+
+
+def _taken(signals: DataFrame, by: Sequence[str], rows: int | None = None) -> DataFrame:
+    """The signals (by, rn, free_rn) of the chain that begins at the first one of a key and goes on from each to the
+    first one at or after its free_rn.
+
+    Within a chunk of rows the chain from any signal is followed at once, up to where it leaves the chunk. The first
+    signals behind these places, one or a few per chunk, are linked and walked by doubling the steps; that tells at
+    which signal the chain enters each chunk, and a second pass over the chunks takes it from there.
+    """
+    by, size = list(by), rows or CHUNK_ROWS
+    chunked = signals.select(*by, F.col("rn").cast("long").alias("rn"), F.col("free_rn").cast("long").alias("free_rn")).withColumn("chunk", chunk_of(rows))
+
+    def leave(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        rn, free = table["rn"].to_numpy(), table["free_rn"].to_numpy()
+        hop, at = _hops(rn, free), np.arange(len(rn))
+        end = np.where(hop < len(rn), np.minimum(hop, len(rn) - 1), at)
+        while not np.array_equal(nxt := end[end], end):
+            end = nxt
+        past = np.maximum(free[end], (table["chunk"][0].as_py() + 1) * size + 1)
+        return table.append_column("leave", pa.array(past, pa.int64()))
+
+    schema = T.StructType([*chunked.schema.fields, T.StructField("leave", T.LongType())])
+    ways = settle(chunked.groupBy(*by, "chunk").applyInArrow(leave, schema))
+    # First signal at or after each place, seen from behind; a signal comes before a place on its own row.
+    behind = lambda c, place: (F.lit(BEHIND) - F.col(c)) * 2 + place
+    places = ways.select(*by, F.col("leave").alias("at")).distinct()
+    line = ways.select(*by, F.lit(None).cast("long").alias("at"), F.col("rn").alias("own"), behind("rn", 0).alias("rn")).unionByName(places.select(*by, "at", F.lit(None).cast("long").alias("own"), behind("at", 1).alias("rn")))
+    entries = running(line, {"to": ("last", F.col("own"))}, by, rows).where("at is not null and to is not null").select(*by, F.col("at").alias("leave"), "to")
+    starts = ways.groupBy(*by).agg(F.min("rn").alias("rn"))
+    nodes = entries.select(*by, F.col("to").alias("rn")).unionByName(starts).distinct()
+    jump = settle(ways.select(*by, "rn", "leave").join(nodes, [*by, "rn"]).join(entries, [*by, "leave"]).select(*by, "rn", "to"))
+    reached = starts
+    while not jump.isEmpty():
+        reached = settle(reached.unionByName(reached.join(jump, [*by, "rn"]).select(*by, F.col("to").alias("rn"))).distinct())
+        jump = settle(jump.join(jump.select(*by, F.col("rn").alias("to"), F.col("to").alias("__to")), [*by, "to"]).select(*by, "rn", F.col("__to").alias("to")))
+    marked = ways.drop("leave").join(reached.withColumn("enter", F.lit(True)), [*by, "rn"], "left").select(*chunked.columns, "enter")
+
+    def take(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        hop, taken = _hops(table["rn"].to_numpy(), table["free_rn"].to_numpy()).tolist(), []
+        i = next((k for k, flag in enumerate(table["enter"].to_pylist()) if flag), len(hop))
+        while i < len(hop):
+            taken.append(i)
+            i = hop[i]
+        return table.take(pa.array(taken, pa.int64())).select([*by, "rn"])
+
+    return marked.groupBy(*by, "chunk").applyInArrow(take, chunked.select(*by, "rn").schema)
+
+
+def non_overlapping_trades(signals: DataFrame, bars: DataFrame, keys: Sequence[str] = ("param_id",), point: float = 0.01, tick_value: float = 0.01, rows: int | None = None) -> DataFrame:
     """One position at a time per (symbol, keys): entry at the signal's close, exit at the first stop or target, at the
     close of an opposite signal, or at the last bar.
 
-    All outcomes are joins and windows; only the choice which signals find the book empty is sequential, and runs over
-    the signals alone (at most one per bar of a symbol). A stop or target exit blocks entries on its own bar, an
-    opposite signal does not.
+    Outcomes are joins and chunked scans; which signals find the book empty is chosen chunk by chunk (``_taken``). A stop
+    or target exit blocks entries on its own bar, an opposite signal does not.
     """
     keys = list(keys)
-    backwards = Window.partitionBy("symbol", *keys).orderBy(F.desc("rn")).rowsBetween(Window.unboundedPreceding, -1)
-    other = lambda side: F.last(F.when(F.col("signal") == side, F.col("rn")), ignorenulls=True).over(backwards)
+    other = lambda side: ("last", F.when(F.col("signal") == side, F.lit(BEHIND) - F.col("rn")))
+    turned = signals.withColumn("rn", F.lit(BEHIND) - F.col("rn"))
     last = bars.groupBy("symbol").agg(F.max("rn").alias("last_rn"))
-    s = signals.withColumn("opp_rn", F.when(F.col("signal") == "buy", other("sell")).otherwise(other("buy"))).join(last, "symbol")
+    s = running(turned, {"__sell": other("sell"), "__buy": other("buy")}, ["symbol", *keys], rows).withColumn("rn", F.lit(BEHIND) - F.col("rn"))
+    s = s.withColumn("opp_rn", F.when(F.col("signal") == "buy", F.col("__sell")).otherwise(F.col("__buy"))).drop("__sell", "__buy").join(last, "symbol")
     s = s.withColumn("until_rn", F.coalesce("opp_rn", "last_rn"))
-    t = first_touch(s, bars, keys).withColumn("exit_rn", F.coalesce("touch_rn", "until_rn"))
+    t = first_touch(settle(s), bars, keys).withColumn("exit_rn", F.coalesce("touch_rn", "until_rn"))
     reason = F.coalesce("touch", F.when(F.col("opp_rn").isNotNull(), "REVERSE").otherwise("END"))
     t = t.withColumn("exit_reason", reason).withColumn("free_rn", F.when(F.col("touch_rn").isNotNull(), F.col("exit_rn") + 1).otherwise(F.col("exit_rn")))
-
-    cols = ["symbol", *keys, "rn", "free_rn"]
-
-    def choose(pdf):
-        pdf = pdf.sort_values("rn")
-        free, keep = 0, []
-        for rn, until in zip(pdf["rn"], pdf["free_rn"]):
-            taken = rn >= free
-            keep.append(taken)
-            free = until if taken else free
-        return pdf[keep]
-
-    narrow = t.select(*cols)
-    chosen = narrow.groupBy("symbol", *keys).applyInPandas(choose, narrow.schema).select("symbol", *keys, "rn")
+    t = settle(t)
+    chosen = _taken(t, ["symbol", *keys], rows)
     exits = bars.select("symbol", F.col("rn").alias("exit_rn"), F.col("close").alias("__exit_close"), F.col("time").alias("exit_time"))
     picked = t.join(chosen, ["symbol", *keys, "rn"]).join(exits, ["symbol", "exit_rn"], "left")
     price = F.when(F.col("touch") == "SL", F.col("sl")).when(F.col("touch") == "TP", F.col("tp")).otherwise(F.col("__exit_close"))
