@@ -295,6 +295,16 @@ def test_near_duplicate_groups(docs, empty, rows):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(want.values())) and kept.columns == docs.columns
 
 
+def test_texts_that_share_an_id_are_documents_each(spark):
+    text = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(1, text(1)), (5, text(1) + " end"), (5, text(2)), (5, text(2)), (5, text(3)), (6, text(3) + " end"), (6, text(4)), (7, text(5)), (7, text(5) + " end"), (None, text(6)), (None, text(6) + " end"), (8, text(2))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter((r["doc_id"], r["text"]) for r in bag_minhash.keep_one(frame).collect())
+    seven = [x for x in kept if x[0] == 7]
+    assert len(seven) == 1 and kept == Counter([(1, text(1)), (5, text(2)), (5, text(3)), (6, text(4)), *seven, (None, text(6)), (None, text(6) + " end")])
+    assert len(bag_minhash.groups(frame).collect()) == len(rows)
+
+
 def test_signatures_estimate_weighted_overlap():
     rng = np.random.default_rng(3)
     for _ in range(4):
@@ -351,6 +361,44 @@ def test_texts_without_repeated_lines(docs, empty, rows):
     assert line_join.without_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("group", [3, 256])
+def test_repeated_lines_of_shared_ids(spark, group, monkeypatch):
+    monkeypatch.setattr(line_join, "GROUP", group)
+    head, near = "one header of all the pages here", "one header of all the pages there now here"
+    texts = [
+        (None, f"{head}\nclean line of the first\nfirst again"), (None, f"clean line of second\nsecond goes on\nand on\n{head}"), (None, "clean line of second\nsecond goes on\nand on\n" + head),
+        (None, f"{head}\nthird has its own words"), (None, None), (None, ""), (None, " "), (None, " "), (7, f"seven begins\n{head}"), (7, f"{head}\nanother text of the same id"),
+        (7, f"seven begins\n{head}"), (8, "seven begins\neight ends"), (9, f"{near}\nnine"), (10, head), (11, None),
+    ]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    hashed = {r["text"]: r["h"] for r in frame.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    # The definition, with a document for each row without an id and for each id and text.
+    order = sorted({(i is not None, i or 0, hashed[t], k if i is None else 0, t or "") for k, (i, t) in enumerate(texts)}, key=lambda x: x[:4])
+    before, want = [], Counter()
+    for known, i, _, _, t in order:
+        kept, words_left = [], False
+        for x in t.split("\n"):
+            words = frozenset(x.lower().split())
+            if not words or not any(len(words & o) >= 0.8 * len(words | o) - 1e-9 for o in before):
+                kept.append(x)
+                words_left |= bool(words)
+            before += [words] if words else []
+        if words_left or not t.strip():
+            want[i if known else None, "\n".join(kept)] += sum((j, x or "") == (i, t) for j, x in texts) if known else 1
+    out = line_join.without_repeats(frame).collect()
+    assert Counter((r["doc_id"], r["text"] or "") for r in out) == want
+    assert sum(head in (r["text"] or "") for r in out) == 1 and any("clean line of the first" in (r["text"] or "") for r in out)
+    found = line_join.repeated_by_text(frame).collect()
+    assert Counter((r["doc_id"], r["text_hash"], r["copies"], r["n_lines"]) for r in found) == Counter((i, h, sum(1 for j, x in texts if (j, hashed[x]) == (i, h)), n) for i, h, n in {(i, hashed[t], (t or "").count("\n") + 1) for i, t in texts})
+
+
+def test_a_third_of_the_rows_without_an_id_keep_their_lines(spark):
+    texts = [(None if k % 3 == 0 else k, "\n".join(["the same header"] * (k % 5 == 0) + [f"w{k}x{j} v{k}x{j} u{k}x{j}" for j in range(k % 7 + 1)])) for k in range(90)]
+    out = line_join.without_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    clean = Counter((i, x) for i, t in texts for x in t.split("\n") if x != "the same header")
+    assert Counter((r["doc_id"], x) for r in out for x in r["text"].split("\n") if x != "the same header") == clean
+
+
 # op8
 
 

@@ -115,6 +115,11 @@ def signatures(h: np.ndarray, row: np.ndarray, weight: np.ndarray, texts: int, s
     return point.reshape(texts, size)
 
 
+def _same(text: Column) -> Column:
+    """128-bit hash of a text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n (shingles), same (128-bit hash of the text), bands (array of band hashes, empty without words) and bits
     (two bits of each component)."""
@@ -134,8 +139,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             bands = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32), band[n > 0].view(np.int64).ravel())
             yield pa.record_batch({"doc_id": b["doc_id"], "n": pa.array(n, pa.int64()), "same": b["same"], "bands": bands, "bits": pa.FixedSizeListArray.from_arrays(bits.view(np.int64).ravel(), WORDS).cast(pa.list_(pa.int64()))})
 
-    same = F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), 1, 32))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("same", same)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), _same(docs[text_col]).alias("same"))
     return rows.mapInArrow(run, "doc_id long, n long, same binary, bands array<long>, bits array<long>")
 
 
@@ -149,17 +153,16 @@ def _may_be_similar(x: str, y: str, similar: float) -> Column:
     return count & (differ <= F.lit(size * share + SIGMAS * (size * share * (1 - share)) ** 0.5))
 
 
-def _bags(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and its sorted shingle hashes (binary)."""
+def _bags(texts: DataFrame) -> DataFrame:
+    """id and the sorted shingle hashes (binary) of texts (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
             g, row = shingles(b["text"].to_pylist())
             at = np.searchsorted(row, np.arange(b.num_rows + 1))
-            yield pa.record_batch({"id": b["doc_id"], "bag": pa.array([g[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())})
+            yield pa.record_batch({"id": b["id"], "bag": pa.array([g[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())})
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, bag binary")
+    return texts.mapInArrow(run, "id long, bag binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -192,25 +195,34 @@ def groups(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", te
     Documents belong together if a chain of links joins them; a link is an equal text, or multisets of five-word runs
     (words: runs of letters and digits in lower case) with a weighted Jaccard similarity of at least `similar`. A text
     of fewer than five words is one run of its words; null and empty texts are equal to each other and linked to
-    nothing else. `copies` counts the rows of equal text. doc_id names documents: rows that repeat one are one document
-    if the texts are equal, and a null id is grouped by its text alone. Other columns are not read.
+    nothing else. `copies` counts the rows of equal text. Rows that repeat a doc_id are one document if the texts are
+    equal, else documents of their own that go by the same name, and a null id is grouped by its text alone. Other columns are not read.
 
     Equal texts are settled first and one of each goes on. In every bucket of a band the first document is compared
     with all others (a star, not pairs) and the links give components. Then documents of one bucket but of different
     components are compared; the join that brings them together drops those whose counts and signature bits rule the
     similarity out, and the rest is verified on the multisets.
     """
+    return _grouped(docs, similar, id_col, text_col).select("doc_id", "group_id", "copies")
+
+
+def _grouped(docs: DataFrame, similar: float, id_col: str, text_col: str) -> DataFrame:
+    """`groups` with same (hash of the text) and stays: whether this text is the first of its group by (doc_id, same)."""
     drawn = settle(sketch(docs, id_col, text_col))
     equal = settle(drawn.groupBy("same").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies")))
-    heads = equal.where("head is not null").select(F.col("head").alias("doc_id"), "same")
-    firsts = drawn.where(F.size("bands") > 0).join(heads, ["doc_id", "same"], "left_semi")
-    keyed = firsts.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    # A text is a node named by its doc_id; where texts share that, all but the first have a hash of both for a name.
+    shared = equal.groupBy("head").agg(F.min("same").alias("least"), F.count(F.lit(1)).alias("texts")).where("texts > 1 and head is not null").select("head", "least")
+    equal = settle(equal.join(shared, "head", "left").select("same", "head", "copies", F.when(F.col("least") != F.col("same"), F.xxhash64("head", "same")).otherwise(F.col("head")).alias("id")))
+    heads = equal.where("head is not null").select(F.col("head").alias("doc_id"), "same", "id")
+    firsts = drawn.where(F.size("bands") > 0).join(heads, ["doc_id", "same"])
+    keyed = firsts.select("id", F.explode("bands").alias("key"))
     # Only keys with two documents matter; the rows of a key meet in a join that can be split.
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("center")).where("rows > 1")
     members = settle(keyed.join(shared, "key").select("key", "id", "center"))
-    facts = drawn.select(F.col("doc_id").alias("id"), "n", *[F.col("bits")[i].alias(f"b{i}") for i in range(WORDS)])
-    facts = settle(facts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    bags = settle(_bags(docs.join(facts.select(F.col("id").alias(id_col)), id_col, "left_semi"), id_col, text_col).dropDuplicates(["id"]))
+    nodes = heads.join(members.select("id").distinct(), "id", "left_semi")
+    facts = settle(drawn.join(nodes, ["doc_id", "same"]).select("id", "n", *[F.col("bits")[i].alias(f"b{i}") for i in range(WORDS)]).dropDuplicates(["id"]))
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), _same(docs[text_col]).alias("same"), docs[text_col].cast("string").alias("text"))
+    bags = settle(_bags(texts.join(nodes, ["doc_id", "same"]).select("id", "text")).dropDuplicates(["id"]))
 
     star = members.where("id <> center").select("id", "center").distinct()
     x, y = facts.alias("x"), facts.alias("y")
@@ -228,15 +240,17 @@ def groups(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", te
     if not more.isEmpty():
         comp = settle(components(links.unionByName(more)))
 
-    named = equal.join(comp.select(F.col("id").alias("head"), "comp"), "head", "left").select("same", "copies", F.coalesce("comp", "head").alias("group_id"))
-    return drawn.select("doc_id", "same").join(named, "same").select("doc_id", "group_id", "copies")
+    named = equal.join(comp, "id", "left")
+    first = named.where("comp is not null").groupBy("comp").agg(F.min(F.struct("head", "same")).alias("first"))
+    named = named.join(first, "comp", "left").select("same", "copies", F.coalesce("first.head", "head").alias("group_id"), F.coalesce(F.col("first.same") == F.col("same"), F.lit(True)).alias("stays"))
+    return drawn.select("doc_id", "same").join(named, "same")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of `docs` without near duplicates: of each group the document with the smallest doc_id stays, once.
 
-    Rows without an id can't be named as a duplicate and stay as they are; rows that repeat an id count once.
+    Rows without an id can't be named as a duplicate and stay as they are; rows that repeat both id and text count once.
     """
-    found = groups(docs, similar)
-    stay = found.where("doc_id = group_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    found = _grouped(docs, similar, "doc_id", "text")
+    stay = found.where("stays and doc_id = group_id").select("doc_id", F.col("same").alias("__same")).distinct()
+    return docs.withColumn("__same", _same(docs["text"])).join(stay, ["doc_id", "__same"], "left_semi").dropDuplicates(["doc_id", "__same"]).select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -67,7 +67,7 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat or nearly repeat an earlier line."""
-    return line_join.repeated_lines(_table(spark, sf_dir, "documents"))
+    return line_join.repeated_by_text(_table(spark, sf_dir, "documents"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

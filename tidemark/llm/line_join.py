@@ -1,7 +1,9 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words. Lines are ordered by (doc_id, line number); a line goes if an earlier line, kept or not,
-has a Jaccard similarity of at least `similar` with it. Equal sets are one class, held by its first line.
+has a Jaccard similarity of at least `similar` with it. Equal sets are one class, held by its first line. A document is
+an id and a text: rows that share an id (or have none) but not the text are documents of their own, in the order of a
+hash of the text.
 
 Candidates: words of a set are ordered by rarity, and two similar sets share one of their first
 ``n - ceil(similar * n) + 1`` words. The join on these words keeps a pair only if their sizes (length filter), the places
@@ -23,6 +25,10 @@ RARITY_SLOTS = 1 << 17
 GROUP = 256
 #: Flags by hash that spare most lines the shuffle when the words of candidate lines are fetched.
 FLAG_SLOTS = 1 << 18
+#: What names a line. part is the hash of the text where an id has several texts, else 0, which takes no space.
+LINE = ("doc", "part", "no")
+#: Stands for a null id in the order.
+LOW = -(1 << 63)
 
 
 def _split(text: Column) -> Column:
@@ -64,7 +70,7 @@ def _sets(lines: DataFrame, table: bytes, similar: float) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    return docs.select("doc", "part", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
 
 
 def _may_match(x: str, y: str, similar: float) -> Column:
@@ -80,77 +86,108 @@ def _may_match(x: str, y: str, similar: float) -> Column:
 
 
 def _pairs(x: str, y: str) -> list[Column]:
-    return [F.col(f"{x}.doc").alias("x_doc"), F.col(f"{x}.no").alias("x_no"), F.col(f"{y}.doc").alias("y_doc"), F.col(f"{y}.no").alias("y_no")]
+    return [F.col(f"{side}.{c}").alias(f"{name}_{c}") for side, name in ((x, "x"), (y, "y")) for c in LINE]
 
 
 def _earlier(x: str, y: str) -> Column:
-    return F.struct(F.col(f"{x}.doc"), F.col(f"{x}.no")) < F.struct(F.col(f"{y}.doc"), F.col(f"{y}.no"))
+    return F.struct(*[F.col(f"{x}.{c}") for c in LINE]) < F.struct(*[F.col(f"{y}.{c}") for c in LINE])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
     """The pairs whose sets of words are similar enough."""
     pairs = settle(pairs.distinct())
-    ends = pairs.select(F.col("x_doc").alias("doc"), F.col("x_no").alias("no")).unionByName(pairs.select(F.col("y_doc").alias("doc"), F.col("y_no").alias("no"))).distinct()
-    slot = F.pmod(F.xxhash64("doc", "no"), F.lit(FLAG_SLOTS))
+    end = lambda side: pairs.select(*[F.col(f"{side}_{c}").alias(c) for c in LINE])
+    ends = end("x").unionByName(end("y")).distinct()
+    slot = F.pmod(F.xxhash64(*LINE), F.lit(FLAG_SLOTS))
     flags = bytearray(FLAG_SLOTS)
     for (s,) in ends.select(slot.alias("s")).distinct().collect():  # at most FLAG_SLOTS rows
         flags[s] = 1
     lines = _lines(docs).where(_entry(bytes(flags), slot) == 1)
-    sets = settle(lines.join(ends, ["doc", "no"], "left_semi").select("doc", "no", F.array_distinct(_words(F.col("line"))).alias("set")))
-    x = sets.select(F.col("doc").alias("x_doc"), F.col("no").alias("x_no"), F.col("set").alias("x_set"))
-    y = sets.select(F.col("doc").alias("y_doc"), F.col("no").alias("y_no"), F.col("set").alias("y_set"))
-    both = pairs.join(x, ["x_doc", "x_no"]).join(y, ["y_doc", "y_no"]).withColumn("common", F.size(F.array_intersect("x_set", "y_set")))
-    return both.where(F.col("common") >= F.lit(similar) * (F.size("x_set") + F.size("y_set") - F.col("common")) - 1e-9).select("y_doc", "y_no").distinct()
+    sets = settle(lines.join(ends, [*LINE], "left_semi").select(*LINE, F.array_distinct(_words(F.col("line"))).alias("set")))
+    x, y = (sets.select(*[F.col(c).alias(f"{side}_{c}") for c in (*LINE, "set")]) for side in "xy")
+    both = pairs.join(x, [f"x_{c}" for c in LINE]).join(y, [f"y_{c}" for c in LINE]).withColumn("common", F.size(F.array_intersect("x_set", "y_set")))
+    return both.where(F.col("common") >= F.lit(similar) * (F.size("x_set") + F.size("y_set") - F.col("common")) - 1e-9).select(*[f"y_{c}" for c in LINE]).distinct()
 
 
-def repeated_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, removed (ascending line numbers from 0) for every doc_id of `docs`.
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def repeated_by_text(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash (xxhash64), copies, n_lines, removed (ascending line numbers from 0) for every doc_id and text.
 
     Lines end at a line feed; words are what white space parts, in lower case, as a set. Null and empty texts are one
-    line without words; such lines are never removed. Null ids come first in the order. Rows that repeat a doc_id count
-    as one document: their lines of equal number and words are judged alike. Other columns are not read.
+    line without words; such lines are never removed. Null ids come first in the order. Rows that repeat both doc_id and
+    text count as one document, `copies` says how many they are. Where the id is null all copies but one are documents
+    that repeat the first: all their words go. Other columns are not read.
+    """
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LOW)).alias("doc"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    hashed = rows.withColumn("text_hash", _text_hash(F.col("text")))
+    n_lines = F.max(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    ids = settle(hashed.groupBy("doc", "text_hash").agg(n_lines.alias("n_lines"), F.count(F.lit(1)).alias("copies")))
+    # Ids of several texts, by slot of their hash; another id of such a slot only takes more space.
+    slot = F.pmod(F.xxhash64("doc"), F.lit(FLAG_SLOTS))
+    flags = bytearray(FLAG_SLOTS)
+    for (s,) in ids.groupBy("doc").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select(slot.alias("s")).distinct().collect():  # at most FLAG_SLOTS rows
+        flags[s] = 1
+    part = F.when(_entry(bytes(flags), slot) == 1, F.col("text_hash")).otherwise(F.lit(0).cast("long")) if any(flags) else F.lit(0).cast("long")
+    out = _removed_lines(hashed.select("doc", part.alias("part"), "text"), similar)
+    found = ids.withColumn("part", part).join(out, ["doc", "part"], "left")
+    return found.select(F.when(F.col("doc") == LOW, F.lit(None)).otherwise(F.col("doc")).cast("long").alias("doc_id"), "text_hash", "copies", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+
+
+def repeated_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_lines, removed: `repeated_by_text` in one row for every doc_id of `docs`.
+
+    Where an id has several texts (as the null id may), n_lines is that of the longest and removed has the numbers of all
+    of them: to change texts, take `repeated_by_text`.
     """
-    low = F.lit(-(1 << 63)).cast("long")
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), low).alias("doc"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    found = repeated_by_text(docs, similar, id_col, text_col)
+    return found.groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("removed")))).alias("removed"))
+
+
+def _removed_lines(rows: DataFrame, similar: float) -> DataFrame:
+    """doc, part, removed of the documents (doc, part, text) that lose lines."""
     lines = settle(_sets(_lines(rows), rarity(rows), similar))
-    first = F.min(F.struct("doc", "no")).alias("first")
+    first = F.min(F.struct(*LINE)).alias("first")
     # n, bits and prefix are the same in all lines of a class.
     classes = lines.groupBy("same").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     # Before the shuffle, word and place are one number, line number and size another: rows of five words, not seven.
     low_bits = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
     pair = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long"))
-    rows_of = classes.select(F.posexplode("prefix").alias("at", "word"), F.col("first.doc").alias("doc"), F.col("first.no").alias("no"), "n", "bits")
-    packed = rows_of.select(pair("word", "at").alias("word_at"), "doc", pair("no", "n").alias("no_n"), "bits")
+    rows_of = classes.select(F.posexplode("prefix").alias("at", "word"), *[F.col(f"first.{c}").alias(c) for c in LINE], "n", "bits")
+    packed = rows_of.select(pair("word", "at").alias("word_at"), "doc", "part", pair("no", "n").alias("no_n"), "bits")
     met = packed.repartition(F.shiftright("word_at", 32)).select(
-        F.shiftright("word_at", 32).alias("word"), low_bits("word_at").alias("at"), "doc", F.shiftright("no_n", 32).cast("int").alias("no"), low_bits("no_n").alias("n"), "bits"
+        F.shiftright("word_at", 32).alias("word"), low_bits("word_at").alias("at"), "doc", "part", F.shiftright("no_n", 32).cast("int").alias("no"), low_bits("no_n").alias("n"), "bits"
     )
     group = Window.partitionBy("word")
-    met = met.withColumn("rows", F.count(F.lit(1)).over(group)).withColumn("head", F.min(F.struct("doc", "no", "n", "bits", "at")).over(group)).where("rows > 1")
+    met = met.withColumn("rows", F.count(F.lit(1)).over(group)).withColumn("head", F.min(F.struct(*LINE, "n", "bits", "at")).over(group)).where("rows > 1")
     near = met.where(F.col("rows") <= GROUP).drop("head")
     x, y = near.alias("x"), near.alias("y")
     small = x.join(y, (F.col("x.word") == F.col("y.word")) & _earlier("x", "y") & _may_match("x", "y", similar)).select(*_pairs("x", "y"))
     crowd = settle(met.where(F.col("rows") > GROUP))
-    star = crowd.select(F.col("head").alias("x"), F.struct("doc", "no", "n", "bits", "at").alias("y")).where(_earlier("x", "y") & _may_match("x", "y", similar)).select(*_pairs("x", "y"))
+    star = crowd.select(F.col("head").alias("x"), F.struct(*LINE, "n", "bits", "at").alias("y")).where(_earlier("x", "y") & _may_match("x", "y", similar)).select(*_pairs("x", "y"))
     gone = settle(_verified(small.unionByName(star), rows, similar))
     # In crowded groups, whoever did not match the earliest is compared with all earlier sets.
-    left = crowd.drop("head", "rows").join(gone, (F.col("doc") == F.col("y_doc")) & (F.col("no") == F.col("y_no")), "left_anti").alias("y")
+    left = crowd.drop("head", "rows").join(gone.select(*[F.col(f"y_{c}").alias(c) for c in LINE]), [*LINE], "left_anti").alias("y")
     rest = crowd.drop("head", "rows").alias("x").join(left, (F.col("x.word") == F.col("y.word")) & _earlier("x", "y") & _may_match("x", "y", similar)).select(*_pairs("x", "y"))
     gone = gone.unionByName(_verified(rest, rows, similar)).distinct()
 
-    named = lines.select("doc", "no", "same").join(lines.groupBy("same").agg(first), "same")
-    held = named.join(gone.select(F.struct(F.col("y_doc").alias("doc"), F.col("y_no").alias("no")).alias("first"), F.lit(True).alias("late")), "first", "left")
-    out = held.where((F.struct("doc", "no") != F.col("first")) | F.col("late")).groupBy("doc").agg(F.array_sort(F.collect_set("no")).alias("removed"))
-    ids = rows.groupBy("doc").agg(F.max(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
-    return ids.join(out, "doc", "left").select(F.when(F.col("doc") == low, F.lit(None)).otherwise(F.col("doc")).cast("long").alias("doc_id"), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    named = lines.select(*LINE, "same").join(lines.groupBy("same").agg(first), "same")
+    held = named.join(gone.select(F.struct(*[F.col(f"y_{c}").alias(c) for c in LINE]).alias("first"), F.lit(True).alias("late")), "first", "left")
+    return held.where((F.struct(*LINE) != F.col("first")) | F.col("late")).groupBy("doc", "part").agg(F.array_sort(F.collect_set("no")).alias("removed"))
 
 
 def without_repeats(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """`docs` with texts (and n_chars, where there is such a column) that have lost their repeated lines.
 
-    A document that loses all of its words this way goes; one that had none to begin with stays as it is.
+    A document that loses all of its words this way goes; one that had none to begin with stays as it is. Rows without an
+    id are documents each, so one of those with equal texts stays; rows that repeat both id and text are changed alike.
     """
-    found = repeated_lines(docs, similar).where(F.size("removed") > 0).select(F.col("doc_id").alias("__doc"), "removed")
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    found = repeated_by_text(docs, similar).where(F.size("removed") > 0).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "removed")
+    copy = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
+    single = docs.where(~copy).unionByName(docs.where(copy).dropDuplicates(["text"]))
+    both = single.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")) & (_text_hash(F.col("text")) == F.col("__hash")), "left")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "removed"), lambda i: F.get("__lines", i))
     out = both.withColumn("__lines", F.when(F.col("removed").isNotNull(), F.split("text", "\n", -1))).withColumn("text", F.when(F.col("removed").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")))
     out = out.where(F.col("removed").isNull() | F.col("text").rlike(r"\S"))
