@@ -11,7 +11,7 @@ import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidemark.llm import bag_minhash, bpe_tree, byte_cnn, catalog, components, huffman_ids, jump_shards, kneser_ney, line_join, merkle, mincut_html, string_tiling
+from tidemark.llm import bag_minhash, bpe_tree, byte_cnn, catalog, components, huffman_ids, jump_shards, kneser_ney, line_join, merkle, mincut_html, string_tiling, words
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bag string, ids int, word int, key int, n int"
@@ -246,6 +246,53 @@ def test_reordered_passages_are_found(spark, empty):
     assert string_tiling.contaminated(empty, b).count() == 0 and string_tiling.contaminated(d, b.where("false")).count() == 0
 
 
+def test_words_by_unicode_class():
+    import unicodedata
+
+    def plain(t):
+        out, open_ = [], False
+        for c in t.lower():
+            k = unicodedata.category(c)
+            single = "\u0e00" <= c <= "\u0eff" or "\u3040" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff"
+            if k[0] in "LN":
+                if open_ and not single:
+                    out[-1] += c
+                else:
+                    out.append(c)
+                open_ = not single
+            elif k in ("Mn", "Mc") and out and last:
+                out[-1] += c
+            else:
+                open_ = False
+            last = k[0] in "LNM"
+        return out
+
+    texts = ["a\u00a0b\u3000c\u2014d \u201cquoted\u201d \u00abmot\u00bb e\u0301te\u0301 na\u00efve\u2019s", "日本語のテキスト。次の文！abc中文def", "ภาษาไทยที่นี่ xที่y", "", None, "ends in é", "é", "語", "Ünï ＡＢ１、２", "😀word😀 한국어 단어"]
+    buf, at = words.joined(texts, lower=True)
+    _, doc, start, end = words.letter_words(buf, at)
+    assert [[bytes(buf[a:b]).decode() for a, b in zip(start[doc == i], end[doc == i])] for i in range(len(texts))] == [plain(t or "") for t in texts]
+
+
+def test_passages_beyond_ascii_and_short_items_are_found(spark):
+    chinese = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(40))
+    spaced = [f"w{k}" for k in range(12)]
+    items = [(1, chinese), (2, " ".join(spaced)), (3, "two words"), (4, "語"), (5, None), (6, "?!")]
+    docs = [(1, "前文" + chinese + "後文"), (2, "\u00a0".join(spaced)), (3, "\u2014".join(spaced)), (4, "\u201c" + " ".join(spaced) + "\u201d"), (5, "those Two, words and two words"), (6, "two other words"), (7, "日本語"), (None, "two words"), (8, "two"), (9, None)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    long = {(1, 1), (2, 2), (3, 2), (4, 2)}
+    assert {(r["doc_id"], r["item_id"]) for r in string_tiling.contaminated(d, b).collect()} == long
+    out = string_tiling.contaminated(d, b, short=True).collect()
+    assert Counter((r["doc_id"], r["item_id"]) for r in out) == Counter(long | {(5, 3), (None, 3), (7, 4)})
+    assert [r["tiles"][0].asDict() for r in out if r["doc_id"] == 5] == [{"item_from": 0, "doc_from": 1, "words": 2}]
+
+
+def test_near_copies_beyond_ascii_have_many_shingles():
+    chinese = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(200))
+    for text, other in ((chinese, chinese[:100] + "x" + chinese[101:]), ("\u3000".join(f"w{k}" for k in range(200)), " ".join(f"w{k}" for k in range(200)))):
+        g, row = bag_minhash.shingles([text, other])
+        assert bag_minhash.overlap(g[row == 0], g[row == 1]) >= 0.8
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(string_tiling, "BLOCK_BYTES", 200)
     texts = [f"alpha{k} beta{k} gamma{k} delta{k} eps{k} zeta{k}" for k in range(9)]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.words import BASE, grams, is_word_byte, joined, mix, slices, words
+from tidemark.llm.words import BASE, grams, joined, letter_words, mix, slices
 from tidemark.session import settle
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -33,7 +33,7 @@ SIGMAS = 4.5
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of five words, and their text, in order of both. A text of fewer words is one run."""
     buf, at = joined(texts, lower=True)
-    h, doc, _, _ = words(buf, at, is_word_byte())
+    h, doc, _, _ = letter_words(buf, at)
     g, place = grams(h, doc, SHINGLE)
     row = doc[place]
     count = np.bincount(doc, minlength=len(texts))
@@ -193,7 +193,7 @@ def groups(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", te
     """doc_id, group_id, copies: one row per row of `docs`; the group is named by its smallest doc_id.
 
     Documents belong together if a chain of links joins them; a link is an equal text, or multisets of five-word runs
-    (words: runs of letters and digits in lower case) with a weighted Jaccard similarity of at least `similar`. A text
+    (words: runs of letters and digits in lower case, single characters of scripts without blanks) with a weighted Jaccard similarity of at least `similar`. A text
     of fewer than five words is one run of its words; null and empty texts are equal to each other and linked to
     nothing else. `copies` counts the rows of equal text. Rows that repeat a doc_id are one document if the texts are
     equal, else documents of their own that go by the same name, and a null id is grouped by its text alone. Other columns are not read.

@@ -43,7 +43,7 @@ def op4_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark passage, with the passage."""
-    return string_tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return string_tiling.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), short=True)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

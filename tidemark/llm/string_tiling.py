@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.words import grams, is_word_byte, joined, slices, words
+from tidemark.llm.words import grams, joined, letter_words, slices
 from tidemark.session import settle
 
 #: Words of a seed, and of the shortest tile.
@@ -34,7 +34,7 @@ class Items:
 
     def __init__(self, ids: list[int | None], texts: list[str | None]):
         buf, at = joined(texts, lower=True)
-        h, item, _, _ = words(buf, at, is_word_byte())
+        h, item, _, _ = letter_words(buf, at)
         self.ids, self.words = ids, h
         self.first = np.searchsorted(item, np.arange(len(ids) + 1))
         g, place = grams(h, item, SEED)
@@ -42,6 +42,15 @@ class Items:
         self.place = place[order]  # word numbers, by seed
         self.seeds, self.run = np.unique(g[order], return_index=True)
         self.run = np.append(self.run, len(g))
+        # Items of fewer words, by their number: hashes of the whole in order, and the items.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, SEED):
+            own = np.flatnonzero(np.diff(self.first) == n)
+            if len(own):
+                g, place = grams(h, item, n)
+                whole = g[np.searchsorted(place, self.first[own])]
+                order = np.argsort(whole, kind="stable")
+                self.short[n] = whole[order], own[order]
 
     def length(self, i: int) -> int:
         return int(self.first[i + 1] - self.first[i])
@@ -105,10 +114,29 @@ def _matches(item: np.ndarray, text: np.ndarray, item_free: np.ndarray, text_fre
     return out
 
 
-def find(items: Items, ids: list[int | None], texts: list[str | None], threshold: float) -> Iterator[tuple]:
-    """Rows of SCHEMA for the texts whose tiles reach the threshold."""
+def _whole(items: Items, h: np.ndarray, doc: np.ndarray, begins: np.ndarray, ids: list[int | None]) -> Iterator[tuple]:
+    """Rows of SCHEMA for the texts that hold an item of fewer than SEED words, at its first place."""
+    for n, (whole, own) in items.short.items():
+        g, place = grams(h, doc, n)
+        low, high = np.searchsorted(whole, g), np.searchsorted(whole, g, "right")
+        hit = np.flatnonzero(high > low)
+        low, high = low[hit], high[hit]
+        item = own[np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange(int((high - low).sum()))]
+        here = np.repeat(place[hit], high - low)
+        pairs, at = np.unique(doc[here] * len(items.ids) + item, return_index=True)
+        for pair, j in zip(pairs.tolist(), here[at].tolist()):
+            d, i = divmod(pair, len(items.ids))
+            if np.array_equal(h[j : j + n], items.words[items.first[i] : items.first[i] + n]):
+                yield ids[d], items.ids[i], 1.0, n, [{"item_from": 0, "doc_from": j - int(begins[d]), "words": n}]
+
+
+def find(items: Items, ids: list[int | None], texts: list[str | None], threshold: float, short: bool = False) -> Iterator[tuple]:
+    """Rows of SCHEMA for the texts whose tiles reach the threshold, and if `short` for those that hold an item too short for tiles."""
     buf, at = joined(texts, lower=True)
-    h, doc, _, _ = words(buf, at, is_word_byte())
+    h, doc, _, _ = letter_words(buf, at)
+    begins = np.searchsorted(doc, np.arange(len(texts) + 1))
+    if short:
+        yield from _whole(items, h, doc, begins, ids)
     g, place = grams(h, doc, SEED)
     if not len(items.seeds) or not len(g):
         return
@@ -122,7 +150,6 @@ def find(items: Items, ids: list[int | None], texts: list[str | None], threshold
     order = np.lexsort((here, item, row))
     row, item, word, here = row[order], item[order], word[order], here[order]
     edge = np.flatnonzero(np.diff(row, prepend=-1).astype(bool) | np.diff(item, prepend=-1).astype(bool))
-    begins = np.searchsorted(doc, np.arange(len(texts) + 1))
     for a, b in zip(edge, [*edge[1:], len(row)]):
         d, i = int(row[a]), int(item[a])
         first, n = int(items.first[i]), items.length(i)
@@ -147,11 +174,12 @@ def find(items: Items, ids: list[int | None], texts: list[str | None], threshold
             yield ids[d], items.ids[i], covered / n, n, [{"item_from": x, "doc_from": int(where[y]), "words": w} for x, y, w in tiles]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVER, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVER, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False) -> DataFrame:
     """Pairs of a document and a test item it contains: doc_id, item_id, coverage, words (of the item), tiles.
 
-    Words are runs of letters and digits in lower case. Null and empty texts hold nothing, and items shorter than SEED
-    words are too common to be told from chance: neither gives a row. Repeated documents or items give a row each; a
+    Words are runs of letters and digits in lower case, and single characters of scripts without blanks between words.
+    Null and empty texts hold nothing and give no row. Items shorter than SEED words can't be told from chance; if `short`,
+    they are found where a document holds all their words in a row, else they give no row. Repeated documents or items give a row each; a
     null id stays null; other columns are not read. An empty table on either side gives no rows.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -164,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVER
             names = ["doc_id", "item_id", "coverage", "words", "tiles"]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.struct([("item_from", pa.int32()), ("doc_from", pa.int32()), ("words", pa.int32())]))]
             for b in slices(batches, "text"):
-                found = list(find(block, b["doc_id"].to_pylist(), b["text"].to_pylist(), threshold))
+                found = list(find(block, b["doc_id"].to_pylist(), b["text"].to_pylist(), threshold, short))
                 yield pa.record_batch([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names)
 
         return rows.mapInArrow(run, SCHEMA)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,8 +46,9 @@ def joined(texts: Iterable[str | None], lower: bool = False) -> tuple[np.ndarray
     return np.frombuffer(b"".join(parts), np.uint8), at
 
 
-def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and end position of each run of set flags; a run never reaches over the border of two texts."""
+def runs(inside: np.ndarray, at: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First and end position of each run of set flags; a run never reaches over the border of two texts, nor over a
+    position that `cut` flags as the first of a new run."""
     n = len(inside)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -57,6 +60,9 @@ def runs(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last[:-1] &= ~inside[1:]
     tails = at[1:][at[1:] > 0] - 1
     last[tails] |= inside[tails]
+    if cut is not None:
+        first |= inside & cut
+        last[:-1] |= inside[:-1] & cut[1:]
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
@@ -76,11 +82,52 @@ def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def is_word_byte() -> np.ndarray:
-    """Flags by byte: ASCII letters and digits, and all bytes of characters beyond ASCII."""
-    flags = np.zeros(256, bool)
-    flags[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-    return flags
+#: Scripts written without blanks between words (first and last character of each block).
+UNSEGMENTED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16F00, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x33FFF),
+)
+#: Kinds of characters; marks go with the character before them.
+LETTER, MARK, SINGLE, SINGLE_MARK = 1, 2, 3, 4
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """Kind by code point: 0 where no word goes on. Above the last entry there are no letters."""
+    names = [unicodedata.category(chr(c)) for c in range(0x34000)]
+    kinds = np.array([LETTER if n[0] in "LN" else MARK if n in ("Mn", "Mc") else 0 for n in names], np.uint8)
+    kinds[0xFE00:0xFE10] = 0  # these choose between shapes of a character
+    for a, b in UNSEGMENTED:
+        own = kinds[a : b + 1]
+        own[[k == LETTER and n not in ("Nd", "No") for k, n in zip(own, names[a : b + 1])]] = SINGLE
+        own[own == MARK] = SINGLE_MARK
+    return kinds
+
+
+def letter_words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number, first and end byte of each word of UTF-8 texts: runs of letters, digits and their marks, and
+    single characters of scripts without blanks between words."""
+    ascii_flags = np.zeros(256, bool)
+    ascii_flags[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+    inside = ascii_flags[buf]
+    lead = np.flatnonzero(buf >= 0xC0)
+    first = buf[lead]
+    size = 2 + (first >= 0xE0).astype(np.int64) + (first >= 0xF0)
+    code = first.astype(np.int64) & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | buf[lead[more] + k] & 0x3F
+    table = _kinds()
+    kind = np.where(code < len(table), table[np.minimum(code, len(table) - 1)], 0)
+    for k in range(4):
+        inside[lead[(size > k) & (kind > 0)] + k] = True
+    # A single character is a word with the marks behind it: words are cut before it and after them.
+    cut = np.zeros(len(buf) + 1, bool)
+    cut[(lead + size)[kind >= SINGLE]] = True
+    cut[lead[(kind == MARK) | (kind == SINGLE_MARK)]] = False
+    cut[lead[kind == SINGLE]] = True
+    start, end = runs(inside, at, cut[:-1])
+    return hashes(buf, start, end), np.searchsorted(at, start, "right") - 1, start, end
 
 
 def not_space() -> np.ndarray:
@@ -90,13 +137,6 @@ def not_space() -> np.ndarray:
     return flags
 
 
-def words(buf: np.ndarray, at: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text number, first and end byte of each word: runs of bytes that are flagged."""
-    start, end = runs(flags[buf], at)
-    doc = np.searchsorted(at, start, "right") - 1
-    return hashes(buf, start, end), doc, start, end
-
-
 def grams(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of k words of one text, and the number of its first word."""
     n = len(h) - k + 1
