@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bag_minhash, bpe_tree, byte_cnn, huffman_ids, jump_shards, kneser_ney, line_join, merkle, mincut_html, string_tiling
+from tidemark.llm import bag_minhash, ball_codes, bpe_tree, byte_cnn, flow_mix, huffman_ids, jump_shards, kneser_ney, line_join, merkle, mincut_html, strata_search, string_tiling
 from tidemark.session import scratch_dir
 
 #: Vocabulary files and the splitting pattern; operators take them as parameters.
@@ -76,10 +76,28 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.decode(encoded, BYTE_RANKS, PATTERN).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every usable vector."""
+    return ball_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_strata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return strata_search.search(strata_search.build(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), 20)
+
+
+def op13_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    taken = flow_mix.mix(docs, F.array(docs["source"]), flow_mix.repeating((1, 2, 3)), most=3)
+    return taken.select("doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"), "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_html_text, op2_merkle_fingerprints, op3_language_id, op4_jump_shards, op5_decontamination, op6_near_duplicates, op7_huffman_ids, op8_kneser_ney, op9_line_dedup, op10_byte_bpe,
+        op1_html_text, op2_merkle_fingerprints, op3_language_id, op4_jump_shards, op5_decontamination, op6_near_duplicates, op7_huffman_ids, op8_kneser_ney, op9_line_dedup, op10_byte_bpe, op11_ball_codes, op12_strata_search,
+        op13_flow_mix,
     )
 }
-SQL: dict[str, str] = {"op4_jump_shards": jump_shards.SQL}
+SQL: dict[str, str] = {"op4_jump_shards": jump_shards.SQL, "op11_ball_codes": ball_codes.SQL, "op12_strata_search": strata_search.SQL, "op13_flow_mix": flow_mix.SQL}
