@@ -134,7 +134,7 @@ def test_bounds_skip_strata():
     texts = [t for _, t in docs]
     n = [len(re.findall(r"\w+", t or "")) for t in texts]
     batch = strata_search._part(strata_search.pa.array([i for i, _ in docs], strata_search.pa.int64()), texts, sum(x > 0 for x in n), sum(n))
-    row = {f.name: batch.column(f.name)[0].values for f in batch.schema}
+    row = next(strata_search.unpack([batch]))
     wanted = strata_search.pa.array([b"zz", b"copy"], strata_search.pa.binary())
     part, best = strata_search.Part(row, wanted), strata_search.Best(1)
     visited = part.search(np.array([0, 1]), np.array([5000, 1]), best)

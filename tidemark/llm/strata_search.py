@@ -17,10 +17,10 @@ from tidemark.session import settle
 
 #: Bytes of text in one part of the index, and bytes of search items that one pass over the index serves.
 PART_BYTES, BLOCK_BYTES = 8 << 20, 2 << 20
-SCHEMA = (
-    "doc_ids array<long>, norms array<int>, norm_docs array<int>, terms array<binary>, df array<int>, "
-    "run_stratum array<int>, run_term array<int>, run_tf array<int>, run_end array<int>, docs array<int>"
-)
+#: Columns of a part: its distinct terms with their document counts, and its documents, strata and postings. Both are packed
+#: by Arrow, so that a part is two short values for the JVM and a search for counts reads the first one only.
+SCHEMA = "vocabulary binary, postings binary"
+VOCABULARY = ("terms", "df")
 
 
 def _flags() -> tuple[np.ndarray, np.ndarray]:
@@ -114,19 +114,37 @@ def _part(ids: pa.Array, texts: list[str | None], n_docs: int, n_terms: int) ->
     head = np.flatnonzero(np.diff(stratum, prepend=-1) | np.diff(term, prepend=-1) | np.diff(tf, prepend=-1))
     lists = [stratum[head], term[head], tf[head], np.append(head[1:], len(at)), at]
     one = lambda a, kind: pa.array([a], pa.list_(kind))
-    return pa.record_batch(
+    part = pa.record_batch(
         [
             one(ids.take(pa.array(order)), pa.int64()), one(norms, pa.int32()), one(np.append(first[1:], len(order)), pa.int32()),
             one(terms.cast(pa.binary()), pa.binary()), one(np.bincount(term, minlength=len(terms)), pa.int32()), *[one(a.astype(np.int32), pa.int32()) for a in lists],
         ],
         ["doc_ids", "norms", "norm_docs", "terms", "df", "run_stratum", "run_term", "run_tf", "run_end", "docs"],
     )
+    return pack(part)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
+def pack(part: pa.RecordBatch) -> pa.RecordBatch:
+    """A part as one row of SCHEMA."""
+    packed = []
+    for names in (VOCABULARY, [n for n in part.schema.names if n not in VOCABULARY]):
+        some, sink = part.select(list(names)), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(some)
+        packed.append(pa.array([sink.getvalue().to_pybytes()], pa.binary()))
+    return pa.record_batch(packed, ["vocabulary", "postings"])
+
+
+def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
+    """Columns of each part, one part at a time."""
     for b in batches:
         for i in range(b.num_rows):
-            yield {f.name: b.column(f.name)[i].values for f in b.schema}
+            row = {}
+            for c in b.columns:
+                with pa.ipc.open_stream(c[i].as_buffer()) as packed:
+                    one = packed.read_next_batch()
+                row |= {f.name: one.column(f.name)[0].values for f in one.schema}
+            yield row
 
 
 class Best:
@@ -243,13 +261,13 @@ def _block(index: Index, block: list[tuple[int | None, str | None]], top: int) -
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(wanted), np.int64)
-        for row in _rows(batches):
+        for row in unpack(batches):
             at = pc.fill_null(pc.index_in(wanted, value_set=row["terms"]), -1).to_numpy(zero_copy_only=False)
             df[at >= 0] += row["df"].to_numpy(zero_copy_only=False)[at[at >= 0]]
         some = np.flatnonzero(df)
         yield pa.record_batch([pa.array(some), pa.array(df[some])], ["term", "df"])
 
-    counted = index.parts.select("terms", "df").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = index.parts.select("vocabulary").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     df = {r["term"]: r["df"] for r in counted.collect()}  # at most one row per term of the block
     weight = np.array([math.floor(1000 * math.log((2 * index.n_docs + 2) / (2 * df[t] + 1))) if t in df else 0 for t in range(len(wanted))], np.int64)
     begin = np.searchsorted(doc, np.arange(len(block) + 1))
@@ -261,7 +279,7 @@ def _block(index: Index, block: list[tuple[int | None, str | None]], top: int) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best(top) for _ in asked]
-        for row in _rows(batches):
+        for row in unpack(batches):
             part = Part(row, wanted)
             for (_, _, own, value), b in zip(asked, best):
                 part.search(own, value, b)
