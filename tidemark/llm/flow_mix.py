@@ -117,7 +117,8 @@ def _select(units: DataFrame, need: DataFrame, by: Sequence[str]) -> DataFrame:
         earlier = Window.partitionBy(*by).orderBy("own").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
         at = sums.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
-        at = at.select(*by, (F.col("rest") - F.col("before")).alias("rest"), F.col("own").alias("range"))
+        # Written out, so that Spark knows how small it is and need not deal the units by group for the next join.
+        at = settle(at.select(*by, (F.col("rest") - F.col("before")).alias("rest"), F.col("own").alias("range")))
         former = shift
     near = units.join(at, by).where(F.shiftright("key", former) == F.col("range"))
     earlier = Window.partitionBy(*by).orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
