@@ -189,7 +189,7 @@ def mix(
         copies, rest = divmod(sum(flow.values()), words) if words else (0, 0)
         plan.append((list(p), i, copies, min(rest, words - rest), 2 * rest > words, [name(m) for m in p], [sizes[name(m)] for m in p], [goal[name(m)] for m in p]))
     kind = "members array<string>, pattern int, copies long, pick long, omit boolean, names array<string>, source_sizes array<long>, targets array<double>"
-    plans = spark.createDataFrame(plan, kind)
+    plans = settle(spark.createDataFrame(plan, kind))
 
     units = units.join(plans.select("members", "pattern"), "members").select("pattern", "doc_id", "size", "n", _seeded(seed).alias("key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
     units = settle(units)
