@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import month_of
+from tidemark.operators import equity
 from tidemark.operators import indicators as I
 from tidemark.operators import labels as L
 from tidemark.operators import montecarlo as MC
 from tidemark.operators import signals as S
 from tidemark.operators import trades as X
 from tidemark.operators import windows as N
-from tidemark.operators.chunks import affine_scan, compose_prefix, index_rows, rolling, running
+from tidemark.operators.chunks import affine_scan, chunk_of, compose_prefix, index_rows, rolling, running
 from tidemark.operators.joins import asof_join
 from tidemark.operators.orderstats import quantiles, rank_table
 from tidemark.session import settle
@@ -242,3 +243,78 @@ def test_signal_outcome_equals_the_loop(hot):
                 want = 2.0
                 break
         assert row["r"] == want
+
+
+# --- equity in one pass ---------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def results(spark, hot):
+    """Results per symbol with gains, losses and zeros; HOT has 700 rows, far more than a chunk of the tests."""
+    pdf, _ = hot
+    rng = np.random.default_rng(5)
+    pnl = np.round(rng.normal(-0.05, 3, len(pdf)), 2)
+    pnl[rng.random(len(pdf)) < 0.1] = 0
+    pdf = pdf.assign(pnl=pnl)
+    return pdf, settle(spark.createDataFrame(pdf[["symbol", "rn", "time", "pnl"]]).withColumn("pnl", F.col("pnl").cast("decimal(18,4)")).withColumn("time", F.col("time").cast("timestamp_ntz")))
+
+
+def _walk(values, from_start):
+    total, peak, fall, high, low = 0.0, 0.0 if from_start else -np.inf, 0.0, -np.inf, np.inf
+    for v in values:
+        total += v
+        peak, high, low = max(peak, total), max(high, total), min(low, total)
+        fall = max(fall, peak - total)
+    return total, high, low, fall
+
+
+@pytest.mark.parametrize("rows", [1, 7, ROWS, 10_000])
+@pytest.mark.parametrize("from_start", [True, False])
+def test_pieces_of_a_path_fold_to_the_walk(results, rows, from_start):
+    pdf, df = results
+    got = equity.folded(df, F.col("pnl"), ["symbol"], chunk_of(rows), ["rn"], {"n": ("sum", F.lit(1)), "best": ("max", F.col("pnl"))}, from_start)
+    for r in got.collect():
+        own = pdf[pdf["symbol"] == r["symbol"]].sort_values("rn")["pnl"]
+        assert np.allclose([float(r[c]) for c in ("total", "high", "low", "fall")], _walk(own, from_start))
+        assert r["n"] == len(own) and float(r["best"]) == own.max()
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_paths_and_day_losses_do_not_depend_on_chunks(results, rows):
+    pdf, df = results
+    got = frame(equity.path(df, F.col("pnl"), rows=rows), "cum", "top").astype({"cum": float, "top": float})
+    g = pdf.sort_values(["symbol", "rn"]).groupby("symbol")["pnl"]
+    assert np.allclose(got["cum"], g.cumsum()) and np.allclose(got["top"], g.cumsum().groupby(pdf.sort_values(["symbol", "rn"])["symbol"]).cummax())
+    day = frame(N.day_loss(df, 100.0, rows=rows), "day_pnl", "loss_pct", "allowed")
+    s = pdf.sort_values(["symbol", "rn"])
+    own = s.groupby(["symbol", s["time"].dt.date])["pnl"].cumsum()
+    total = 100 + s.groupby("symbol")["pnl"].cumsum()
+    assert np.allclose(day["day_pnl"], own)
+    loss = np.where((own < 0) & (total > 0), -own / total * 100, 0)
+    assert np.allclose(day["loss_pct"], loss) and (day["allowed"].values == ((total <= 0) | (loss < 5)).values).all()
+
+
+def test_metrics_do_not_depend_on_chunks(results):
+    _, df = results
+    whole = {r["symbol"]: r for r in X.trade_metrics(df, 50.0).collect()}
+    hourly = {r["symbol"]: r for r in X.trade_metrics_h1(df).collect()}
+    paths = {(r["symbol"], r["sim"]): r for r in MC.reshuffle(df, 3).collect()}
+    for rows in (5, 12, 100):
+        for one, all_rows in ((X.trade_metrics(df, 50.0, rows=rows), whole), (X.trade_metrics_h1(df, rows=rows), hourly)):
+            for r in one.collect():
+                assert np.allclose([float(v) for v in r[1:]], [float(v) for v in all_rows[r["symbol"]][1:]])
+        for r in MC.reshuffle(df, 3, rows=rows).collect():
+            assert np.allclose([float(v) for v in r[2:]], [float(v) for v in paths[(r["symbol"], r["sim"])][2:]])
+
+
+def test_error_function(spark):
+    import math
+
+    from tidemark.functions.numbers import erfc, norm_cdf, two_sided_p
+
+    x = [-40.0, -3.0, -0.4, -1e-9, 0.0, 0.3, 0.46875, 0.5, 2.0, 4.0, 4.1, 9.0, 26.0, 40.0, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(erfc("x")).collect()]
+    assert got[-1] is None and np.allclose(got[:-1], [math.erfc(v) for v in x[:-1]], rtol=1e-12, atol=1e-300)
+    row = spark.range(1).select(norm_cdf(F.lit(1.959963984540054)), two_sided_p(F.lit(0.1), F.lit(400)), two_sided_p(F.lit(1.0), F.lit(9)), two_sided_p(F.lit(0.5), F.lit(2))).first()
+    t = 0.1 * math.sqrt(398 / 0.99)
+    assert abs(row[0] - 0.975) < 1e-12 and abs(row[1] - math.erfc(t / math.sqrt(2))) < 1e-13 and row[2] == 0.0 and row[3] is None

@@ -1,20 +1,23 @@
 """Resampling checks of a trade list as table jobs.
 
 Draws are hashes of (simulation, position), so every run and every retried task sees the same numbers. Paths are
-ordered through the chunked operators: a path may be longer than one task should hold.
+cut into pieces and folded: a path may be longer than one task should hold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import mix
-from tidemark.operators.chunks import index_rows, rolling, running
+from tidemark.operators.chunks import CHUNK_ROWS
+from tidemark.operators.equity import folded, moments, path, spread
 from tidemark.operators.orderstats import quantiles
 from tidemark.session import settle
 
 KEY = ("symbol", "sim")
+#: Values that ``mix`` takes.
+HASHES = 2147483647
 
 
 def bootstrap_draws(trades: DataFrame, n: int, sims: int, seed: int = 42) -> DataFrame:
@@ -27,37 +30,58 @@ def bootstrap_draws(trades: DataFrame, n: int, sims: int, seed: int = 42) -> Dat
 
 
 def bootstrap_ruin(trades: DataFrame, n: int, sims: int, base: float = 10_000.0, seed: int = 42, rows: int | None = None) -> DataFrame:
-    """Chances of 10 / 15 / 20 / 30 % drawdown, drawdown and final equity percentiles over bootstrap paths."""
-    eq = running(settle(bootstrap_draws(trades, n, sims, seed)), {"__cum": ("sum", F.col("pnl"))}, KEY, rows)
-    eq = running(eq.withColumn("equity", F.col("__cum").cast("double") + base), {"peak": ("max", F.col("equity"))}, KEY, rows)
-    dd = (F.col("peak") - F.col("equity")) / F.greatest("peak", F.lit(1e-10))
-    path = settle(eq.groupBy(*KEY).agg(F.max(dd).alias("max_dd"), F.max_by("equity", "rn").alias("final")))
+    """Chances of 10 / 15 / 20 / 30 % drawdown, drawdown and final equity percentiles over bootstrap paths.
+
+    A fall in percent depends on the equity it starts from, so paths keep their points (``path``): one shuffle of the draws.
+    """
+    eq = path(bootstrap_draws(trades, n, sims, seed), F.col("pnl"), KEY, rows, "__cum", "__top")
+    equity, peak = F.col("__cum").cast("double") + base, F.col("__top").cast("double") + base
+    dd = (peak - equity) / F.greatest(peak, F.lit(1e-10))
+    paths = settle(eq.groupBy(*KEY).agg(F.max(dd).alias("max_dd"), F.max_by(equity, "rn").alias("final")))
     share = lambda level: (F.avg(F.when(F.col("max_dd") >= level, 100.0).otherwise(0.0))).alias(f"dd_{int(level * 100)}_pct")
-    g = path.groupBy("symbol").agg(
+    g = paths.groupBy("symbol").agg(
         *[share(x) for x in (0.10, 0.15, 0.20, 0.30)], (F.avg("max_dd") * 100).alias("max_dd_mean"),
         F.avg(F.when(F.col("final") > base, 100.0).otherwise(0.0)).alias("pct_profitable"),
     )
-    qd = quantiles(path.withColumn("v", F.col("max_dd") * 100), ["symbol"], "v", {"max_dd_median": 0.5, "max_dd_95": 0.95}).drop("n_rows")
-    qe = quantiles(path, ["symbol"], "final", {"equity_5": 0.05, "equity_median": 0.5, "equity_95": 0.95}).drop("n_rows")
-    return g.join(qd, "symbol").join(qe, "symbol")
+    # Both measures in one table of ranks.
+    long = paths.select("symbol", F.explode(F.array(F.struct(F.lit("dd").alias("of"), (F.col("max_dd") * 100).alias("v")), F.struct(F.lit("equity").alias("of"), F.col("final").alias("v")))).alias("x"))
+    q = quantiles(long.select("symbol", "x.*"), ["symbol", "of"], "v", {"q05": 0.05, "q50": 0.5, "q95": 0.95})
+    pick = lambda of, c, name: F.max(F.when(F.col("of") == of, F.col(c))).alias(name)
+    wide = q.groupBy("symbol").agg(
+        pick("dd", "q50", "max_dd_median"), pick("dd", "q95", "max_dd_95"), pick("equity", "q05", "equity_5"), pick("equity", "q50", "equity_median"), pick("equity", "q95", "equity_95")
+    )
+    return g.join(wide, "symbol")
 
 
 def reshuffle(trades: DataFrame, sims: int, seed: int = 42, rows: int | None = None) -> DataFrame:
-    """Final result, drawdown, Sharpe and profit factor of every random ordering of a symbol's trades."""
+    """Final result, drawdown, Sharpe and profit factor of every random ordering of a symbol's trades.
+
+    The order of a path is a hash, so ranges of the hash are pieces of the path: they are summed up and folded
+    (``folded``) without numbering the rows. A relative return needs the equity before it, which a second use of the
+    same pieces gives. Ranges are cut so that a piece holds about a chunk of rows.
+    """
     drawn = trades.select("symbol", F.col("rn").alias("__id"), "pnl", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim"))
     drawn = drawn.withColumn("__h", mix(F.col("sim"), F.col("__id"), seed=seed))
-    numbered = settle(index_rows(drawn, list(KEY), [F.floor(F.col("__h") / (1 << 23))], ["__h", "__id"]))
-    eq = running(numbered, {"equity": ("sum", F.col("pnl"))}, KEY, rows)
-    eq = running(settle(eq), {"peak": ("max", F.col("equity"))}, KEY, rows)
-    eq = rolling(eq, lambda d, w: d.withColumn("__prev", F.lag("equity").over(w).cast("double")), back=1, by=KEY, rows=rows)
-    ret = (F.col("equity").cast("double") - F.col("__prev")) / (F.abs("__prev") + 1e-10)
-    win, loss = F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))), F.abs(F.sum(F.when(F.col("pnl") < 0, F.col("pnl"))))
-    g = eq.groupBy(*KEY).agg(
-        F.sum("pnl").cast("double").alias("final_pnl"), F.max(F.col("peak") - F.col("equity")).cast("double").alias("max_dd"), F.avg(ret).alias("__m"), F.stddev_pop(ret).alias("__s"),
-        F.coalesce(win, F.lit(0)).cast("double").alias("__win"), F.coalesce(loss, F.lit(0)).cast("double").alias("__loss"),
-    )
-    sharpe = F.when(F.col("__s") > 0, F.col("__m") / (F.col("__s") + 1e-10) * 252**0.5).otherwise(0.0)
-    return g.select(*KEY, "final_pnl", "max_dd", sharpe.alias("sharpe"), F.when(F.col("__loss") > 0, F.col("__win") / F.col("__loss")).otherwise(999.0).alias("pf"))
+    sizes = trades.groupBy("symbol").agg((F.ceil(F.max("rn") / (rows or CHUNK_ROWS))).alias("__pieces"))
+    order = ["__h", "__id"]
+    chunk = F.floor(F.col("__h") / F.ceil(F.lit(HASHES) / F.col("__pieces"))).cast("long")
+    pieces = drawn.join(sizes, "symbol").select("symbol", "sim", "pnl", *order, chunk.alias("chunk"))
+    own = Window.partitionBy(*KEY, "chunk").orderBy(*order)
+    inner = pieces.withColumn("__sum", F.sum("pnl").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = pieces.groupBy(*KEY, "chunk").agg(F.sum("pnl").alias("__n"))
+    starts = starts.select(*KEY, "chunk", F.sum("__n").over(Window.partitionBy(*KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)).alias("__start"))
+    eq = inner.join(starts, [*KEY, "chunk"])
+    now = F.coalesce(F.col("__start") + F.col("__sum"), F.col("__sum"))
+    # The row before the first one of a piece is the end of the pieces before it.
+    prev = F.when(F.lag("pnl").over(own).isNotNull() | F.col("__start").isNotNull(), now - F.col("pnl")).cast("double")
+    ret = (now.cast("double") - prev) / (F.abs(prev) + 1e-10)
+    pnl = F.col("pnl")
+    also = {"__win": ("sum", F.when(pnl > 0, pnl)), "__loss": ("sum", F.when(pnl < 0, pnl))} | moments(F.col("__ret"), "__r")
+    g = folded(eq.withColumn("__ret", ret), pnl, KEY, F.col("chunk"), order, also, from_start=False)
+    mean, dev = spread("__r")
+    win, loss = F.coalesce("__win", F.lit(0)).cast("double"), F.coalesce(F.abs("__loss"), F.lit(0)).cast("double")
+    sharpe = F.when(dev > 0, mean / (dev + 1e-10) * 252**0.5).otherwise(0.0)
+    return g.select(*KEY, F.col("total").cast("double").alias("final_pnl"), F.col("fall").cast("double").alias("max_dd"), sharpe.alias("sharpe"), F.when(loss > 0, win / loss).otherwise(999.0).alias("pf"))
 
 
 def bootstrap_totals(trades: DataFrame, sims: int, seed: int = 43) -> DataFrame:

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import TINY, correlation, mix
 from tidemark.operators import indicators as I
-from tidemark.operators.chunks import index_rows, rolling, running
+from tidemark.operators.chunks import CHUNK_ROWS, chunk_of, index_rows, rolling
+from tidemark.operators.equity import folded
 from tidemark.operators.labels import non_overlapping_trades
 from tidemark.operators.orderstats import average_rank, quantiles, rank_table, with_average_rank
 from tidemark.operators.ranking import top_k_per
 from tidemark.operators.signals import cross_expr
-from tidemark.operators.trades import profit_factor
 from tidemark.session import settle
 
 REJECTED = -999.0
@@ -202,14 +202,21 @@ def grid_trades(bars: DataFrame, grid: DataFrame, kind: str = "kama", rows: int
     return non_overlapping_trades(settle(sig), s.select("symbol", "rn", "time", "high", "low", "close"))
 
 
-def candidate_metrics(trades: DataFrame, keys: Sequence[str] = ("symbol", "param_id")) -> DataFrame:
-    """Return, drawdown, PF, win rate and count per candidate (a candidate's trades are at most one per bar)."""
-    w = Window.partitionBy(*keys).orderBy("exit_rn", "entry_rn").rowsBetween(Window.unboundedPreceding, 0)
-    t = trades.withColumn("__eq", F.sum("pnl").over(w))
-    t = t.withColumn("__dd", F.greatest(F.max("__eq").over(w), F.lit(0.0)) - F.col("__eq"))
-    return t.groupBy(*keys).agg(
-        profit_factor(when_none=999.0).alias("pf"), F.sum("pnl").alias("ret"), F.max("__dd").alias("dd"), (F.count_if(F.col("pnl") > 0) / F.count(F.lit(1))).alias("wr"), F.count(F.lit(1)).alias("n_trades")
-    )
+def candidate_metrics(trades: DataFrame, keys: Sequence[str] = ("symbol", "param_id"), rows: int | None = None) -> DataFrame:
+    """Return, drawdown, PF, win rate and count per candidate (a candidate's trades are at most one per bar).
+
+    Trades are folded by ranges of exit bars, so a candidate with any number of trades is many small windows.
+    """
+    pnl = F.col("pnl")
+    also = {
+        "n_trades": ("sum", F.lit(1)), "__wins": ("sum", F.when(pnl > 0, 1).otherwise(0)), "__gain": ("sum", F.when(pnl > 0, pnl)), "__loss": ("sum", F.when(pnl < 0, pnl)),
+    }
+    g = folded(trades, pnl, keys, F.floor(F.col("exit_rn") / (rows or CHUNK_ROWS)), ["exit_rn", "entry_rn"], also)
+    loss = F.coalesce(F.abs("__loss"), F.lit(0.0))
+    return g.select(
+        *keys, F.when(loss > 0, F.coalesce("__gain", F.lit(0.0)) / loss).otherwise(999.0).alias("pf"), F.col("total").alias("ret"), F.col("fall").alias("dd"),
+        (F.col("__wins") / F.col("n_trades")).alias("wr"), "n_trades",
+    )
 
 
 def grid_search(bars: DataFrame, grid: DataFrame, windows: DataFrame, kind: str = "kama", rows: int | None = None) -> DataFrame:
@@ -281,13 +288,9 @@ def tune_exits(held: DataFrame, grid: DataFrame, keys=("symbol", "day_no"), top:
     g = g.withColumns({"scaled": F.when(scaled, 1).otherwise(0), "trailed": F.when(F.col("s_at").isNotNull(), 1).otherwise(0)})
     pair = ["symbol", "param_id"]
     g = settle(index_rows(g, pair, [F.to_date("exit_time")], ["exit_time", *[k for k in keys if k != "symbol"]]))
-    g = running(g, {"__eq": ("sum", F.col("pnl"))}, pair)
-    g = running(g, {"__pk": ("max", F.col("__eq"))}, pair)
-    g = g.withColumn("__dd", F.greatest(F.col("__pk"), F.lit(0.0)) - F.col("__eq"))
-    m = g.groupBy("symbol", "param_id", "target", "ch_mult").agg(
-        F.count(F.lit(1)).alias("trades"), F.sum("pnl").alias("ret"), F.max("__dd").alias("max_dd"), (F.count_if(F.col("pnl") > 0) / F.count(F.lit(1)) * 100).alias("win_rate"),
-        F.sum("scaled").alias("scale_out"), F.sum("trailed").alias("chandelier"),
-    )
+    also = {"trades": ("sum", F.lit(1)), "__wins": ("sum", F.when(F.col("pnl") > 0, 1).otherwise(0)), "scale_out": ("sum", F.col("scaled")), "chandelier": ("sum", F.col("trailed"))}
+    m = folded(g, F.col("pnl"), [*pair, "target", "ch_mult"], chunk_of(), ["rn"], also)
+    m = m.select(*pair, "target", "ch_mult", "trades", F.col("total").alias("ret"), F.col("fall").alias("max_dd"), (F.col("__wins") / F.col("trades") * 100).alias("win_rate"), "scale_out", "chandelier")
     m = m.withColumn("calmar", F.when(F.col("max_dd") > 0, F.abs(F.col("ret") / F.col("max_dd"))).otherwise(0.0))
     return top_k_per(m, ["symbol"], [F.desc("calmar"), "param_id"], top)
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import TINY, pnl_currency
 from tidemark.functions.times import epoch_seconds, trading_day, week_start
-from tidemark.operators.chunks import rolling, running
+from tidemark.operators.chunks import CHUNK_ROWS, chunk_of, rolling, running
+from tidemark.operators.equity import folded, moments, path, spread
 from tidemark.session import settle
 
 
@@ -47,47 +48,67 @@ def outcome_stats(c: str = "pnl") -> list[Column]:
 def equity_curve(trades: DataFrame, base: float, by: Sequence[str] = ("symbol",), rows: int | None = None) -> DataFrame:
     """Equity after every trade, its running peak and the drawdown in money and percent (peak starts at `base`)."""
     start = F.lit(base).cast("decimal(18,4)")
-    eq = running(trades, {"cum_pnl": ("sum", F.col("pnl"))}, by, rows).withColumn("equity", F.col("cum_pnl") + start)
-    out = running(eq, {"__peak": ("max", F.col("equity"))}, by, rows)
-    peak = F.greatest(F.col("__peak"), start.cast("decimal(38,4)"))
+    out = path(trades, F.col("pnl"), by, rows, "cum_pnl", "__top").withColumn("equity", F.col("cum_pnl") + start)
+    peak = F.greatest(F.col("__top") + start, start.cast("decimal(38,4)"))
     return (
-        out.withColumn("peak", peak).drop("__peak")
+        out.withColumn("peak", peak).drop("__top")
         .withColumn("drawdown", F.col("peak") - F.col("equity"))
         .withColumn("drawdown_pct", _d("drawdown") / F.greatest(_d("peak"), F.lit(TINY)) * 100)
     )
 
 
+def _outcome_parts() -> dict[str, tuple[str, Column]]:
+    """Sums from which `_outcome` takes what ``outcome_stats`` and ``profit_factor`` give."""
+    pnl = F.col("pnl")
+    one = lambda c: F.when(c, 1).otherwise(0)
+    return {
+        "n_trades": ("sum", F.lit(1)), "__wins": ("sum", one(pnl > 0)), "__others": ("sum", one(pnl <= 0)), "__gain": ("sum", F.when(pnl > 0, pnl)),
+        "__rest": ("sum", F.when(pnl <= 0, pnl)), "__loss": ("sum", F.when(pnl < 0, pnl)),
+    }
+
+
+def _outcome(when_none: float = float("inf")) -> list[Column]:
+    gain, loss = F.coalesce(_d("__gain"), F.lit(0.0)), F.coalesce(F.abs(_d("__loss")), F.lit(0.0))
+    return [
+        "n_trades", _d("total").alias("total"), (F.col("__wins") / F.col("n_trades")).alias("win_rate"), F.coalesce(_d("__gain") / F.col("__wins"), F.lit(0.0)).alias("avg_win"),
+        F.coalesce(F.abs(_d("__rest")) / F.col("__others"), F.lit(0.0)).alias("avg_loss"), F.when(loss > 0, gain / loss).otherwise(F.lit(when_none)).alias("profit_factor"),
+        _d("fall").alias("max_dd"),
+    ]
+
+
 def trade_metrics(trades: DataFrame, base: float, by: Sequence[str] = ("symbol",), step: int = 6, rows: int | None = None) -> DataFrame:
-    """Counts, profit factor, drawdown, Calmar, and the Sharpe of every `step`-th equity point."""
+    """Counts, profit factor, drawdown, Calmar, and the Sharpe of every `step`-th equity point.
+
+    The drawdown does not depend on `base`. A step of equity is the sum of the `step` results it spans, so the sampled
+    points need no equity: groups of `step` rows are summed, and only whole groups count.
+    """
     by = list(by)
-    eq = equity_curve(trades, base, by, rows).select(*by, "rn", "pnl", "equity", "drawdown")
-    diffs = rolling(eq, lambda df, w: df.withColumn("__lag", F.lag("equity", step).over(w)), back=step, by=by, rows=rows)
-    sampled = F.when((F.col("rn") - 1) % step == 0, _d(F.col("equity") - F.col("__lag")))
-    agg = diffs.groupBy(*by).agg(
-        *outcome_stats(),
-        profit_factor().alias("profit_factor"),
-        _d(F.max("drawdown")).alias("max_dd"),
-        F.avg(sampled).alias("__m"),
-        F.stddev_pop(sampled).alias("__s"),
-    )
+    size = (rows or CHUNK_ROWS) // step * step or step
+    # Chunks end at sampled points (rows 1, 1 + step, ...), so that no group of steps is cut.
+    chunk = F.floor((F.col("rn") + step - 2) / size).cast("long")
+    in_step = Window.partitionBy(*by, "chunk").orderBy("rn").rowsBetween(-(step - 1), 0)
+    marked = trades.select(*by, "rn", "pnl", chunk.alias("chunk")).withColumn("__step", F.sum("pnl").over(in_step))
+    sampled = F.when(((F.col("rn") - 1) % step == 0) & (F.col("rn") > 1), F.col("__step"))
+    g = folded(marked, F.col("pnl"), by, F.col("chunk"), ["rn"], _outcome_parts() | moments(sampled, "__d"))
+    mean, dev = spread("__d")
+    g = g.select(*by, *_outcome(), mean.alias("__m"), dev.alias("__s"))
     sharpe = F.when(F.col("__s") > 0, F.col("__m") / F.col("__s") * (252**0.5)).otherwise(0.0)
-    calmar = F.when(F.col("max_dd") > 0, F.abs(F.col("total") / F.col("max_dd"))).otherwise(0.0)
-    return agg.withColumn("sharpe", sharpe).withColumn("calmar", calmar).drop("__m", "__s")
+    return g.withColumn("sharpe", sharpe).withColumn("calmar", _calmar()).drop("__m", "__s")
 
 
 def trade_metrics_h1(trades: DataFrame, by: Sequence[str] = ("symbol",), rows: int | None = None) -> DataFrame:
     """Metric set annualised on hourly bars; a missing loss side gives profit factor 999."""
     by = list(by)
     per_year = 365.25 * 24
-    eq = equity_curve(trades, 0.0, by, rows)
-    agg = eq.groupBy(*by).agg(
-        *outcome_stats(), profit_factor(when_none=999.0).alias("profit_factor"), _d(F.max("drawdown")).alias("max_dd"),
-        F.stddev_pop(_d("pnl")).alias("__s"),
-    )
+    g = folded(trades.select(*by, "rn", "pnl"), F.col("pnl"), by, chunk_of(rows), ["rn"], _outcome_parts() | moments(F.col("pnl"), "__p"))
+    g = g.select(*by, *_outcome(999.0), spread("__p")[1].alias("__s"))
     annual = F.col("total") / ((F.col("n_trades") + 1) / per_year)
     sharpe = F.when(F.col("__s") > 0, annual / F.col("__s") * per_year**0.5).otherwise(0.0)
-    calmar = F.when(F.col("max_dd") > 0, F.abs(F.col("total") / F.col("max_dd"))).otherwise(0.0)
-    return agg.withColumn("sharpe", sharpe).withColumn("calmar", calmar).drop("__s")
+    return g.withColumn("sharpe", sharpe).withColumn("calmar", _calmar()).drop("__s")
+
+
+def _calmar() -> Column:
+    return F.when(F.col("max_dd") > 0, F.abs(F.col("total") / F.col("max_dd"))).otherwise(0.0)
 
 
 def by_regime(trades: DataFrame) -> DataFrame:
@@ -335,14 +356,14 @@ def gate_funnel(signals: DataFrame) -> DataFrame:
 
 def mode_summary(outcomes: DataFrame, rows: int | None = None) -> DataFrame:
     """Trades, win share, profit factor, net R and drawdown of cumulative R per mode (numbered per mode, column r)."""
-    cum = running(outcomes, {"cum_r": ("sum", F.col("r"))}, ("mode",), rows)
-    dd = running(cum, {"peak": ("max", F.col("cum_r"))}, ("mode",), rows)
     r = F.col("r")
-    loss = F.abs(F.sum(F.when(r < 0, r)))
-    return dd.groupBy("mode").agg(
-        F.count(F.lit(1)).alias("trades"), (F.count_if(r > 0) / F.count(F.lit(1))).alias("win_rate"),
-        F.when(F.coalesce(loss, F.lit(0.0)) > 0, F.coalesce(F.sum(F.when(r > 0, r)), F.lit(0.0)) / loss).otherwise(float("inf")).alias("pf"),
-        F.sum(r).alias("net_r"), F.max(F.col("peak") - F.col("cum_r")).alias("max_dd"),
+    one = lambda c: F.when(c, 1).otherwise(0)
+    also = {"trades": ("sum", F.lit(1)), "__wins": ("sum", one(r > 0)), "__gain": ("sum", F.when(r > 0, r)), "__loss": ("sum", F.when(r < 0, r))}
+    g = folded(outcomes.select("mode", "rn", "r"), r, ["mode"], chunk_of(rows), ["rn"], also, from_start=False)
+    loss = F.coalesce(F.abs("__loss"), F.lit(0.0))
+    return g.select(
+        "mode", "trades", (F.col("__wins") / F.col("trades")).alias("win_rate"), F.when(loss > 0, F.coalesce("__gain", F.lit(0.0)) / loss).otherwise(float("inf")).alias("pf"),
+        F.col("total").alias("net_r"), F.col("fall").alias("max_dd"),
     )
 
 

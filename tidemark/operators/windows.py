@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import TINY, correlation, safe_div
-from tidemark.operators.chunks import rolling, running
+from tidemark.operators.chunks import chunk_of, rolling, running
 
 
 def last_rows(w: WindowSpec, n: int) -> WindowSpec:
@@ -241,22 +241,24 @@ def drawdown(df: DataFrame, col: str, by: Sequence[str] = ("symbol",), halt: flo
 def day_loss(trades: DataFrame, base: float, limit_pct: float = 5.0, rows: int | None = None) -> DataFrame:
     """Realized result of the day so far at every trade, as percent of equity, against the limit (numbered trades).
 
-    The day's own sum is the running total minus the running total at the end of the previous day, carried forward.
+    Sums inside a chunk, of the symbol and of the day, are windows on one partitioning. What lies before the chunk
+    comes from totals per chunk, and per chunk and day, of which there are few.
     """
-    total = running(trades, {"__cum": ("sum", F.col("pnl"))}, rows=rows)
-    marked = rolling(
-        total,
-        lambda df, w: df.withColumn("__open", F.when(F.coalesce(F.to_date(F.lag("time").over(w)) != F.to_date("time"), F.lit(True)),
-                                                     F.coalesce(F.lag("__cum").over(w), F.lit(0).cast("decimal(38,4)")))),
-        back=1, rows=rows,
-    )
-    out = running(marked, {"__at_open": ("last", F.col("__open"))}, rows=rows)
-    day = (F.col("__cum") - F.col("__at_open")).cast("double")
-    equity = F.col("__cum").cast("double") + base
-    loss = F.when((day < 0) & (equity > 0), -day / equity * 100).otherwise(0.0)
+    by = ["symbol"]
+    day = F.coalesce(F.to_date("time"), F.lit("0001-01-01").cast("date"))  # rows without a time are one day
+    base_rows = trades.withColumn("chunk", chunk_of(rows)).withColumn("__day", day)
+    upto = lambda *keys: Window.partitionBy(*by, *keys).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    local = base_rows.withColumn("__cum", F.sum("pnl").over(upto("chunk"))).withColumn("__own", F.sum("pnl").over(upto("chunk", "__day")))
+    parts = base_rows.groupBy(*by, "chunk", "__day").agg(F.sum("pnl").alias("__n"))
+    earlier = lambda *keys: Window.partitionBy(*by, *keys).orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1)
+    carry = parts.select(*by, "chunk", "__day", F.sum("__n").over(earlier()).alias("__before"), F.sum("__n").over(earlier("__day")).alias("__day_before"))
+    out = local.join(carry, [*by, "chunk", "__day"])
+    plus = lambda a, b: F.coalesce(F.col(a) + F.col(b), F.col(b)).cast("double")
+    day_pnl, equity = plus("__day_before", "__own"), plus("__before", "__cum") + base
+    loss = F.when((day_pnl < 0) & (equity > 0), -day_pnl / equity * 100).otherwise(0.0)
     return (
-        out.withColumn("day_pnl", day).withColumn("loss_pct", loss).withColumn("allowed", (equity <= 0) | (loss < limit_pct))
-        .drop("__cum", "__open", "__at_open")
+        out.withColumn("day_pnl", day_pnl).withColumn("loss_pct", loss).withColumn("allowed", (equity <= 0) | (loss < limit_pct))
+        .select(*trades.columns, "day_pnl", "loss_pct", "allowed")
     )
 
 

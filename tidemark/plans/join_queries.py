@@ -77,7 +77,14 @@ ENRICH_SQL = """SELECT j.ticket, j.event, j.exit_time, j.line, CAST(j.pnl AS DOU
 FROM journal j LEFT JOIN (SELECT * FROM journal WHERE event = 'OPEN') o ON o.ticket = j.ticket WHERE j.event <> 'OPEN'"""
 
 
-@query("enrich_closes", sql(ENRICH_SQL))
+# One reading of the journal: the OPEN row's fields by a window over the ticket.
+@query(
+    "enrich_closes",
+    sql(
+        """SELECT ticket, event, exit_time, line, CAST(pnl AS DOUBLE) AS pnl, o.symbol AS symbol, o.type AS type, o.entry_price AS entry_price, o.entry_time AS entry_time
+FROM (SELECT ticket, event, exit_time, line, pnl, min({'entry_time': entry_time, 'symbol': symbol, 'type': type, 'entry_price': entry_price}) FILTER (event = 'OPEN') OVER (PARTITION BY ticket) AS o FROM journal) WHERE event <> 'OPEN'"""
+    ),
+)
 def _(t: Tables):
     out = J.enrich_closes(t.journal())
     return out.select("ticket", "event", "exit_time", "line", F.col("pnl").cast("double").alias("pnl"), "symbol", "type", "entry_price", "entry_time")

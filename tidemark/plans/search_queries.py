@@ -12,10 +12,22 @@ from tidemark.operators.joins import bars_since_entry, param_grid
 from tidemark.plans.flow_queries import rounded
 from tidemark.plans.registry import query
 from tidemark.plans.signal_queries import base
+from tidemark.plans.sqltext import erfc_sql
 from tidemark.plans.stat_queries import COMPONENTS, scored
+from tidemark.plans.trade_queries import BASE, _curve
 from tidemark.plans.views import Tables, sql
 from tidemark.session import settle
 
+def mix_sql(*parts: str, seed: int = 42) -> str:
+    p, x = 2147483647, f"{seed}::BIGINT"
+    for part in parts:
+        x = f"(({x} * 48271 + {part}) % {p})"
+        x = f"(({x} * {x} + 12345) % {p})"
+        x = f"(({x} * 69621 + {part}) % {p})"
+        x = f"(({x} * {x} + {x}) % {p})"
+    return x
+
+
 WF = {
     "ed": "SELECT symbol, min(time) AS st, max(time) AS en FROM trades GROUP BY 1",
     "ww": "SELECT symbol, CAST(k AS INTEGER) AS window_id, en - to_months(CAST(k * 6 AS INTEGER)) AS oos_end FROM ed, range(4) r(k)",
@@ -190,10 +202,13 @@ def _(t: Tables):
 
 
 def _with_oos(t: Tables):
-    c = candidates(t).withColumn("oos_mean_pf", F.pmod(F.xxhash64("symbol", "ema_fast", "ema_slow", "sl", "rr"), F.lit(1000)) / 500)
+    c = candidates(t).withColumn("oos_mean_pf", M.mix("ema_fast", "ema_slow", (F.col("rr") * 10).cast("int"), "n_trades") % 1000 / 500)
     return settle(index_rows(c, ["symbol"], [F.col("ema_fast")], ["ema_fast", "ema_slow", "sl", "rr"], "param_id"))
 
 
+ET = "SELECT symbol, count(*) AS n_trials, CAST(least(greatest(count(DISTINCT round(ema_fast / ema_slow, 2)) * count(DISTINCT sl) * count(DISTINCT rr) * count(DISTINCT adx) * count(DISTINCT score), 1), count(*)) AS DOUBLE) AS effective_trials FROM {} GROUP BY 1"
+
+
 def ppf_sql(p: str) -> str:
     """The rational normal quantile as SQL (central part and upper tail, where the trial counts lie)."""
 
@@ -214,7 +229,7 @@ def ppf_sql(p: str) -> str:
     sql(
         f"SELECT symbol, n_trials, effective_trials, round((1 - 0.5772156649015329::DOUBLE) * {ppf_sql('pa')} + 0.5772156649015329::DOUBLE * {ppf_sql('pb')}, 6) AS expected_max_sr FROM (SELECT *, 1 - 1 / greatest(effective_trials, 2.0::DOUBLE) AS pa, 1 - 1 / (greatest(effective_trials, 2.0::DOUBLE) * exp(1)) AS pb FROM et)",
         **CA,
-        et="SELECT symbol, count(*) AS n_trials, CAST(least(greatest(count(DISTINCT round(ema_fast / ema_slow, 2)) * count(DISTINCT sl) * count(DISTINCT rr) * count(DISTINCT adx) * count(DISTINCT score), 1), count(*)) AS DOUBLE) AS effective_trials FROM ca GROUP BY 1",
+        et=ET.format("ca"),
     ),
 )
 def _(t: Tables):
@@ -222,19 +237,62 @@ def _(t: Tables):
     return rounded(e.withColumn("expected_max_sr", O.expected_max_sharpe(F.col("effective_trials"), F.lit(1.0))))
 
 
-@query("deflated_sharpe")
+#: Expected best Sharpe (of deviation sd) and the z value of the observed one; z is null without a deviation.
+_MAX = f"CASE WHEN sd > 0 THEN sd * ((1 - 0.5772156649015329::DOUBLE) * {ppf_sql('pa')} + 0.5772156649015329::DOUBLE * {ppf_sql('pb')}) ELSE 0 END"
+_DSR = f"CASE WHEN q IS NULL THEN 0 ELSE 0.5::DOUBLE * {erfc_sql('q')} END"
+
+
+def _deflated(source: str) -> dict[str, str]:
+    """CTEs from rows of symbol, sr, sd, n_obs, effective_trials to the best expected Sharpe and q = -z / sqrt(2)."""
+    return {
+        "dk": f"SELECT *, 1 - 1 / greatest(effective_trials, 2.0::DOUBLE) AS pa, 1 - 1 / (greatest(effective_trials, 2.0::DOUBLE) * exp(1)) AS pb FROM ({source})",
+        "dm": f"SELECT *, {_MAX} AS best FROM dk",
+        "dz": "SELECT *, CASE WHEN n_obs >= 2 THEN -((sr - best) * sqrt(n_obs - 1) / sqrt(1 + 0.5::DOUBLE * sr * sr)) / sqrt(2.0::DOUBLE) END AS q FROM dm",
+    }
+
+
+@query(
+    "deflated_sharpe",
+    sql(
+        f"SELECT symbol, round({_DSR}, 6) AS dsr FROM dz",
+        **CA,
+        et=ET.format("ca"),
+        **_curve(BASE),
+        sh="""SELECT symbol, max(n) AS n_obs, CASE WHEN stddev_pop(d) > 0 THEN avg(d) / stddev_pop(d) ELSE 0 END AS sr FROM (SELECT symbol, count(*) OVER (PARTITION BY symbol) AS n, CASE WHEN (rn - 1) % 6 = 0 THEN CAST(equity - lag(equity, 6) OVER (PARTITION BY symbol ORDER BY rn) AS DOUBLE) END AS d FROM curve) GROUP BY symbol""",
+        **_deflated("SELECT symbol, sr, 0.02::DOUBLE AS sd, n_obs, effective_trials FROM sh JOIN et USING (symbol)"),
+    ),
+)
 def _(t: Tables):
     m = X.trade_metrics(t.numbered_trades(), 1000000.0).select("symbol", "sharpe", "n_trades")
     e = m.join(O.effective_trials(candidates(t)), "symbol").withColumn("per_trade", F.col("sharpe") / (252**0.5)).withColumn("sd", F.lit(0.02))
     return rounded(O.deflated_sharpe(e, "per_trade", "sd", "effective_trials", "n_trades").select("symbol", "dsr"))
 
 
-@query("overfit_probability")
+PBO = {
+    **CA,
+    "co": f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ema_fast, ema_slow, sl, rr) AS param_id, {mix_sql('ema_fast', 'ema_slow', 'CAST(rr * 10 AS INTEGER)', 'n_trades')} % 1000 / 500 AS oos_mean_pf FROM ca",
+    "pr": "SELECT symbol, param_id, wf_score AS i, count(*) OVER (PARTITION BY symbol) AS n, rank() OVER (PARTITION BY symbol ORDER BY oos_mean_pf) - 1 AS below FROM co",
+    "pd": f"SELECT *, {mix_sql('split', 'param_id', seed=7)} AS h FROM pr, range(1, 65) s(split) WHERE n >= 4",
+    "pw": """SELECT symbol, split, n, arg_max(below, {'i': i, 'k': -k}) AS below FROM (SELECT *, row_number() OVER (PARTITION BY symbol, split ORDER BY h, param_id) AS k FROM pd) WHERE k <= greatest(2, n // 2) GROUP BY ALL""",
+    "pb": "SELECT symbol, avg(CASE WHEN below / n < 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS pbo FROM pw GROUP BY 1",
+}
+
+
+@query("overfit_probability", sql("SELECT symbol, round(pbo, 6) AS pbo FROM (SELECT DISTINCT symbol FROM co) LEFT JOIN pb USING (symbol)", **PBO))
 def _(t: Tables):
     return rounded(O.pbo(_with_oos(t)))
 
 
-@query("overfit_summary")
+@query(
+    "overfit_summary",
+    sql(
+        f"SELECT symbol, n_trials, round(effective_trials, 2) AS effective_trials, round(sd, 4) AS sr_std, round(best, 4) AS expected_max_sr, round({_DSR}, 4) AS dsr, round(pbo, 4) AS pbo FROM dz LEFT JOIN pb USING (symbol)",
+        **PBO,
+        et=ET.format("co"),
+        ob="SELECT symbol, coalesce(stddev_samp(wf_score), 0) AS sd, max(wf_score) AS sr, greatest(max_by(n_trades, wf_score), 2) AS n_obs FROM co GROUP BY 1",
+        **_deflated("SELECT * FROM ob JOIN et USING (symbol)"),
+    ),
+)
 def _(t: Tables):
     return O.overfit_summary(_with_oos(t))
 
@@ -314,16 +372,6 @@ def _(t: Tables):
 # --- Monte Carlo ----------------------------------------------------------------------------------------------------
 
 
-def mix_sql(*parts: str, seed: int = 42) -> str:
-    p, x = 2147483647, f"{seed}::BIGINT"
-    for part in parts:
-        x = f"(({x} * 48271 + {part}) % {p})"
-        x = f"(({x} * {x} + 12345) % {p})"
-        x = f"(({x} * 69621 + {part}) % {p})"
-        x = f"(({x} * {x} + {x}) % {p})"
-    return x
-
-
 RUIN = {
     "sz": "SELECT symbol, count(*) AS size FROM trades GROUP BY 1",
     "dr": f"SELECT symbol, sim, i, {mix_sql('sim', 'i')} % size + 1 AS pick FROM sz, range(1, 51) a(sim), range(1, 101) b(i)",
@@ -348,19 +396,51 @@ def _(t: Tables):
     return rounded(out).withColumns({c: F.round(c, 2) for c in ("equity_5", "equity_median", "equity_95")})
 
 
+def _paths(sims: int) -> dict[str, str]:
+    """Every random ordering of a symbol's trades: its final result, drawdown, Sharpe and profit factor."""
+    order = "PARTITION BY symbol, sim ORDER BY h, rn"
+    return {
+        "sh_dr": f"SELECT symbol, rn, pnl, CAST(sim AS INTEGER) AS sim, {mix_sql('sim', 'rn')} AS h FROM numbered, range(1, {sims + 1}) a(sim)",
+        "sh_eq": f"SELECT *, sum(pnl) OVER ({order} ROWS UNBOUNDED PRECEDING) AS equity FROM sh_dr",
+        "sh_rt": f"SELECT *, max(equity) OVER ({order} ROWS UNBOUNDED PRECEDING) AS peak, CAST(lag(equity) OVER ({order}) AS DOUBLE) AS prev FROM sh_eq",
+        "sh_gr": """SELECT symbol, sim, CAST(sum(pnl) AS DOUBLE) AS final_pnl, CAST(max(peak - equity) AS DOUBLE) AS max_dd, coalesce(CAST(sum(pnl) FILTER (pnl > 0) AS DOUBLE), 0) AS gain,
+  coalesce(CAST(abs(sum(pnl) FILTER (pnl < 0)) AS DOUBLE), 0) AS loss, avg((CAST(equity AS DOUBLE) - prev) / (abs(prev) + 1e-10)) AS m, stddev_pop((CAST(equity AS DOUBLE) - prev) / (abs(prev) + 1e-10)) AS s FROM sh_rt GROUP BY 1, 2""",
+        "paths": "SELECT symbol, sim, final_pnl, max_dd, CASE WHEN s > 0 THEN m / (s + 1e-10) * sqrt(252) ELSE 0 END AS sharpe, CASE WHEN loss > 0 THEN gain / loss ELSE 999 END AS pf FROM sh_gr",
+    }
+
+
 @query(
     "reshuffled_paths",
     sql(
-        """SELECT symbol, sim, CAST(sum(pnl) AS DOUBLE) AS final_pnl, CAST(max(peak - equity) AS DOUBLE) AS max_dd, round(CAST(sum(pnl) FILTER (pnl > 0) AS DOUBLE) / CAST(abs(sum(pnl) FILTER (pnl < 0)) AS DOUBLE), 6) AS pf FROM (
-SELECT *, max(equity) OVER (PARTITION BY symbol, sim ORDER BY h, rn ROWS UNBOUNDED PRECEDING) AS peak FROM (SELECT *, sum(pnl) OVER (PARTITION BY symbol, sim ORDER BY h, rn ROWS UNBOUNDED PRECEDING) AS equity FROM dr)) GROUP BY 1, 2""",
-        dr=f"SELECT symbol, rn, pnl, CAST(sim AS INTEGER) AS sim, {mix_sql('sim', 'rn')} AS h FROM numbered, range(1, 6) a(sim)",
+        "SELECT symbol, sim, final_pnl, max_dd, round(sharpe, 6) AS sharpe, round(pf, 6) AS pf FROM paths",
+        **_paths(5),
     ),
 )
 def _(t: Tables):
-    return rounded(MC.reshuffle(t.numbered_trades(), 5).drop("sharpe"))
+    return rounded(MC.reshuffle(t.numbered_trades(), 5))
 
 
-@query("monte_carlo_report")
+@query(
+    "monte_carlo_report",
+    sql(
+        """SELECT symbol, round(return_5, 2) AS return_5, round(return_median, 2) AS return_median, round(return_95, 2) AS return_95, round(dd_median, 2) AS dd_median, round(dd_95, 2) AS dd_95, round(sharpe_5, 4) AS sharpe_5,
+  round(sharpe_median, 4) AS sharpe_median, round(sharpe_95, 4) AS sharpe_95, round(pf_median, 4) AS pf_median, n_trades, round(sharpe_rank, 4) AS sharpe_rank, round(pct_profitable_paths, 4) AS pct_profitable_paths,
+  round(pct_profitable_bootstrap, 4) AS pct_profitable_bootstrap, round(dd_ratio_95, 4) AS dd_ratio_95, sharpe_rank >= 90 AS ok_sharpe_rank, pct_profitable_paths >= 80 AS ok_profitable, dd_ratio_95 <= 2.5 AS ok_drawdown, n_trades >= 20 AS ok_trades,
+  sharpe_rank >= 90 AND pct_profitable_paths >= 80 AND dd_ratio_95 <= 2.5 AND n_trades >= 20 AS robust FROM mc_all""",
+        **_paths(8),
+        **_curve(BASE),
+        mc_own="SELECT symbol, count(*) AS n_trades, CAST(max(peak - equity) AS DOUBLE) AS own_dd FROM curve GROUP BY 1",
+        mc_sh="""SELECT symbol, CASE WHEN stddev_pop(d) > 0 THEN avg(d) / stddev_pop(d) * sqrt(252) ELSE 0 END AS own_sharpe FROM (SELECT symbol, CASE WHEN (rn - 1) % 6 = 0 THEN CAST(equity - lag(equity, 6) OVER (PARTITION BY symbol ORDER BY rn) AS DOUBLE) END AS d FROM curve) GROUP BY symbol""",
+        mc_size="SELECT symbol, count(*) AS size FROM trades GROUP BY 1",
+        mc_pick=f"SELECT symbol, sim, {mix_sql('sim', 'rn', seed=43)} % size + 1 AS pick FROM numbered JOIN mc_size USING (symbol), range(1, 5) a(sim)",
+        mc_boot="SELECT symbol, avg(CASE WHEN total > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) AS pct_profitable_bootstrap FROM (SELECT symbol, sim, sum(pnl) AS total FROM mc_pick JOIN (SELECT symbol, rn AS pick, pnl FROM numbered) USING (symbol, pick) GROUP BY 1, 2) GROUP BY 1",
+        mc_q="""SELECT symbol, quantile_cont(final_pnl, 0.05) AS return_5, quantile_cont(final_pnl, 0.5) AS return_median, quantile_cont(final_pnl, 0.95) AS return_95, quantile_cont(max_dd, 0.5) AS dd_median, quantile_cont(max_dd, 0.95) AS dd_95,
+  quantile_cont(sharpe, 0.05) AS sharpe_5, quantile_cont(sharpe, 0.5) AS sharpe_median, quantile_cont(sharpe, 0.95) AS sharpe_95, quantile_cont(pf, 0.5) AS pf_median, avg(CASE WHEN sharpe <= own_sharpe THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) AS sharpe_rank,
+  avg(CASE WHEN final_pnl > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) AS pct_profitable_paths FROM paths JOIN mc_sh USING (symbol) GROUP BY 1""",
+        mc_all="SELECT *, dd_95 / (abs(own_dd) + 1e-10) AS dd_ratio_95 FROM mc_q JOIN mc_own USING (symbol) JOIN mc_boot USING (symbol)",
+    ),
+)
 def _(t: Tables):
     n = t.numbered_trades()
-    return rounded(MC.mc_report(n, X.trade_metrics(n, 1000000.0), 8), 4)
+    out = rounded(MC.mc_report(n, X.trade_metrics(n, 1000000.0), 8), 4)
+    return out.withColumns({c: F.round(c, 2) for c in ("return_5", "return_median", "return_95", "dd_median", "dd_95")})

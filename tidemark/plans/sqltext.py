@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from tidemark.functions import numbers as M
 from tidemark.plans.views import rec_cte
 
 FAST, SLOW = "(2.0::DOUBLE / 3.0)", "(2.0::DOUBLE / 31.0)"
@@ -113,3 +116,19 @@ class Scan:
             **rec_cte(name, f"{name}_wide", self.init, self.step),
             f"{name}_ind": f"SELECT v.*, {state} FROM {self.view} v JOIN {name} USING (symbol, rn)",
         }
+
+
+def erfc_sql(x: str) -> str:
+    """Complementary error function of the column `x` (not an expression: it is named often)."""
+
+    def horner(cs, v):
+        out = f"{cs[0]!r}::DOUBLE"
+        for c in cs[1:]:
+            out = f"({out} * {v} + {c!r}::DOUBLE)"
+        return out
+
+    y, z, a = f"({x} * {x})", f"(1 / ({x} * {x}))", f"abs({x})"
+    near = f"1 - {x} * ({horner(M.ERF_NEAR_A, y)} / {horner(M.ERF_NEAR_B, y)})"
+    far = f"({1 / math.sqrt(math.pi)!r}::DOUBLE - {z} * ({horner(M.ERF_FAR_P, z)} / {horner(M.ERF_FAR_Q, z)})) / {a}"
+    tail = f"exp(-{y}) * CASE WHEN {a} <= 4 THEN {horner(M.ERF_MID_C, a)} / {horner(M.ERF_MID_D, a)} ELSE {far} END"
+    return f"(CASE WHEN {a} <= 0.46875 THEN {near} WHEN {x} > 30 THEN 0 WHEN {x} < -30 THEN 2 WHEN {x} < 0 THEN 2 - {tail} ELSE {tail} END)"

@@ -8,7 +8,7 @@ from tidemark.operators.windows import forward_returns, last_rows
 from tidemark.operators.chunks import rolling
 from tidemark.plans.flow_queries import rounded
 from tidemark.plans.registry import query
-from tidemark.plans.sqltext import Scan
+from tidemark.plans.sqltext import Scan, erfc_sql
 from tidemark.plans.views import Tables, sql
 from tidemark.plans.window_queries import frame
 from tidemark.session import settle
@@ -171,7 +171,14 @@ def _(t: Tables):
     return rounded(S.rank_ic(scored(t), COMPONENTS)).drop("p_value")
 
 
-@query("rank_ic_p_value")
+@query(
+    "rank_ic_p_value",
+    sql(
+        f"SELECT component, round(ic, 6) AS ic, round(CASE WHEN abs(ic) >= 1 THEN 0 ELSE {erfc_sql('t')} END, 6) AS p_value FROM (SELECT *, abs(ic * sqrt((n - 2) / (1 - ic * ic))) / sqrt(2.0::DOUBLE) AS t FROM rc)",
+        **SCORED,
+        rc="SELECT component, count(*) AS n, CASE WHEN stddev_pop(value) > 0 THEN corr(rx, ry) ELSE 0 END AS ic FROM rk GROUP BY 1 HAVING count(*) >= 50",
+    ),
+)
 def _(t: Tables):
     return rounded(S.rank_ic(scored(t), COMPONENTS)).select("component", "ic", "p_value")
 
