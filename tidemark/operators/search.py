@@ -15,6 +15,7 @@ from tidemark.operators.labels import non_overlapping_trades
 from tidemark.operators.orderstats import average_rank, quantiles, rank_table, with_average_rank
 from tidemark.operators.ranking import top_k_per
 from tidemark.operators.signals import cross_expr
+from tidemark.operators.trailing import partial_level, trail
 from tidemark.session import settle
 
 REJECTED = -999.0
@@ -257,42 +258,30 @@ def screen(bars: DataFrame, profiles: DataFrame, windows: DataFrame) -> DataFram
     return top_k_per(out, ["symbol"], [F.desc("pf"), F.desc("n_trades"), "param_id"], 1).drop("rank")
 
 
-def tune_exits(held: DataFrame, grid: DataFrame, keys=("symbol", "day_no"), top: int = 10) -> DataFrame:
-    """Exit-parameter sweep over positions' bars (bar_time, high, low, close, atr, entry data) ranked by Calmar.
+def tune_exits(positions: DataFrame, bars: DataFrame, grid: DataFrame, keys=("symbol", "day_no"), top: int = 10) -> DataFrame:
+    """Exit-parameter sweep over positions (``trailing.with_start``) and numbered bars with atr, ranked by Calmar.
 
-    Every position is replayed per grid row (target, ch_mult): half closes at the target fraction, the rest at the
-    trailing stop or the last bar. All steps are windows over a position's own bars.
+    Every position is followed per grid row (param_id, target, ch_mult): half closes at the target fraction, the rest at the
+    trailing stop or at the last bar. Positions are followed only as long as they are open (``trailing.trail``).
     """
-    grid_rows = [r.asDict() for r in grid.collect()]  # the parameter axes
-    axes = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in grid_rows]))
-    h = held.withColumn("g", axes).select(*held.columns, "g.*")
-    by = [*keys, "param_id"]
-    w = Window.partitionBy(*by).orderBy("bar_time").rowsBetween(Window.unboundedPreceding, 0)
+    p = positions.crossJoin(F.broadcast(grid.select("param_id", "target", "ch_mult")))  # the parameter axes
+    level = partial_level(F.col("target"))
+    g = trail(p, bars, F.col("ch_mult"), [*keys, "param_id"], level)
     side = F.when(F.col("type") == "buy", 1.0).otherwise(-1.0)
-    extreme = F.when(F.col("type") == "buy", F.max("high").over(w)).otherwise(F.min("low").over(w))
-    h = h.withColumn("__raw", extreme - side * F.col("atr") * F.col("ch_mult"))
-    stop = F.when(F.col("type") == "buy", F.greatest(F.max("__raw").over(w), F.col("sl"))).otherwise(F.least(F.min("__raw").over(w), F.col("sl")))
-    h = h.withColumn("__stop", stop)
-    level = F.col("price_open") + side * F.abs(F.col("price_open") - F.col("sl")) * 2.0 * F.col("target")
-    hit_t = F.when(F.col("type") == "buy", F.col("high") >= level).otherwise(F.col("low") <= level)
-    hit_s = F.when(F.col("type") == "buy", F.col("low") <= F.col("__stop")).otherwise(F.col("high") >= F.col("__stop"))
-    h = h.withColumns({"__level": level, "__t": hit_t, "__s": hit_s}).where(F.col("bar_time") > F.col("time"))
-    g = h.groupBy(*by, "target", "ch_mult", "type", "price_open").agg(
-        F.min(F.when(F.col("__t"), F.col("bar_time"))).alias("t_at"), F.min(F.when(F.col("__s"), F.struct("bar_time", "__stop"))).alias("s_at"),
-        F.max(F.struct("bar_time", "close")).alias("end_at"), F.max("__level").alias("lvl"),
-    )
-    g = g.withColumn("exit", F.coalesce("s_at.__stop", "end_at.close")).withColumn("exit_time", F.coalesce("s_at.bar_time", "end_at.bar_time"))
-    scaled = F.col("t_at").isNotNull() & (F.col("s_at").isNull() | (F.col("t_at") < F.col("s_at.bar_time")))
-    move = lambda p: (p - F.col("price_open")) * side
-    g = g.withColumn("pnl", F.when(scaled, 0.5 * move(F.col("lvl")) + 0.5 * move(F.col("exit"))).otherwise(move(F.col("exit"))))
-    g = g.withColumns({"scaled": F.when(scaled, 1).otherwise(0), "trailed": F.when(F.col("s_at").isNotNull(), 1).otherwise(0)})
+    scaled = F.col("partial_time").isNotNull()
+    move = lambda x: (x - F.col("price_open")) * side
+    g = g.where(F.col("last_time") > F.col("time"))  # a position without a bar after its entry has no result
+    g = g.withColumn("exit", F.coalesce("exit_stop", "last_close")).withColumn("exit_time", F.col("last_time"))
+    g = g.withColumn("pnl", F.when(scaled, 0.5 * move(level) + 0.5 * move(F.col("exit"))).otherwise(move(F.col("exit"))))
+    g = g.withColumns({"scaled": F.when(scaled, 1).otherwise(0), "trailed": F.when(F.col("exit_rn").isNotNull(), 1).otherwise(0)})
     pair = ["symbol", "param_id"]
     g = settle(index_rows(g, pair, [F.to_date("exit_time")], ["exit_time", *[k for k in keys if k != "symbol"]]))
     also = {"trades": ("sum", F.lit(1)), "__wins": ("sum", F.when(F.col("pnl") > 0, 1).otherwise(0)), "scale_out": ("sum", F.col("scaled")), "chandelier": ("sum", F.col("trailed"))}
     m = folded(g, F.col("pnl"), [*pair, "target", "ch_mult"], chunk_of(), ["rn"], also)
     m = m.select(*pair, "target", "ch_mult", "trades", F.col("total").alias("ret"), F.col("fall").alias("max_dd"), (F.col("__wins") / F.col("trades") * 100).alias("win_rate"), "scale_out", "chandelier")
     m = m.withColumn("calmar", F.when(F.col("max_dd") > 0, F.abs(F.col("ret") / F.col("max_dd"))).otherwise(0.0))
-    return top_k_per(m, ["symbol"], [F.desc("calmar"), "param_id"], top)
+    # Equal ratios differ in their last digits by the order of sums, so ranks go by nine of them.
+    return top_k_per(m, ["symbol"], [F.desc(F.round("calmar", 9)), "param_id"], top)
 
 
 # --- scoring-weight search ------------------------------------------------------------------------------------------

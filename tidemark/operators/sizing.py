@@ -81,22 +81,19 @@ def stop_levels(df: DataFrame, sl_mult: float = 1.0, rr: float = 2.0, mr_sl: flo
     )
 
 
-def chandelier_mult(close: Column, loose: float = 3.5, tight: float = 1.5, min_r: float = 3.0) -> Column:
-    """Two-stage multiplier: tight once the open profit reaches `min_r` initial risks."""
-    side = F.when(F.col("type") == "buy", 1.0).otherwise(-1.0)
-    risk = F.greatest(F.abs(F.col("price_open") - F.col("sl")), F.lit(TINY))
-    return F.when((close - F.col("price_open")) * side / risk >= min_r, tight).otherwise(loose)
-
-
-def chandelier(held: DataFrame, keys=("symbol", "day_no")) -> DataFrame:
-    """Trailing stop along the bars since entry (one row per position and bar: high, low, atr, ch_mult).
+def chandelier(held: DataFrame, mult: Column, level: Column, keys=("symbol", "day_no")) -> DataFrame:
+    """Trailing stop at every bar since the entry (one row per position and bar: bar_time, high, low, close, atr).
 
-    Extreme since entry minus ATR times the multiplier, never loosened; a position holds a bounded number of bars.
+    Extreme since entry minus ATR times `mult`, never loosened; `mult` may name ``partial``, whether a bar after the entry has
+    reached `level`. The result itself is positions x bars: where only the exit or the newest stop is asked for, use
+    ``trailing.trail`` or ``trailing.extreme_between``.
     """
     w = Window.partitionBy(*keys).orderBy("bar_time").rowsBetween(Window.unboundedPreceding, 0)
     long = F.col("type") == "buy"
-    raw = F.when(long, F.max("high").over(w) - F.col("atr") * F.col("ch_mult")).otherwise(F.min("low").over(w) + F.col("atr") * F.col("ch_mult"))
-    out = held.withColumn("__raw", raw)
+    hit = (F.col("bar_time") > F.col("entry_time")) & F.when(long, F.col("high") >= level).otherwise(F.col("low") <= level)
+    out = held.withColumn("partial", F.coalesce(F.max(F.when(hit, True)).over(w), F.lit(False)))
+    raw = F.when(long, F.max("high").over(w) - F.col("atr") * mult).otherwise(F.min("low").over(w) + F.col("atr") * mult)
+    out = out.withColumn("__raw", raw)
     stop = F.when(long, F.greatest(F.max("__raw").over(w), F.col("sl"))).otherwise(F.least(F.min("__raw").over(w), F.col("sl")))
     out = out.withColumn("stop", stop).drop("__raw")
     return out.withColumn("breached", F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop")))

@@ -8,10 +8,10 @@ from tidemark.operators import overfit as O
 from tidemark.operators import search as S
 from tidemark.operators import trades as X
 from tidemark.operators.chunks import index_rows
-from tidemark.operators.joins import bars_since_entry, param_grid
+from tidemark.operators.joins import param_grid
 from tidemark.plans.flow_queries import rounded
 from tidemark.plans.registry import query
-from tidemark.plans.signal_queries import base
+from tidemark.plans.signal_queries import HELD, held_bars, trailing_sql
 from tidemark.plans.sqltext import erfc_sql
 from tidemark.plans.stat_queries import COMPONENTS, scored
 from tidemark.plans.trade_queries import BASE, _curve
@@ -329,12 +329,28 @@ def _(t: Tables):
     return rounded(S.screen(bars, profiles, day_windows(t, bars)))
 
 
-@query("exit_sweep")
+@query(
+    "exit_sweep",
+    sql(
+        """SELECT symbol, CAST(param_id AS INTEGER) AS param_id, target, ch_mult, trades, round(ret, 6) AS ret, round(max_dd, 6) AS max_dd, round(win_rate, 6) AS win_rate, scale_out, chandelier, round(calmar, 6) AS calmar, CAST(k AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(calmar, 9) DESC, param_id) AS k FROM (SELECT *, CASE WHEN max_dd > 0 THEN abs(ret / max_dd) ELSE 0 END AS calmar FROM (
+    SELECT symbol, param_id, target, ch_mult, count(*) AS trades, sum(pnl) AS ret, max(greatest(peak, 0) - eq) AS max_dd, avg(CASE WHEN pnl > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END) AS win_rate, CAST(sum(scaled) AS BIGINT) AS scale_out, CAST(sum(trailed) AS BIGINT) AS chandelier FROM xo GROUP BY 1, 2, 3, 4))) WHERE k <= 10""",
+        **HELD,
+        gr="SELECT *, row_number() OVER (ORDER BY target, ch_mult) AS param_id FROM (VALUES (0.35::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) a(target), (VALUES (1.5::DOUBLE), (2.5::DOUBLE), (3.5::DOUBLE)) b(ch_mult)",
+        hb="SELECT p.*, g.*, b.rn, b.time AS bar_time, b.high, b.low, b.close, b.atr, 1 AS accel, price_open + sd * abs(price_open - sl) * 2 * target AS lvl FROM ps p, gr g, ab b WHERE b.symbol = p.symbol AND b.rn >= p.start_rn",
+        **trailing_sql("symbol, day_no, param_id", "ch_mult", "ch_mult"),
+        xs="SELECT symbol, day_no, param_id, min(CASE WHEN breached AND bar_time > time THEN rn END) AS xrn, min(CASE WHEN partial THEN rn END) AS lrn, max(rn) AS ern, max(bar_time) AS et, any_value(time) AS t0 FROM hx GROUP BY 1, 2, 3",
+        xr="""SELECT h.symbol, h.day_no, h.param_id, h.target, h.ch_mult, h.sd, h.price_open, h.lvl, h.bar_time AS exit_time, CASE WHEN x.xrn IS NULL THEN h.close ELSE h.stop END AS ex, lrn IS NOT NULL AND (xrn IS NULL OR lrn < xrn) AS sc, xrn IS NOT NULL AS tr
+  FROM hx h JOIN xs x ON h.symbol = x.symbol AND h.day_no = x.day_no AND h.param_id = x.param_id AND h.rn = coalesce(x.xrn, x.ern) WHERE x.et > x.t0""",
+        xp="SELECT *, CASE WHEN sc THEN 0.5 * (lvl - price_open) * sd + 0.5 * (ex - price_open) * sd ELSE (ex - price_open) * sd END AS pnl, sc::INTEGER AS scaled, tr::INTEGER AS trailed FROM xr",
+        xe="SELECT *, sum(pnl) OVER (PARTITION BY symbol, param_id ORDER BY exit_time, day_no ROWS UNBOUNDED PRECEDING) AS eq FROM xp",
+        xo="SELECT *, max(eq) OVER (PARTITION BY symbol, param_id ORDER BY exit_time, day_no ROWS UNBOUNDED PRECEDING) AS peak FROM xe",
+    ),
+)
 def _(t: Tables):
-    bars = base(t).where(F.col("atr").isNotNull())
-    held = bars_since_entry(t.positions(), bars).join(bars.select("symbol", F.col("time").alias("bar_time"), "atr"), ["symbol", "bar_time"]).withColumnRenamed("entry_time", "time")
+    bars, p = held_bars(t)
     grid = settle(param_grid(t.spark, {"target": [0.35, 0.5, 0.75], "ch_mult": [1.5, 2.5, 3.5]}))
-    return rounded(S.tune_exits(settle(held), grid))
+    return rounded(S.tune_exits(p, bars, grid))
 
 
 # --- scoring weights ------------------------------------------------------------------------------------------------

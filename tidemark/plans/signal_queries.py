@@ -11,6 +11,7 @@ from tidemark.operators import signals as S
 from tidemark.operators import sizing as Z
 from tidemark.operators import windows as N
 from tidemark.operators.chunks import rolling
+from tidemark.operators import trailing as TR
 from tidemark.operators.joins import align_labels, asof_join, bars_since_entry
 from tidemark.plans.flow_queries import rounded
 from tidemark.plans.registry import query
@@ -416,19 +417,79 @@ def _(t: Tables):
     return rounded(Z.budget_scale(_sized(t), 100000.0, 2500.0).select("symbol", "rn", "size_mult"), 9)
 
 
+# Bars with ATR and the acceleration factor from the fast average and its value five bars before; positions with the row of
+# the last such bar before their entry.
+HELD = {
+    **IND,
+    "ab": """SELECT symbol, rn, time, high, low, close, atr, CASE WHEN ratio IS NULL THEN 1 ELSE greatest(0.5::DOUBLE, least(1.5::DOUBLE, CASE WHEN ratio > 1 THEN 1 - 0.2::DOUBLE * least(ratio - 1, 1) ELSE 1 + 0.2::DOUBLE * least(1 - ratio, 1) END)) END AS accel
+FROM (SELECT *, fast / greatest(lag(fast, 5) OVER (PARTITION BY symbol ORDER BY rn), 1e-10) AS ratio FROM ind) WHERE atr IS NOT NULL""",
+    "ps": """SELECT p.*, CASE WHEN type = 'buy' THEN 1 ELSE -1 END AS sd, coalesce((SELECT max(x.rn) FROM ab x WHERE x.symbol = p.symbol AND x.time < p.time), (SELECT min(x.rn) FROM ab x WHERE x.symbol = p.symbol)) AS start_rn,
+  (SELECT max(x.rn) FROM ab x WHERE x.symbol = p.symbol) AS end_rn FROM positions p WHERE symbol IN (SELECT symbol FROM ab)""",
+}
+#: The stop of a position at each bar, from rows of hb with its partial-close level; `own` names a position, `staged` the multiple before a partial close.
+_PW = "(PARTITION BY {own} ORDER BY rn ROWS UNBOUNDED PRECEDING)"
+
+
+def trailing_sql(own: str, staged: str, partial: str) -> dict[str, str]:
+    pw = _PW.format(own=own)
+    return {
+        "hp": f"SELECT *, coalesce(max(bar_time > time AND CASE WHEN type = 'buy' THEN high >= lvl ELSE low <= lvl END) OVER {pw}, false) AS partial FROM hb",
+        "hm": f"SELECT *, CASE WHEN partial THEN {partial} ELSE {staged} END * accel AS m FROM hp",
+        "hr": f"SELECT *, max(CASE WHEN type = 'buy' THEN high ELSE -low END) OVER {pw} - atr * m AS raw, max(CASE WHEN type = 'buy' THEN high ELSE -low END) OVER {pw} AS peak FROM hm",
+        "hs": f"SELECT *, sd * greatest(max(raw) OVER {pw}, sl * sd) AS stop FROM hr",
+        "hx": "SELECT *, CASE WHEN type = 'buy' THEN low <= stop ELSE high >= stop END AS breached FROM hs",
+    }
+
+
+HELD_BARS = "SELECT p.*, b.rn, b.time AS bar_time, b.high, b.low, b.close, b.atr, b.accel, price_open + sd * abs(price_open - sl) * 2 * 0.5 AS lvl FROM ps p JOIN ab b ON b.symbol = p.symbol AND b.rn >= p.start_rn"
+STAGED = "CASE WHEN (close - price_open) * sd / greatest(abs(price_open - sl), 1e-10) >= 3 THEN 1.5::DOUBLE ELSE 3.5::DOUBLE END"
+
+
+def held_bars(t: Tables):
+    """Bars with atr and accel, and positions with start_rn and end_rn."""
+    b = rolling(base(t), lambda d, w: d.withColumn("accel", TR.acceleration(F.col("fast") / F.greatest(F.lag("fast", 5).over(w), F.lit(1e-10)))), back=5)
+    bars = settle(b.where(F.col("atr").isNotNull()).select("symbol", "rn", "time", "high", "low", "close", "atr", "accel"))
+    return bars, settle(TR.with_start(t.positions(), bars))
+
+
 @query(
     "chandelier_stop",
+    sql("SELECT symbol, day_no, bar_time, round(stop, 6) AS stop, partial, breached FROM hx", **HELD, hb=HELD_BARS, **trailing_sql("symbol, day_no", STAGED, "1.5::DOUBLE")),
+)
+def _(t: Tables):
+    bars, _ = held_bars(t)
+    more = bars.select("symbol", F.col("time").alias("bar_time"), "atr", "accel")
+    held = bars_since_entry(t.positions(), bars).join(more, ["symbol", "bar_time"])
+    out = Z.chandelier(held, TR.stop_mult(F.col("close"), F.col("partial"), F.col("accel")), TR.partial_level(0.5))
+    return rounded(out.select("symbol", "day_no", "bar_time", "stop", "partial", "breached"))
+
+
+@query(
+    "chandelier_exit",
     sql(
-        """SELECT symbol, day_no, bar_time, round(stop, 6) AS stop, CASE WHEN type = 'buy' THEN low <= stop ELSE high >= stop END AS breached FROM (SELECT *, CASE WHEN type = 'buy' THEN greatest(max(raw) OVER pw, sl) ELSE least(min(raw) OVER pw, sl) END AS stop FROM (
-SELECT *, CASE WHEN type = 'buy' THEN max(high) OVER pw - atr * m ELSE min(low) OVER pw + atr * m END AS raw FROM (SELECT p.*, b.time AS bar_time, b.high, b.low, b.atr, CASE WHEN (b.close - price_open) * CASE WHEN type = 'buy' THEN 1 ELSE -1 END / greatest(abs(price_open - sl), 1e-10) >= 3 THEN 1.5 ELSE 3.5 END AS m
-FROM positions p JOIN ind b ON b.symbol = p.symbol AND b.time >= coalesce((SELECT max(x.time) FROM ind x WHERE x.symbol = p.symbol AND x.time < p.time AND x.atr IS NOT NULL), p.time) WHERE b.atr IS NOT NULL) WINDOW pw AS (PARTITION BY symbol, day_no ORDER BY bar_time ROWS UNBOUNDED PRECEDING)) WINDOW pw AS (PARTITION BY symbol, day_no ORDER BY bar_time ROWS UNBOUNDED PRECEDING))""",
-        **IND,
+        """SELECT p.symbol, p.day_no, x.rn AS exit_rn, x.bar_time AS exit_time, round(x.stop, 6) AS exit_stop, CASE WHEN x.rn IS NULL OR l.at < x.bar_time THEN l.at END AS partial_time,
+  round(coalesce(x.peak, e.peak) * p.sd, 6) AS extreme, round(coalesce(x.stop, e.stop), 6) AS stop
+FROM ps p LEFT JOIN (SELECT symbol, day_no, min(rn) AS rn, min_by(bar_time, rn) AS bar_time, min_by(stop, rn) AS stop, min_by(peak, rn) AS peak FROM hx WHERE breached AND bar_time > time GROUP BY 1, 2) x USING (symbol, day_no)
+LEFT JOIN (SELECT symbol, day_no, max_by(peak, rn) AS peak, max_by(stop, rn) AS stop FROM hx GROUP BY 1, 2) e USING (symbol, day_no) LEFT JOIN (SELECT symbol, day_no, min(bar_time) AS at FROM hx WHERE partial GROUP BY 1, 2) l USING (symbol, day_no)""",
+        **HELD, hb=HELD_BARS, **trailing_sql("symbol, day_no", STAGED, "1.5::DOUBLE"),
     ),
+)
+def _(t: Tables):
+    """Where each position's trailing stop takes it out."""
+    bars, p = held_bars(t)
+    out = TR.trail(p, bars, TR.stop_mult(F.col("close"), F.col("partial"), F.col("accel")), ["symbol", "day_no"], TR.partial_level(0.5))
+    return rounded(out.select("symbol", "day_no", "exit_rn", "exit_time", "exit_stop", "partial_time", "extreme", "stop"))
+
+
+@query(
+    "extreme_since_entry",
+    sql("SELECT p.symbol, p.day_no, p.start_rn, k AS bars, max(b.high) AS highest, min(b.low) AS lowest FROM ps p, (VALUES (20), (300), (1000000)) v(k), ab b WHERE b.symbol = p.symbol AND b.rn >= p.start_rn AND b.rn <= least(p.start_rn + k - 1, p.end_rn) GROUP BY ALL", **HELD),
 )
 def _(t: Tables):
-    bars = base(t).where(F.col("atr").isNotNull())
-    held = bars_since_entry(t.positions(), bars).join(bars.select("symbol", F.col("time").alias("bar_time"), "atr"), ["symbol", "bar_time"])
-    return rounded(Z.chandelier(held.withColumn("ch_mult", Z.chandelier_mult(F.col("close")))).select("symbol", "day_no", "bar_time", "stop", "breached"))
+    """Highest and lowest price of each position over its first 20 and 300 bars and up to the last one."""
+    bars, p = held_bars(t)
+    asked = p.withColumn("bars", F.explode(F.array(F.lit(20), F.lit(300), F.lit(1000000)))).select("symbol", "day_no", "start_rn", "bars", F.col("start_rn").alias("from_rn"), F.least(F.col("start_rn") + F.col("bars") - 1, F.col("end_rn")).alias("to_rn"))
+    return TR.extreme_between(asked, bars, 32).drop("from_rn", "to_rn")
 
 
 @query(
