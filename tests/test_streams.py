@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.session import scratch_dir
+from tidemark.session import scratch_dir, settle
 from tidemark.streaming import jobs as J
 
 START = dt.datetime(2024, 1, 1)
@@ -99,3 +99,73 @@ def test_trailing_stop(spark, small_batches):
                 want[f"S#{day}"] = (at, round(sign * stop, 9))
                 break
     assert got == want and 2 < len(want) < len(held) + 1
+
+
+def test_finished_days_leave_the_state(spark):
+    """Forty days of fills, two batches a day: state holds the open days only, and a halt stays until local midnight."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for day in range(40):
+        for hour in range(24):
+            # From 19:00 UTC on it is the next trading day.
+            rows.append((1 + hour, START + dt.timedelta(days=day, hours=hour), float(rng.normal(0, 40)), -0.5 if hour % 5 else None, None, hour))
+    rows += [(0, START, 1e9, None, None, 0), (7, START + dt.timedelta(days=3, hours=1), -3000.0, None, None, 1), (8, START + dt.timedelta(days=3, hours=14), 2950.0, None, None, 14)]
+    deals = spark.createDataFrame(rows, "position_id long, time timestamp_ntz, profit double, commission double, swap double, hour int")
+    for c in ("profit", "commission", "swap"):
+        deals = deals.withColumn(c, F.col(c).cast("decimal(18,4)"))
+    deals = settle(deals)
+    part = F.datediff(F.to_date("time"), F.lit("2024-01-01").cast("date")) * 2 + F.when(F.col("hour") >= 12, 1).otherwise(0)
+    progress = []
+    fills = J.replay(deals, "fills", part, 80).through(lambda df: J.stream_daily_loss(df, "6 hours"))
+    out = {r.day: (round(r.net, 4), r.halt) for r in J.latched_days(J.drain(fills, "loss", mode="update", progress=progress), 10_000.0, 10.0).collect()}
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    assert max(held) <= 3, held
+    want, worst = {}, {}
+    for half in range(80):
+        for pos, at, profit, commission, _, hour in rows:
+            if pos and (at.date() - START.date()).days * 2 + (hour >= 12) == half:
+                day = (at + dt.timedelta(hours=5)).date()
+                want[day] = want.get(day, 0.0) + round(profit, 4) + (commission or 0.0)
+        for day, net in want.items():
+            worst[day] = min(worst.get(day, 0.0), net)
+    assert set(out) == set(want)
+    for day, (net, halt) in out.items():
+        assert abs(net - want[day]) < 0.01 and halt == (worst[day] <= -1000)
+    recovered = dt.date(2024, 1, 4)
+    assert out[recovered][1] and out[recovered][0] > -1000
+
+
+def test_reconcile_reads_only_what_a_batch_brings(spark):
+    rows = [(p, START + dt.timedelta(hours=10 * k + p), k, k % 2, 100.0 + k, 1.0, "S", float(p - k), 777 if p == 3 and k == 2 else 0) for p in range(1, 6) for k in range(4)]
+    deals = spark.createDataFrame(rows, "position_id long, time timestamp_ntz, deal_no int, type int, price double, volume double, symbol string, profit double, magic int")
+    zero = F.lit(0).cast("decimal(18,4)")
+    deals = settle(deals.withColumn("profit", F.col("profit").cast("decimal(18,4)")).withColumns({"commission": zero, "swap": zero, "part_id": F.lit(1), "venue": F.lit(1)}))
+    twice = settle(deals.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))))
+    target, progress = scratch_dir(spark, "parts"), []
+    feed = J.replay(twice, "deals", F.least(F.col("deal_no") + F.col("again"), F.lit(3)), 4).through(lambda df: J.new_deals(df.drop("again"), "12 hours"))
+    J.drain(feed, "reconcile", J.reconcile_batch(target, 777), progress=progress)
+    known = spark.createDataFrame([(5,)], "ticket long")
+    got = {r.ticket: (r.pnl, r.entry_price, r.exit_price) for r in J.reconciled(spark, target, known).collect()}
+    assert got == {p: (float(4 * p - 6), 100.0, 103.0) for p in (1, 2, 4)}
+    # Traces of deals leave the state as the watermark passes them.
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    assert max(held) <= 15 and held[-1] < 20
+
+
+def test_finished_tickets_stay_closed(spark):
+    """A price that touches the stop again in a later batch brings no second row, though no earlier output is read."""
+    bars = [("S", START + dt.timedelta(hours=i), i + 1, 100.0 + d, 99.0 + d) for i, d in enumerate([0, 1, -20, 0, 1, -30, 0, -40, 5])]
+    positions = spark.createDataFrame([("S", 1, "buy", 90.0, None, START), ("S", 2, "buy", 75.0, None, START + dt.timedelta(hours=4))], "symbol string, day_no long, type string, sl double, atr_entry double, time timestamp")
+    df = settle(spark.createDataFrame(bars, "symbol string, time timestamp, rn long, high double, low double"))
+    held = J.replay(df, "prices", F.floor((F.col("rn") - 1) / 3), 3).through(lambda d: J.held_bars(d, positions))
+    out = sorted((r.ticket, r.rn) for r in J.drain_keyed(held, "trailing", J.stream_trailing()).collect())
+    assert out == [("S#1", 3), ("S#2", 6)]
+
+
+def test_replay_takes_parts_in_order_and_refuses_other_rows(spark):
+    df = settle(spark.range(90).repartition(6).withColumn("part", F.col("id") % 3))
+    seen = []
+    J.drain(J.replay(df, "ids", F.col("part"), 3), "order", lambda batch, i: seen.append((i, {r.part for r in batch.select("part").distinct().collect()}, batch.rdd.getNumPartitions() > 1)))
+    assert seen == [(0, {0}, True), (1, {1}, True), (2, {2}, True)]
+    with pytest.raises(ValueError):
+        J.replay(df, "ids", F.col("part"), 2)

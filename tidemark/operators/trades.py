@@ -279,8 +279,13 @@ def open_risk(positions: DataFrame, meta: DataFrame, balance: float, cap_pct: fl
 
 def daily_realized(deals: DataFrame) -> DataFrame:
     """Profit + commission + swap per trading day (UTC+5), balance operations (position 0) left out."""
-    net = sum((F.coalesce(c, F.lit(0).cast("decimal(18,4)")) for c in ("commission", "swap")), F.coalesce("profit", F.lit(0).cast("decimal(18,4)")))
-    return deals.where(F.col("position_id") != 0).groupBy(trading_day("time").alias("day")).agg(F.sum(net).alias("net"))
+    return deals.where(F.col("position_id") != 0).groupBy(trading_day("time").alias("day")).agg(F.sum(net_result()).alias("net"))
+
+
+def net_result() -> Column:
+    """Profit + commission + swap of a deal, missing ones counting as 0."""
+    zero = F.lit(0).cast("decimal(18,4)")
+    return F.coalesce("profit", zero) + F.coalesce("commission", zero) + F.coalesce("swap", zero)
 
 
 def daily_loss_gate(deal_days: DataFrame, journal_days: DataFrame, balance: float, limit_pct: float = 5.0) -> DataFrame:
@@ -306,20 +311,35 @@ def scenario_pnl(positions: DataFrame, shocks: DataFrame, meta: DataFrame, balan
     )
 
 
-def external_trades(deals: DataFrame, known: DataFrame, magic: int) -> DataFrame:
-    """Foreign positions as journal rows: first deal, last opposite deal (else last), net result, signed price move."""
+def position_parts(deals: DataFrame, magic: int) -> DataFrame:
+    """What a set of deals tells of each position: first and last deal, last deal of each side, net result, own or not.
+
+    Parts of one position can be merged (``merged_parts``), so deals may come in any number of sets.
+    """
     order = F.struct("time", "deal_no", "part_id", "venue", "price", "volume")
     deal = F.struct("time", "type", "price", "volume", "symbol", order.alias("o"))
     net = F.col("profit") + F.coalesce(F.col("commission"), F.lit(0).cast("decimal(18,4)")) + F.coalesce(F.col("swap"), F.lit(0).cast("decimal(18,4)"))
-    g = deals.where(F.col("position_id") != 0).groupBy("position_id").agg(
+    return deals.where(F.col("position_id") != 0).groupBy("position_id").agg(
         F.min_by(deal, order).alias("first"),
         F.max_by(deal, order).alias("last"),
         F.max_by(F.when(F.col("type") == 0, deal), F.when(F.col("type") == 0, order)).alias("last0"),
         F.max_by(F.when(F.col("type") == 1, deal), F.when(F.col("type") == 1, order)).alias("last1"),
         F.sum(net).alias("net"),
         F.bool_or(F.coalesce(F.col("magic") == magic, F.lit(False))).alias("own"),
-    ).where(~F.col("own"))
-    g = g.join(known.select(F.col("ticket").alias("position_id")), "position_id", "left_anti")
+    )
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """One row per position out of several of ``position_parts`` over different deals."""
+    latest = lambda c: F.max_by(F.col(c), F.col(f"{c}.o")).alias(c)
+    return parts.groupBy("position_id").agg(
+        F.min_by(F.col("first"), F.col("first.o")).alias("first"), latest("last"), latest("last0"), latest("last1"), F.sum("net").alias("net"), F.bool_or("own").alias("own")
+    )
+
+
+def external_rows(parts: DataFrame, known: DataFrame) -> DataFrame:
+    """Journal rows of the foreign positions among ``position_parts``: one row per position."""
+    g = parts.where(~F.col("own")).join(known.select(F.col("ticket").alias("position_id")), "position_id", "left_anti")
     opposite = F.when(F.col("first.type") == 0, F.col("last1")).otherwise(F.col("last0"))
     g = g.withColumn("out", F.coalesce(opposite, F.col("last")))
     side = F.when(F.col("first.type") == 0, 1.0).otherwise(-1.0)
@@ -331,6 +351,11 @@ def external_trades(deals: DataFrame, known: DataFrame, magic: int) -> DataFrame
     )
 
 
+def external_trades(deals: DataFrame, known: DataFrame, magic: int) -> DataFrame:
+    """Foreign positions as journal rows: first deal, last opposite deal (else last), net result, signed price move."""
+    return external_rows(position_parts(deals, magic), known)
+
+
 def position_pnl(positions: DataFrame, quotes: DataFrame, meta: DataFrame) -> DataFrame:
     """Floating result at the current quote; zero where the symbol has no usable point or tick value."""
     p = positions.join(quotes, "symbol").join(meta, "symbol")

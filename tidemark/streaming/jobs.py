@@ -7,7 +7,7 @@ batch (``drain_keyed``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,7 +51,8 @@ class KeyedStep(NamedTuple):
     `step(rows, was)` takes the rows of the batch and the carried values (`key` and ``was_<name>``, no row for a new key)
     and gives output rows with `rn` and the new values as ``now_<name>``; those of the last `rn` are carried. A boolean
     `emit` marks the rows that leave the job (without it all do). With `ends`, a key is finished by its first such row:
-    it is carried no longer and its later rows are left out.
+    it is carried no longer and its later rows are left out. Such rows also have `symbol`, `time` and `since`, the time from
+    which the key exists: a key that is not carried is new if it begins after all that its symbol has seen, else finished.
     """
 
     carried: str
@@ -96,8 +97,8 @@ def stream_risk(max_dd: float = 8.0, breaker: float = 15.0, cooldown_hours: floa
 
 def held_bars(prices: DataFrame, positions: DataFrame) -> DataFrame:
     """Bars (symbol, time, rn, high, low) of a stream from the entry of each position on, one row per ticket and bar."""
-    p = positions.select("symbol", F.concat_ws("#", "symbol", "day_no").alias("ticket"), "type", "sl", "atr_entry", F.col("time").cast("timestamp").alias("opened"))
-    return event_time(prices).join(p, "symbol").where(F.col("time") >= F.col("opened")).drop("symbol", "opened")
+    p = positions.select("symbol", F.concat_ws("#", "symbol", "day_no").alias("ticket"), "type", "sl", "atr_entry", F.col("time").cast("timestamp").alias("since"))
+    return event_time(prices).join(p, "symbol").where(F.col("time") >= F.col("since"))
 
 
 def stream_trailing(distance: float = 2.0) -> KeyedStep:
@@ -147,11 +148,19 @@ def stream_drift(head: int = 50, every: int = 20, drop: float = 0.15, floor: flo
     return KeyedStep("total double, known long, rns array<long>, newest array<double>", step)
 
 
-def stream_daily_loss(fills: DataFrame) -> DataFrame:
-    """Realized result per UTC+5 trading day (update mode; fold with ``latched_days``)."""
-    from tidemark.operators.trades import daily_realized
+def stream_daily_loss(fills: DataFrame, delay: str = "1 day", offset_hours: int = 5) -> DataFrame:
+    """Realized result per trading day at a fixed UTC offset (update mode; fold with ``latched_days``).
 
-    return daily_realized(fills)
+    A day is an event-time window from one local midnight to the next: once the watermark (`delay` behind the newest
+    fill) has passed its end, its state is removed, so state holds the open days only. A fill that comes later still
+    changes nothing.
+    """
+    from tidemark.operators.trades import net_result
+
+    day = F.window("time", "1 day", "1 day", f"{(24 - offset_hours) % 24} hours")
+    real = event_time(fills.where(F.col("position_id") != 0)).withWatermark("time", delay)
+    g = real.groupBy(day.alias("w")).agg(F.sum(net_result()).alias("net"))
+    return g.select(F.to_date(F.col("w.start") + F.expr(f"INTERVAL {offset_hours} HOURS")).alias("day"), "net")
 
 
 def latched_days(updates: DataFrame, balance: float, limit_pct: float) -> DataFrame:
@@ -160,75 +169,95 @@ def latched_days(updates: DataFrame, balance: float, limit_pct: float) -> DataFr
     return updates.groupBy("day").agg(F.max_by("net", "batch").cast("double").alias("net"), F.bool_or(loss >= limit_pct).alias("halt"))
 
 
-def reconcile_batch(target: str, known: DataFrame, magic: int) -> Callable[[DataFrame, int], None]:
-    """foreachBatch handler: foreign positions from deals that may be spread over batches and repeat (see ``reconciled``).
+def new_deals(deals: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Deals of a stream, each once: equal rows within `delay` are one deal, whose trace then leaves the state."""
+    return event_time(deals).withWatermark("time", delay).dropDuplicatesWithinWatermark(deals.columns)
+
 
-    Deals are kept as they come. Every position that a batch touches is computed anew from all its deals; equal rows are
-    one deal. A batch overwrites its own folders only, so repeating it changes nothing.
+def reconcile_batch(target: str, magic: int) -> Callable[[DataFrame, int], None]:
+    """foreachBatch handler for ``new_deals``: what a batch tells of each position it touches (``position_parts``).
+
+    Nothing earlier is read: parts of a position are merged when asked for. A batch overwrites its own folder only, so
+    repeating it changes nothing.
     """
-    from tidemark.operators.trades import external_trades
+    from tidemark.operators.trades import position_parts
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{target}/deals/batch={batch_id}")
-        log = spark.read.parquet(f"{target}/deals").where(F.col("batch") <= batch_id)
-        touched = log.where(F.col("batch") == batch_id).select("position_id").distinct()
-        deals = log.drop("batch").join(touched, "position_id", "left_semi").distinct()
-        rows = external_trades(deals, known, magic).withColumn("foreign", F.lit(True))
-        # A position whose new deals show it to be an own one keeps a row that withdraws the earlier ones.
-        all_touched = touched.where("position_id is not null").withColumnRenamed("position_id", "ticket")
-        all_touched.join(rows, "ticket", "left").write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
+        deals = batch.withColumn("time", F.col("time").cast("timestamp_ntz"))
+        position_parts(deals, magic).write.mode("overwrite").parquet(f"{target}/parts/batch={batch_id}")
 
     return handle
 
 
-def reconciled(spark: SparkSession, target: str) -> DataFrame:
+def reconciled(spark: SparkSession, target: str, known: DataFrame) -> DataFrame:
     """The foreign positions as of the newest batch of ``reconcile_batch``: one row each."""
-    rows = spark.read.parquet(f"{target}/rows")
-    names = [c for c in rows.columns if c not in ("ticket", "batch")]
-    newest = rows.groupBy("ticket").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("ticket", "r.*")
-    return newest.where("foreign").drop("foreign")
+    from tidemark.operators.trades import external_rows, merged_parts
+
+    return external_rows(merged_parts(spark.read.parquet(f"{target}/parts").drop("batch")), known)
 
 
 # --- running a job to completion over what a source holds -----------------------------------------------------------
 
 
-def drain(stream: DataFrame, name: str, handler: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> DataFrame | None:
-    """Process everything available, then stop. Rows go to a parquet table below the checkpoint folder."""
+class Replay(NamedTuple):
+    """A stream over a folder, and the steps that put the next files there."""
+
+    stream: DataFrame
+    feed: Callable[[], Iterator[int]]
+
+    def through(self, change: Callable[[DataFrame], DataFrame]) -> Replay:
+        return Replay(change(self.stream), self.feed)
+
+
+def drain(source: DataFrame | Replay, name: str, handler: Callable[[DataFrame, int], None] | None = None, mode: str = "append", progress: list | None = None) -> DataFrame | None:
+    """Process everything available, then stop. Rows go to a parquet table below the checkpoint folder.
+
+    A replay is processed part by part: the job starts anew from its checkpoint after each one. `progress` gets the last
+    report of every run.
+    """
+    stream, feed = source if isinstance(source, Replay) else (source, lambda: iter([0]))
     spark = stream.sparkSession
     root = scratch_dir(spark, name)
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-    if handler is not None:
-        query = writer.foreachBatch(handler).start()
-    elif mode == "append":
-        query = writer.format("parquet").option("path", f"{root}/rows").start()
-    else:
-
-        def keep(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
-
-        query = writer.foreachBatch(keep).start()
-    query.awaitTermination()
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
+
+    for _ in feed():
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+        if handler is not None:
+            query = writer.foreachBatch(handler).start()
+        elif mode == "append":
+            query = writer.format("parquet").option("path", f"{root}/rows").start()
+        else:
+            query = writer.foreachBatch(keep).start()
+        query.awaitTermination()
+        if progress is not None:
+            progress.append(query.lastProgress)
     return None if handler is not None else spark.read.schema(stream.schema if mode == "append" else stream.schema.add("batch", "long")).parquet(f"{root}/rows")
 
 
-def drain_keyed(stream: DataFrame, name: str, job: KeyedStep) -> DataFrame:
+def drain_keyed(source: DataFrame | Replay, name: str, job: KeyedStep) -> DataFrame:
     """Run a keyed job over everything available; returns its output rows.
 
-    Rows have the job's key and `rn`, their position in the symbol. The carry after a batch is a table of one row per key
-    in a folder of its own, as is the batch's output, so a repeated batch overwrites both. A row that arrives after later
-    ones of its key is judged with the state carried so far and changes no earlier output.
+    Rows have the job's key and `rn`, their position in the symbol. A batch reads the carry of the batch before, one row
+    per key, and no earlier output; carries take turns in two folders, so a repeated batch finds what it began with. A
+    row that arrives after later ones of its key is judged with the state carried so far and changes no earlier output.
     """
+    stream = source.stream if isinstance(source, Replay) else source
     root, key = scratch_dir(stream.sparkSession, name), job.key
     names = [part.split()[0] for part in job.carried.split(",")]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        schema = f"{key} string, {job.carried}"
-        held = spark.read.schema(schema).parquet(f"{root}/carry/{batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
-        if job.ends and batch_id:
-            over = spark.read.parquet(f"{root}/rows").where(F.col("batch") < batch_id).select(key)
-            batch = batch.join(over, key, "left_anti")
+        own = lambda what, schema, n: spark.read.schema(schema).parquet(f"{root}/{what}/{n % 2}") if batch_id else spark.createDataFrame([], schema)
+        held = own("carry", f"{key} string, {job.carried}", batch_id + 1)
+        if job.ends:
+            seen = own("seen", "symbol string, __upto timestamp", batch_id + 1)
+            highest = batch.groupBy("symbol").agg(F.max("time").alias("__upto")).unionByName(seen).groupBy("symbol").agg(F.max("__upto").alias("__upto"))
+            highest.write.mode("overwrite").parquet(f"{root}/seen/{batch_id % 2}")
+            known = held.select(key, F.lit(True).alias("__held"))
+            batch = batch.join(known, key, "left").join(seen, "symbol", "left")
+            batch = batch.where(F.col("__held") | F.col("__upto").isNull() | (F.col("since") > F.col("__upto"))).drop("__held", "__upto", "symbol", "since")
         out = settle(job.step(batch, held.select(key, *[F.col(c).alias(f"was_{c}") for c in names])))
         # One struct per key, so that a null in a carried value is carried as well.
         last = out.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"now_{c}").alias(c) for c in names]), "rn").alias("s")).select(key, "s.*")
@@ -238,23 +267,36 @@ def drain_keyed(stream: DataFrame, name: str, job: KeyedStep) -> DataFrame:
             firsts = rows.groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), "rn").alias("s"))
             rows = firsts.select(key, "s.*")
             carry = carry.join(rows, key, "left_anti").select(key, *names)
-        carry.write.mode("overwrite").parquet(f"{root}/carry/{batch_id}")
+        carry.write.mode("overwrite").parquet(f"{root}/carry/{batch_id % 2}")
         rows.write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
 
-    drain(stream, name, handle)
+    drain(source, name, handle)
     return stream.sparkSession.read.parquet(f"{root}/rows").drop("batch")
 
 
-def replay(df: DataFrame, name: str, cut: Column, parts: int) -> DataFrame:
-    """`df` written as `parts` files in the order of `cut` (0 .. parts - 1) and read back as a stream, one per batch.
+def replay(df: DataFrame, name: str, cut: Column, parts: int) -> Replay:
+    """`df` as a stream that grows by one part at a time, in the order of `cut` (0 .. parts - 1).
 
-    A row whose `cut` is null or not one of the parts is an error. For tests and replays of small tables only: a batch
-    is one file.
+    Each part is written by as many tasks as read it, to as many files. A row whose `cut` is null or not one of the parts
+    is an error.
     """
     spark = df.sparkSession
     if not df.where(cut.isNull() | (cut < 0) | (cut >= parts)).isEmpty():
         raise ValueError("rows outside the parts of the replay")
     path = scratch_dir(spark, name)
-    for i in range(parts):
-        df.where(cut == i).repartition(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+    def feed() -> Iterator[int]:
+        for i in range(parts):
+            df.where(cut == i).write.mode("append").parquet(path)
+            yield i
+
+    df.limit(0).write.parquet(path)  # the folder has to be there before the stream is declared
+    return Replay(spark.readStream.schema(df.schema).parquet(path), feed)
+
+
+def by_time(df: DataFrame, parts: int, col: str = "time") -> Column:
+    """Which of `parts` equal ranges of the table's own times a row belongs to."""
+    at = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    low, high = df.agg(F.min(at(col)), F.max(at(col))).first()
+    low, high = (0, 0) if low is None else (low, high)
+    return F.floor((at(col) - low) * parts / (high - low + 1))
