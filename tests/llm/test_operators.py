@@ -101,7 +101,6 @@ def test_huffman_files_hold_the_ids_of_the_library(spark, docs, empty, rows, tmp
     huffman_ids.write_file(docs, path, 2, str(tmp_path / "f"))
     out = huffman_ids.read_file(spark, str(tmp_path / "f")).collect()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     want = {}
     for i, x, *_ in rows:
         want.setdefault(i, []).append(np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4").tobytes())
@@ -117,6 +116,41 @@ def test_huffman_files_hold_the_ids_of_the_library(spark, docs, empty, rows, tmp
     assert huffman_ids.read_file(spark, str(tmp_path / "g")).count() == 0
 
 
+def test_words_give_the_ids_of_the_untouched_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, words = Tokenizer.from_file(path), huffman_ids.Words(path)
+    rnd = random.Random(8)
+    pieces = ["the", "The", "été,", "naïve.", "ÀB", "x1y2", "don't", "日本", "a\xa0b", "\u3000", "<|endoftext|>", "<|startoftext|>", "  ", "\n", "\t\t", "\x1c", "ß", "ÿ.", ".", ",,", "\x85", "q" * 90, "😀", "e\u0301"]
+    texts = ["".join(rnd.choice(pieces) + rnd.choice(["", " ", " ", "\r\n"]) for _ in range(rnd.randint(0, 30))) for _ in range(400)] + [None, "", " ", "a <|endoftext|> b"]
+    monkeypatch.setattr(huffman_ids, "MEMO_BYTES", 2000)
+    for part in (texts[:100], texts[100:], texts, [], ["x"]):
+        ids, count = words.encode(part, 2)
+        want = [t.encode(x or "", add_special_tokens=False).ids + [2] for x in part]
+        assert count.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_huffman_ranges_split_rows_of_one_id(spark, tmp_path, monkeypatch):
+    """Equal rows without an id fill several buckets, and ids above 16 bits are coded."""
+    monkeypatch.setattr(huffman_ids, "BUCKET_IDS", 500)
+    rows = [(None, "same words in each of these rows")] * 400 + [(5, "other words")] * 50 + [(i, f"row {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    huffman_ids.write_file(docs, public_tokenizers.path("word_bpe_49k.json"), 2, str(tmp_path / "f"))
+    sizes = Counter(r["bucket"] for r in spark.read.parquet(str(tmp_path / "f" / "blocks")).select("bucket").collect())
+    assert len(sizes) > 3
+    out = sorted(huffman_ids.read_file(spark, str(tmp_path / "f")).collect(), key=lambda r: r["start"])
+    at = 0
+    for r in out:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in out] == sorted((i for i, _ in rows), key=lambda d: (d is not None, d or 0))
+    code = huffman_ids.Code([3, 70_000, 1 << 20], [1, 2, 2])
+    ids = np.array([3, 70_000, 3, 1 << 20] * 300)
+    body, marks, _ = code.pack(ids)
+    assert code.unpack([(body, marks, len(ids))])[0].tolist() == ids.tolist()
+
+
 def test_code_lengths_are_limited_and_best():
     counts = np.array([1, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144])
     for most in (4, 5, 6, 12):

@@ -19,7 +19,6 @@ import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import slices
+from tidemark.llm.words import joined, not_space, runs, slices
 from tidemark.session import scratch_dir
 
 MAGIC = 0x314655484D4454
@@ -37,8 +36,10 @@ STEP, BLOCK_IDS = 256, 1 << 17
 LONGEST = 18
 #: Documents of about so many ids share a range of doc_id, which one task sorts and writes.
 BUCKET_IDS = 4_000_000
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-MEMO = 1_000_000
+#: Bytes of words and ids that a worker remembers; the memory is emptied when it is full.
+MEMO_BYTES = 32 << 20
+#: Bytes of text worked on at a time.
+TEXT_BYTES = 8 << 20
 #: Small letters of Latin-1 and a mark behind them: the library's normal form leaves them alone and splits off the mark.
 PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,]?)").fullmatch
 #: Characters that Python takes for white space and tokenizers do not.
@@ -49,84 +50,119 @@ class Words:
     """Ids of whole texts, from the library's ids of their words.
 
     The tokenizer of the given file splits at white space and drops it, and its normal forms don't reach across it, so
-    a text has the ids of its words in a row. A text with characters on whose nature the library and Python differ, or
-    with a string of a special token, is given to the library whole.
+    a text has the ids of its words (runs of other than space and control characters 9 to 13) in a row. A text with
+    characters on whose nature views differ, or with a string that the library takes for an added token, is given to the
+    library whole.
+
+    A slice of texts is split at once: its distinct words are looked up, only new ones are tokenized, and ids are
+    gathered by array operations. Memory holds the ids of all words in one array.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-        self.mark = dict(zip(["", ".", ","], [b"", *self._library([".", ","])]))
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content] + [c.encode() for c in ODD_SPACE]
+        self._forget()
+        self.mark = dict(zip(["", ".", ","], [[], *self._library([".", ","])]))
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         #: What stands in the vocabulary for the bytes of those letters.
         self.visible = {b: seen for c in map(chr, range(0xDF, 0x100)) if PLAIN(c) for b, seen in zip(c.encode(), split(c)[0][0], strict=True)}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u2").tobytes() for x in found]
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.held = 0
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Remember the ids of words. Plain ones skip the steps of the library that would leave them as they are."""
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
-        memo, tokenize, odd = self.memo, self.tokenizer.model.tokenize, []
+        tokenize, found, odd = self.tokenizer.model.tokenize, [], []
         for w in words:
-            if (m := PLAIN(w.lower())) and len(w) < 64:
-                ids = [t.id for t in tokenize(m[1].encode().decode("latin-1").translate(self.visible))]
-                memo[w] = pack(f"<{len(ids)}H", *ids) + self.mark[m[2]]
+            t = w.decode("utf-8", "surrogatepass")
+            if len(t) < 64 and (m := PLAIN(t.lower())):
+                found.append([x.id for x in tokenize(m[1].encode().decode("latin-1").translate(self.visible))] + self.mark[m[2]])
             else:
-                odd.append(w)
-        memo.update(zip(odd, self._library(odd)))
-
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        """Ids as little-endian unsigned 16-bit integers."""
-        tail, out, late = np.array([end], "<u2").tobytes(), [], {}
-        get = self.memo.get
-        for i, t in enumerate(texts):
-            if not t:
-                out.append(tail)
-                continue
-            if any(c in t for c in ODD_SPACE) or any(s in t for s in self.special):
-                out.append(self._library([t])[0] + tail)
-                continue
-            split = t.split()
-            found = [*map(get, split), tail]
-            if None in found:
-                late[i] = split
-                out.append(b"")
-            else:
-                out.append(b"".join(found))
-        if late:
-            new = set().union(*late.values())
-            had = {w: x for w in new if (x := get(w)) is not None}
-            self._learn([w for w in new if w not in had])
-            known = self.memo if len(self.memo) >= len(new) and all(w in self.memo for w in had) else {**self.memo, **had}
-            for i, split in late.items():
-                out[i] = b"".join(map(known.__getitem__, split)) + tail
-        return out
-
-
-_loaded: dict[str, Words] = {}
+                odd.append(len(found))
+                found.append(t)
+        for i, ids in zip(odd, self._library([found[i] for i in odd])):
+            found[i] = ids
+        n = len(self.number)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter((x for f in found for x in f), np.uint32, int(size.sum()))
+        self.flat = _grown(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin, self.size = _grown(self.begin, n + len(words)), _grown(self.size, n + len(words))
+        self.begin[n : n + len(words)], self.size[n : n + len(words)] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+        self.number.update(zip(words, range(n, n + len(words))))
+        # About 100 bytes for an entry of the dictionary and its two places.
+        self.held += sum(map(len, words)) + 4 * len(ids) + 100 * len(words)
+
+    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, `end` behind each, and the number of each text's ids."""
+        if self.held > MEMO_BYTES:
+            self._forget()
+        buf, at = joined(texts)
+        whole = buf.tobytes()
+        odd = []
+        if any(s in whole for s in self.special):
+            odd = [i for i, t in enumerate(texts) if t and any(s in whole[at[i] : at[i + 1]] for s in self.special)]
+        inside = not_space()[buf]
+        for i in odd:
+            inside[at[i] : at[i + 1]] = False
+        start, stop = runs(inside, at)
+        doc = np.searchsorted(at, start, "right") - 1
+        offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])]).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.number]
+        if new:
+            self._learn(new)
+        entry = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
+        word = entry[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
+        begin, size = self.begin[word], self.size[word]
+        count = np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64) + 1
+        late = dict(zip(odd, self._library([texts[i] for i in odd]))) if odd else {}
+        for i, ids in late.items():
+            count[i] = len(ids) + 1
+        upto = np.cumsum(count)
+        out = np.empty(int(upto[-1]) if len(upto) else 0, np.uint32)
+        out[upto - 1] = end
+        # Each word's ids go behind those of the words before it; a text's first word goes where the text begins.
+        run = np.cumsum(size) - size
+        first = np.searchsorted(doc, np.arange(len(texts)))
+        ahead = np.append(run, int(size.sum()))[first]
+        to = run - ahead[doc] + (upto - count)[doc]
+        step = np.arange(int(size.sum()))
+        out[np.repeat(to - run, size) + step] = self.flat[np.repeat(begin - run, size) + step]
+        for i, ids in late.items():
+            out[upto[i] - count[i] : upto[i] - 1] = ids
+        return out, count
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of every text followed by `end_id`: doc_id, n_tokens, ids (binary, little-endian unsigned 16-bit integers).
+    """Ids of every text followed by `end_id`: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit integers).
 
-    Null and empty texts have the end id alone. Repeated rows and null ids stay as they are; other columns are not read.
+    Ids are those of the library for the whole text, added tokens included where their strings occur. Null and empty
+    texts have the end id alone. Repeated rows and null ids stay as they are; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _loaded:
-            _loaded[path] = Words(path)
-        words = _loaded[path]
-        for b in slices(batches, "text"):
-            ids = words.encode(b["text"].to_pylist(), end_id)
-            yield pa.record_batch({"doc_id": b["doc_id"], "n_tokens": pa.array([len(x) // 2 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
+        words = Words(path)
+        for b in slices(batches, "text", TEXT_BYTES):
+            ids, count = words.encode(b["text"].to_pylist(), end_id)
+            at = np.concatenate([[0], np.cumsum(4 * count)])
+            kind, width = (pa.binary(), np.int32) if at[-1] < 1 << 31 else (pa.large_binary(), np.int64)
+            packed = pa.Array.from_buffers(kind, len(count), [None, pa.py_buffer(at.astype(width)), pa.py_buffer(ids.astype("<u4"))])
+            yield pa.record_batch({"doc_id": b["doc_id"], "n_tokens": pa.array(count), "ids": packed.cast(pa.binary())})
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
@@ -137,15 +173,21 @@ def id_counts(encoded: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
-        for b in batches:
-            for x in b["ids"]:
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16)
+        for b in slices(batches, "ids", TEXT_BYTES):
+            part = np.bincount(_flat_ids(b["ids"]))
+            total = _grown(total, len(part))
+            total[: len(part)] += part
         seen = np.flatnonzero(total)
         yield pa.record_batch({"id": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
     return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def _flat_ids(column: pa.Array) -> np.ndarray:
+    """The ids of all rows in a row."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), "<u4")
+
+
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     """Lengths of the best prefix code none of whose codes is longer than `longest` bits (package-merge)."""
     n = len(counts)
@@ -183,7 +225,8 @@ class Code:
         ids, lengths = ids[order], lengths[order]
         span = np.left_shift(1, LONGEST - lengths)
         first = np.cumsum(span) - span
-        self.length, self.code = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint64)
+        size = int(ids.max()) + 1 if len(ids) else 1
+        self.length, self.code = np.zeros(size, np.int32), np.zeros(size, np.uint64)
         self.length[ids], self.code[ids] = lengths, (first >> (LONGEST - lengths)).astype(np.uint64)
         self.table = np.full(1 << LONGEST, 1, np.int32)  # id * 32 + length
         self.table[: int(span.sum())] = np.repeat(ids * 32 + lengths, span)
@@ -211,7 +254,7 @@ class Code:
         order = np.argsort(-left, kind="stable")
         bit, left = bit[order], left[order]
         live = np.searchsorted(-left, -np.arange(STEP), "left").tolist()
-        out, mask = np.zeros((STEP, len(bit)), np.uint16), np.uint32((1 << LONGEST) - 1)
+        out, mask = np.zeros((STEP, len(bit)), np.uint32), np.uint32((1 << LONGEST) - 1)
         for k, n in enumerate(live):
             if not n:
                 break
@@ -220,7 +263,7 @@ class Code:
             found = self.table.take(window.take(b >> 3) >> shift & mask)
             out[k, :n] = found >> 5
             b += found & 31
-        back = np.empty((len(bit), STEP), np.uint16)
+        back = np.empty((len(bit), STEP), np.uint32)
         back[order] = out.T
         rows = np.cumsum([0] + [len(p[1]) for p in parts])
         return [back[a:b].reshape(-1)[: p[2]] for p, a, b in zip(parts, rows, rows[1:])]
@@ -246,22 +289,12 @@ def _parse(payload: bytes) -> tuple[list[int | None], np.ndarray, tuple[bytes, n
     return [None if gone else int(d) for d, gone in zip(docs, null)], lengths, (payload[at:], marks, total)
 
 
-def _bucket(edges: list[int]) -> Column:
-    """Number of the range of doc_id; null ids come first. Edges ascend; found by halving."""
-
-    def find(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") < edges[mid], find(lo, mid)).otherwise(find(mid + 1, hi))
-
-    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(find(0, len(edges)))
-
-
 def write_file(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenize all documents and write them to `folder` (format above), in ascending order of doc_id.
 
-    Rows of equal doc_id are ordered by the crc32 of their ids; null doc_ids come first. An empty table gives empty files.
+    Rows of equal doc_id are ordered by the crc32 of their ids; null doc_ids come first. Buckets are ranges of (doc_id,
+    crc32, place in the spool), so that rows that share an id, or have none, are spread as well. An empty table gives
+    empty files.
     """
     spark = docs.sparkSession
     spool = scratch_dir(spark, "ids")
@@ -273,11 +306,6 @@ def write_file(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str
     spark.createDataFrame(book, "id long, length long").coalesce(1).write.parquet(f"{folder}/codebook")
     code = Code(book["id"], book["length"])
 
-    ranges = max(1, math.ceil(int(counts["n"].sum()) / BUCKET_IDS))
-    shares = [i / ranges for i in range(1, ranges)]
-    edges = sorted(set(encoded.agg(F.percentile_approx("doc_id", shares, 10_000).alias("q")).first()["q"] or [])) if shares else []
-    keyed = encoded.withColumn("bucket", _bucket(edges))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, block, ids, names, held = None, 0, [], [], 0
 
@@ -286,23 +314,31 @@ def write_file(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str
 
         for b in batches:
             for own, doc, x in zip(b["bucket"].to_pylist(), b["doc_id"].to_pylist(), b["ids"]):
-                if ids and (own != bucket or held >= BLOCK_IDS):
+                if held >= BLOCK_IDS:
                     yield close()
-                    block, ids, names, held = block + 1 if own == bucket else 0, [], [], 0
+                    block, ids, names, held = block + 1, [], [], 0
                 bucket = own
-                ids.append(np.frombuffer(x.as_buffer(), "<u2"))
+                ids.append(np.frombuffer(x.as_buffer(), "<u4"))
                 names.append(doc)
                 held += len(ids[-1])
         if ids:
             yield close()
 
-    blocks = keyed.repartition(ranges, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), F.crc32("ids")).select("bucket", "doc_id", "ids")
-    blocks.mapInArrow(run, "bucket int, block long, payload binary").write.option("compression", "none").parquet(f"{folder}/blocks")
-    sums = keyed.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).toPandas().sort_values("bucket")  # one row per BUCKET_IDS ids
+    ranges = max(1, math.ceil(int(counts["n"].sum()) / BUCKET_IDS))
+    order = [F.asc_nulls_first("doc_id"), F.asc("crc"), F.asc("place")]
+    keyed = encoded.select("doc_id", "ids", F.crc32("ids").alias("crc"), F.monotonically_increasing_id().alias("place"))
+    ranged = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("bucket"), "doc_id", "ids")
+    ranged.mapInArrow(run, "bucket int, block long, payload binary").write.option("compression", "none").parquet(f"{folder}/blocks")
+    sums = _heads(spark.read.parquet(f"{folder}/blocks")).groupBy("bucket").agg(F.sum("n").alias("n")).toPandas().sort_values("bucket")  # one row per BUCKET_IDS ids
     sums["start"] = sums["n"].cumsum() - sums["n"]
     spark.createDataFrame(sums[["bucket", "start"]].astype({"bucket": "int32", "start": "int64"}), "bucket int, start long").coalesce(1).write.parquet(f"{folder}/starts")
 
 
+def _heads(blocks: DataFrame) -> DataFrame:
+    """bucket, block, n: the number of ids stands in the header of a block."""
+    return blocks.select("bucket", "block", _uint32(F.col("payload"), 17).alias("n"))
+
+
 def read_file(spark: SparkSession, folder: str, keep_ids: bool = True) -> DataFrame:
     """Documents of a folder of `write_file`, decoded: doc_id, start, n_tokens, ids_crc32, ids.
 
@@ -326,8 +362,8 @@ def read_file(spark: SparkSession, folder: str, keep_ids: bool = True) -> DataFr
                 }
                 yield pa.record_batch(columns | ({"ids": pa.array(texts, pa.binary())} if keep_ids else {}))
 
-    # The block's number of ids stands in its header; the window runs over the few blocks of one bucket.
-    heads = blocks.select("bucket", "block", _uint32(F.col("payload"), 17).alias("n"))
+    # The window runs over the few blocks of one bucket.
+    heads = _heads(blocks)
     earlier = Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum("n").over(earlier), F.lit(0)) + F.col("start")
     starts = heads.join(spark.read.parquet(f"{folder}/starts"), "bucket").select("bucket", "block", base.alias("base"))
