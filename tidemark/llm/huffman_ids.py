@@ -19,10 +19,12 @@ import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ LONGEST = 18
 #: Documents of about so many ids share a range of doc_id, which one task sorts and writes.
 BUCKET_IDS = 4_000_000
 #: Bytes of words and ids that a worker remembers; the memory is emptied when it is full.
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 96 << 20
 #: Bytes of text worked on at a time.
 TEXT_BYTES = 8 << 20
 #: Small letters of Latin-1 and a mark behind them: the library's normal form leaves them alone and splits off the mark.
@@ -52,7 +54,8 @@ class Words:
     The tokenizer of the given file splits at white space and drops it, and its normal forms don't reach across it, so
     a text has the ids of its words (runs of other than space and control characters 9 to 13) in a row. A text with
     characters on whose nature views differ, or with a string that the library takes for an added token, is given to the
-    library whole.
+    library whole. The library lowers letters and parts a full stop or comma from the letters before it, so these are
+    taken off a word of ASCII letters first, which leaves fewer distinct words.
 
     A slice of texts is split at once: its distinct words are looked up, only new ones are tokenized, and ids are
     gathered by array operations. Memory holds the ids of all words in one array.
@@ -64,14 +67,20 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content] + [c.encode() for c in ODD_SPACE]
         self._forget()
+        #: Bytes of an id: two, if the vocabulary allows it.
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.mark = dict(zip(["", ".", ","], [[], *self._library([".", ","])]))
+        self.letter = np.zeros(256, bool)
+        self.letter[[*range(65, 91), *range(97, 123)]] = True
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
         split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         #: What stands in the vocabulary for the bytes of those letters.
         self.visible = {b: seen for c in map(chr, range(0xDF, 0x100)) if PLAIN(c) for b, seen in zip(c.encode(), split(c)[0][0], strict=True)}
 
     def _forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.held = 0
 
@@ -82,6 +91,9 @@ class Words:
         """Remember the ids of words. Plain ones skip the steps of the library that would leave them as they are."""
         tokenize, found, odd = self.tokenizer.model.tokenize, [], []
         for w in words:
+            if w.isalpha() and len(w) < 64:  # ASCII letters, in lower case already
+                found.append([x.id for x in tokenize(w.decode())])
+                continue
             t = w.decode("utf-8", "surrogatepass")
             if len(t) < 64 and (m := PLAIN(t.lower())):
                 found.append([x.id for x in tokenize(m[1].encode().decode("latin-1").translate(self.visible))] + self.mark[m[2]])
@@ -92,7 +104,7 @@ class Words:
             found[i] = ids
         n = len(self.number)
         size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((x for f in found for x in f), np.uint32, int(size.sum()))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
         self.flat = _grown(self.flat, self.used + len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
         self.begin, self.size = _grown(self.begin, n + len(words)), _grown(self.size, n + len(words))
@@ -115,9 +127,14 @@ class Words:
         for i in odd:
             inside[at[i] : at[i + 1]] = False
         start, stop = runs(inside, at)
+        # A last byte that is a full stop or comma behind ASCII letters only is a word of its own.
+        other = np.concatenate([[0], np.cumsum(~self.letter[buf])])
+        last = buf[stop - 1] if len(stop) else np.zeros(0, np.uint8)
+        marked = np.flatnonzero(((last == 46) | (last == 44)) & (stop - start > 1) & (other[stop] - other[start] == 1))
+        start, stop = np.insert(start, marked + 1, stop[marked] - 1), np.insert(stop, marked, stop[marked] - 1)
         doc = np.searchsorted(at, start, "right") - 1
         offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int64)
-        coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(buf[inside])]).dictionary_encode()
+        coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(self.lower[buf[inside]])]).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         new = [w for w in distinct if w not in self.number]
         if new:
@@ -130,15 +147,17 @@ class Words:
         for i, ids in late.items():
             count[i] = len(ids) + 1
         upto = np.cumsum(count)
-        out = np.empty(int(upto[-1]) if len(upto) else 0, np.uint32)
+        out = np.empty(int(upto[-1]) if len(upto) else 0, self.kind)
         out[upto - 1] = end
         # Each word's ids go behind those of the words before it; a text's first word goes where the text begins.
         run = np.cumsum(size) - size
         first = np.searchsorted(doc, np.arange(len(texts)))
         ahead = np.append(run, int(size.sum()))[first]
         to = run - ahead[doc] + (upto - count)[doc]
-        step = np.arange(int(size.sum()))
-        out[np.repeat(to - run, size) + step] = self.flat[np.repeat(begin - run, size) + step]
+        # Bounded by the slice, so places fit 32 bits unless one text is longer than that.
+        place = np.int32 if len(out) < 1 << 31 and self.used < 1 << 31 else np.int64
+        step = np.arange(int(size.sum()), dtype=place)
+        out[np.repeat((to - run).astype(place), size) + step] = self.flat[np.repeat((begin - run).astype(place), size) + step]
         for i, ids in late.items():
             out[upto[i] - count[i] : upto[i] - 1] = ids
         return out, count
@@ -149,7 +168,8 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Ids of every text followed by `end_id`: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit integers).
+    """Ids of every text followed by `end_id`: doc_id, n_tokens, ids (binary, little-endian unsigned integers of 16
+    bits, or of 32 if the vocabulary is larger than that).
 
     Ids are those of the library for the whole text, added tokens included where their strings occur. Null and empty
     texts have the end id alone. Repeated rows and null ids stay as they are; other columns are not read.
@@ -159,9 +179,9 @@ def encode_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
         words = Words(path)
         for b in slices(batches, "text", TEXT_BYTES):
             ids, count = words.encode(b["text"].to_pylist(), end_id)
-            at = np.concatenate([[0], np.cumsum(4 * count)])
+            at = np.concatenate([[0], np.cumsum(words.kind.itemsize * count)])
             kind, width = (pa.binary(), np.int32) if at[-1] < 1 << 31 else (pa.large_binary(), np.int64)
-            packed = pa.Array.from_buffers(kind, len(count), [None, pa.py_buffer(at.astype(width)), pa.py_buffer(ids.astype("<u4"))])
+            packed = pa.Array.from_buffers(kind, len(count), [None, pa.py_buffer(at.astype(width)), pa.py_buffer(ids)])
             yield pa.record_batch({"doc_id": b["doc_id"], "n_tokens": pa.array(count), "ids": packed.cast(pa.binary())})
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -174,18 +194,19 @@ def id_counts(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in slices(batches, "ids", TEXT_BYTES):
-            part = np.bincount(_flat_ids(b["ids"]))
+            ids = b"".join(x.as_buffer() for x in b["ids"])
+            part = np.bincount(np.frombuffer(ids, _kind(len(ids), pc.sum(b["n_tokens"]).as_py() or 0)))
             total = _grown(total, len(part))
             total[: len(part)] += part
         seen = np.flatnonzero(total)
         yield pa.record_batch({"id": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
-    return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return encoded.select("ids", "n_tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _flat_ids(column: pa.Array) -> np.ndarray:
-    """The ids of all rows in a row."""
-    return np.frombuffer(b"".join(x.as_buffer() for x in column), "<u4")
+def _kind(size: int, ids: int) -> str:
+    """The integers of so many bytes that hold so many ids."""
+    return "<u4" if size == 4 * ids else "<u2"
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -313,12 +334,12 @@ def write_file(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str
             return pa.record_batch({"bucket": pa.array([bucket], pa.int32()), "block": pa.array([block], pa.int64()), "payload": pa.array([_payload(code, ids, names)], pa.binary())})
 
         for b in batches:
-            for own, doc, x in zip(b["bucket"].to_pylist(), b["doc_id"].to_pylist(), b["ids"]):
+            for own, doc, n, x in zip(b["bucket"].to_pylist(), b["doc_id"].to_pylist(), b["n_tokens"].to_pylist(), b["ids"]):
                 if held >= BLOCK_IDS:
                     yield close()
                     block, ids, names, held = block + 1, [], [], 0
                 bucket = own
-                ids.append(np.frombuffer(x.as_buffer(), "<u4"))
+                ids.append(np.frombuffer(x.as_buffer(), _kind(len(x.as_buffer()), n)))
                 names.append(doc)
                 held += len(ids[-1])
         if ids:
@@ -326,8 +347,8 @@ def write_file(docs: DataFrame, path: str, end_id: int, folder: str, id_col: str
 
     ranges = max(1, math.ceil(int(counts["n"].sum()) / BUCKET_IDS))
     order = [F.asc_nulls_first("doc_id"), F.asc("crc"), F.asc("place")]
-    keyed = encoded.select("doc_id", "ids", F.crc32("ids").alias("crc"), F.monotonically_increasing_id().alias("place"))
-    ranged = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("bucket"), "doc_id", "ids")
+    keyed = encoded.select("doc_id", "n_tokens", "ids", F.crc32("ids").alias("crc"), F.monotonically_increasing_id().alias("place"))
+    ranged = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("bucket"), "doc_id", "n_tokens", "ids")
     ranged.mapInArrow(run, "bucket int, block long, payload binary").write.option("compression", "none").parquet(f"{folder}/blocks")
     sums = _heads(spark.read.parquet(f"{folder}/blocks")).groupBy("bucket").agg(F.sum("n").alias("n")).toPandas().sort_values("bucket")  # one row per BUCKET_IDS ids
     sums["start"] = sums["n"].cumsum() - sums["n"]
