@@ -159,6 +159,31 @@ def test_code_lengths_are_limited_and_best():
     assert (huffman_ids.code_lengths(counts, 12) * counts).sum() == 1 * 11 + 1 * 11 + 2 * 10 + 3 * 9 + 5 * 8 + 8 * 7 + 13 * 6 + 21 * 5 + 34 * 4 + 55 * 3 + 89 * 2 + 144
 
 
+def test_parity_never_rules_out_a_similar_bag():
+    rnd = random.Random(12)
+    texts = []
+    for n in (5, 12, 40, 300, 2000):
+        base = [rnd.choice("abcdefghij") * rnd.randint(1, 3) for _ in range(n)]
+        for cut in (0, 1, 2, n // 40, n // 15, n // 4):
+            other = list(base)
+            for _ in range(cut):
+                other[rnd.randrange(n)] = "z" + rnd.choice("kl")
+            texts.append(" ".join(other))
+    g, row = bag_minhash.shingles(texts)
+    at = np.searchsorted(row, np.arange(len(texts) + 1))
+    bags = [g[a:b] for a, b in zip(at, at[1:])]
+    parity = bag_minhash.parities(g, row, len(texts)).view(np.uint8)
+    dropped = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            differ = int(np.unpackbits(parity[i] ^ parity[j]).sum())
+            allowed = (len(bags[i]) + len(bags[j])) * 0.2 / 1.8 + 1e-6
+            if bag_minhash.overlap(bags[i], bags[j]) >= 0.8:
+                assert differ <= allowed
+            dropped += differ > allowed
+    assert dropped > 100
+
+
 # op3
 
 

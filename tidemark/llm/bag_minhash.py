@@ -28,6 +28,8 @@ WORDS = -(-BANDS * ROWS // 32)
 #: Candidates whose bits agree in fewer components than a similar pair would, by this many standard deviations, are not
 #: verified: a pair at the threshold is lost with a probability of 3e-6.
 SIGMAS = 4.5
+#: 64-bit words of parity: each shingle turns one bit, so that bags differ in at least as many shingles as in bits.
+PARITY = 16
 
 
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +55,15 @@ def weights(g: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return g[first], row[first], np.diff(np.append(first, len(g)))
 
 
+def parities(g: np.ndarray, row: np.ndarray, texts: int) -> np.ndarray:
+    """Parity words (texts, PARITY) of sorted shingles; the first, second, ... occurrence of a shingle are told apart."""
+    first = np.flatnonzero((np.diff(g, prepend=g[:1] ^ np.uint64(1)) != 0) | (np.diff(row, prepend=-1) != 0))
+    nth = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
+    place = mix(g + nth.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)) % np.uint64(64 * PARITY)
+    odd = np.bincount(row * 64 * PARITY + place.astype(np.int64), minlength=texts * 64 * PARITY) & 1
+    return np.packbits(odd.astype(bool).reshape(texts, -1), axis=1).view(np.int64)
+
+
 def _wait(key: np.ndarray, i: np.ndarray | int) -> np.ndarray:
     """The i-th exponential waiting time of a process."""
     bits = mix(key + np.uint64(0x632BE59BD9B4E019) * np.asarray(i, np.uint64))
@@ -121,8 +132,8 @@ def _same(text: Column) -> Column:
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n (shingles), same (128-bit hash of the text), bands (array of band hashes, empty without words) and bits
-    (two bits of each component)."""
+    """doc_id, n (shingles), same (128-bit hash of the text), bands (array of band hashes, empty without words), bits (two
+    bits of each component) and parity (``parities``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
@@ -137,15 +148,19 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 band = mix(band * BASE + sig[:, :, k])
             n = np.bincount(row, minlength=b.num_rows)
             bands = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32), band[n > 0].view(np.int64).ravel())
-            yield pa.record_batch({"doc_id": b["doc_id"], "n": pa.array(n, pa.int64()), "same": b["same"], "bands": bands, "bits": pa.FixedSizeListArray.from_arrays(bits.view(np.int64).ravel(), WORDS).cast(pa.list_(pa.int64()))})
+            yield pa.record_batch({"doc_id": b["doc_id"], "n": pa.array(n, pa.int64()), "same": b["same"], "bands": bands, "bits": pa.FixedSizeListArray.from_arrays(bits.view(np.int64).ravel(), WORDS).cast(pa.list_(pa.int64())), "parity": pa.FixedSizeListArray.from_arrays(parities(g, row, b.num_rows).ravel(), PARITY).cast(pa.list_(pa.int64()))})
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), _same(docs[text_col]).alias("same"))
-    return rows.mapInArrow(run, "doc_id long, n long, same binary, bands array<long>, bits array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, same binary, bands array<long>, bits array<long>, parity array<long>")
 
 
 def _may_be_similar(x: str, y: str, similar: float) -> Column:
-    """Shingle counts and signature bits allow the similarity. A component that differs has equal bits in one of four cases."""
+    """Shingle counts, parity and signature bits allow the similarity. Similar bags differ in few shingles, so in no more
+    bits of parity; that is exact and sharp for short texts. A signature component that differs has equal bits in one of
+    four cases."""
     count = F.least(f"{x}.n", f"{y}.n") >= F.lit(similar) * F.greatest(f"{x}.n", f"{y}.n")
+    odd = sum((F.bit_count(F.col(f"{x}.p{i}").bitwiseXOR(F.col(f"{y}.p{i}"))) for i in range(PARITY)), F.lit(0))
+    count &= odd <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * F.lit((1 - similar) / (1 + similar)) + 1e-6
     turned = [F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}")) for i in range(WORDS)]
     low = F.lit(0x5555555555555555)
     differ = sum((F.bit_count(t.bitwiseOR(F.shiftrightunsigned(t, 1)).bitwiseAND(low)) for t in turned), F.lit(0))
@@ -200,8 +215,8 @@ def groups(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", te
 
     Equal texts are settled first and one of each goes on. In every bucket of a band the first document is compared
     with all others (a star, not pairs) and the links give components. Then documents of one bucket but of different
-    components are compared; the join that brings them together drops those whose counts and signature bits rule the
-    similarity out, and the rest is verified on the multisets.
+    components are compared; the join that brings them together drops those whose counts, parity and signature bits rule
+    the similarity out, and the rest is verified on the multisets.
     """
     return _grouped(docs, similar, id_col, text_col).select("doc_id", "group_id", "copies")
 
@@ -220,7 +235,7 @@ def _grouped(docs: DataFrame, similar: float, id_col: str, text_col: str) -> Dat
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("center")).where("rows > 1")
     members = settle(keyed.join(shared, "key").select("key", "id", "center"))
     nodes = heads.join(members.select("id").distinct(), "id", "left_semi")
-    facts = settle(drawn.join(nodes, ["doc_id", "same"]).select("id", "n", *[F.col("bits")[i].alias(f"b{i}") for i in range(WORDS)]).dropDuplicates(["id"]))
+    facts = settle(drawn.join(nodes, ["doc_id", "same"]).select("id", "n", *[F.col("bits")[i].alias(f"b{i}") for i in range(WORDS)], *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)]).dropDuplicates(["id"]))
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), _same(docs[text_col]).alias("same"), docs[text_col].cast("string").alias("text"))
     bags = settle(_bags(texts.join(nodes, ["doc_id", "same"]).select("id", "text")).dropDuplicates(["id"]))
 
