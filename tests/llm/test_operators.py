@@ -584,23 +584,3 @@ def test_cuts_are_least(monkeypatch):
         gain, ties = [rnd.uniform(-2, 2) for _ in range(n)], [(i, j, rnd.uniform(0, 1.5)) for i in range(n) for j in range(i) if rnd.random() < 0.5]
         price = lambda label: sum(-g for g, k in zip(gain, label) if k) + sum(w for i, j, w in ties if label[i] != label[j])
         assert math.isclose(min(price([bool(m >> k & 1) for k in range(n)]) for m in range(1 << n)), price(mincut_html.min_cut(gain, ties)), abs_tol=1e-9)
-
-
-# pipeline
-
-
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    folder = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = kept
-        kept = stage(spark, before, folder)
-        assert kept.columns == docs.columns and 0 < kept.count() <= before.count()
-    held = {r["doc_id"] for r in string_tiling.contaminated(kept, spark.read.parquet(f"{folder}/benchmark.parquet")).collect()}
-    assert not held
-    out = corpus_pipeline.run(spark, folder)
-    assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in kept.select("doc_id").collect()}
-    assert set(catalog.QUERIES) == {q for q in catalog.QUERIES if q.startswith("op")}

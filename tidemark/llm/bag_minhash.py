@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.words import BASE, grams, joined, letter_words, mix, slices
+from tidemark.llm.words import BASE, grams, joined, letter_words, mix, shielded, slices
 from tidemark.session import settle
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -264,8 +264,11 @@ def _grouped(docs: DataFrame, similar: float, id_col: str, text_col: str) -> Dat
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of `docs` without near duplicates: of each group the document with the smallest doc_id stays, once.
 
-    Rows without an id can't be named as a duplicate and stay as they are; rows that repeat both id and text count once.
+    Rows without an id can't be named as a duplicate and stay as they are; rows that repeat both id and text count once. Other
+    columns may have any name.
     """
-    found = _grouped(docs, similar, "doc_id", "text")
+    inner, restore = shielded(docs, ("doc_id", "text"))
+    found = _grouped(inner, similar, "doc_id", "text")
     stay = found.where("stays and doc_id = group_id").select("doc_id", F.col("same").alias("__same")).distinct()
-    return docs.withColumn("__same", _same(docs["text"])).join(stay, ["doc_id", "__same"], "left_semi").dropDuplicates(["doc_id", "__same"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    once = inner.withColumn("__same", _same(inner["text"])).join(stay, ["doc_id", "__same"], "left_semi").dropDuplicates(["doc_id", "__same"]).drop("__same")
+    return restore(once.unionByName(inner.where("doc_id is null")))

@@ -17,10 +17,11 @@ re-split window falls on one of the right half, all later pieces stand too.
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
@@ -28,14 +29,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.words import slices
+from tidemark.llm.words import release, slices
 
 #: Byte strings up to this long are merged directly; longer ones are halved.
-LEAF_BYTES = 48
+LEAF_BYTES = 16
 #: Texts up to this many characters are split into pieces directly; longer ones are halved.
-LEAF_CHARS = 1 << 16
-#: Pieces whose encoding a worker remembers; the memory is emptied when it is full.
-MEMO = 1_000_000
+LEAF_CHARS = 1 << 10
+#: So many ids are decoded at once; longer runs are the joined bytes of their halves.
+LEAF_IDS = 1 << 10
+#: Bytes that the pieces a worker remembers take, about, and pairs of tokens; a memory is emptied when it is full.
+MEMO_BYTES, MEMO_PAIRS = 48 << 20, 100_000
 #: Stands for a pair that has no rank: above all ranks.
 NONE = 1 << 62
 
@@ -62,13 +65,16 @@ def latin_pattern(pattern: str) -> str:
 class Memo(dict):
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.held = encode, 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = pack("<%dI" % len(found := self.encode(piece.encode("utf-8", "surrogatepass"))), *found)
         if len(piece) <= 64:
-            if len(self) >= MEMO:
+            # About 190 bytes for an entry and the heads of its two objects.
+            self.held += len(piece) + len(ids) + 190
+            if self.held > MEMO_BYTES:
                 self.clear()
+                self.held = 0
             self[piece] = ids
         return ids
 
@@ -138,7 +144,7 @@ class ByteBPE:
 
     def pair_stands(self, a: int, b: int) -> bool:
         if (found := self.stable.get((a, b))) is None:
-            if len(self.stable) >= MEMO:
+            if len(self.stable) >= MEMO_PAIRS:
                 self.stable.clear()
             found = self.stable[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return found
@@ -193,7 +199,13 @@ class ByteBPE:
         return b"".join(map(self.memo.__getitem__, self.pieces(text)))
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of all tokens in a row."""
+        """Bytes of all tokens in a row: those of leaves, joined two by two up the tree."""
+        parts = [self._leaf(ids[i : i + LEAF_IDS]) for i in range(0, len(ids), LEAF_IDS)] or [b""]
+        while len(parts) > 1:
+            parts = [b"".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
+        return parts[0]
+
+    def _leaf(self, ids: np.ndarray) -> bytes:
         length = self.length[ids]
         total = int(length.sum())
         if not total:
@@ -202,13 +214,17 @@ class ByteBPE:
         return self.flat[shift + np.arange(total)].tobytes()
 
 
-_loaded: dict[tuple[str, str], ByteBPE] = {}
+@functools.lru_cache(maxsize=1)
+def _bpe(path: str, pattern: str) -> ByteBPE:
+    return ByteBPE(read_ranks(path), pattern)
 
 
-def _bpe(path: str, pattern: str) -> ByteBPE:
-    if (path, pattern) not in _loaded:
-        _loaded[path, pattern] = ByteBPE(read_ranks(path), pattern)
-    return _loaded[path, pattern]
+def _forget(bpe: ByteBPE) -> None:
+    """At the end of a task only the vocabulary stays with the worker."""
+    bpe.memo.clear()
+    bpe.memo.held = 0
+    bpe.stable.clear()
+    release()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,23 +240,19 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for b in slices(batches, "text"):
             ids = [bpe.encode(t) if t else b"" for t in b["text"].to_pylist()]
             yield pa.record_batch({"doc_id": b["doc_id"], "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
+        _forget(bpe)
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def _decoded(bpe: ByteBPE, column: pa.Array, most: int = 1 << 20) -> Iterable[bytes]:
-    for x in column.to_pylist():
-        ids = np.frombuffer(x or b"", "<u4")
-        yield b"".join(bpe.decode(ids[i : i + most]) for i in range(0, len(ids), most))
-
-
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Bytes of the ids of `encode`: doc_id, n_tokens, ids, decoded (binary). Null ids decode to no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path, pattern)
         for b in slices(batches, "ids"):
-            yield pa.record_batch({"doc_id": b["doc_id"], "n_tokens": b["n_tokens"], "ids": b["ids"], "decoded": pa.array(_decoded(bpe, b["ids"]), pa.binary())})
+            yield pa.record_batch({"doc_id": b["doc_id"], "n_tokens": b["n_tokens"], "ids": b["ids"], "decoded": pa.array([bpe.decode(np.frombuffer(x or b"", "<u4")) for x in b["ids"].to_pylist()], pa.binary())})
+        _forget(bpe)
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

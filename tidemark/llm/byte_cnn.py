@@ -9,15 +9,14 @@ from __future__ import annotations
 
 import dataclasses
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import slices
+from tidemark.llm.words import release, slices
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 256
 #: Windows evaluated at a time.
@@ -143,46 +142,55 @@ def fold(id_col: str | Column, parts: int) -> Column:
 
 
 def fit(docs: DataFrame, per_label: int = 600, windows_per_row: int = 3) -> Model:
-    """Train on at most `per_label` rows of each value of `lang` (the lowest hashes of doc_id), from each of which
+    """Train on at most `per_label` rows of each value of `lang` (the lowest hashes of doc_id and text), from each of which
     `windows_per_row` windows are taken, evenly spaced over the text. This bounded sample is all that reaches the driver.
 
-    `docs` has doc_id, text and lang; rows without label or without a letter are not used.
+    `docs` has doc_id, text and lang; rows without label or without a letter are not used. Rows that repeat doc_id, text and
+    label count once.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), "text")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per label
     labels = sorted(counts)
     if not labels:
         return Model([], [], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
+    # A thin slice of hashes is looked at first; only where equal rows leave too little of it, all are.
     share = F.create_map(*[F.lit(v) for k in labels for v in (k, min(1.0, (2.0 * per_label + 50) / counts[k]))])
-    near = rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     room = F.greatest(F.char_length("text") - WINDOW, F.lit(0))
     cut = [F.substr("text", (F.lit(1) + F.floor(room * i / max(1, windows_per_row - 1))).cast("int"), F.lit(WINDOW)) for i in range(windows_per_row)]
-    some = near.select("lang", "doc_id", F.pmod("h", F.lit(1 << 30)).alias("h"), F.array(*cut).alias("cut")).toPandas()
-    some = some.sort_values(["h", "doc_id"]).groupby("lang", sort=True).head(per_label)
+    least = Window.partitionBy("lang").orderBy("h")
+
+    def drawn(of: DataFrame) -> DataFrame:
+        once = of.groupBy("lang", "h").agg(F.first(F.array(*cut)).alias("cut"))
+        return once.withColumn("place", F.row_number().over(least)).where(F.col("place") <= per_label).select("lang", "h", "cut")
+
+    some = drawn(rows.where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))).toPandas()
+    held = some.groupby("lang").size()
+    if any(held.get(k, 0) < min(per_label, counts[k]) for k in labels):
+        some = drawn(rows).toPandas()
+    some = some.sort_values(["lang", "h"])
     windows = np.concatenate([fill(t)[0] for row in some["cut"] for t in row]).reshape(-1, WINDOW)
     target = np.repeat([labels.index(v) for v in some["lang"]], windows_per_row)
     return train(windows, target, labels)
 
 
-_last: list = [None, None]
-
-
 def predict(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`columns` of `docs`, lang_pred and score for every whole text.
+    """`columns` of `docs`, lang_pred and score for every whole text; a named column of one of these two names is the answer's.
 
     `und` (score 0): null or empty text, text without a letter, or a model that has learned nothing. Repeated rows get
     the same answer each. Columns of `docs` that are not named don't reach the result; only the text is looked at.
     """
-    text = "text" if "text" in columns else "__text"
-    key = uuid.uuid4().hex
+    kept = [c for c in columns if c not in ("lang_pred", "score")]
+    inside = [f"__c{i}" for i in range(len(kept))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _last[0] != key:
-            _last[:] = [key, Scorer(model)]
-        for b in slices(batches, text, 2 << 20):
-            names, score = _last[1].predict(b[text].to_pylist())
-            yield pa.record_batch([*(b[c] for c in columns), pa.array(names), pa.array(score)], [*columns, "lang_pred", "score"])
-
-    rows = docs.select(*columns) if text == "text" else docs.select(*columns, docs["text"].cast("string").alias(text))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return rows.mapInArrow(run, f"{kept}, lang_pred string, score double")
+        scorer = Scorer(model)
+        for b in slices(batches, "__text", 2 << 20):
+            names, score = scorer.predict(b["__text"].to_pylist())
+            yield pa.record_batch([*(b[c] for c in inside), pa.array(names), pa.array(score)], [*inside, "lang_pred", "score"])
+        del scorer
+        release()
+
+    rows = docs.select(*[docs[c].alias(n) for c, n in zip(kept, inside)], docs["text"].cast("string").alias("__text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+    out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double" if schema else "lang_pred string, score double")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(kept, inside)], "lang_pred", "score")

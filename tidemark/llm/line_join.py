@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import shielded
 from tidemark.session import settle
 
 SIMILAR = 0.8
@@ -183,14 +184,16 @@ def without_repeats(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     A document that loses all of its words this way goes; one that had none to begin with stays as it is. Rows without an
     id are documents each, so one of those with equal texts stays; rows that repeat both id and text are changed alike.
+    Other columns may have any name.
     """
-    found = repeated_by_text(docs, similar).where(F.size("removed") > 0).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "removed")
+    inner, restore = shielded(docs, ("doc_id", "text", "n_chars"))
+    found = repeated_by_text(inner, similar).where(F.size("removed") > 0).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("removed").alias("__gone"))
     copy = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))
-    single = docs.where(~copy).unionByName(docs.where(copy).dropDuplicates(["text"]))
+    single = inner.where(~copy).unionByName(inner.where(copy).dropDuplicates(["text"]))
     both = single.join(found, F.col("doc_id").eqNullSafe(F.col("__doc")) & (_text_hash(F.col("text")) == F.col("__hash")), "left")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "removed"), lambda i: F.get("__lines", i))
-    out = both.withColumn("__lines", F.when(F.col("removed").isNotNull(), F.split("text", "\n", -1))).withColumn("text", F.when(F.col("removed").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")))
-    out = out.where(F.col("removed").isNull() | F.col("text").rlike(r"\S"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"), lambda i: F.get("__lines", i))
+    out = both.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n", -1))).withColumn("text", F.when(F.col("__gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")))
+    out = out.where(F.col("__gone").isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("__gone").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return restore(out)

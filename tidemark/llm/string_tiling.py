@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm.words import grams, joined, letter_words, slices
 from tidemark.session import settle
@@ -174,15 +175,20 @@ def find(items: Items, ids: list[int | None], texts: list[str | None], threshold
             yield ids[d], items.ids[i], covered / n, n, [{"item_from": x, "doc_from": int(where[y]), "words": w} for x, y, w in tiles]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVER, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False) -> DataFrame:
-    """Pairs of a document and a test item it contains: doc_id, item_id, coverage, words (of the item), tiles.
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVER, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False, hashed: bool = False) -> DataFrame:
+    """Pairs of a document and a test item it contains: doc_id, item_id, coverage, words (of the item), tiles; if `hashed`, also
+    text_hash (xxhash64 of the text), which tells rows apart that share a doc_id.
 
     Words are runs of letters and digits in lower case, and single characters of scripts without blanks between words.
     Null and empty texts hold nothing and give no row. Items shorter than SEED words can't be told from chance; if `short`,
     they are found where a document holds all their words in a row, else they give no row. Repeated documents or items give a row each; a
     null id stays null; other columns are not read. An empty table on either side gives no rows.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *([text_hash(docs[text_col]).alias("text_hash")] if hashed else []))
     items = benchmark.select(benchmark[item_col].cast("long").alias("item_id"), benchmark[item_text_col].cast("string").alias("text"))
 
     def one(ids: list, texts: list) -> DataFrame:
@@ -192,10 +198,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVER
             names = ["doc_id", "item_id", "coverage", "words", "tiles"]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.struct([("item_from", pa.int32()), ("doc_from", pa.int32()), ("words", pa.int32())]))]
             for b in slices(batches, "text"):
-                found = list(find(block, b["doc_id"].to_pylist(), b["text"].to_pylist(), threshold, short))
-                yield pa.record_batch([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names)
+                # Rows go by their place in the slice, so that each finds its id and hash again.
+                found = list(find(block, list(range(b.num_rows)), b["text"].to_pylist(), threshold, short))
+                at = pa.array([f[0] for f in found], pa.int64())
+                out = [b["doc_id"].take(at), *(pa.array([f[k] for f in found], kinds[k]) for k in range(1, len(kinds)))]
+                yield pa.record_batch([*out, b["text_hash"].take(at)], [*names, "text_hash"]) if hashed else pa.record_batch(out, names)
 
-        return rows.mapInArrow(run, SCHEMA)
+        return rows.mapInArrow(run, SCHEMA + (", text_hash long" if hashed else ""))
 
     done, ids, texts, held = None, [], [], 0
     for r in items.toLocalIterator():

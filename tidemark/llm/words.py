@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -159,3 +162,20 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
             j = max(i + 1, int(np.searchsorted(total, base + most, "right")))
             yield batch.slice(i, j - i)
             i = j
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system: a Python worker lives on after its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def shielded(docs: DataFrame, names: Sequence[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with all columns but `names` under names that no operator uses, and what gives back names and order."""
+    away = {c: c if c in names else f"__kept{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*[docs[c].alias(n) for c, n in away.items()])
+    return inner, lambda out: out.select(*[out[n].alias(c) for c, n in away.items()])
