@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bag_minhash, bpe_tree, byte_cnn, line_join, string_tiling
 from tidemark.llm.catalog import BYTE_RANKS, PATTERN
+from tidemark.llm.words import shielded
 from tidemark.session import scratch_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go; a missing label is filled in."""
+    """Documents in which the network finds no language go; the others carry the language that it names."""
     model = byte_cnn.fit(docs.where(byte_cnn.fold("doc_id", 4) != 2))
-    named = byte_cnn.predict(docs, model, tuple(docs.columns)).where("lang_pred <> 'und'")
-    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    inner, restore = shielded(docs, ("text", "lang"))
+    named = byte_cnn.predict(inner, model, tuple(inner.columns)).where("lang_pred <> 'und'")
+    return restore(named.withColumn("lang", F.col("lang_pred")) if "lang" in docs.columns else named)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +30,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    found = string_tiling.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a benchmark passage go; rows that share a doc_id, or have none, are told apart by their texts."""
+    inner, restore = shielded(docs, ("doc_id", "text"))
+    found = string_tiling.contaminated(inner, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), hashed=True)
+    gone = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = inner["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (string_tiling.text_hash(inner["text"]) == F.col("__hash"))
+    return restore(inner.join(gone, same, "left_anti"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("tokens", tokens)]
 
-#: SQL has no term for a trained network or a tokenizer; tests compare the stages with brute force.
+#: SQL has no term for a trained network or a tokenizer; tests compare the rows of every stage with a plain version.
 ORACLE_SQL = None
 
 
