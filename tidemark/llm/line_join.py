@@ -1,4 +1,4 @@
-"""Line dedup by an exact set-similarity join, in DataFrame operations only.
+"""Line dedup by an exact set-similarity join.
 
 A line is the set of its words. Lines are ordered by (doc_id, line number); a line goes if an earlier line, kept or not,
 has a Jaccard similarity of at least `similar` with it. Equal sets are one class, held by its first line. A document is
@@ -9,14 +9,20 @@ Candidates: words of a set are ordered by rarity, and two similar sets share one
 ``n - ceil(similar * n) + 1`` words. The join on these words keeps a pair only if their sizes (length filter), the places
 of the shared word (positional filter) and 64 parity bits per set (no more bits differ than words) allow it. What is left is
 verified on the words themselves.
+
+Sets, prefixes and their filters are worked out on Arrow batches; the join itself is DataFrame operations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import shielded
+from tidemark.llm.words import hashes, joined, mix, not_space, runs, shielded, slices
 from tidemark.session import settle
 
 SIMILAR = 0.8
@@ -26,48 +32,150 @@ RARITY_SLOTS = 1 << 17
 GROUP = 256
 #: Flags by hash that spare most lines the shuffle when the words of candidate lines are fetched.
 FLAG_SLOTS = 1 << 18
+#: Slots that tell words of one prefix from those of several, and the blocks in which they are counted.
+SEEN_SLOTS, SEEN_BLOCKS = 1 << 26, 64
 #: What names a line. part is the hash of the text where an id has several texts, else 0, which takes no space.
 LINE = ("doc", "part", "no")
 #: Stands for a null id in the order.
 LOW = -(1 << 63)
 
 
-def _split(text: Column) -> Column:
-    """The runs between white space, in lower case, and empty strings. A plain blank is split at without a pattern."""
-    text = F.lower(text)
-    for space in "\t\n\x0b\f\r":
-        text = F.replace(text, F.lit(space), F.lit(" "))
-    return F.split(text, " ")
-
-
-def _words(line: Column) -> Column:
-    """Hashes of the words of a line."""
-    return F.transform(F.array_remove(_split(line), ""), lambda w: F.xxhash64(w))
-
-
 def _entry(table: bytes, slot: Column) -> Column:
     """Entry of a table of small numbers, written as text that the optimizer turns into one constant array."""
     return F.get(F.split(F.lit(" ".join(map(str, table))), " ").cast("array<int>"), slot.cast("int"))
 
 
+def _line_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and line of each word (the runs between white space, in lower case), lines numbered over all texts, and the
+    number of the first line of each text (one entry more than texts)."""
+    buf, at = joined(texts, lower=True)
+    start, end = runs(not_space()[buf], at)
+    feeds = np.flatnonzero(buf == 10)
+    # A line begins with each text and behind each line feed.
+    first = np.searchsorted(feeds, at) + np.arange(len(at))
+    line = np.searchsorted(feeds, start) + np.searchsorted(at[1:], start, "right")
+    return hashes(buf, start, end), line, first
+
+
 def rarity(docs: DataFrame) -> bytes:
-    """How common words are, by slot of their hash: eight steps per power of two, 0 to 127. Counts all documents."""
-    word = F.explode(_split(F.col("text")))
-    counts = docs.select(word.alias("w")).where("w <> ''").groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_SLOTS)).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    """How common words are, by slot of their hash: four steps per power of two, 0 to 127. Counts all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RARITY_SLOTS, np.int64)
+        for b in slices(batches, "text"):
+            total += np.bincount((_line_words(b["text"].to_pylist())[0] % np.uint64(RARITY_SLOTS)).astype(np.int64), minlength=RARITY_SLOTS)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some, pa.int32()), pa.array(total[some])], ["slot", "n"])
+
+    counts = docs.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     table = bytearray(RARITY_SLOTS)
     for slot, step in counts.select("slot", F.least(F.floor(F.log2("n") * 4).cast("int"), F.lit(127)).alias("step")).collect():  # at most RARITY_SLOTS rows
         table[slot] = step
     return bytes(table)
 
 
-def _sets(lines: DataFrame, table: bytes, similar: float) -> DataFrame:
-    """Add n, same (hash of the set), bits, prefix to rows with a `line`; lines without a word are left out."""
-    ranked = F.transform(F.array_distinct(_words(F.col("line"))), lambda h: F.shiftleft(_entry(table, F.pmod(h, F.lit(RARITY_SLOTS))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
-    # Whether there is a word is asked of the line: a filter on the set would build it twice.
-    out = lines.where(F.col("line").rlike(r"\S")).withColumn("set", F.sort_array(ranked)).drop("line")
-    bits = F.aggregate("set", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
-    keep = (F.size("set") - F.ceil(F.size("set") * F.lit(similar) - 1e-9) + 1).cast("int")
-    return out.select(*[c for c in out.columns if c != "set"], F.size("set").alias("n"), F.xxhash64("set").alias("same"), bits.alias("bits"), F.transform(F.slice("set", F.lit(1), keep), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")).alias("prefix"))
+SETS = "doc long, part long, no int, n int, same long, also long, bits long, prefix array<int>"
+
+
+def _sets(docs: DataFrame, table: bytes, similar: float) -> DataFrame:
+    """SETS of the lines of documents (doc, part, text) that have a word: number of distinct words, two hashes of the set,
+    its parity bits, and the words of the prefix (31 bits each) in the order of rarity."""
+    rare = np.frombuffer(table, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            h, line, first = _line_words(b["text"].to_pylist())
+            key = rare[(h % np.uint64(RARITY_SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | h >> np.uint64(8)
+            order = np.lexsort((key, line))
+            key, line = key[order], line[order]
+            once = np.flatnonzero((np.diff(key, prepend=key[:1] ^ np.uint64(1)) != 0) | (np.diff(line, prepend=-1) != 0))
+            key, line = key[once], line[once]
+            head = np.flatnonzero(np.diff(line, prepend=-1))
+            n = np.diff(np.append(head, len(line)))
+            if not len(n):
+                continue
+            spread = mix(key)
+            same, also = np.add.reduceat(spread, head), np.add.reduceat(mix(spread ^ np.uint64(0x9E3779B97F4A7C15)), head)
+            bits = np.bitwise_xor.reduceat(np.uint64(1) << (key & np.uint64(63)), head)
+            keep = (n - np.ceil(n * similar - 1e-9) + 1).astype(np.int64)
+            taken = np.arange(len(key)) - np.repeat(head, n) < np.repeat(keep, n)
+            words = (key[taken] & np.uint64(0x7FFFFFFF)).astype(np.int32)
+            own = line[head]
+            row = np.searchsorted(first, own, "right") - 1
+            at = pa.array(row)
+            yield pa.record_batch(
+                [
+                    b["doc"].take(at), b["part"].take(at), pa.array((own - first[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(same.view(np.int64)), pa.array(also.view(np.int64)),
+                    pa.array(bits.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(words)),
+                ],
+                ["doc", "part", "no", "n", "same", "also", "bits", "prefix"],
+            )
+
+    return docs.select("doc", "part", "text").mapInArrow(run, SETS)
+
+
+def _frequent(classes: DataFrame) -> bytes:
+    """Bits by slot of a word: whether a word of the slot may be in two prefixes. Any other word joins with nothing.
+
+    Words are exchanged as packed arrays, one row per task and block of slots; the result has SEEN_SLOTS bits.
+    """
+    block = SEEN_SLOTS // SEEN_BLOCKS
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot, times = np.unique(b["prefix"].flatten().to_numpy() & (SEEN_SLOTS - 1), return_counts=True)
+            at = np.searchsorted(slot, np.arange(SEEN_BLOCKS + 1) * block)
+            low = (slot % block).astype("<u4")
+            yield pa.record_batch(
+                [pa.array(np.arange(SEEN_BLOCKS), pa.int32()), pa.array([low[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary()), pa.array([low[x:y][times[x:y] > 1].tobytes() for x, y in zip(at, at[1:])], pa.binary())],
+                ["block", "once", "twice"],
+            )
+
+    def merge(table: pa.Table) -> pa.Table:
+        seen = np.zeros(block, np.uint8)
+        for column, step in (("once", 1), ("twice", 2)):
+            for x in table[column].to_pylist():
+                i = np.frombuffer(x, "<u4")  # distinct in one row
+                seen[i] = np.minimum(seen[i] + step, 2)
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(seen > 1, bitorder="little").tobytes()], pa.binary())})
+
+    found = classes.select("prefix").mapInArrow(part, "block int, once binary, twice binary").groupBy("block").applyInArrow(merge, "block int, bits binary")
+    out = bytearray(SEEN_SLOTS // 8)
+    for r in found.collect():  # SEEN_BLOCKS rows of SEEN_SLOTS / 8 bytes in all
+        out[r["block"] * block // 8 : (r["block"] + 1) * block // 8] = r["bits"]
+    return bytes(out)
+
+
+def _prefix_rows(classes: DataFrame, seen: bytes) -> DataFrame:
+    """word_at (word and place), doc, part, no_n (line and size), bits of the prefix words that may be shared."""
+    flags = np.frombuffer(seen, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            word = b["prefix"].flatten().to_numpy()
+            size = np.diff(b["prefix"].offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), size)
+            place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+            slot = word & (SEEN_SLOTS - 1)
+            use = np.flatnonzero(flags[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            at = pa.array(row[use])
+            no_n = b["no"].to_numpy().astype(np.int64) << 32 | b["n"].to_numpy()
+            yield pa.record_batch([pa.array(word[use].astype(np.int64) << 32 | place[use]), b["doc"].take(at), b["part"].take(at), pa.array(no_n[row[use]]), b["bits"].take(at)], ["word_at", "doc", "part", "no_n", "bits"])
+
+    return classes.select("doc", "part", "no", "n", "bits", "prefix").mapInArrow(run, "word_at long, doc long, part long, no_n long, bits long")
+
+
+def _split(text: Column) -> Column:
+    """The runs between white space, in lower case, and empty strings. A plain blank is split at without a pattern."""
+    text = F.lower(text)
+    for space in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.split(text, " ")
+
+
+def _words(line: Column) -> Column:
+    """Hashes of the words of a line."""
+    return F.transform(F.array_remove(_split(line), ""), lambda w: F.xxhash64(w))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -149,15 +257,12 @@ def repeated_lines(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc
 
 def _removed_lines(rows: DataFrame, similar: float) -> DataFrame:
     """doc, part, removed of the documents (doc, part, text) that lose lines."""
-    lines = settle(_sets(_lines(rows), rarity(rows), similar))
+    lines = settle(_sets(rows, rarity(rows), similar))
     first = F.min(F.struct(*LINE)).alias("first")
-    # n, bits and prefix are the same in all lines of a class.
-    classes = lines.groupBy("same").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    # Before the shuffle, word and place are one number, line number and size another: rows of five words, not seven.
+    # n, bits and prefix are the same in all lines of a class, so those of its first line are taken.
+    classes = settle(lines.groupBy("same", "also").agg(F.min(F.struct(*LINE, "n", "bits", "prefix")).alias("c")).select("c.*"))
     low_bits = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
-    pair = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long"))
-    rows_of = classes.select(F.posexplode("prefix").alias("at", "word"), *[F.col(f"first.{c}").alias(c) for c in LINE], "n", "bits")
-    packed = rows_of.select(pair("word", "at").alias("word_at"), "doc", "part", pair("no", "n").alias("no_n"), "bits")
+    packed = _prefix_rows(classes, _frequent(classes))
     met = packed.repartition(F.shiftright("word_at", 32)).select(
         F.shiftright("word_at", 32).alias("word"), low_bits("word_at").alias("at"), "doc", "part", F.shiftright("no_n", 32).cast("int").alias("no"), low_bits("no_n").alias("n"), "bits"
     )
@@ -174,7 +279,7 @@ def _removed_lines(rows: DataFrame, similar: float) -> DataFrame:
     rest = crowd.drop("head", "rows").alias("x").join(left, (F.col("x.word") == F.col("y.word")) & _earlier("x", "y") & _may_match("x", "y", similar)).select(*_pairs("x", "y"))
     gone = gone.unionByName(_verified(rest, rows, similar)).distinct()
 
-    named = lines.select(*LINE, "same").join(lines.groupBy("same").agg(first), "same")
+    named = lines.select(*LINE, "same", "also").join(lines.groupBy("same", "also").agg(first), ["same", "also"])
     held = named.join(gone.select(F.struct(*[F.col(f"y_{c}").alias(c) for c in LINE]).alias("first"), F.lit(True).alias("late")), "first", "left")
     return held.where((F.struct(*LINE) != F.col("first")) | F.col("late")).groupBy("doc", "part").agg(F.array_sort(F.collect_set("no")).alias("removed"))
 
