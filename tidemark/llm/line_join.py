@@ -26,6 +26,8 @@ RARITY_SLOTS = 1 << 17
 GROUP = 256
 #: Flags by hash that spare most lines the shuffle when the words of candidate lines are fetched.
 FLAG_SLOTS = 1 << 18
+#: 64-bit words of parity that are compared before the words of two lines.
+PARITY = 4
 #: What names a line. part is the hash of the text where an id has several texts, else 0, which takes no space.
 LINE = ("doc", "part", "no")
 #: Stands for a null id in the order.
@@ -105,6 +107,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
         flags[s] = 1
     lines = _lines(docs).where(_entry(bytes(flags), slot) == 1)
     sets = settle(lines.join(ends, [*LINE], "left_semi").select(*LINE, F.array_distinct(_words(F.col("line"))).alias("set")))
+    # Before the words themselves travel, 64 * PARITY parity bits of them do: similar sets differ in few words, so in no
+    # more bits. That leaves little but similar pairs.
+    odd = [F.aggregate("set", F.lit(0).cast("long"), lambda acc, h, i=i: F.when(F.pmod(F.shiftright(h, 6), F.lit(PARITY)) == i, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int")))).otherwise(acc)).alias(f"p{i}") for i in range(PARITY)]
+    brief = settle(sets.select(*LINE, F.size("set").alias("n"), *odd))
+    facts = (*LINE, "n", *(f"p{i}" for i in range(PARITY)))
+    x, y = (brief.select(*[F.col(c).alias(f"{side}_{c}") for c in facts]) for side in "xy")
+    total = F.col("x_n") + F.col("y_n")
+    differ = sum((F.bit_count(F.col(f"x_p{i}").bitwiseXOR(F.col(f"y_p{i}"))) for i in range(PARITY)), F.lit(0))
+    near = pairs.join(x, [f"x_{c}" for c in LINE]).join(y, [f"y_{c}" for c in LINE]).where(differ <= total - 2 * F.ceil(total * (similar / (1 + similar)) - 1e-9))
+    pairs = settle(near.select(*pairs.columns))
     x, y = (sets.select(*[F.col(c).alias(f"{side}_{c}") for c in (*LINE, "set")]) for side in "xy")
     both = pairs.join(x, [f"x_{c}" for c in LINE]).join(y, [f"y_{c}" for c in LINE]).withColumn("common", F.size(F.array_intersect("x_set", "y_set")))
     return both.where(F.col("common") >= F.lit(similar) * (F.size("x_set") + F.size("y_set") - F.col("common")) - 1e-9).select(*[f"y_{c}" for c in LINE]).distinct()
