@@ -109,8 +109,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
     sets = settle(lines.join(ends, [*LINE], "left_semi").select(*LINE, F.array_distinct(_words(F.col("line"))).alias("set")))
     # Before the words themselves travel, 64 * PARITY parity bits of them do: similar sets differ in few words, so in no
     # more bits. That leaves little but similar pairs.
-    odd = [F.aggregate("set", F.lit(0).cast("long"), lambda acc, h, i=i: F.when(F.pmod(F.shiftright(h, 6), F.lit(PARITY)) == i, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int")))).otherwise(acc)).alias(f"p{i}") for i in range(PARITY)]
-    brief = settle(sets.select(*LINE, F.size("set").alias("n"), *odd))
+    def odd(word: int) -> Column:
+        def turn(acc: Column, h: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+            return F.when(F.pmod(F.shiftright(h, 6), F.lit(PARITY)) == word, acc.bitwiseXOR(bit)).otherwise(acc)
+
+        return F.aggregate("set", F.lit(0).cast("long"), turn).alias(f"p{word}")
+
+    brief = settle(sets.select(*LINE, F.size("set").alias("n"), *map(odd, range(PARITY))))
     facts = (*LINE, "n", *(f"p{i}" for i in range(PARITY)))
     x, y = (brief.select(*[F.col(c).alias(f"{side}_{c}") for c in facts]) for side in "xy")
     total = F.col("x_n") + F.col("y_n")
