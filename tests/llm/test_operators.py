@@ -75,6 +75,8 @@ def test_bpe_equals_library_and_round_trips(docs, empty, rows):
     t = _tiktoken()
     want = Counter((i, np.array(t.encode_ordinary(x or ""), "<u4").tobytes(), (x or "").encode()) for i, x, *_ in rows)
     assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in out) == want
+    once = bpe_tree.round_trip(docs, RANKS, public_tokenizers.PATTERN).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"]), bytes(r["decoded"])) for r in once) == Counter((i, len(x) // 4, x, t) for (i, x, t), n in want.items() for _ in range(n))
     assert bpe_tree.decode(bpe_tree.encode(empty, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).count() == 0
 
 

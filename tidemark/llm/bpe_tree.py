@@ -256,3 +256,18 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         _forget(bpe)
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`encode` and then `decode` in one pass: doc_id, n_tokens, ids, decoded. One Python worker holds a row's ids at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _bpe(path, pattern)
+        for b in slices(batches, "text"):
+            ids = [bpe.encode(t) if t else b"" for t in b["text"].to_pylist()]
+            decoded = [bpe.decode(np.frombuffer(x, "<u4")) for x in ids]
+            yield pa.record_batch({"doc_id": b["doc_id"], "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.binary())})
+        _forget(bpe)
+
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

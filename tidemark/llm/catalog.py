@@ -72,8 +72,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the bytes they decode to."""
-    encoded = bpe_tree.encode(_table(spark, sf_dir, "documents"), BYTE_RANKS, PATTERN)
-    return bpe_tree.decode(encoded, BYTE_RANKS, PATTERN).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe_tree.round_trip(_table(spark, sf_dir, "documents"), BYTE_RANKS, PATTERN)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op11_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
