@@ -146,25 +146,43 @@ def _(t: Tables):
     return N.read_articles(t.spark, path).select("article_id", F.round(N.entity_sentiment(F.col("entities")), 6).alias("sentiment"))
 
 
-@query(
-    "read_rss_xml",
-    sql("SELECT CAST(article_id AS VARCHAR) || ' ' || source AS title, CAST(article_id AS VARCHAR) || ' ' || source || ' ' || lang AS text, time FROM articles"),
-)
-def _(t: Tables):
-    path = scratch_dir(t.spark, "rss")
-    style = F.col("article_id") % 3
+def rss_feed(t: Tables, path: str) -> None:
+    """Articles as feed files with the whole text, half of them in CDATA sections; one item in 97 lacks a closing tag."""
+    style, broken = F.col("article_id") % 3, F.col("article_id") % 97 == 5
     stamp = (
         F.when(style == 0, F.date_format("time", "EEE, dd MMM yyyy HH:mm:ss '+0000'"))
         .when(style == 1, F.date_format("time", "EEE, dd MMM yyyy HH:mm:ss"))
         .otherwise(F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss"))
     )
-    item = F.format_string(
-        "<item><title>%d %s</title><description>%s</description><pubDate>%s</pubDate></item>", "article_id", "source", "lang", stamp
-    )
-    pages = t.articles().withColumn("page", F.floor(F.col("article_id") / 100)).withColumn("item", item)  # 100 items per feed page
-    feed = pages.groupBy("page").agg(F.concat_ws("", F.collect_list("item")).alias("items"))
-    feed.select("page", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("value")).write.partitionBy("page").text(path)
-    return N.read_rss(t.spark, path).select("title", "text", "time")
+    title = F.concat("article_id", F.lit(" "), N.xml_text("source"))
+    parts = [
+        F.lit("<item><title>"), title, F.when(broken, "").otherwise("</title>"), F.lit("<description>"), N.xml_text("text", F.col("article_id") % 2 == 0),
+        F.lit("</description><pubDate>"), stamp, F.lit("</pubDate></item>"),
+    ]
+    t.articles().select(F.concat(*parts).alias("value")).write.option("maxRecordsPerFile", 20_000).text(path)
+
+
+@query(
+    "read_rss_xml",
+    sql("SELECT article_id || ' ' || coalesce(source, '') AS title, article_id || ' ' || coalesce(source, '') || ' ' || coalesce(text, '') AS text, time FROM articles WHERE article_id % 97 <> 5"),
+)
+def _(t: Tables):
+    """Whole document texts through escaping and CDATA; items that can't be parsed don't end the job."""
+    path = scratch_dir(t.spark, "rss")
+    rss_feed(t, path)
+    return N.read_rss(t.spark, path)
+
+
+@query("read_rss_quarantine", sql("SELECT article_id, length(coalesce(text, '')) AS min_chars FROM articles WHERE article_id % 97 = 5"))
+def _(t: Tables):
+    """Broken items of the same feed: the id and that the whole text is kept, counted without the markup."""
+    path = scratch_dir(t.spark, "rss")
+    rss_feed(t, path)
+    raw = N.rss_quarantine(t.spark, path)
+    body = F.regexp_extract("raw", r"(?s)<description>(.*)</description>", 1)
+    for name, plain in (("&lt;", "<"), ("&gt;", ">"), ("&#13;", "\r"), ("<![CDATA[", ""), ("]]>", ""), ("&amp;", "&")):
+        body = F.replace(body, F.lit(name), F.lit(plain))
+    return raw.select(F.regexp_extract("raw", r"<title>(\d+)", 1).cast("long").alias("article_id"), F.char_length(body).cast("long").alias("min_chars"))
 
 
 @query("journal_closed_on_day", sql("SELECT ticket, event, exit_price, CAST(pnl AS DOUBLE) AS pnl FROM journal WHERE CAST(exit_time AS DATE) = DATE '1998-06-15' AND event <> 'OPEN' AND pnl IS NOT NULL"))

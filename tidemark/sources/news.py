@@ -46,9 +46,40 @@ def rss_time(col: str) -> Column:
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 
-def read_rss(spark: SparkSession, path: str) -> DataFrame:
-    """RSS items through Spark's XML source."""
-    schema = "title string, description string, pubDate string"
-    raw = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
+def xml_text(col: str | Column, cdata: Column | bool = False) -> Column:
+    """Text as XML content: escaped, or as a CDATA section where `cdata` holds and the text allows one.
+
+    Characters that XML can't hold become U+FFFD. Carriage returns are always escaped: a reader makes line feeds of plain ones.
+    """
+    text = F.regexp_replace(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "\uFFFD")
+    escaped = text
+    for plain, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
+        escaped = F.replace(escaped, F.lit(plain), F.lit(name))
+    usable = F.lit(cdata) if isinstance(cdata, bool) else cdata
+    usable = usable & ~F.contains(text, F.lit("]]>")) & ~F.contains(text, F.lit("\r")) & ~F.contains(text, F.lit("</item>"))
+    return F.when(usable, F.concat(F.lit("<![CDATA["), text, F.lit("]]>"))).otherwise(escaped)
+
+
+def rss_items(spark: SparkSession, path: str) -> DataFrame:
+    """Every item of the feeds below a path: title, text (title and description), time, and `raw` where it can't be parsed.
+
+    Feeds are cut behind each closing item tag, so that long files are read by many tasks and a broken item ends with
+    itself instead of with its file.
+    """
+    pieces = spark.read.option("lineSep", "</item>").text(path).where(F.col("value").rlike(r"<item[\s>]"))
+    item = F.concat(F.regexp_extract("value", r"(?s)<item[\s>].*", 0), F.lit("</item>"))
+    schema = "title string, description string, pubDate string, raw string"
+    options = {"rowTag": "item", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "raw", "ignoreSurroundingSpaces": "false"}
+    rows = pieces.select(F.from_xml(item, schema, options).alias("i")).select("i.*")
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
-    return raw.select("title", text.alias("text"), rss_time("pubDate").alias("time"))
+    return rows.select("title", F.when(F.col("raw").isNull(), text).alias("text"), rss_time("pubDate").alias("time"), "raw")
+
+
+def read_rss(spark: SparkSession, path: str) -> DataFrame:
+    """The items that can be parsed: title, text, time."""
+    return rss_items(spark, path).where(F.col("raw").isNull()).drop("raw")
+
+
+def rss_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """The items that can't be parsed, as they stand in the feed."""
+    return rss_items(spark, path).where(F.col("raw").isNotNull()).select("raw")
