@@ -17,10 +17,13 @@ from tidemark.session import settle
 
 def corr_matrix(bars: DataFrame, hours: int, min_rows: int = 5) -> DataFrame:
     """Pearson correlation of one-bar returns over the newest `hours`, using only times at which every symbol traded."""
-    rets = rolling(bars, lambda df, w: df.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1), back=1)
     edge = bars.agg(F.max("time").alias("__end"), F.count_distinct("symbol").alias("__symbols"))
     since = F.col("__end") - F.expr(f"INTERVAL {hours} HOURS")
-    recent = rets.where(F.col("ret").isNotNull()).crossJoin(F.broadcast(edge)).where(F.col("time") > since)
+    dated = bars.select("symbol", "rn", "time", "close").crossJoin(F.broadcast(edge))  # one row
+    before = dated.where(F.col("time") <= since).groupBy("symbol").agg(F.max("rn").alias("__from"))  # the row the first return starts from
+    near = dated.join(before, "symbol", "left").where(F.col("rn") >= F.coalesce("__from", F.lit(0)))
+    rets = rolling(near, lambda df, w: df.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1), back=1)
+    recent = rets.where(F.col("ret").isNotNull() & (F.col("time") > since)).drop("__from")
     full = recent.groupBy("time", "__symbols").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") == F.col("__symbols"))
     pairs = symbol_pairs(recent.join(full.select("time"), "time"))
     out = pairs.groupBy("s1", "s2").agg(correlation("x", "y").alias("corr"), F.count(F.lit(1)).alias("n"))

@@ -139,12 +139,13 @@ def _(t: Tables):
 @query(
     "atr_features",
     sql(
-        """SELECT symbol, rn, round(a14, 6) AS atr_14, round(a14 / greatest(close, 1e-10), 6) AS atr_ratio, round(a5 / greatest(a14, 1e-10), 4) AS atr_ratio_5_14,
-  round(a14 / greatest(a50, 1e-10), 4) AS atr_ratio_14_50, round((high - low) / greatest(a14, 1e-10), 4) AS hl_range_ratio FROM r JOIN bars USING (symbol, rn) WHERE rn > 51""",
+        """SELECT symbol, rn, round(a14, 6) AS atr_14, round(a14 / greatest(close, 1e-10), 6) AS atr_ratio, CASE WHEN a14 > 0 THEN round(a5 / greatest(a14, 1e-10), 4) ELSE round(a5 / 1e-10, -5) END AS atr_ratio_5_14,
+  CASE WHEN a50 > 0 THEN round(a14 / greatest(a50, 1e-10), 4) ELSE round(a14 / 1e-10, -5) END AS atr_ratio_14_50, CASE WHEN a14 > 0 THEN round((high - low) / greatest(a14, 1e-10), 4) ELSE round((high - low) / 1e-10, -5) END AS hl_range_ratio FROM r JOIN bars USING (symbol, rn)""",
         **Scan().atr_ml("a14", 14).atr_ml("a5", 5).atr_ml("a50", 50).ctes("r"),
     ),
 )
 def _(t: Tables):
-    out = I.atr_features(t.bars()).where(F.col("rn") > 51)  # before that a zero ATR divides by the tiny floor
-    r4 = [F.round(c, 4).alias(c) for c in ("atr_ratio_5_14", "atr_ratio_14_50", "hl_range_ratio")]
+    out = I.atr_features(t.bars())
+    # The first ATRs of a symbol are 0 and divide by the tiny floor: those ratios are compared to as many digits as the others.
+    r4 = [F.when(F.col("rn") > n, F.round(c, 4)).otherwise(F.round(c, -5)).alias(c) for c, n in (("atr_ratio_5_14", 14), ("atr_ratio_14_50", 50), ("hl_range_ratio", 14))]
     return out.select("symbol", "rn", F.round("atr_14", 6).alias("atr_14"), F.round("atr_ratio", 6).alias("atr_ratio"), *r4)

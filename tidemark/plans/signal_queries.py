@@ -528,17 +528,20 @@ def _(t: Tables):
 
 REGR = {
     **Scan().atr_ml("atr_14", 14).adx_ewm(14).ctes("g"),
-    "rr": f"""SELECT symbol, rn, round(atr_14 / greatest(CASE WHEN rn >= 14 THEN avg(atr_14) {frame(50)} END, 1e-10), 4) AS atr_sma_ratio, round((close - max(high) {frame(21, '1 PRECEDING')}) / greatest(atr_14, 1e-10), 4) AS dist_swing_high_20,
-  round((close - min(low) {frame(21, '1 PRECEDING')}) / greatest(atr_14, 1e-10), 4) AS dist_swing_low_20, round((adx - lag(adx, 5) OVER w) / 5, 6) AS adx_slope_5 FROM g_ind {W}""",
+    "rr": f"""SELECT symbol, rn, CASE WHEN m > 0 THEN round(atr_14 / greatest(m, 1e-10), 4) WHEN m IS NOT NULL THEN round(atr_14 / greatest(m, 1e-10), -5) END AS atr_sma_ratio,
+  CASE WHEN atr_14 > 0 THEN round((close - hi) / greatest(atr_14, 1e-10), 4) ELSE round((close - hi) / 1e-10, -5) END AS dist_swing_high_20,
+  CASE WHEN atr_14 > 0 THEN round((close - lo) / greatest(atr_14, 1e-10), 4) ELSE round((close - lo) / 1e-10, -5) END AS dist_swing_low_20, round(slope, 6) AS adx_slope_5 FROM (
+SELECT *, CASE WHEN rn >= 14 THEN avg(atr_14) {frame(50)} END AS m, CASE WHEN rn > 5 THEN max(high) {frame(21, '1 PRECEDING')} END AS hi, CASE WHEN rn > 5 THEN min(low) {frame(21, '1 PRECEDING')} END AS lo, (adx - lag(adx, 5) OVER w) / 5 AS slope FROM g_ind {W})""",
 }
 
 
-@query("regime_ratios", sql("SELECT * FROM rr WHERE rn > 20", **REGR))
+@query("regime_ratios", sql("SELECT * FROM rr", **REGR))
 def _(t: Tables):
     b = I.scan_parts(t.bars(), [I.atr_ml_part("atr_14", 14)])
     b = settle(I.adx_ewm(settle(b), 14, "adx_14"))
-    out = X.regime_ratios(b).where(F.col("rn") > 20)
-    r4 = [F.round(c, 4).alias(c) for c in ("atr_sma_ratio", "dist_swing_high_20", "dist_swing_low_20")]
+    out = X.regime_ratios(b)
+    # The first ATRs of a symbol are 0 and divide by the tiny floor: those ratios are compared to as many digits as the others.
+    r4 = [F.when(F.col("rn") > 14, F.round(c, 4)).otherwise(F.round(c, -5)).alias(c) for c in ("atr_sma_ratio", "dist_swing_high_20", "dist_swing_low_20")]
     return out.select("symbol", "rn", *r4, F.round("adx_slope_5", 6).alias("adx_slope_5"))
 
 
