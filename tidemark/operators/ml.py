@@ -15,6 +15,8 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, RandomForest
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.times import month_of
+from tidemark.operators import trees
 from tidemark.operators.chunks import index_rows
 from tidemark.operators.ranking import top_k_per
 from tidemark.operators.stats import binary_metrics
@@ -198,28 +200,31 @@ def train_pool(df: DataFrame, features: Sequence[str], asset_class: str, classes
     return model, meta
 
 
-def train_symbols(df: DataFrame, features: Sequence[str], symbols: Sequence[str], folds: int = 3, gap: int = 20, rr: float = 2.0, p: Mapping = SMALL) -> DataFrame:
-    """Per-symbol training runs as one metadata table: rows, out-of-fold F1, threshold.
+def train_symbols(df: DataFrame, features: Sequence[str], folds: int = 3, gap: int = 20, rr: float = 2.0, p: Mapping = SMALL, single_below: int = 200) -> DataFrame:
+    """Per-symbol training runs as one metadata table: rows, out-of-fold F1 and accuracy, threshold.
 
-    Fewer than 200 directional rows fall back to a single 80 / 20 split. Each run is a distributed fit; the symbol
-    list is a parameter of the job.
+    The models of all symbols and folds grow together, so the jobs do not depend on the number of symbols and no list of
+    them is needed. Fewer than `single_below` rows fall back to a single 80 / 20 split. A symbol whose folds leave no test
+    row has its row count alone.
     """
-    out = None
-    for s in symbols:
-        own = df.where(F.col("symbol") == s).withColumnRenamed("rn", "__bar")
-        own = number_rows(own).cache()
-        n = own.count()
-        if n < 200:
-            model = train_ensemble(own.where(F.col("pos") <= int(n * 0.8)), features, p=p)
-            pred, kind = model.probabilities(own.where(F.col("pos") > int(n * 0.8))), "single_split"
-        else:
-            pred, kind = out_of_fold(own, features, folds, gap, p=p), "folds"
-        pred = pred.withColumn("prediction", F.when(F.col("prob") >= 0.5, 1).otherwise(0)).cache()
-        row = binary_metrics(pred).crossJoin(best_threshold(pred, rr, min_trades=20)).select(
-            F.lit(s).alias("symbol"), F.lit(kind).alias("path"), F.lit(n).alias("n_rows"), "f1", "accuracy", "threshold"
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = settle(index_rows(df.drop("rn"), ["symbol"], [month_of("time")], ["time"], "rn"))
+    size = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"))
+    sized = rows.join(size, "symbol")
+    cut = F.floor(F.col("n_rows") * 0.8)
+    single = sized.where(F.col("n_rows") < single_below).withColumn("fold", F.lit(0)).withColumn("role", F.when(F.col("rn") <= cut, "train").otherwise("test"))
+    many = purged_splits(sized.where(F.col("n_rows") >= single_below), folds, gap)
+    split = settle(single.unionByName(many).select("symbol", "fold", "role", "label", *features))
+    key = ["symbol", "fold"]
+    train = split.where(F.col("role") == "train")
+    weight = train.groupBy(*key).agg(F.least(F.count_if(F.col("label") == 0) / F.greatest(F.count_if(F.col("label") == 1), F.lit(1)), F.lit(20.0)).alias("__cw"))
+    weighted = train.join(weight, key).withColumn("__weight", F.when(F.col("label") == 1, F.col("__cw")).otherwise(1.0))
+    models = trees.fit(weighted, key, features, weight="__weight", p=p)
+    pred = settle(trees.score(split.where(F.col("role") == "test"), models, key, features).where(F.col("prob").isNotNull()))
+    pred = pred.withColumn("prediction", F.when(F.col("prob") >= 0.5, 1).otherwise(0))
+    hits = binary_metrics(pred, by=["symbol"]).select("symbol", "f1", "accuracy")
+    found = best_threshold(pred, rr, min_trades=20, by=["symbol"]).select("symbol", "threshold")
+    out = size.join(hits, "symbol", "left").join(found, "symbol", "left")
+    return out.select("symbol", F.when(F.col("n_rows") < single_below, "single_split").otherwise("folds").alias("path"), "n_rows", "f1", "accuracy", "threshold")
 
 
 def ml_multipliers(pred: DataFrame, threshold: Column | float, default: float = 0.55, by: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -276,17 +281,15 @@ def tune(df: DataFrame, features: Sequence[str], grid: Sequence[Mapping], folds:
 
 
 def retrain(df: DataFrame, drifted: DataFrame, features: Sequence[str], recent: int = 500, holdout: float = 0.2, p: Mapping = SMALL) -> DataFrame:
-    """Refit on the newest `recent` rows of the symbols a drift check flagged; one line per refitted symbol.
+    """Refit on the newest `recent` rows of the symbols a drift check flagged, all of them at once; one line per symbol.
 
     The accuracy is that on the newest `holdout` share of these rows, which the model has not seen.
     """
-    names = [r["symbol"] for r in drifted.where("drift").select("symbol").distinct().orderBy("symbol").collect()]  # symbols to refit
-    out = df.sparkSession.createDataFrame([], "symbol string, n_rows long, accuracy double")
-    for s in names:
-        rows = top_k_per(df.where(F.col("symbol") == s), ["symbol"], [F.desc("rn")], recent)
-        rows = settle(rows)
-        held = int(rows.count() * holdout)
-        model = train_ensemble(rows.where(F.col("rank") > held), features, p=p)
-        fit = model.probabilities(rows.where(F.col("rank") <= held)).agg(F.lit(s).alias("symbol"), F.count(F.lit(1)).alias("n_rows"), F.avg(F.when((F.col("prob") >= 0.5) == (F.col("label") == 1), 1.0).otherwise(0.0)).alias("accuracy"))
-        out = out.unionByName(fit)
-    return out
+    names = drifted.where("drift").select("symbol").distinct()
+    rows = settle(top_k_per(df.join(names, "symbol", "left_semi"), ["symbol"], [F.desc("rn")], recent))
+    held = F.floor(F.col("__n") * holdout)
+    rows = rows.join(rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("__n")), "symbol")
+    models = trees.fit(rows.where(F.col("rank") > held), ["symbol"], features, p=p)
+    pred = trees.score(rows.where(F.col("rank") <= held), models, ["symbol"], features)
+    right = F.when((F.col("prob") >= 0.5) == (F.col("label") == 1), 1.0).otherwise(0.0)
+    return pred.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), F.avg(right).alias("accuracy"))

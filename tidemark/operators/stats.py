@@ -210,10 +210,10 @@ def percentile_of_score(df: DataFrame, value: str, score: Column, by: Sequence[s
     return g.agg(F.coalesce(share, F.lit(50.0)).alias("percentile_rank"))
 
 
-def binary_metrics(pred: DataFrame, label: str = "label", predicted: str = "prediction") -> DataFrame:
-    """Confusion counts, precision, recall, F1 and accuracy of 0/1 predictions; mean absolute error."""
+def binary_metrics(pred: DataFrame, label: str = "label", predicted: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
+    """Confusion counts, precision, recall, F1 and accuracy of 0/1 predictions per key; mean absolute error."""
     y, p = F.col(label) == 1, F.col(predicted) == 1
-    g = pred.agg(
+    g = pred.groupBy(*by).agg(
         F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"),
         F.avg(F.abs(F.col(label) - F.col(predicted))).alias("mae"),
     )

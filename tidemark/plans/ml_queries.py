@@ -1,11 +1,13 @@
 """Model training, validation and scoring."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as I
 from tidemark.operators import labels as L
 from tidemark.operators import ml as M
 from tidemark.operators import projections as P
+from tidemark.operators import trees as K
 from tidemark.operators import windows as N
 from tidemark.plans.flow_queries import rounded
 from tidemark.plans.registry import query
@@ -15,6 +17,7 @@ from tidemark.plans.views import Tables, sql
 from tidemark.session import settle
 
 FEATURES = ["ret_1", "ret_5", "vol_ratio", "volatility_20", "volume_rank_20", "close_position", "body_ratio", "hour_sin", "hour_cos"]
+TREES = {"trees": 6, "depth": 3, "rate": 0.2, "bins": 16}
 TINY = {"trees": 4, "depth": 2, "rate": 0.2, "seed": 42}
 
 
@@ -150,7 +153,16 @@ def _(t: Tables):
 
 @query("symbol_training_runs")
 def _(t: Tables):
-    return rounded(M.train_symbols(training_rows(t), FEATURES, sorted(r["event_type"] for r in t.read("events").select("event_type").distinct().collect()), folds=2, p=TINY))
+    """Out-of-fold results of every symbol, all models grown together."""
+    return rounded(M.train_symbols(training_rows(t), FEATURES, folds=2, p=TREES))
+
+
+@query("symbol_importances")
+def _(t: Tables):
+    """Share of every feature in each symbol's total gain, ranked."""
+    models = K.fit(training_rows(t), ["symbol"], FEATURES, p=TREES)
+    r = rounded(K.importances(models, ["symbol"], FEATURES))
+    return r.withColumn("rank", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("importance"), "feature")))  # one row per feature
 
 
 @query("hyper_parameter_search")
@@ -166,4 +178,4 @@ def _(t: Tables):
 
     conf = featured(t).withColumn("conf", F.least(F.col("close") / 100, F.lit(1.0)))
     drift = confidence_drift(conf, drop=0.0)  # any fall of the mean refits
-    return rounded(M.retrain(training_rows(t), drift, FEATURES, p=TINY))
+    return rounded(M.retrain(training_rows(t), drift, FEATURES, p=TREES))
