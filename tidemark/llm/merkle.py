@@ -1,11 +1,14 @@
 """Document fingerprints as Merkle trees, in column expressions only.
 
-A document is cut into paragraphs (lines), a paragraph into sentences. Sentences are the leaves; a paragraph's digest is
-that of its leaves in a row, a section's that of its paragraphs, the root that of the sections. A section ends behind
-a paragraph whose digest says so (one in four), so an edit moves section borders near itself only.
+A document is cut into paragraphs (lines), a paragraph into sentences, a sentence of more than 512 characters behind
+words that say so (32 characters at least and 256 at most, so a text without any border has bounded leaves too). These
+pieces are the leaves; a paragraph's digest is that of its leaves in a row, a section's that of its paragraphs, the root
+that of the sections. A section ends behind a paragraph whose digest says so (one in four), so an edit moves section
+borders near itself only.
 
 A fingerprint is the written tree: ``root|s{p(lll)p(ll)}s{...}`` with 64 hex digits of the root (sha256), 12 of a section
-or paragraph and 10 of each leaf. Roots test equality; where they differ, equal branches are skipped on the way down.
+or paragraph, and of each leaf 10 and its length in 3. Roots test equality; where they differ, equal branches are
+skipped on the way down. Likeness is the share of characters in equal leaves, told from the written leaves.
 """
 
 from __future__ import annotations
@@ -17,34 +20,45 @@ from pyspark.sql import functions as F
 RANGE_BITS = 8
 #: A space behind the end of a sentence.
 SENTENCE = r"(?<=[.!?]) "
+#: Longest sentence in characters that is a leaf as a whole, and the pieces of a longer one.
+LONGEST = 512
+PIECE = r"(?s).{32,254}?[a-dA-D\x{0400}-\x{043F}] |.{1,256}"
 
 
 def tree(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add `out`_fp (fingerprint) and `out`_leaves (leaf digests in order) of a non-null text column.
+    """Add `out`_fp (fingerprint) and `out`_leaves (its leaves in order) of a non-null text column.
 
     The empty text is one paragraph with one empty leaf. A text without line ends is one paragraph however long.
     """
     leaves, paras, starts, sections = (f"__{out}_{x}" for x in ("leaves", "paras", "starts", "sections"))
-    df = df.withColumn(leaves, F.transform(F.split(text, "\n", -1), lambda p: F.transform(F.split(p, SENTENCE, -1), lambda s: F.md5(s.cast("binary")))))
+    pieces = lambda x: F.when(F.char_length(x) > LONGEST, F.regexp_extract_all(x, F.lit(PIECE), 0)).otherwise(F.array(x))
+    leaf = lambda x: F.concat(F.md5(x.cast("binary")), F.lpad(F.lower(F.hex(F.char_length(x))), 3, "0"))
+    df = df.withColumn(leaves, F.transform(F.split(text, "\n", -1), lambda p: F.transform(F.flatten(F.transform(F.split(p, SENTENCE, -1), pieces)), leaf)))
     df = df.withColumn(paras, F.transform(leaves, lambda x: F.md5(F.array_join(x, "").cast("binary"))))
     ends = lambda i: F.substring(F.element_at(paras, i), 1, 1) < "4"  # noqa: E731  the digest of the i-th paragraph
     df = df.withColumn(starts, F.filter(F.sequence(F.lit(1), F.size(paras)), lambda i: (i == 1) | ends(F.greatest(i - 1, F.lit(1)))))
     stop = lambda k: F.coalesce(F.get(starts, k + 1), F.size(paras) + 1)
     df = df.withColumn(sections, F.transform(starts, lambda i, k: F.md5(F.array_join(F.slice(paras, i, stop(k) - i), "").cast("binary"))))
-    short = lambda x: F.array_join(F.transform(x, lambda d: F.substring(d, 1, 10)), "")
+    brief = lambda d: F.concat(F.substring(d, 1, 10), F.substring(d, 33, 3))  # noqa: E731  a leaf as it is written
+    short = lambda x: F.array_join(F.transform(x, brief), "")
     para = lambda i: F.concat(F.substring(F.element_at(paras, i), 1, 12), F.lit("("), short(F.element_at(leaves, i)), F.lit(")"))
     written = F.transform(starts, lambda i, k: F.concat(F.substring(F.get(sections, k), 1, 12), F.lit("{"), F.array_join(F.transform(F.sequence(i, stop(k) - 1), para), ""), F.lit("}")))
     df = df.withColumn(f"{out}_fp", F.concat(F.sha2(F.array_join(sections, "").cast("binary"), 256), F.lit("|"), F.array_join(written, "")))
-    return df.withColumn(f"{out}_leaves", F.flatten(leaves)).drop(leaves, paras, starts, sections)
+    return df.withColumn(f"{out}_leaves", F.transform(F.flatten(leaves), brief)).drop(leaves, paras, starts, sections)
+
+
+def _weight(leaves: Column) -> Column:
+    """Characters in written leaves, and one for each."""
+    return F.aggregate(leaves, F.lit(0).cast("long"), lambda n, d: n + 1 + F.conv(F.substring(d, 11, 3), 16, 10).cast("long"))
 
 
 def likeness(a: str | Column, b: str | Column, a_fp: str | Column, b_fp: str | Column) -> Column:
-    """Share of equal leaves of two trees (Dice coefficient of the distinct leaves), 0 to 1; 1 where the roots are equal."""
+    """Share of characters in equal leaves of two trees (Dice coefficient of the distinct leaves by length), 0 to 1; 1 where the roots are equal."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
     a, b = col(a), col(b)
     same = F.substring(col(a_fp), 1, 64) == F.substring(col(b_fp), 1, 64)
     # Two texts can have the same leaves in another order; that is less than equal.
-    near = 2 * F.size(F.array_intersect(a, b)) / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)))
+    near = 2 * _weight(F.array_intersect(a, b)) / (_weight(F.array_distinct(a)) + _weight(F.array_distinct(b)))
     return F.when(same, F.lit(1.0)).otherwise(F.least(near, F.lit(1.0 - 1e-9)))
 
 
