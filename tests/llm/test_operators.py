@@ -3,6 +3,8 @@
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -262,6 +264,51 @@ def test_fingerprints(docs, empty, rows):
     assert merkle.fingerprints(empty).count() == 0
 
 
+def _plain_leaves(text):
+    """Leaves (digest and length) of every paragraph."""
+    def pieces(x):
+        return re.findall(r"(?s).{32,254}?[a-dA-D\u0400-\u043F] |.{1,256}", x) if len(x) > 512 else [x]
+
+    return [[hashlib.md5(x.encode()).hexdigest() + f"{len(x):03x}" for part in re.split(r"(?<=[.!?]) ", p) for x in pieces(part)] for p in text.split("\n")]
+
+
+def _plain_print(text):
+    leaves = _plain_leaves(text)
+    paras = [hashlib.md5("".join(x).encode()).hexdigest() for x in leaves]
+    sections = [[]]
+    for k, p in enumerate(paras):
+        sections[-1].append(k)
+        if p[0] < "4" and k + 1 < len(paras):
+            sections.append([])
+    digest = [hashlib.md5("".join(paras[k] for k in part).encode()).hexdigest() for part in sections]
+    brief = lambda x: "".join(d[:10] + d[32:] for d in x)
+    written = "".join(f"{d[:12]}{{{''.join(f'{paras[k][:12]}({brief(leaves[k])})' for k in part)}}}" for d, part in zip(digest, sections))
+    return hashlib.sha256("".join(digest).encode()).hexdigest() + "|" + written
+
+
+def _told_likeness(a, b):
+    """Likeness of two fingerprints as strings."""
+    if a[:64] == b[:64]:
+        return 1.0
+    leaves = lambda fp: {x[i : i + 13] for x in re.findall(r"\(([^)]*)\)", fp) for i in range(0, len(x), 13)}
+    weight = lambda some: sum(1 + int(x[10:], 16) for x in some)
+    return min(2 * weight(leaves(a) & leaves(b)) / (weight(leaves(a)) + weight(leaves(b))), 1 - 1e-9)
+
+
+def test_fingerprints_equal_plain_ones(spark):
+    rnd = random.Random(4)
+    words = ["word", "und", "la", "привет", "日本", "b", "😀"]
+    texts = ["", "\n", "one. two! three", "x" * 5000, "日" * 700, " ".join(rnd.choice(words) for _ in range(3000)), "\n".join(" ".join(rnd.choice(words) + rnd.choice(["", "", "."]) for _ in range(rnd.randint(0, 80))) for _ in range(60))]
+    out = merkle.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, t, nxt in zip(out, texts, texts[1:] + texts[:1]):
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (_plain_print(t), _plain_print(edited))
+        assert math.isclose(r["near_edited"], _told_likeness(r["fingerprint"], r["edited_fingerprint"]))
+        assert math.isclose(r["near_next"], _told_likeness(r["fingerprint"], _plain_print(nxt)))
+    # Texts without any sentence end still show that half of them is unchanged, and where they differ.
+    assert 0.3 < out[5]["near_edited"] < 0.8 and out[5]["edit_leaf"] > 10
+
+
 # op5
 
 
@@ -579,6 +626,27 @@ def test_main_text_of_pages(spark):
     assert mincut_html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_broken_and_deep_pages_are_read_once():
+    started = time.monotonic()
+    for bad in ("<a ", '<a "', "<!", "<b>", "<p><b>", "<div></x>", "<li><div><b>", "<tr><b><col>", "<a '>\"", "</x>"):
+        assert isinstance(mincut_html.main_text("x " + bad * 20_000), str)
+    assert time.monotonic() - started < 30  # each took minutes when tags were searched anew from every sign
+    line = "A real sentence of the article, long enough to count as its text. " * 3
+    deep = "<nav>" + "<div>" * 5000 + "<a href=x>Menu</a>" + "</div>" * 5000 + f"</nav><p>{line}</p>"
+    assert mincut_html.main_text(deep) == line.strip()
+    assert mincut_html.main_text(f'<p>{line}</p><a title="open>{line}</a>') == line.strip()  # a link through and through
+    assert mincut_html.main_text(f"<p>{line}</p><svg/><p>{line}</p>") == line.strip() + "\n" + line.strip()
+
+
+def test_the_cut_overrules_single_blocks():
+    line = "<div>This is a sentence with about a dozen words that ends like one. And another one of the same sort follows it.</div>"
+    page = f"<div>{line}<div>So it is</div>{line}</div><div><div><a href=a>One</a></div><div><a href=b>Two things</a></div><div>Go!</div><div><a href=c>Three</a></div></div>"
+    found = mincut_html.blocks(page)
+    gain = [mincut_html.odds(b, False) for b in found]
+    keep = mincut_html.min_cut(gain, mincut_html.ties(found))
+    assert [g > 0 for g in gain][:3] == [True, False, True] and keep == [True, True, True, False, False, False, False]
+
+
 def test_cuts_are_least(monkeypatch):
     rnd = random.Random(2)
     for _ in range(200):

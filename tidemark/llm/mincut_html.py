@@ -3,15 +3,15 @@
 A page is cut into text blocks. Each block is a node: the price of calling it boilerplate is its edge from the source,
 the price of calling it content its edge to the sink, both from a logistic rule over what is known of the block
 (the elements around it, their names, its share of links, its length). Neighbouring blocks, and neighbours within one
-element, are tied by edges whose price is paid if the two are labelled differently. The minimum cut, found by maximum
-flow, is the labelling of least total price.
+element, are tied by edges whose price is paid if the two are labelled differently; it falls with their distance in the
+page's tree. The minimum cut, found by maximum flow, is the labelling of least total price.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -20,17 +20,19 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.words import slices
 
-RAW = "script style noscript template textarea title svg math iframe object select option datalist canvas audio video head".split()
-MARKUP = re.compile(
-    r"<!--(?P<note>.*?)(?:--!?>|\Z)|<(?P<raw>" + "|".join(t for t in RAW if t != "head") + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+RAW = set("script style noscript template textarea title svg math iframe object select option datalist canvas audio video".split())
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+#: What follows a tag's name, up to the sign that ends the tag; possessive, so that a tag without an end is read once.
+REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+NOTE_END = re.compile(r"--!?>")
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|aria-label|itemprop)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that end an open paragraph, and those that end an open one of their own kind.
-SIBLINGS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Elements that end an open one of their own kind; all but cells and rows also end an open paragraph.
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Elements whose text belongs to the element around them.
+ITEMS = set("p li h1 h2 h3 h4 h5 h6".split())
 BARE = set("nav footer aside form menu dialog button fieldset noscript".split())
 MAIN = set("article main".split())
 BARE_NAME = re.compile(
@@ -42,22 +44,71 @@ BARE_NAME = re.compile(
 MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content|post|entry|story|body|text|articlebody)(?=$|[\s_-])", re.IGNORECASE)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
-#: Prices of the ties: neighbours in one element, elsewhere, and neighbours within one element with others between.
-TIE, LOOSE, KIN = 1.2, 0.15, 0.8
+#: Prices of the ties: neighbours in one element, in two elements side by side, further apart in the tree, and neighbours
+#: within one element with others between.
+TIE, SIDE, LOOSE, KIN = 1.2, 0.8, 0.15, 0.8
 
 
 class Block:
-    __slots__ = ("text", "link", "tag", "bare", "main", "home")
+    __slots__ = ("text", "link", "tag", "bare", "main", "home", "above")
+
+    def __init__(self, text: str, link: int, tag: str, bare: bool, main: bool, home: int, above: int):
+        self.text, self.link, self.tag, self.bare, self.main, self.home, self.above = text, link, tag, bare, main, home, above
+
+
+def markup(html: str) -> Iterator[tuple[int, int, str | None, str, bool]]:
+    """Start, end, name (None: comments, declarations, raw elements), attributes of every piece of markup; whether it closes.
 
-    def __init__(self, text: str, link: int, tag: str, bare: bool, main: bool, home: int):
-        self.text, self.link, self.tag, self.bare, self.main, self.home = text, link, tag, bare, main, home
+    One pass, whatever the page looks like: a "<" that no ">" follows is text, as is one that no tag can start with. Where
+    a quoted attribute never ends, this tag and all later ones end at their first ">".
+    """
+    at, n, last, quotes = 0, len(html), html.rfind(">"), True
+    while (i := html.find("<", at)) >= 0:
+        at = i + 1
+        if html.startswith("<!--", i):
+            end = NOTE_END.search(html, i + 4)
+            at = end.end() if end else n
+            yield i, at, None, "", False
+            continue
+        if i > last:
+            return
+        closes = html.startswith("/", at)
+        name = NAME.match(html, at + closes)
+        if not name:
+            if html[at] in "!?/":
+                at = html.find(">", at) + 1
+                yield i, at, None, "", False
+            continue
+        stop = REST.match(html, name.end()).end() if quotes else -1
+        if stop < 0 or stop >= n or html[stop] != ">":
+            quotes, stop = False, html.find(">", name.end())
+        at, tag, attrs = stop + 1, name[0].lower(), html[name.end() : stop]
+        if tag in RAW and not closes and not (attrs.endswith("/") and tag in ("svg", "math")):
+            end = RAW_END[tag].search(html, at)
+            at = end.end() if end else n
+            yield i, at, None, "", False
+            continue
+        yield i, at, tag, attrs, closes
+
+
+class Open:
+    """An open element: what holds for the text in it, its block, and where the elements that it may end begin."""
+
+    __slots__ = ("tag", "bare", "main", "link", "hidden", "block", "home", "above", "base", "para")
+
+    def __init__(self, tag: str, bare: bool, main: bool, link: bool, hidden: bool, block: str, home: int, above: int, base: int, para: int):
+        self.tag, self.bare, self.main, self.link, self.hidden = tag, bare, main, link, hidden
+        self.block, self.home, self.above, self.base, self.para = block, home, above, base, para
 
 
 def blocks(html: str) -> list[Block]:
-    """Text blocks in page order. Scripts, styles and other raw elements have none; open elements end where HTML says."""
+    """Text blocks in page order. Scripts, styles and other raw elements have none; open elements end where HTML says.
+
+    Elements may be nested to any depth; every step costs the same at any depth.
+    """
     out: list[Block] = []
-    # tag, number of the element, boilerplate above, main text above, link, hidden
-    stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", 0, False, False, False, False)]
+    stack = [Open("", False, False, False, False, "", 0, 0, 0, 0)]
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     link = count = 0
     at = 0
@@ -65,24 +116,24 @@ def blocks(html: str) -> list[Block]:
     def close() -> None:
         nonlocal link
         if parts:
-            text = SPACE.sub(" ", unescape("".join(parts))).strip()
-            top = next(s for s in reversed(stack) if s[0] not in INLINE)
-            home = next(s for s in reversed(stack) if s[0] not in INLINE and s[0] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6"))
-            if text and not stack[-1][5]:
-                out.append(Block(text, link, top[0], stack[-1][2], stack[-1][3], home[1]))
+            text, top = SPACE.sub(" ", unescape("".join(parts))).strip(), stack[-1]
+            if text and not top.hidden:
+                out.append(Block(text, link, top.block, top.bare, top.main, top.home, top.above))
             parts.clear()
         link = 0
 
-    for m in MARKUP.finditer(html):
-        if m.start() > at:
-            piece = html[at : m.start()]
+    def shorten(size: int) -> None:
+        while len(stack) > size:
+            open_tags[stack.pop().tag] -= 1
+
+    for start, end, tag, attrs, closes in markup(html):
+        if start > at:
+            piece = html[at:start]
             parts.append(piece)
-            link += len(piece) if stack[-1][4] else 0
-        at = m.end()
-        tag = m["tag"]
+            link += len(piece) if stack[-1].link else 0
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "br" or tag in ("hr", "wbr", "img", "input"):
             parts.append("" if tag == "wbr" else " ")
             if tag == "hr":
@@ -91,27 +142,24 @@ def blocks(html: str) -> list[Block]:
         inline = tag in INLINE
         if not inline:
             close()
-        if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if closes:
+            if open_tags[tag]:
+                while stack[-1].tag != tag:
+                    shorten(len(stack) - 1)
+                shorten(len(stack) - 1)
             continue
         if not inline:
-            ends = SIBLINGS.get(tag, ())
-            if tag not in ("td", "th", "tr"):
-                ends = {*ends, "p"}
-            for i in range(len(stack) - 1, max(0, len(stack) - 6), -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE and stack[i][0] != "p":
-                    break
-        if tag in VOID or m["attrs"].endswith("/") and tag not in ("p", "div", "a", "span"):
+            top = stack[-1]
+            if top.para and tag not in ("td", "th", "tr"):
+                shorten(top.para)
+            if stack[top.base].tag in SIBLINGS.get(tag, ()):
+                shorten(top.base)
+        if tag in VOID or attrs.endswith("/") and tag not in ("p", "div", "a", "span"):
             continue
-        _, _, bare, main, in_link, hidden = stack[-1]
-        if m["attrs"]:
-            found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m["attrs"])}
+        top = stack[-1]
+        bare, main, hidden = top.bare, top.main, top.hidden
+        if attrs:
+            found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attrs)}
             names = " ".join(v for k, v in found.items() if k in ("class", "id", "role", "aria-label", "itemprop"))
             hidden = hidden or "hidden" in found or found.get("aria-hidden") == "true" or bool(HIDDEN.search(found.get("style", "")))
             if names and tag not in ("html", "body"):
@@ -122,9 +170,12 @@ def blocks(html: str) -> list[Block]:
         if tag in BARE or tag == "header" and not main or tag == "head":
             bare = True
         count += 1
-        stack.append((tag, count, bare, main or tag in MAIN, in_link or tag == "a", hidden))
-        if len(stack) > 500:  # hostile nesting: the oldest open element above the root is forgotten
-            del stack[1]
+        place = len(stack)
+        stack.append(Open(
+            tag, bare, main or tag in MAIN, top.link or tag == "a", hidden, top.block if inline else tag, top.home if inline or tag in ITEMS else count,
+            top.above if inline or tag in ITEMS else top.home, top.base if inline or tag == "p" else place, place if tag == "p" else top.para if inline else 0,
+        ))
+        open_tags[tag] += 1
     if at < len(html):
         parts.append(html[at:])
     close()
@@ -215,7 +266,8 @@ def ties(found: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
-            out.append((i - 1, i, TIE if found[i - 1].home == b.home else LOOSE))
+            a = found[i - 1]
+            out.append((i - 1, i, TIE if a.home == b.home else SIDE if a.above == b.above else LOOSE))
         j = last.get(b.home)
         if j is not None and j < i - 1:
             out.append((j, i, KIN))
