@@ -96,7 +96,7 @@ def fit(df: DataFrame, by: Sequence[str], features: Sequence[str], label: str =
     edges = settle(edges_of(used, by, features, p["bins"]))
     w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
     rows = used.join(edges, by).select(*by, F.col(label).cast("double").alias("__y"), w.alias("__w"), _bins(features, F.col("edges")).alias("bins"))
-    mean = F.sum(F.col("__w") * F.col("__y")) / F.sum("__w")
+    mean = F.coalesce(F.try_divide(F.sum(F.col("__w") * F.col("__y")), F.sum("__w")), F.avg("__y"))
     held = F.greatest(F.least(mean, F.lit(1 - 1e-6)), F.lit(1e-6))
     base = settle(rows.groupBy(*by).agg((F.log(held / (1 - held)) if loss == "logistic" else mean).alias("base")))
     rows = settle(rows.join(base, by).withColumnRenamed("base", "score"))
