@@ -183,7 +183,8 @@ def match_entities(articles: DataFrame, mapping: DataFrame) -> DataFrame:
     source that is named there stands for every mapped symbol; an empty source stands for none.
 
     Ends-with becomes an equality on the entity's suffixes, contains an equality on the code's first two characters
-    followed by a filter.
+    followed by a filter. The mapping goes to every task, so no text travels, and a headline is copied only for pairs of
+    characters that some code begins with.
     """
     code = mapping.select("symbol", F.upper("code").alias("code"))
     ents = articles.select("article_id", F.explode("entities").alias("e")).select(
@@ -191,7 +192,7 @@ def match_entities(articles: DataFrame, mapping: DataFrame) -> DataFrame:
     )
     suffixes = F.transform(F.sequence(F.lit(1), F.length("raw")), lambda i: F.substr(F.col("raw"), i))
     direct = (
-        ents.where(F.length("raw") > 0).withColumn("code", F.explode(suffixes)).join(code, "code")
+        ents.where(F.length("raw") > 0).withColumn("code", F.explode(suffixes)).join(F.broadcast(code), "code")
         .groupBy("article_id", "symbol").agg(F.avg("s").alias("score"))
     )
     headline = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
@@ -201,7 +202,9 @@ def match_entities(articles: DataFrame, mapping: DataFrame) -> DataFrame:
     split = scored.where(F.length("headline") > 0).withColumn("chars", F.split("headline", ""))
     grams = F.array_distinct(F.concat(chars, pairs))
     lower = code.select("symbol", F.lower("code").alias("lcode"), F.lower(F.substring("code", 1, 2)).alias("gram"))
-    named = split.withColumn("gram", F.explode(grams)).drop("chars").join(lower, "gram")
+    heads = lower.agg(F.collect_set("gram").alias("heads"))  # one row, no longer than the mapping
+    near = split.crossJoin(F.broadcast(heads)).withColumn("grams", F.array_intersect(grams, "heads")).drop("chars", "heads")
+    named = near.withColumn("gram", F.explode("grams")).drop("grams").join(F.broadcast(lower), "gram")
     named = named.where(F.contains(F.col("headline"), F.col("lcode"))).select("article_id", "symbol", "score").distinct()
     if "source" in articles.columns:
         whole = articles.where(F.col("score").isNotNull() & (F.length("source") > 0)).where(F.contains(headline, F.lower("source"))).select("article_id", "score")
