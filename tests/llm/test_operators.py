@@ -501,6 +501,21 @@ def test_repeated_lines(docs, empty, rows, group, monkeypatch):
     assert line_join.repeated_lines(empty).count() == 0
 
 
+def test_long_unlike_lines_are_no_candidates(spark, monkeypatch):
+    # Lines of 150 to 400 words with a rare word in common: 64 bits of parity let nearly all of their pairs through.
+    rng = np.random.default_rng(5)
+    common = [f"w{i}" for i in range(3000)]
+    rare = lambda i: [f"rare{i % 4}"]
+    rows = [(i, " ".join(rare(i) + list(rng.choice(common, 150 + 5 * (i % 50), replace=False)))) for i in range(200)]
+    rows += [(1000 + i, " ".join(rows[i][1].split()[5:] + ["new"])) for i in range(0, 200, 4)]
+    seen = []
+    verified = line_join._verified
+    monkeypatch.setattr(line_join, "_verified", lambda pairs, *more: seen.append(pairs.distinct().count()) or verified(pairs, *more))
+    out = {r["doc_id"] for r in line_join.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["removed"]}
+    assert out == set(_removed(rows)) and len(out) == 50
+    assert sum(seen) < 150
+
+
 def test_texts_without_repeated_lines(docs, empty, rows):
     named = [r for r in rows if r[0] is not None]
     gone = _removed(named)

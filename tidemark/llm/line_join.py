@@ -7,13 +7,15 @@ hash of the text.
 
 Candidates: words of a set are ordered by rarity, and two similar sets share one of their first
 ``n - ceil(similar * n) + 1`` words. The join on these words keeps a pair only if their sizes (length filter), the places
-of the shared word (positional filter) and 64 parity bits per set (no more bits differ than words) allow it. What is left is
-verified on the words themselves.
+of the shared word (positional filter, for the first word that both sets share) and the parity bits of the sets allow it:
+no more bits differ than words. A set has 64, 128 or 256 such bits by its size, so that the bits of two unlike sets differ in
+more places than the words of similar ones may; the longer ones fold into the shorter. What is left is verified on the words
+themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import shielded
@@ -26,10 +28,12 @@ RARITY_SLOTS = 1 << 17
 GROUP = 256
 #: Flags by hash that spare most lines the shuffle when the words of candidate lines are fetched.
 FLAG_SLOTS = 1 << 18
-#: 64-bit words of parity that are compared before the words of two lines.
-PARITY = 4
+#: Sets of up to so many words have 64 bits of parity, up to so many 128, larger ones 256.
+PARITY = (80, 176)
 #: What names a line. part is the hash of the text where an id has several texts, else 0, which takes no space.
 LINE = ("doc", "part", "no")
+#: Parity of a set, 64 bits each; those that its size does not need are 0.
+BITS = ("p0", "p1", "p2", "p3")
 #: Stands for a null id in the order.
 LOW = -(1 << 63)
 
@@ -62,30 +66,56 @@ def rarity(docs: DataFrame) -> bytes:
     return bytes(table)
 
 
+def _parity(words: Column) -> list[Column]:
+    """BITS of a set of hashes: each word turns one bit. Bits 0 to 5 of a hash choose the bit, 6 and 7 the column."""
+
+    def odd(column: int, columns: int) -> Column:
+        def turn(acc: Column, h: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+            if columns == 1:
+                return acc.bitwiseXOR(bit)
+            return F.when(F.shiftright(h, 6).bitwiseAND(F.lit(columns - 1).cast("long")) == column, acc.bitwiseXOR(bit)).otherwise(acc)
+
+        return F.aggregate(words, F.lit(0).cast("long"), turn)
+
+    n, none = F.size(words), F.lit(0).cast("long")
+    few, some = n <= PARITY[0], n <= PARITY[1]
+    out = [F.when(few, odd(0, 1)).when(some, odd(0, 2)).otherwise(odd(0, 4)), F.when(few, none).when(some, odd(1, 2)).otherwise(odd(1, 4))]
+    out += [F.when(some, none).otherwise(odd(i, 4)) for i in (2, 3)]
+    return [c.alias(name) for c, name in zip(out, BITS)]
+
+
 def _sets(lines: DataFrame, table: bytes, similar: float) -> DataFrame:
-    """Add n, same (hash of the set), bits, prefix to rows with a `line`; lines without a word are left out."""
+    """Add n, same (hash of the set), BITS, prefix to rows with a `line`; lines without a word are left out."""
     ranked = F.transform(F.array_distinct(_words(F.col("line"))), lambda h: F.shiftleft(_entry(table, F.pmod(h, F.lit(RARITY_SLOTS))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
     # Whether there is a word is asked of the line: a filter on the set would build it twice.
     out = lines.where(F.col("line").rlike(r"\S")).withColumn("set", F.sort_array(ranked)).drop("line")
-    bits = F.aggregate("set", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
     keep = (F.size("set") - F.ceil(F.size("set") * F.lit(similar) - 1e-9) + 1).cast("int")
-    return out.select(*[c for c in out.columns if c != "set"], F.size("set").alias("n"), F.xxhash64("set").alias("same"), bits.alias("bits"), F.transform(F.slice("set", F.lit(1), keep), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")).alias("prefix"))
+    return out.select(*[c for c in out.columns if c != "set"], F.size("set").alias("n"), F.xxhash64("set").alias("same"), *_parity(F.col("set")), F.transform(F.slice("set", F.lit(1), keep), lambda h: h.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")).alias("prefix"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "part", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
 
 
-def _may_match(x: str, y: str, similar: float) -> Column:
-    """Length, positional and parity filters for two sets that share a prefix word."""
+def _may_match(x: str, y: str, similar: float, first: bool = True) -> Column:
+    """Length, positional and parity filters for two sets that share a prefix word.
+
+    With `first` only the first shared word of two similar sets has to pass: both prefixes hold it, so one row per pair
+    is sure. All other shared words stand behind it, so as many words as must be shared have to be left in either set.
+    """
     c = lambda side, name: F.col(f"{side}.{name}")
     total = c(x, "n") + c(y, "n")
     need = F.ceil(total * (similar / (1 + similar)) - 1e-9)
     length = F.least(c(x, "n"), c(y, "n")) >= F.lit(similar) * F.greatest(c(x, "n"), c(y, "n")) - 1e-9
-    # The word shared at these places may not be the first shared one; earlier ones are in both prefixes and give their own row.
-    place = F.least(c(x, "at"), c(y, "at")) + 1 + F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at")) - 1 >= need
-    parity = F.bit_count(c(x, "bits").bitwiseXOR(c(y, "bits"))) <= total - 2 * need
-    return length & place & parity
+    before = F.lit(0) if first else F.least(c(x, "at"), c(y, "at"))
+    place = before + F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at")) >= need
+    p = [c(x, name).bitwiseXOR(c(y, name)) for name in BITS]
+    two = p[0].bitwiseXOR(p[2]), p[1].bitwiseXOR(p[3])
+    count = lambda columns: sum((F.bit_count(q) for q in columns[1:]), F.bit_count(columns[0]))
+    smaller = F.least(c(x, "n"), c(y, "n"))
+    differ = F.when(smaller <= PARITY[0], F.bit_count(two[0].bitwiseXOR(two[1]))).when(smaller <= PARITY[1], count(two)).otherwise(count(p))
+    return length & place & (differ <= total - 2 * need)
 
 
 def _pairs(x: str, y: str) -> list[Column]:
@@ -107,22 +137,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
         flags[s] = 1
     lines = _lines(docs).where(_entry(bytes(flags), slot) == 1)
     sets = settle(lines.join(ends, [*LINE], "left_semi").select(*LINE, F.array_distinct(_words(F.col("line"))).alias("set")))
-    # Before the words themselves travel, 64 * PARITY parity bits of them do: similar sets differ in few words, so in no
-    # more bits. That leaves little but similar pairs.
-    def odd(word: int) -> Column:
-        def turn(acc: Column, h: Column) -> Column:
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-            return F.when(F.pmod(F.shiftright(h, 6), F.lit(PARITY)) == word, acc.bitwiseXOR(bit)).otherwise(acc)
-
-        return F.aggregate("set", F.lit(0).cast("long"), turn).alias(f"p{word}")
-
-    brief = settle(sets.select(*LINE, F.size("set").alias("n"), *map(odd, range(PARITY))))
-    facts = (*LINE, "n", *(f"p{i}" for i in range(PARITY)))
-    x, y = (brief.select(*[F.col(c).alias(f"{side}_{c}") for c in facts]) for side in "xy")
-    total = F.col("x_n") + F.col("y_n")
-    differ = sum((F.bit_count(F.col(f"x_p{i}").bitwiseXOR(F.col(f"y_p{i}"))) for i in range(PARITY)), F.lit(0))
-    near = pairs.join(x, [f"x_{c}" for c in LINE]).join(y, [f"y_{c}" for c in LINE]).where(differ <= total - 2 * F.ceil(total * (similar / (1 + similar)) - 1e-9))
-    pairs = settle(near.select(*pairs.columns))
     x, y = (sets.select(*[F.col(c).alias(f"{side}_{c}") for c in (*LINE, "set")]) for side in "xy")
     both = pairs.join(x, [f"x_{c}" for c in LINE]).join(y, [f"y_{c}" for c in LINE]).withColumn("common", F.size(F.array_intersect("x_set", "y_set")))
     return both.where(F.col("common") >= F.lit(similar) * (F.size("x_set") + F.size("y_set") - F.col("common")) - 1e-9).select(*[f"y_{c}" for c in LINE]).distinct()
@@ -169,27 +183,28 @@ def _removed_lines(rows: DataFrame, similar: float) -> DataFrame:
     """doc, part, removed of the documents (doc, part, text) that lose lines."""
     lines = settle(_sets(_lines(rows), rarity(rows), similar))
     first = F.min(F.struct(*LINE)).alias("first")
-    # n, bits and prefix are the same in all lines of a class.
-    classes = lines.groupBy("same").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    # Before the shuffle, word and place are one number, line number and size another: rows of five words, not seven.
+    # n, parity and prefix are the same in all lines of a class.
+    classes = settle(lines.groupBy("same").agg(first, *[F.first(c).alias(c) for c in ("n", *BITS, "prefix")]))
+    rows_of = classes.select(F.posexplode("prefix").alias("at", "word"), *[F.col(f"first.{c}").alias(c) for c in LINE], "n", *BITS)
+    crowded = settle(rows_of.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > GROUP).select("word"))
+    # Before the shuffle, word and place are one number, line number and size another: rows of fewer words.
     low_bits = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("int")
     pair = lambda a, b: F.shiftleft(F.col(a).cast("long"), 32).bitwiseOR(F.col(b).cast("long"))
-    rows_of = classes.select(F.posexplode("prefix").alias("at", "word"), *[F.col(f"first.{c}").alias(c) for c in LINE], "n", "bits")
-    packed = rows_of.select(pair("word", "at").alias("word_at"), "doc", "part", pair("no", "n").alias("no_n"), "bits")
-    met = packed.repartition(F.shiftright("word_at", 32)).select(
-        F.shiftright("word_at", 32).alias("word"), low_bits("word_at").alias("at"), "doc", "part", F.shiftright("no_n", 32).cast("int").alias("no"), low_bits("no_n").alias("n"), "bits"
+    packed = rows_of.join(crowded, "word", "left_anti").select(pair("word", "at").alias("word_at"), "doc", "part", pair("no", "n").alias("no_n"), *BITS)
+    near = packed.repartition(F.shiftright("word_at", 32)).select(
+        F.shiftright("word_at", 32).alias("word"), low_bits("word_at").alias("at"), "doc", "part", F.shiftright("no_n", 32).cast("int").alias("no"), low_bits("no_n").alias("n"), *BITS
     )
-    group = Window.partitionBy("word")
-    met = met.withColumn("rows", F.count(F.lit(1)).over(group)).withColumn("head", F.min(F.struct(*LINE, "n", "bits", "at")).over(group)).where("rows > 1")
-    near = met.where(F.col("rows") <= GROUP).drop("head")
     x, y = near.alias("x"), near.alias("y")
-    small = x.join(y, (F.col("x.word") == F.col("y.word")) & _earlier("x", "y") & _may_match("x", "y", similar)).select(*_pairs("x", "y"))
-    crowd = settle(met.where(F.col("rows") > GROUP))
-    star = crowd.select(F.col("head").alias("x"), F.struct(*LINE, "n", "bits", "at").alias("y")).where(_earlier("x", "y") & _may_match("x", "y", similar)).select(*_pairs("x", "y"))
+    small = x.join(y, (F.col("x.word") == F.col("y.word")) & _may_match("x", "y", similar) & _earlier("x", "y")).select(*_pairs("x", "y"))
+    crowd = settle(rows_of.join(crowded, "word", "left_semi"))
+    member = F.struct(*LINE, "n", *BITS, "at")
+    heads = crowd.groupBy("word").agg(F.min(member).alias("x"))
+    star = crowd.select("word", member.alias("y")).join(heads, "word").where(_may_match("x", "y", similar, first=False) & _earlier("x", "y")).select(*_pairs("x", "y"))
     gone = settle(_verified(small.unionByName(star), rows, similar))
-    # In crowded groups, whoever did not match the earliest is compared with all earlier sets.
-    left = crowd.drop("head", "rows").join(gone.select(*[F.col(f"y_{c}").alias(c) for c in LINE]), [*LINE], "left_anti").alias("y")
-    rest = crowd.drop("head", "rows").alias("x").join(left, (F.col("x.word") == F.col("y.word")) & _earlier("x", "y") & _may_match("x", "y", similar)).select(*_pairs("x", "y"))
+    # In crowded groups, whoever did not match the earliest is compared with all earlier sets; both sides are one shuffle.
+    flagged = crowd.join(gone.select(*[F.col(f"y_{c}").alias(c) for c in LINE], F.lit(True).alias("late")), [*LINE], "left").repartition("word")
+    x, y = flagged.alias("x"), flagged.where("late is null").alias("y")
+    rest = x.join(y, (F.col("x.word") == F.col("y.word")) & _may_match("x", "y", similar) & _earlier("x", "y")).select(*_pairs("x", "y"))
     gone = gone.unionByName(_verified(rest, rows, similar)).distinct()
 
     named = lines.select(*LINE, "same").join(lines.groupBy("same").agg(first), "same")
