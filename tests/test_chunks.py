@@ -318,3 +318,83 @@ def test_error_function(spark):
     row = spark.range(1).select(norm_cdf(F.lit(1.959963984540054)), two_sided_p(F.lit(0.1), F.lit(400)), two_sided_p(F.lit(1.0), F.lit(9)), two_sided_p(F.lit(0.5), F.lit(2))).first()
     t = 0.1 * math.sqrt(398 / 0.99)
     assert abs(row[0] - 0.975) < 1e-12 and abs(row[1] - math.erfc(t / math.sqrt(2))) < 1e-13 and row[2] == 0.0 and row[3] is None
+
+
+def _reshuffled(values, sims):
+    """Every path walked in plain Python, in exact arithmetic where the values allow it."""
+    from tidemark.functions.numbers import mix_values
+
+    for sim in range(1, sims + 1):
+        ids = np.arange(1, len(values) + 1)
+        order = np.lexsort((ids, mix_values(sim, ids)))
+        equity, peak, fall, ret = None, None, None, []
+        for v in (values[i] for i in order):
+            before = equity
+            equity = v if equity is None else equity if v is None else equity + v
+            if equity is None:
+                continue
+            peak = equity if peak is None else max(peak, equity)
+            fall = max(fall or 0, peak - equity)
+            if before is not None:
+                ret.append((float(equity) - float(before)) / (abs(float(before)) + 1e-10))
+        gain, loss = sum(v for v in values if v and v > 0), -sum(v for v in values if v and v < 0)
+        sharpe = np.mean(ret) / (np.std(ret) + 1e-10) * 252**0.5 if ret and np.std(ret) > 0 else 0.0
+        yield sim, equity, fall, sharpe, float(gain) / float(loss) if loss else 999.0
+
+
+@pytest.mark.parametrize("kind", ["decimal(18,4)", "decimal(30,4)", "double", "long"])
+@pytest.mark.parametrize("rows", [7, 10_000])
+def test_reshuffled_paths_are_the_walks(spark, kind, rows):
+    """Unknown results leave the equity as it is; sums beyond 64 bits stay exact."""
+    from decimal import Decimal
+
+    rng = np.random.default_rng(3)
+    lists = {"mixed": [None if rng.random() < 0.2 else int(x) for x in rng.integers(-50, 60, 90)], "one": [5], "none": [None] * 12, "gains": [3, 4, 5]}
+    if kind == "decimal(18,4)":
+        lists["large"] = [Decimal(int(x)) for x in rng.integers(-9 * 10**13, 9 * 10**13, 60)] + [Decimal("90000000000000.1234")] * 40
+    if kind == "decimal(30,4)":
+        lists["large"] = [Decimal(int(x)) * 10**10 + Decimal("0.0001") for x in rng.integers(-9 * 10**13, 9 * 10**13, 60)]
+    data = [(s, i + 1, None if v is None else str(v)) for s, values in lists.items() for i, v in enumerate(values)]
+    df = settle(spark.createDataFrame(data, "symbol string, rn long, v string").select("symbol", "rn", F.col("v").cast(kind).alias("pnl")))
+    got = {(r["symbol"], r["sim"]): r for r in MC.reshuffle(df, 3, rows=rows).collect()}
+    assert len(got) == 3 * len(lists)
+    for symbol, values in lists.items():
+        for sim, final, fall, sharpe, pf in _reshuffled(values, 3):
+            r = got[symbol, sim]
+            assert r["final_pnl"] == (None if final is None else float(final)) and r["max_dd"] == (None if fall is None else float(fall))
+            assert np.allclose([r["sharpe"], r["pf"]], [sharpe, pf], rtol=1e-6)
+
+
+@pytest.mark.parametrize("rows", [7, None])
+def test_bootstrap_totals_are_the_picked_results(spark, rows):
+    from tidemark.functions.numbers import mix_values
+
+    rng = np.random.default_rng(4)
+    lists = {"mixed": [None if rng.random() < 0.2 else int(x) for x in rng.integers(-50, 60, 90)], "none": [None] * 5, "large": [9 * 10**13] * 50}
+    data = [(s, i + 1, None if v is None else str(v)) for s, values in lists.items() for i, v in enumerate(values)]
+    df = settle(spark.createDataFrame(data, "symbol string, rn long, v string").select("symbol", "rn", F.col("v").cast("decimal(18,4)").alias("pnl")))
+    got = {(r["symbol"], r["sim"]): r["total"] for r in MC.bootstrap_totals(df, 4, 43, rows).collect()}
+    want = {}
+    for s, values in lists.items():
+        ids = np.arange(1, len(values) + 1)
+        for sim in range(1, 5):
+            picked = [values[p] for p in mix_values(sim, ids, seed=43) % len(values)]
+            want[s, sim] = float(sum(v for v in picked if v is not None)) if any(v is not None for v in picked) else None
+    assert got == want
+
+
+def test_array_hash_is_the_column_hash(spark):
+    from tidemark.functions.numbers import mix, mix_values
+
+    ids = [0, 1, 2, 65535, 2**31 - 2, 2**31 - 1, 2**31, 2**40 + 7]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id long").select(mix(F.lit(3), F.col("id"), seed=9)).collect()]
+    assert got == mix_values(3, np.array(ids), seed=9).tolist()
+
+
+def test_few_rows_are_shuffled_for_a_reshuffle(spark):
+    """Draws travel packed: the pieces of a path are met by one shuffle of a few rows each, not by one row per draw."""
+    n, sims = 4000, 5
+    df = settle(spark.range(1, n + 1).select(F.lit("A").alias("symbol"), F.col("id").alias("rn"), (F.col("id") % 7 - 3).cast("decimal(18,4)").alias("pnl")).coalesce(1))
+    plan = MC.reshuffle(df, sims)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+    assert MC.reshuffle(df, sims).count() == sims

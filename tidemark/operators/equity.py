@@ -49,6 +49,13 @@ def folded(df: DataFrame, value: Column, by: Sequence[str], chunk: Column, order
         F.sum("__v").alias("__total"), F.max("__sum").alias("__high"), F.min("__sum").alias("__low"), F.max(F.col("__top") - F.col("__sum")).alias("__fall"),
         *[_MERGE[kind](c).alias(f"__a_{n}") for n, (kind, c) in also.items()],
     )
+    return folded_pieces(piece, by, {n: kind for n, (kind, _) in also.items()}, from_start)
+
+
+def folded_pieces(piece: DataFrame, by: Sequence[str], also: Mapping[str, str] | None = None, from_start: bool = True) -> DataFrame:
+    """The result of `folded` from one row per piece: `chunk`, `__total`, `__high`, `__low`, `__fall`, and `__a_<name>` for
+    every further column and its ``sum | max | min``."""
+    by, also = list(by), dict(also or {})
     before = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     piece = piece.withColumn("__start", F.coalesce(F.sum("__total").over(before), F.lit(0).cast("int")))
     zero = [F.lit(0).cast("int")] if from_start else []
@@ -57,7 +64,7 @@ def folded(df: DataFrame, value: Column, by: Sequence[str], chunk: Column, order
     return piece.groupBy(*by).agg(
         F.sum("__total").alias("total"), F.max(F.col("__start") + F.col("__high")).alias("high"), F.min(F.col("__start") + F.col("__low")).alias("low"),
         F.max(F.greatest(F.col("__fall"), F.col("__peak") - F.col("__start") - F.col("__low"))).alias("fall"),
-        *[_MERGE[kind](f"__a_{n}").alias(n) for n, (kind, _) in also.items()],
+        *[_MERGE[kind](f"__a_{n}").alias(n) for n, kind in also.items()],
     )
 
 
