@@ -433,7 +433,7 @@ def _paths(sims: int) -> dict[str, str]:
     ),
 )
 def _(t: Tables):
-    return rounded(MC.reshuffle(t.numbered_trades(), 5))
+    return rounded(MC.reshuffle(t.numbered_trades(keep=("symbol", "rn", "pnl")), 5))
 
 
 @query(
@@ -457,6 +457,6 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    n = t.numbered_trades()
+    n = t.numbered_trades(keep=("symbol", "rn", "pnl"))
     out = rounded(MC.mc_report(n, X.trade_metrics(n, 1000000.0), 8), 4)
     return out.withColumns({c: F.round(c, 2) for c in ("return_5", "return_median", "return_95", "dd_median", "dd_95")})
