@@ -135,6 +135,28 @@ def test_words_give_the_ids_of_the_untouched_library(monkeypatch):
         assert count.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_words_stay_from_task_to_task(monkeypatch):
+    """A later task of a worker tokenizes only words that are new to it; a full memory keeps the words asked for again."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, words = Tokenizer.from_file(path), huffman_ids._words(path)
+    first, second = "alpha beta. gamma, d\u00e9lta", "beta alpha gamma. newer"
+    learned, learn = [], words._learn
+    monkeypatch.setattr(words, "_learn", lambda new: (learned.extend(new), learn(new)))
+    words._forget()
+    words.encode([first + " once" * 2 + "".join(f" once{chr(97 + i)}" for i in range(26))], 2)
+    assert huffman_ids._words(path) is words
+    learned.clear()
+    ids, _ = words.encode([second], 2)
+    assert learned == [b"newer"] and ids.tolist() == [*t.encode(second, add_special_tokens=False).ids, 2]
+    monkeypatch.setattr(huffman_ids, "MEMO_BYTES", words.held - 1)
+    learned.clear()
+    text = "alpha beta gamma newer d\u00e9lta"
+    ids, _ = words.encode([text], 2)
+    assert set(learned) == {b"newer", "d\u00e9lta".encode()} and ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_huffman_ranges_split_rows_of_one_id(spark, tmp_path, monkeypatch):
     """Equal rows without an id fill several buckets, and ids above 16 bits are coded."""
     monkeypatch.setattr(huffman_ids, "BUCKET_IDS", 500)

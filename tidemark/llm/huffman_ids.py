@@ -19,7 +19,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -38,8 +38,8 @@ STEP, BLOCK_IDS = 256, 1 << 17
 LONGEST = 18
 #: Documents of about so many ids share a range of doc_id, which one task sorts and writes.
 BUCKET_IDS = 4_000_000
-#: Bytes of words and ids that a worker remembers; the memory is emptied when it is full.
-MEMO_BYTES = 96 << 20
+#: Bytes of words and ids that a worker remembers from slice to slice and task to task.
+MEMO_BYTES = 48 << 20
 #: Bytes of text worked on at a time.
 TEXT_BYTES = 8 << 20
 #: Small letters of Latin-1 and a mark behind them: the library's normal form leaves them alone and splits off the mark.
@@ -58,7 +58,8 @@ class Words:
     taken off a word of ASCII letters first, which leaves fewer distinct words.
 
     A slice of texts is split at once: its distinct words are looked up, only new ones are tokenized, and ids are
-    gathered by array operations. Memory holds the ids of all words in one array.
+    gathered by array operations. Memory holds the ids of all words in one array. When it is full, words that no other
+    slice has asked for since go, and all do if that leaves more than half.
     """
 
     def __init__(self, path: str):
@@ -82,8 +83,35 @@ class Words:
         self.number: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.asked = np.zeros(1 << 16, np.uint8)
         self.held = 0
 
+    def _tidy(self) -> None:
+        """Forget words that only one slice has asked for since the last time."""
+        asked = self.asked[: len(self.number)]
+        keep = np.flatnonzero(asked > 1)
+        words = [w for w, again in zip(self.number, (asked > 1).tolist()) if again]  # in the order of their entries
+        size, begin, flat = self.size[keep], self.begin[keep], self.flat
+        self._forget()
+        if 2 * self._bytes(words, int(size.sum())) <= MEMO_BYTES:
+            at = np.cumsum(size) - size
+            self._store(words, flat[np.repeat(begin - at, size) + np.arange(int(size.sum()))], size)
+            self.asked[: len(words)] = 1
+
+    def _bytes(self, words: list[bytes], ids: int) -> int:
+        # About 100 bytes for an entry of the dictionary and its places.
+        return sum(map(len, words)) + 4 * ids + 100 * len(words)
+
+    def _store(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(self.number)
+        self.flat = _grown(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin, self.size, self.asked = (_grown(a, n + len(words)) for a in (self.begin, self.size, self.asked))
+        self.begin[n : n + len(words)], self.size[n : n + len(words)] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+        self.number.update(zip(words, range(n, n + len(words))))
+        self.held += self._bytes(words, len(ids))
+
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -102,22 +130,13 @@ class Words:
                 found.append(t)
         for i, ids in zip(odd, self._library([found[i] for i in odd])):
             found[i] = ids
-        n = len(self.number)
         size = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
-        self.flat = _grown(self.flat, self.used + len(ids))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.begin, self.size = _grown(self.begin, n + len(words)), _grown(self.size, n + len(words))
-        self.begin[n : n + len(words)], self.size[n : n + len(words)] = self.used + np.cumsum(size) - size, size
-        self.used += len(ids)
-        self.number.update(zip(words, range(n, n + len(words))))
-        # About 100 bytes for an entry of the dictionary and its two places.
-        self.held += sum(map(len, words)) + 4 * len(ids) + 100 * len(words)
+        self._store(words, np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size)
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, `end` behind each, and the number of each text's ids."""
         if self.held > MEMO_BYTES:
-            self._forget()
+            self._tidy()
         buf, at = joined(texts)
         whole = buf.tobytes()
         odd = []
@@ -128,18 +147,20 @@ class Words:
             inside[at[i] : at[i + 1]] = False
         start, stop = runs(inside, at)
         # A last byte that is a full stop or comma behind ASCII letters only is a word of its own.
-        other = np.concatenate([[0], np.cumsum(~self.letter[buf])])
+        other = np.zeros(len(buf) + 1, np.int32 if len(buf) < 1 << 31 else np.int64)
+        np.cumsum(~self.letter[buf], out=other[1:])
         last = buf[stop - 1] if len(stop) else np.zeros(0, np.uint8)
         marked = np.flatnonzero(((last == 46) | (last == 44)) & (stop - start > 1) & (other[stop] - other[start] == 1))
         start, stop = np.insert(start, marked + 1, stop[marked] - 1), np.insert(stop, marked, stop[marked] - 1)
         doc = np.searchsorted(at, start, "right") - 1
         offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int64)
         coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(self.lower[buf[inside]])]).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = _values(coded.dictionary)
         new = [w for w in distinct if w not in self.number]
         if new:
             self._learn(new)
         entry = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
+        self.asked[entry] = np.minimum(self.asked[entry], 1) + 1
         word = entry[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.zeros(0, np.int64)
         begin, size = self.begin[word], self.size[word]
         count = np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64) + 1
@@ -163,6 +184,26 @@ class Words:
         return out, count
 
 
+_loaded: dict[str, Words] = {}
+
+
+def _words(path: str) -> Words:
+    """The words of a worker, which stay when a task ends: the next one meets mostly the same."""
+    if path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = Words(path)
+    return _loaded[path]
+
+
+def _values(a: pa.LargeBinaryArray) -> list[bytes]:
+    """All values of a column without nulls that begins at its buffers' first byte."""
+    if not len(a):
+        return []
+    at = np.frombuffer(a.buffers()[1], np.int64)[: len(a) + 1].tolist()
+    whole = a.buffers()[2].to_pybytes()
+    return [whole[i:j] for i, j in pairwise(at)]
+
+
 def _grown(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
 
@@ -176,7 +217,7 @@ def encode_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
+        words = _words(path)
         for b in slices(batches, "text", TEXT_BYTES):
             ids, count = words.encode(b["text"].to_pylist(), end_id)
             at = np.concatenate([[0], np.cumsum(words.kind.itemsize * count)])
