@@ -523,6 +523,21 @@ def test_repeated_lines(docs, empty, rows, group, monkeypatch):
     assert line_join.repeated_lines(empty).count() == 0
 
 
+def test_rare_words_are_told_from_common_ones(spark):
+    # In a table of too few slots nearly every one of many rare words shares its slot and looks more common than it is.
+    docs = spark.range(2000, numPartitions=4).select(F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), "id") for k in range(100)]).alias("text"))
+    counts = np.frombuffer(line_join.rarity(docs), np.uint8)
+    assert (counts > 0).sum() < 25_000
+    assert np.frombuffer(line_join.rarity(docs.unionByName(docs).unionByName(docs).unionByName(docs)), np.uint8).max() >= 8
+
+
+def test_all_white_space_parts_words(spark):
+    near = "\u00e4 one two three four five six seven eight nine"
+    rows = [(1, near), (2, near.replace(" ", "\t")), (3, near.replace(" ", "\x0b ").upper()), (4, near.replace(" ", "\r\f")), (5, near.replace(" ", "\u00a0")), (6, "\t\r"), (7, near + " ten\r")]
+    out = line_join.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in out if r["removed"]} == {2, 3, 4, 7}
+
+
 def test_long_unlike_lines_are_no_candidates(spark, monkeypatch):
     # Lines of 150 to 400 words with a rare word in common: 64 bits of parity let nearly all of their pairs through.
     rng = np.random.default_rng(5)

@@ -15,6 +15,7 @@ themselves.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +24,11 @@ from tidemark.session import settle
 
 SIMILAR = 0.8
 #: Word counts are kept by hash in a table of this fixed size; any order is exact, a rarer-first one is fast.
-RARITY_SLOTS = 1 << 17
+RARITY_SLOTS = 1 << 20
 #: Sets that share a word in larger groups than this are first compared with the earliest of the group.
 GROUP = 256
 #: Flags by hash that spare most lines the shuffle when the words of candidate lines are fetched.
-FLAG_SLOTS = 1 << 18
+FLAG_SLOTS = 1 << 20
 #: Sets of up to so many words have 64 bits of parity, up to so many 128, larger ones 256.
 PARITY = (80, 176)
 #: What names a line. part is the hash of the text where an id has several texts, else 0, which takes no space.
@@ -38,12 +39,17 @@ BITS = ("p0", "p1", "p2", "p3")
 LOW = -(1 << 63)
 
 
-def _split(text: Column) -> Column:
-    """The runs between white space, in lower case, and empty strings. A plain blank is split at without a pattern."""
-    text = F.lower(text)
+def _split(text: Column, lines: bool = False) -> Column:
+    """The runs between white space, in lower case, and empty strings; with `lines`, texts may hold line feeds.
+
+    A plain blank is split at without a pattern. In a single line other white space is rare: one search for any of it spares most
+    of them the replacements.
+    """
+    out = F.lower(text)
+    plain = out
     for space in "\t\n\x0b\f\r":
-        text = F.replace(text, F.lit(space), F.lit(" "))
-    return F.split(text, " ")
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
+    return F.split(plain if lines else F.when(text.rlike(r"[\t\n\x0B\f\r]"), plain).otherwise(out), " ")
 
 
 def _words(line: Column) -> Column:
@@ -51,19 +57,33 @@ def _words(line: Column) -> Column:
     return F.transform(F.array_remove(_split(line), ""), lambda w: F.xxhash64(w))
 
 
+def _slot(h: Column, slots: int) -> Column:
+    """Slot of a hash in a table of `slots` (a power of two) entries."""
+    return h.bitwiseAND(F.lit(slots - 1).cast("long")).cast("int")
+
+
 def _entry(table: bytes, slot: Column) -> Column:
-    """Entry of a table of small numbers, written as text that the optimizer turns into one constant array."""
-    return F.get(F.split(F.lit(" ".join(map(str, table))), " ").cast("array<int>"), slot.cast("int"))
+    """Entry of a table of numbers below 128, one byte each. Its type has no null, so that arrays of entries are sorted as numbers."""
+    return F.ascii(F.substring(F.lit(table), slot + 1, F.lit(1)).cast("string"))
+
+
+def _table(entries: DataFrame, slots: int) -> bytes:
+    """Table of the rows (slot, entry), at most one for each slot; they come to the driver as columns, five bytes a row."""
+    found, out = entries.select("slot", F.col("entry").cast("tinyint").alias("entry")).toArrow(), np.zeros(slots, np.uint8)
+    out[found["slot"].to_numpy()] = found["entry"].to_numpy()
+    return out.tobytes()
+
+
+def _flags(slots: DataFrame) -> bytes:
+    """1 for each `slot` of FLAG_SLOTS that occurs."""
+    return _table(slots.select("slot").distinct().withColumn("entry", F.lit(1)), FLAG_SLOTS)
 
 
 def rarity(docs: DataFrame) -> bytes:
-    """How common words are, by slot of their hash: eight steps per power of two, 0 to 127. Counts all documents."""
-    word = F.explode(_split(F.col("text")))
-    counts = docs.select(word.alias("w")).where("w <> ''").groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_SLOTS)).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    table = bytearray(RARITY_SLOTS)
-    for slot, step in counts.select("slot", F.least(F.floor(F.log2("n") * 4).cast("int"), F.lit(127)).alias("step")).collect():  # at most RARITY_SLOTS rows
-        table[slot] = step
-    return bytes(table)
+    """How common words are, by slot of their hash: four steps per power of two, 0 to 127. Counts all documents."""
+    word = F.explode(_split(F.col("text"), lines=True))
+    counts = docs.select(word.alias("w")).where("w <> ''").groupBy(_slot(F.xxhash64("w"), RARITY_SLOTS).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    return _table(counts.select("slot", F.least(F.floor(F.log2("n") * 4).cast("int"), F.lit(127)).alias("entry")), RARITY_SLOTS)
 
 
 def _parity(words: Column) -> list[Column]:
@@ -87,7 +107,7 @@ def _parity(words: Column) -> list[Column]:
 
 def _sets(lines: DataFrame, table: bytes, similar: float) -> DataFrame:
     """Add n, same (hash of the set), BITS, prefix to rows with a `line`; lines without a word are left out."""
-    ranked = F.transform(F.array_distinct(_words(F.col("line"))), lambda h: F.shiftleft(_entry(table, F.pmod(h, F.lit(RARITY_SLOTS))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
+    ranked = F.transform(F.array_distinct(_words(F.col("line"))), lambda h: F.shiftleft(_entry(table, _slot(h, RARITY_SLOTS)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8)))
     # Whether there is a word is asked of the line: a filter on the set would build it twice.
     out = lines.where(F.col("line").rlike(r"\S")).withColumn("set", F.sort_array(ranked)).drop("line")
     keep = (F.size("set") - F.ceil(F.size("set") * F.lit(similar) - 1e-9) + 1).cast("int")
@@ -123,7 +143,12 @@ def _pairs(x: str, y: str) -> list[Column]:
 
 
 def _earlier(x: str, y: str) -> Column:
-    return F.struct(*[F.col(f"{x}.{c}") for c in LINE]) < F.struct(*[F.col(f"{y}.{c}") for c in LINE])
+    """Whether x stands before y, by plain comparisons: most pairs are told apart by the first."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    out = c(x, LINE[-1]) < c(y, LINE[-1])
+    for name in reversed(LINE[:-1]):
+        out = (c(x, name) < c(y, name)) | ((c(x, name) == c(y, name)) & out)
+    return out
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
@@ -131,11 +156,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, similar: float) -> DataFrame:
     pairs = settle(pairs.distinct())
     end = lambda side: pairs.select(*[F.col(f"{side}_{c}").alias(c) for c in LINE])
     ends = end("x").unionByName(end("y")).distinct()
-    slot = F.pmod(F.xxhash64(*LINE), F.lit(FLAG_SLOTS))
-    flags = bytearray(FLAG_SLOTS)
-    for (s,) in ends.select(slot.alias("s")).distinct().collect():  # at most FLAG_SLOTS rows
-        flags[s] = 1
-    lines = _lines(docs).where(_entry(bytes(flags), slot) == 1)
+    slot = _slot(F.xxhash64(*LINE), FLAG_SLOTS)
+    lines = _lines(docs).where(_entry(_flags(ends.select(slot.alias("slot"))), slot) == 1)
     sets = settle(lines.join(ends, [*LINE], "left_semi").select(*LINE, F.array_distinct(_words(F.col("line"))).alias("set")))
     x, y = (sets.select(*[F.col(c).alias(f"{side}_{c}") for c in (*LINE, "set")]) for side in "xy")
     both = pairs.join(x, [f"x_{c}" for c in LINE]).join(y, [f"y_{c}" for c in LINE]).withColumn("common", F.size(F.array_intersect("x_set", "y_set")))
@@ -159,11 +181,9 @@ def repeated_by_text(docs: DataFrame, similar: float = SIMILAR, id_col: str = "d
     n_lines = F.max(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     ids = settle(hashed.groupBy("doc", "text_hash").agg(n_lines.alias("n_lines"), F.count(F.lit(1)).alias("copies")))
     # Ids of several texts, by slot of their hash; another id of such a slot only takes more space.
-    slot = F.pmod(F.xxhash64("doc"), F.lit(FLAG_SLOTS))
-    flags = bytearray(FLAG_SLOTS)
-    for (s,) in ids.groupBy("doc").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select(slot.alias("s")).distinct().collect():  # at most FLAG_SLOTS rows
-        flags[s] = 1
-    part = F.when(_entry(bytes(flags), slot) == 1, F.col("text_hash")).otherwise(F.lit(0).cast("long")) if any(flags) else F.lit(0).cast("long")
+    slot = _slot(F.xxhash64("doc"), FLAG_SLOTS)
+    flags = _flags(ids.groupBy("doc").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select(slot.alias("slot")))
+    part = F.when(_entry(flags, slot) == 1, F.col("text_hash")).otherwise(F.lit(0).cast("long")) if any(flags) else F.lit(0).cast("long")
     out = _removed_lines(hashed.select("doc", part.alias("part"), "text"), similar)
     found = ids.withColumn("part", part).join(out, ["doc", "part"], "left")
     return found.select(F.when(F.col("doc") == LOW, F.lit(None)).otherwise(F.col("doc")).cast("long").alias("doc_id"), "text_hash", "copies", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
@@ -195,7 +215,7 @@ def _removed_lines(rows: DataFrame, similar: float) -> DataFrame:
         F.shiftright("word_at", 32).alias("word"), low_bits("word_at").alias("at"), "doc", "part", F.shiftright("no_n", 32).cast("int").alias("no"), low_bits("no_n").alias("n"), *BITS
     )
     x, y = near.alias("x"), near.alias("y")
-    small = x.join(y, (F.col("x.word") == F.col("y.word")) & _may_match("x", "y", similar) & _earlier("x", "y")).select(*_pairs("x", "y"))
+    small = x.join(y, (F.col("x.word") == F.col("y.word")) & _earlier("x", "y") & _may_match("x", "y", similar)).select(*_pairs("x", "y"))
     crowd = settle(rows_of.join(crowded, "word", "left_semi"))
     member = F.struct(*LINE, "n", *BITS, "at")
     heads = crowd.groupBy("word").agg(F.min(member).alias("x"))
@@ -204,10 +224,10 @@ def _removed_lines(rows: DataFrame, similar: float) -> DataFrame:
     # In crowded groups, whoever did not match the earliest is compared with all earlier sets; both sides are one shuffle.
     flagged = crowd.join(gone.select(*[F.col(f"y_{c}").alias(c) for c in LINE], F.lit(True).alias("late")), [*LINE], "left").repartition("word")
     x, y = flagged.alias("x"), flagged.where("late is null").alias("y")
-    rest = x.join(y, (F.col("x.word") == F.col("y.word")) & _may_match("x", "y", similar) & _earlier("x", "y")).select(*_pairs("x", "y"))
+    rest = x.join(y, (F.col("x.word") == F.col("y.word")) & _earlier("x", "y") & _may_match("x", "y", similar)).select(*_pairs("x", "y"))
     gone = gone.unionByName(_verified(rest, rows, similar)).distinct()
 
-    named = lines.select(*LINE, "same").join(lines.groupBy("same").agg(first), "same")
+    named = lines.select(*LINE, "same").join(classes.select("same", "first"), "same")
     held = named.join(gone.select(F.struct(*[F.col(f"y_{c}").alias(c) for c in LINE]).alias("first"), F.lit(True).alias("late")), "first", "left")
     return held.where((F.struct(*LINE) != F.col("first")) | F.col("late")).groupBy("doc", "part").agg(F.array_sort(F.collect_set("no")).alias("removed"))
 
