@@ -15,6 +15,7 @@ from tidemark.operators import search as S
 from tidemark.operators import stats as T
 from tidemark.operators import trades as X
 from tidemark.operators.joins import external_positions, match_keywords, orphan_opens
+from tidemark.session import settle
 from tidemark.sources.journal import JOURNAL_COLUMNS, read_journal
 
 
@@ -22,6 +23,12 @@ def one(df, col):
     return df.select(col).first()[0]
 
 
+def test_descriptions_of_plans_are_bounded(spark):
+    df = settle(spark.range(1)).select(F.lit(bytes(1 << 20)).alias("table"))
+    assert len(df._jdf.queryExecution().toString()) < 1 << 19
+    assert len(df.first()["table"]) == 1 << 20
+
+
 def test_normal_quantiles(spark):
     df = spark.range(1)
     for p, z in ((0.5, 0.0), (0.975, 1.959964), (0.025, -1.959964), (0.001, -3.090232), (0.9999, 3.719016)):
