@@ -152,6 +152,40 @@ def test_reconcile_reads_only_what_a_batch_brings(spark):
     assert max(held) <= 15 and held[-1] < 20
 
 
+def test_reconcile_state_lies_on_disk(spark, tables, monkeypatch):
+    """Every deal leaves a trace, so they are kept on disk and not in the executors' heaps; later jobs keep their own settings."""
+    from tidemark.plans import catalog
+
+    key, progress, drain = "spark.sql.streaming.stateStore.providerClass", [], J.drain
+    monkeypatch.setattr(J, "drain", lambda *a, **k: drain(*a, progress=progress, **k))
+    before = spark.conf.get(key)
+    got = catalog.QUERIES["stream_reconcile"](tables)
+    states = [p["stateOperators"][0] for p in progress]
+    assert sum(s["numRowsUpdated"] for s in states) == tables.deals().count() > 5000
+    sizes = [s["customMetrics"].get("rocksdbSstFileSize", 0) for s in states]
+    assert len(sizes) == 3 and 0 < sizes[0] < sizes[1] < sizes[2], sizes
+    assert spark.conf.get(key) == before
+    want = catalog.QUERIES["external_trades"](tables)
+    key = lambda df: sorted((r.ticket, round(r.pnl, 4)) for r in df.select("ticket", F.col("pnl").cast("double").alias("pnl")).collect())
+    assert key(got) == key(want) != []
+
+
+def test_deals_are_told_apart_by_whole_rows_on_disk(spark):
+    """A deal that comes again adds nothing; one that differs in a single column, or in what is unknown, is another deal."""
+    base = (1, START, 1, 0, 100.0, 1.0, "S", 5.0, None, None, 7, 8, 0)
+    change = lambda **c: tuple(c.get(n, v) for n, v in zip(names, base))
+    names = "position_id time deal_no type price volume symbol profit commission swap part_id venue magic".split()
+    deals = [base, change(commission=0.0), change(swap=0.0), change(part_id=None), change(venue=None), change(part_id=8, venue=7), change(time=START + dt.timedelta(microseconds=1))]
+    schema = "position_id long, time timestamp_ntz, deal_no int, type int, price double, volume double, symbol string, profit double, commission double, swap double, part_id long, venue long, magic int"
+    df = spark.createDataFrame(deals + deals, schema).withColumns({c: F.col(c).cast("decimal(18,4)") for c in ("profit", "commission", "swap")})
+    df = settle(df.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))))
+    target = scratch_dir(spark, "parts")
+    feed = J.replay(df, "deals", F.col("again"), 2).through(lambda d: J.new_deals(d.drop("again"), "12 hours"))
+    J.drain(feed, "reconcile", J.reconcile_batch(target, 777), conf=J.DISK_STATE)
+    got = J.reconciled(spark, target, spark.createDataFrame([], "ticket long")).collect()
+    assert [(r.ticket, r.pnl) for r in got] == [(1, 5.0 * len(deals))]
+
+
 def test_finished_tickets_stay_closed(spark):
     """A price that touches the stop again in a later batch brings no second row, though no earlier output is read."""
     bars = [("S", START + dt.timedelta(hours=i), i + 1, 100.0 + d, 99.0 + d) for i, d in enumerate([0, 1, -20, 0, 1, -30, 0, -40, 5])]
